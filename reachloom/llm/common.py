@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,13 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words as everything but ASCII white space.
-SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: The same for Java's regular expressions: what parts words.
+#: What parts words in Java's regular expressions: ASCII white space. bytes.split() parts UTF-8 text alike.
 SPACE_SPLIT = r"[\x20\x09-\x0D]+"
-#: A-Z to a-z and nothing else.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-
 #: Raw text bytes that one packed block holds.
 BLOCK_BYTES = 4 << 20
 #: Rows of a batch that are turned into Python objects at a time.
@@ -65,16 +59,16 @@ class WordHash:
     """64-bit hashes of words, remembered for a bounded number of distinct words."""
 
     def __init__(self, limit: int = 400_000):
-        self.seen: dict[str, int] = {}
+        self.seen: dict[bytes, int] = {}
         self.limit = limit
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[bytes]) -> np.ndarray:
         seen = self.seen
         if len(seen) > self.limit:
             seen.clear()
         new = set(words).difference(seen)
         for w in new:
-            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+            seen[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
 
 
@@ -116,13 +110,13 @@ def annotate(
 ) -> DataFrame:
     """df with new columns that start()(texts) gives for slices of one text column.
 
-    start() runs once in each task; the function it returns gets the slice's texts and returns a list for each
-    new column. keep names the input columns to return (default: all). An input column with the name of a new
+    start() runs once in each task; the function it returns gets the slice's texts (UTF-8 bytes or None) and returns
+    a list for each new column. keep names the input columns to return (default: all). An input column with the name of a new
     one is replaced by it.
     """
     new = {n for n, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    source = df.select(*kept, F.col(column).cast("string").alias("__text"))
+    source = df.select(*kept, F.col(column).cast("string").cast("binary").alias("__text"))
     spark = df.sparkSession
     added = spark.createDataFrame([], extended(fields)).schema
     schema = source.drop("__text").schema
