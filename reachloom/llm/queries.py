@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, tokens
+from . import chat, decontaminate, langid, mixing, quality, tokens
+from .common import crc_mod
 
 #: Weights of the sources in code-point order, repeated.
 SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
@@ -40,6 +41,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, crc_mod("doc_id", 4) != 2)
+    held = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
+    return langid.predict(held, model, keep=["doc_id", "held_out"])
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, SOURCE_WEIGHTS).select(
@@ -60,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_tokens": op2_tokens,
         "op3_chat": op3_chat,
+        "op7_language": op7_language,
         "op8_mixing": op8_mixing,
         "op10_quality": op10_quality,
     }
