@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality, tokens
+from . import chat, decontaminate, langid, mixing, quality, tokens, toxicity
 from .common import crc_mod
 
 #: Weights of the sources in code-point order, repeated.
@@ -41,6 +41,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.train(docs, _read(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    held = docs.select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    return toxicity.score(held, index, keep=["doc_id", "held_out"])
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, crc_mod("doc_id", 4) != 2)
@@ -68,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_tokens": op2_tokens,
         "op3_chat": op3_chat,
+        "op4_toxicity": op4_toxicity,
         "op7_language": op7_language,
         "op8_mixing": op8_mixing,
         "op10_quality": op10_quality,
