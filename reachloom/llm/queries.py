@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, quality, tokens, toxicity
+from . import chat, decontaminate, langid, lmscore, mixing, quality, tokens, toxicity
 from .common import crc_mod
 
 #: Weights of the sources in code-point order, repeated.
@@ -62,6 +62,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.train_and_score(docs, crc_mod("doc_id", 5) == 1)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).select(
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op7_language": op7_language,
         "op8_mixing": op8_mixing,
+        "op9_lm_score": op9_lm_score,
         "op10_quality": op10_quality,
     }
 
