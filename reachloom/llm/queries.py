@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lmscore, mixing, quality, substring, tokens, toxicity
+from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, substring, tokens, toxicity
 from .common import crc_mod
 
 #: Weights of the sources in code-point order, repeated.
@@ -48,6 +48,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(held, index, keep=["doc_id", "held_out"])
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, words=4, percent=80)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs, window=13)
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_tokens": op2_tokens,
         "op3_chat": op3_chat,
         "op4_toxicity": op4_toxicity,
+        "op5_near_dedup": op5_near_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_language": op7_language,
         "op8_mixing": op8_mixing,
