@@ -5,19 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachloom.llm import mixing
+from reachloom.llm import decontaminate, mixing, neardup, substring, toxicity
 from reachloom.llm.common import saved
 from reachloom.llm.queries import SOURCE_WEIGHTS
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples don't call toxic (score under 0.7)."""
+    docs = docs.select(*COLUMNS)
+    index = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return toxicity.score(docs, index, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies. Rows of one id are one document and all stay."""
+    docs = docs.select(*COLUMNS)
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of windows that a smaller id has. Untouched texts stay as they are; documents that lose
+    every word go."""
+    cut = substring.remove_repeats(docs.select(*COLUMNS), window=13, carry=["lang", "source", "n_chars"], with_text=True)
+    left = cut.where("n_removed = 0 OR n_removed < n_words")
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", length.alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    hits = decontaminate.occurrences(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    return hits.where("NOT contaminated").select(*COLUMNS)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; `copy` counts from 1."""
     mixed = mixing.mix(docs, SOURCE_WEIGHTS, carry=["text", "lang", "n_chars"])
     rows = mixed.where(F.col("copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("doc_id", "text", "lang", "source", "n_chars", "copy")
+    return rows.select(*COLUMNS, "copy")
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
 
 #: The stages' hashes, scores and signatures have no SQL form; tests compare each stage with brute force.
 ORACLE_SQL = None

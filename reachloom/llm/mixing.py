@@ -80,7 +80,7 @@ def mix(
     source are added, each the largest that still fits.
     """
     extra = [c for c in carry or [] if c not in (id_column, "source", "size", "source_size", "target", "copies", "taken")]
-    sizes = saved(
+    rows = saved(
         docs.select(
             F.col(id_column).alias(id_column),
             F.col(source).cast("string").alias("source"),
@@ -90,6 +90,7 @@ def mix(
         ),
         "sizes",
     )
+    sizes = rows.drop(*extra)  # only the last step reads the carried columns
     per = source_targets(sizes, weights, budget, max_copies)
     roots = sizes.groupBy(F.col("source").alias("__s")).agg(F.sum(F.pow(F.col("size").cast("double"), 1.5)).alias("__roots"))
     per = (
@@ -139,7 +140,10 @@ def mix(
             "__extra", F.when(F.col("__b").isNotNull(), 1).otherwise(F.col("__extra"))).drop("__b")
         taken = saved(taken, "fill")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("__extra")).otherwise(F.lit(0)).cast("long")
-    return taken.select(
-        id_column, *extra, "source", "size", "source_size", "target",
+    mixed = taken.select(
+        "__row", id_column, "source", "size", "source_size", "target",
         copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )
+    if extra:
+        mixed = mixed.join(rows.select("__row", *extra), "__row")
+    return mixed.drop("__row")
