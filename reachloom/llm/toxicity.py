@@ -1,7 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
 
-Vocabulary: terms (runs of letters, lower-cased, and beginnings of longer ones) that tell the labels apart on the training rows, by a chi-squared
-test over all of them; inverse document
+Vocabulary: terms (runs of letters, lower-cased, and beginnings of longer ones) that tell the labels apart on the training rows, by a chi-squared test; inverse document
 frequencies come from all documents. Index: at most `examples` training rows
 of each label, the first by a hash of the row (the bound is a parameter), sorted so that similar rows are neighbours
 and cut into blocks; for each term a block keeps its greatest weight. Search: those maxima bound a block's best
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate, texts
+from .common import annotate, saved, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -207,6 +206,7 @@ def train(
     text: str = "text",
     id_column: str = "doc_id",
     examples: int = 1500,
+    labelled_rows: int = 200_000,
     words: int = 1000,
     least_docs: int = 5,
     least_chi: float = 25.0,
@@ -214,12 +214,18 @@ def train(
 ) -> Index:
     """An index from the labelled rows where `chosen` (over docs) holds.
 
-    examples: at most that many rows of each label; words: at most that many vocabulary words. Both bound the index,
-    whatever the input.
+    labelled_rows: about that many labels are learnt from, chosen by a hash of the id, if there are more. examples: at
+    most that many index rows of each label; words: at most that many terms. These bound what is broadcast, whatever
+    the input; document frequencies are counted over all documents.
     """
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("label"))
+    number = marked.count()
+    if number > labelled_rows:
+        part = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * (labelled_rows / number))
+        marked = marked.where(part)
     rows = docs.where(chosen).select(F.col(id_column).alias("__doc"), F.col(text).alias("text"))
-    labelled = rows.join(marked, F.col("__doc") == F.col("__id")).select(F.col("__doc").alias("id"), "label", "text")
+    labelled = rows.join(F.broadcast(marked), F.col("__doc") == F.col("__id"))  # about labelled_rows pairs of numbers
+    labelled = saved(labelled.select(F.col("__doc").alias("id"), "label", "text"), "toxicity-labelled")
     vocabulary = Vocabulary(choose_terms(labelled, words, least_docs, least_chi))
 
     def start():
@@ -236,7 +242,7 @@ def train(
     idf = np.ones(max(len(vocabulary), 1))
     for r in per:
         idf[r["w"]] = np.log((1 + total) / (1 + r["count"])) + 1
-    sparse = annotate(labelled, start, fields, "text", ["id", "label"])
+    sparse = saved(annotate(labelled, start, fields, "text", ["id", "label"]), "toxicity-vectors")
     empty = sparse.where(F.size("at") == 0).agg(F.avg("label"), F.count(F.lit(1))).first()
     base = float(empty[0]) if empty[1] else 0.0
     picked = []
