@@ -94,29 +94,38 @@ def normalize_company(c: Column) -> Column:
 
 def normalize_email(c: Column) -> Column:
     """N04."""
-    value = F.lower(clean_spaces(c))
-    return F.when(value.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), value).otherwise(F.lit(""))
+    plain = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
+    return bound(F.lower(clean_spaces(c)), lambda v: F.when(v.rlike(plain), v).otherwise(F.lit("")))
 
 
 def normalize_phone(c: Column, region: str = "IN") -> Column:
     """+<calling code><national number>, or empty. Numbers with a plus are looked up by their calling code."""
-    raw = clean_spaces(c)
-    digits = F.regexp_replace(raw, r"\D", "")
-    plus = raw.startswith("+") | raw.startswith("00")
-    whole = F.when(raw.startswith("00"), F.substring(digits, 3, 99)).otherwise(digits)
 
     def valid(code: str, short: int, long: int, leads: str, national: Column) -> Column:
         good = F.length(national).between(short, long) & F.substring(national, 1, 1).isin(*leads)
         return F.when(good, F.concat(F.lit("+" + code), national))
 
-    abroad = [F.when(whole.startswith(r[0]), valid(*r, F.substring(whole, len(r[0]) + 1, 99))) for r in REGIONS.values()]
+    def after(number: Column, code: str) -> Column:
+        return F.substring(number, len(code) + 1, 99)
+
     code, short, long, leads = REGIONS[region]
-    home = F.regexp_replace(digits, "^0", "")
-    with_code = F.when(
-        home.startswith(code) & (F.length(home) > long), valid(code, short, long, leads, F.substring(home, len(code) + 1, 99))
-    )
-    local = F.coalesce(with_code, valid(code, short, long, leads, home))
-    return F.coalesce(F.when(plus, F.coalesce(*abroad)).otherwise(local), F.lit(""))
+
+    def abroad(number: Column) -> Column:
+        return F.coalesce(*[F.when(number.startswith(r[0]), valid(*r, after(number, r[0]))) for r in REGIONS.values()])
+
+    def home(number: Column) -> Column:
+        coded = F.when(number.startswith(code) & (F.length(number) > long), valid(code, short, long, leads, after(number, code)))
+        return F.coalesce(coded, valid(code, short, long, leads, number))
+
+    def number(raw: Column) -> Column:
+        digits = F.regexp_replace(raw, r"\D", "")
+        return (
+            F.when(raw.startswith("00"), bound(F.substring(digits, 3, 99), abroad))
+            .when(raw.startswith("+"), bound(digits, abroad))
+            .otherwise(bound(F.regexp_replace(digits, "^0", ""), home))
+        )
+
+    return F.coalesce(bound(clean_spaces(c), number), F.lit(""))
 
 
 def normalize_public_phone(c: Column) -> Column:
@@ -151,8 +160,8 @@ def normalize_profile_url(c: Column, host: str = "linkedin.com") -> Column:
     site = host.replace(".", r"\.")
     slug = F.lower(F.trim(F.regexp_extract(
         raw, rf"^[^:/?#]+://(?:[^/?#@]*@)?(?i:(?:[^/?#:@\[\]]+\.)?{site})\.*(?::\d*)?/(?i:in|mwlite/profile/in)/([^/?#]+)", 1)))
-    bad = (slug == "") | slug.isin(*RESERVED_SLUGS) | (F.length(slug) > 100)
-    return F.when(bad, F.lit("")).otherwise(F.concat(F.lit(f"https://www.{host}/in/"), slug, F.lit("/")))
+    bad = lambda x: (x == "") | x.isin(*RESERVED_SLUGS) | (F.length(x) > 100)
+    return bound(slug, lambda x: F.when(bad(x), F.lit("")).otherwise(F.concat(F.lit(f"https://www.{host}/in/"), x, F.lit("/"))))
 
 
 def profile_id(c: Column, host: str = "linkedin.com") -> Column:

@@ -121,4 +121,4 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cte(*names: str) -> str:
     """WITH clause that gives the twins the same rows."""
     parts = [f"{n} AS ({ADAPTERS[n][1].format(**{t: t for t in ADAPTERS[n][0]})})" for n in names]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"

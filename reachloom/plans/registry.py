@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalar_queries
+from . import identity_queries, scalar_queries, table_queries
 
-MODULES = (scalar_queries,)
+MODULES = (identity_queries, scalar_queries, table_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
