@@ -212,7 +212,7 @@ def match_fuzzy(primary: DataFrame, history: DataFrame, name_least: int = 90, co
     mine = primary.where("name_key != ''").select("name_key", "company_key").distinct()
     theirs = history.where("name_key != ''").select(
         F.col("name_key").alias("n"), F.col("company_key").alias("c"), "cluster").distinct()
-    size = lambda c: F.floor(F.log(F.lit(1.25), F.greatest(F.length(c), F.lit(1)).cast("double")))
+    size = lambda c: F.floor(F.log(1.25, F.greatest(F.length(c), F.lit(1)).cast("double")))
     last = lambda c: F.concat(F.lit("s:"), F.element_at(words(c), -1))
     head = lambda c, k: F.concat(F.lit("i:"), F.substring(c, 1, 1), F.lit(":"), (size(c) + k).cast("string"))
     mine = mine.withColumn("block", F.explode(F.array(last(F.col("name_key")), head(F.col("name_key"), 0))))

@@ -202,18 +202,22 @@ pid AS (SELECT seq, 'phone' AS kind, phone_key AS value FROM prim WHERE phone_ke
 hits AS (SELECT DISTINCT seq, kind, cluster FROM pid JOIN hid USING (kind, value)),
 exact AS (SELECT seq, bool_or(kind = 'phone') AS ph, bool_or(kind = 'email') AS em, count(DISTINCT cluster) AS n,
   list_sort(list(DISTINCT cluster)) AS cl FROM hits GROUP BY seq),
+pairs AS (SELECT DISTINCT e.seq, array_to_string(list_sort(string_split(p.name_key, ' ')), ' ') AS x,
+  array_to_string(list_sort(string_split(h.name_key, ' ')), ' ') AS y
+  FROM exact e JOIN prim p USING (seq) JOIN hist h ON h.cluster = e.cl[1] WHERE e.n = 1),
+clash AS (SELECT seq FROM pairs GROUP BY seq HAVING max(""" + T.token_sort_ratio("x", "y") + """) < 60),
 nc AS (SELECT p.seq, list_sort(list(DISTINCT h.cluster)) AS cl FROM prim p JOIN hist h USING (name_key, company_key)
   WHERE p.company_key <> '' GROUP BY p.seq),
 matches AS (SELECT p.seq,
   CASE WHEN e.seq IS NOT NULL THEN CASE WHEN ph THEN 'EXACT_PHONE' WHEN em THEN 'EXACT_EMAIL' ELSE 'EXACT_PROFILE' END
     WHEN nc.seq IS NOT NULL THEN 'NAME_COMPANY_MATCH' ELSE 'NO_MATCH' END AS match_type,
-  CASE WHEN e.n > 1 THEN 70 WHEN e.n = 1 THEN CASE WHEN ph THEN 100 WHEN em THEN 99 ELSE 98 END
+  CASE WHEN e.n > 1 THEN 70 WHEN k.seq IS NOT NULL THEN 75 WHEN e.n = 1 THEN CASE WHEN ph THEN 100 WHEN em THEN 99 ELSE 98 END
     WHEN len(nc.cl) = 1 THEN 90 WHEN len(nc.cl) > 1 THEN 70 ELSE 0 END AS confidence,
   coalesce(e.cl, nc.cl, []) AS clusters,
-  CASE WHEN e.n > 1 OR (e.seq IS NULL AND len(nc.cl) > 1) THEN 'REVIEW_REQUIRED'
+  CASE WHEN e.n > 1 OR k.seq IS NOT NULL OR (e.seq IS NULL AND len(nc.cl) > 1) THEN 'REVIEW_REQUIRED'
     WHEN e.n = 1 OR len(nc.cl) = 1 THEN s.history_decision ELSE 'SAFE_TO_CONTACT' END AS decision,
-  coalesce(e.n = 1, len(nc.cl) = 1, false) AS confirmed
-  FROM prim p LEFT JOIN exact e USING (seq) LEFT JOIN nc USING (seq)
+  coalesce(e.n = 1 AND k.seq IS NULL, len(nc.cl) = 1, false) AS confirmed
+  FROM prim p LEFT JOIN exact e USING (seq) LEFT JOIN nc USING (seq) LEFT JOIN clash k USING (seq)
   LEFT JOIN summary s ON s.cluster = coalesce(e.cl, nc.cl)[1])"""
 ALL = P + _DEDUPED + H
 BOTH = ALL + M

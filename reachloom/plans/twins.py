@@ -122,3 +122,13 @@ def p16(role: str, text: str) -> str:
     hits = f"len(list_filter({tokens}, lambda t: list_contains({words(n01(text))}, t)))"
     return (f"CASE WHEN len({tokens}) = 0 THEN false ELSE {hits} >= CASE WHEN len({tokens}) = 1 THEN 1 ELSE 2 END "
             f"AND {hits} * 2 >= len({tokens}) END")
+
+
+def token_sort_ratio(a: str, b: str) -> str:
+    """200 * longest common subsequence / both lengths of two columns that hold sorted words."""
+    chars = f"list_transform(string_split({a}, ''), lambda c: [ord(c)])"
+    row = f"list_transform(range(length({b}) + 1), lambda z: 0)"
+    step = (f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [CAST(j AS INT)]), lambda r, j: list_append(r, "
+            f"CASE WHEN ord(substr({b}, j[1], 1)) = x[1] THEN acc[j[1]] + 1 ELSE greatest(acc[j[1] + 1], r[j[1]]) END), [0])")
+    table = f"list_reduce({chars}, lambda acc, x: {step}, {row})"
+    return f"200.0 * ({table})[length({b}) + 1] / (length({a}) + length({b}))"
