@@ -14,7 +14,8 @@ Survivors are verified exactly on full sets, rebuilt from the texts. Links are c
 label passing with stars (connected.py).
 
 Cases: null, empty and wordless texts have empty sets and link with nothing. Ids are whole numbers; a null id counts as
-the largest. Repeated rows share class and component, and all come back. An empty table gives an empty result.
+the largest. Repeated rows share class and component, and all come back. An id names one text: where rows
+of one id differ, the links of one of them count for it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
