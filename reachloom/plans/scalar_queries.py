@@ -114,3 +114,11 @@ scalar("P11_clean_identity", "primary_contacts", "seq", {"clean": lambda: P.clea
 scalar("P15_is_active", "recipients", "id", {"active": lambda: P.is_active(F.lit("true"), col("status"))}, {"active": "lower(status) NOT IN ('inactive', 'draft', 'disabled', 'hidden', 'deleted')"})
 scalar("P16_designation_overlap", "primary_contacts", "seq", {"fits": lambda: P.designation_overlap(col("designation"), F.lit("Director Sales, Head of Data, Marketing Officer"))},
        {"fits": T.p16("designation", "'Director Sales, Head of Data, Marketing Officer'")})
+
+scalar("N09_unique_terms", "primary_contacts", "seq", {"terms": lambda: F.array_join(N.unique_terms(F.array(col("company"), F.concat(col("company"), F.lit(" ")), F.lit(""), col("notes"))), ";")},
+       {"terms": "trim(company) || ';' || notes"})
+scalar("N11_unwrap_redirect", "search_rows", "seq", {"target": lambda: N.unwrap_redirect(F.concat(F.lit("https://s.example/url?x=1&q=https%3A%2F%2Fa.example%2F"), col("seq").cast("string")))},
+       {"target": "'https://a.example/' || CAST(seq AS VARCHAR)"})
+scalar("N24_similarity", "primary_contacts", "seq", {"ratio": lambda: N.token_sort_ratio(N.normalize_text(col("full_name")), N.normalize_text(col("company")))}, None)
+scalar("P17_name_score", "primary_contacts", "seq", {"score": lambda: P.name_score(col("full_name"), F.upper(col("full_name")))},
+       {"score": "CASE WHEN full_name = '' THEN 0.0 ELSE 0.6 END"})

@@ -245,6 +245,35 @@ add("K03_interleave", "search_rows", """
     SELECT *, row_number() OVER (PARTITION BY CASE WHEN source = 'other' THEN 1 ELSE 0 END ORDER BY seq) AS rn FROM {search_rows}) r) q""")
 
 
+_REASON = """CASE WHEN contains(lower(body), 'scum') THEN 'excluded_terms' WHEN NOT contains(lower(body), 'th') THEN 'required_terms'
+    WHEN NOT contains(lower(designation), 'vp') AND NOT contains(lower(designation), 'director') THEN 'role'
+    WHEN company = 'Unknown' THEN 'target_company' WHEN query NOT IN ('en', 'fr') THEN 'location' ELSE '' END"""
+add("P13_filter_reason", "candidates", f"SELECT seq, {_REASON} AS reason FROM {{candidates}}")
+add("P14_validate", "candidates", f"""
+  SELECT seq, reason, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS outcome FROM (
+    SELECT seq, CASE WHEN url = '' THEN 'invalid_linkedin_url' WHEN n > 1 THEN 'duplicate' WHEN name = '' THEN 'incomplete' ELSE why END AS reason
+    FROM (SELECT *, {_REASON} AS why, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN {_REASON} = '' THEN 0 ELSE 1 END, seq) AS n
+      FROM {{candidates}}) c) r""")
+_HITS = ("contains(lower(designation), 'director')", "query = 'en'", "company <> 'Unknown'", "contains(lower(body), 'the')", "contains(lower(body), 'tion')")
+_HIT_ROWS = "SELECT seq, " + ", ".join(f"CASE WHEN {h} THEN 1 ELSE 0 END AS h{k}" for k, h in enumerate(_HITS)) + " FROM {candidates}"
+add("D05_evaluate", "candidates", f"""
+  SELECT seq, hard = 1 AS hard, hard * h3 * h4 = 1 AS strict, greatest(50, least(99, 35 + 12 * h0 + 10 * h1 + 5 * h2 + 8 * h3 + 2 * h4)) AS score
+  FROM (SELECT *, h0 * h1 * h2 AS hard FROM ({_HIT_ROWS}) a) b""")
+add("D10_category_match", "candidates", f"SELECT seq, h0 + h1 + h2 + h3 + h4 AS match_score, h0 * h1 * h2 * h3 * h4 = 1 AS every FROM ({_HIT_ROWS}) h")
+add("K05_task_table", "lead_rows region", """
+  SELECT c.industry, s.seniority, r.r_name AS location, v.pass FROM (SELECT DISTINCT industry FROM {lead_rows}) c
+  CROSS JOIN (SELECT DISTINCT seniority FROM {lead_rows}) s CROSS JOIN {region} r CROSS JOIN (SELECT 1 AS pass UNION ALL SELECT 2 UNION ALL SELECT 3) v""")
+add("M03_missing_tokens", "recipients", """
+  SELECT id, concat_ws(',', CASE WHEN trim(company) = '' THEN 'company' END, CASE WHEN trim(response_classification) = '' THEN 'response' END) AS missing FROM {recipients}""")
+add("M05_materialise_messages", "recipients", """
+  SELECT id, 'Hello ' || full_name AS subject, row_number() OVER (PARTITION BY campaign_id ORDER BY id) * 6 AS minute_slot FROM {recipients} WHERE status IN ('DRAFT', 'QUEUED')""")
+add("P12_export_ready", "candidates", """
+  SELECT seq, url <> '' AND name <> '' AND designation <> 'Unknown' AND NOT contains(lower(designation), 'hiring') AND length(company) <= 80 AS ready FROM {candidates}""")
+add("P19_evidence_needed", "candidates", "SELECT seq, company <> 'Unknown' AND NOT contains(lower(body), 'the') AS needed FROM {candidates}")
+add("C05_select_visible", "lead_rows", "SELECT name, country, seniority, industry FROM {lead_rows}")
+add("C04_reconcile_schema", "lead_rows", "SELECT name AS full_name, seniority AS designation, '' AS email FROM {lead_rows}")
+
+
 def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in ADAPTERS:
         return frame(spark, sf_dir, name)
