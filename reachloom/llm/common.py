@@ -35,9 +35,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that saved() wrote and release() may delete.
+_written: list[str] = []
+
+
+def release(spark: SparkSession, keep: str) -> None:
+    """Deletes the tables that saved() wrote, but for those whose name begins with `keep`. For callers that have
+    written out all that was made from them."""
+    left = [p for p in _written if p.rpartition("/")[2].startswith(keep)]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        if path not in left:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+    _written[:] = left
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
@@ -58,7 +75,7 @@ def extended(fields: list[tuple[str, str]]) -> str:
 class WordHash:
     """64-bit hashes of words, remembered for a bounded number of distinct words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.seen: dict[bytes, int] = {}
         self.limit = limit
 

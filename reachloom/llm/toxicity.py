@@ -60,7 +60,7 @@ class Vocabulary:
     def count(self, text: bytes | None) -> list[tuple[int, int]]:
         """(term number, occurrences) of a whole text, by number."""
         number, seen, out = self.number, self.seen, Counter()
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
         for word, n in counted(text).items():
             at = seen.get(word)
@@ -173,7 +173,7 @@ def _term_counts(labelled: DataFrame) -> DataFrame:
                         both = held[t] = [0, 0]
                     both[0] += label
                     both[1] += 1
-            if len(held) > 500_000:
+            if len(held) > 300_000:
                 yield flush()
         if held:
             yield flush()

@@ -9,7 +9,7 @@ def test_stages_on_a_small_table(spark, small):
     columns = docs.columns
     left = docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        docs = saved(stage(spark, docs, small), f"test-{name}")
+        docs = saved(stage(spark, docs, small), f"stage-{name}")
         if name != "mixing":
             assert docs.columns == columns
             assert 0 < docs.count() <= left
