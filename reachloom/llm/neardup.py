@@ -3,12 +3,14 @@
 A document's set is its distinct runs of `words` consecutive words (A-Z lower-cased); a document of fewer words has its
 whole sequence as the one member. Documents of equal sets form classes (128-bit hashes of the set and its size), so
 exact copies cost one row. Class representatives get BANDS bands of ROWS minima each; two sets of similarity 0.8 share
-no band with a probability of (1 - 0.8^ROWS)^BANDS, about 5e-6.
+no band with a probability of (1 - 0.8^ROWS)^BANDS, about 2e-5, while texts that only share a common passage (similarity
+0.5, say) seldom do.
 
-Candidates are compared in two rounds that together cover every pair that shares a band and isn't connected already:
+Candidates are compared in rounds that together cover every pair that shares a band and isn't connected already:
 1. each document with the smallest id of each of its buckets; 2. in buckets that then still hold several components,
-each document outside the bucket's largest component with every document of another component. A hot bucket of near
-copies thus costs about one pair a document. A candidate's signatures are compared STEP minima at a time; it is pruned
+each document outside the bucket's largest component with one drawn member of it (SAMPLED_ROUNDS times); 3. each
+document still outside with every document of another component. A hot bucket of near copies thus costs a few pairs a
+document. A candidate's signatures are compared STEP minima at a time; it is pruned
 as soon as the posterior probability (uniform prior) that the similarity reaches the threshold falls below `miss`.
 Survivors are verified exactly on full sets, rebuilt from the texts. Links are closed to components by hash-to-min
 label passing with stars (connected.py).
@@ -31,10 +33,16 @@ from pyspark.sql import functions as F
 from .common import WordHash, pack, saved, texts, unpack, window_hashes
 from .connected import components
 
-ROWS = 6
-BANDS = 40
+ROWS = 8
+BANDS = 60
 MINIMA = ROWS * BANDS
+#: Minima that pairs are compared by, and how many at a time.
+COMPARED = 480
 STEP = 24
+#: Documents of a bucket that are compared with as many others at a time.
+GROUP = 256
+#: Rounds in which documents outside a bucket's largest component meet one drawn member of it.
+SAMPLED_ROUNDS = 1
 SCALES = np.random.RandomState(7).randint(0, 2**32, (2, MINIMA), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 NO_ID = 2**63 - 1
 
@@ -74,7 +82,7 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
     is the chance of at most m successes in n + 1 draws at the threshold.
     """
     out = [0]
-    for n in range(STEP, MINIMA + 1, STEP):
+    for n in range(STEP, COMPARED + 1, STEP):
         tail, m = 0.0, -1
         while tail < miss and m < n:
             m += 1
@@ -111,7 +119,7 @@ def _prepared(docs: DataFrame, words: int, text: str, id_column: str) -> DataFra
                 for r in range(ROWS):
                     keys = (keys ^ grouped[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
                     keys ^= keys >> np.uint64(32)
-                low = made.astype(np.uint16)
+                low = made[:, :COMPARED].astype(np.uint16)
                 for j, k in enumerate(chosen):
                     minima[k], bands[k], packed[k] = low[j].tobytes(), keys[j].view(np.int64), pack(bodies[k])
             half = lambda x, s: np.array([(p >> s) & (2**64 - 1) for p in x], np.uint64).view(np.int64)
@@ -142,7 +150,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mx, my = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, MINIMA) for i in (2, 3))
+            mx, my = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COMPARED) for i in (2, 3))
             alive = np.arange(batch.num_rows)
             equal = np.zeros(batch.num_rows, np.int64)
             for step, least_equal in enumerate(least[1:]):
@@ -154,6 +162,46 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float)
     return both.mapInArrow(run, "x bigint, y bigint")
 
 
+def _likely_in_buckets(mixed: DataFrame, outside: DataFrame, signed: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """Pairs of different components in one bucket, at least one of them outside the bucket's largest component, that
+    the signatures don't rule out. Both sides of a bucket are dealt by a hash into groups of about GROUP documents; a
+    task compares two groups at a time and gives only what is left, so no other pair becomes a row."""
+    least = least_matches(threshold, miss)
+
+    def grouped(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("__parts"))
+        dealt = rows.join(sizes, "bucket").join(signed.select("id", "minima"), "id")
+        part = F.pmod(F.xxhash64("id", F.lit(11)), F.col("__parts"))
+        members = F.collect_list(F.struct("id", "component", "minima")).alias(name)
+        return dealt.groupBy("bucket", part.alias(f"{name}_part")).agg(members)
+
+    both = grouped(outside.select("bucket", "id", "component"), "few").join(
+        grouped(mixed.select("bucket", "id", "component"), "many"), "bucket").select("few", "many")
+
+    def side(column, k: int):
+        rows = column[k].values.flatten()
+        minima = np.frombuffer(b"".join(rows[2].to_pylist()), np.uint16).reshape(-1, COMPARED)
+        return rows[0].to_numpy(), rows[1].to_numpy(), minima
+
+    def run(batches):
+        for batch in batches:
+            xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k in range(batch.num_rows):
+                (i, ci, mi), (j, cj, mj) = side(batch.column(0), k), side(batch.column(1), k)
+                a, b = np.nonzero(ci[:, None] != cj[None, :])
+                equal = np.zeros(len(a), np.int64)
+                for step, least_equal in enumerate(least[1:]):
+                    at = slice(step * STEP, (step + 1) * STEP)
+                    equal += (mi[a, at] == mj[b, at]).sum(1)
+                    good = equal >= least_equal
+                    a, b, equal = a[good], b[good], equal[good]
+                xs.append(np.minimum(i[a], j[b]))
+                ys.append(np.maximum(i[a], j[b]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
+
+    return both.mapInArrow(run, "x bigint, y bigint")
+
+
 def _verified(pairs: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the similarity: 100 * intersection >= percent * union."""
     sets = signed.select("id", "packed")
@@ -200,21 +248,39 @@ def near_duplicates(
     signed = signed.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     signed = saved(signed.select("id", "minima", "packed"), "near-signed")
     first = members.where("id > lead").select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
-    links = saved(_verified(_likely(first, signed, threshold, miss), signed, words, percent), "near-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely = saved(_likely(pairs, signed, threshold, miss), "near-likely")  # one Python worker a task at a time
+        return saved(_verified(likely, signed, words, percent), "near-links")
+
+    links = linked(first)
     labels = components(links, "x", "y")
 
-    held = members.select("bucket", "id").join(labels.select("id", "component"), "id", "left")
-    held = saved(held.select("bucket", "id", F.coalesce("component", "id").alias("component")), "near-held")
-    per = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("bucket").agg(F.max(F.struct("n", F.negative("component").alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("bucket", (-F.col("top.c")).alias("main"))
-    mixed = held.join(main, "bucket")
-    outside = mixed.where("component != main").select("bucket", F.col("id").alias("i"), F.col("component").alias("ci"))
-    pairs = outside.join(mixed.select("bucket", F.col("id").alias("j"), F.col("component").alias("cj")), "bucket").where("ci != cj")
-    pairs = pairs.select(F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).distinct()
-    second = pairs.join(first, ["x", "y"], "left_anti")
-    more = saved(_verified(_likely(second, signed, threshold, miss), signed, words, percent), "near-more")
-    labels = components(links.unionByName(more), "x", "y")
+    def mixed_buckets(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of buckets that hold several components, and those outside their bucket's largest one."""
+        held = members.select("bucket", "id").join(labels.select("id", "component"), "id", "left")
+        held = held.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        per = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        main = per.groupBy("bucket").agg(F.max(F.struct("n", F.negative("component").alias("c"))).alias("top"), F.count(F.lit(1)).alias("parts"))
+        main = main.where("parts > 1").select("bucket", (-F.col("top.c")).alias("main"))
+        mixed = saved(held.join(main, "bucket"), "near-mixed")
+        return mixed, mixed.where("component != main")
+
+    tested = first
+    for k in range(SAMPLED_ROUNDS):
+        mixed, outside = mixed_buckets(labels)
+        drawn = mixed.where("component = main").groupBy("bucket").agg(
+            F.min(F.struct(F.xxhash64("id", "bucket", F.lit(k)).alias("h"), "id")).alias("d")).select("bucket", F.col("d.id").alias("j"))
+        pairs = outside.join(drawn, "bucket").select(F.least("id", "j").alias("x"), F.greatest("id", "j").alias("y")).distinct()
+        pairs = saved(pairs.join(tested, ["x", "y"], "left_anti"), "near-pairs")
+        links = links.unionByName(linked(pairs))
+        tested = tested.unionByName(pairs)
+        labels = components(links, "x", "y")
+    mixed, outside = mixed_buckets(labels)
+    pairs = saved(_likely_in_buckets(mixed, outside, signed, threshold, miss).distinct(), "near-pairs")
+    pairs = pairs.join(tested, ["x", "y"], "left_anti")
+    links = links.unionByName(saved(_verified(pairs, signed, words, percent), "near-links"))
+    labels = components(links, "x", "y")
 
     named = classes.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "a", "b", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component"))

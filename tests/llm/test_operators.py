@@ -168,7 +168,7 @@ def test_near_dedup_by_brute_force(edge, docs):
 def test_pruning_misses_rarely():
     least = neardup.least_matches(0.8, 1e-4)
     rng = np.random.RandomState(3)
-    draws = rng.rand(20000, neardup.MINIMA) < 0.85
+    draws = rng.rand(20000, neardup.COMPARED) < 0.85
     steps = np.cumsum(draws, 1)[:, neardup.STEP - 1 :: neardup.STEP]
     assert (steps >= least[1:]).all(1).mean() > 0.999
 
