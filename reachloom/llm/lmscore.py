@@ -1,20 +1,20 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are words (A-Z lower-cased) and one end after each text. Contexts of up to two symbols are nodes of the tree.
-A context is a candidate if its share of all training symbols is at least `context_share`, and it stays only if what
-follows it differs from what follows its suffix: the divergence of the two next-symbol distributions, times the
-context's count, has to be over `least_divergence`. Next symbols kept at a node are those whose share together with
-the context is at least `pair_share`. These shares bound the tree (1 / share entries at each depth at most), whatever
-the corpus; counts are exact and over the whole corpus. A node's distribution is smoothed with its suffix's by
-absolute discounting, down to the word counts of the whole corpus:
+Symbols are words (A-Z lower-cased) and one end after each text. Contexts of preceding symbols are nodes of the tree.
+A context is a candidate if it occurs at least `least` times, and it stays only if what follows it differs from what
+follows its suffix: the divergence of the two next-symbol distributions, times the context's count, has to be over
+`least_divergence`. Next symbols kept at a node are those seen there at least `least` times. Nothing depends on the
+corpus's size; `order` is the longest context. A kept context keeps its suffix. A node's distribution is smoothed with
+its suffix's by absolute discounting, down to the word counts of the whole corpus:
 
     P(x | s) = max(c(s x) - discount, 0) / c(s) + rest(s) * P(x | suffix of s)
 
-A text starts in the context of an end. Each symbol is scored in the longest suffix of what precedes it that the tree
-holds.
+A text starts in the context of an end. Each symbol is scored in the suffixes of what precedes it that the tree holds.
 
-Words are 64-bit hashes here. Corpus counts of all words go to the blocks that hold them (blocks.py), never whole to
-one place.
+Words and runs of words are 64-bit hashes here. The tree grows with the corpus, so it is never whole in one place: each
+depth is two exchanges between blocks and shards of hashes (blocks.py). In the first, blocks get the corpus counts of
+their runs of words. In the second, they get what each context leaves for its suffix and whether it stays: each
+occurrence of a kept run adds its share (1 / count) to its context's sums. A common context costs one entry a block.
 
 Cases: a null text is empty: one end. Null ids are learnt from unless `held` says otherwise. Repeated rows count and
 come back as often as they occur. Without training rows the counts are 0. An empty table gives an empty result.
@@ -22,16 +22,16 @@ come back as often as they occur. Without training rows the counts are 0. An emp
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import WordHash, extended, mixed, saved
+from .common import WordHash, extended, mixed, pack, saved
 
 #: The end symbol's hash: of a word that no text can have.
 END = WordHash()([b" "])[0]
@@ -48,11 +48,6 @@ def symbols(bodies: list[bytes | None], hashed: WordHash) -> tuple[np.ndarray, n
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(lengths, np.int64)
 
 
-def training_symbols(rows: pa.Table) -> int:
-    learnt = rows.filter(pa.compute.invert(rows.column("held_out")))
-    return sum(len(b.split()) + 1 if b else 1 for b in learnt.column("__text").to_pylist())
-
-
 @dataclass
 class Depth:
     """The nodes of one depth: contexts by key, what is left for the suffix, and kept next symbols."""
@@ -75,6 +70,8 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
+    """A tree of two depths whole in memory: what the exchanges below spread, for small corpora and tests."""
+
     symbols: np.ndarray  # sorted hashes of the symbols that nodes can name
     total: int
     distinct: int
@@ -128,44 +125,6 @@ def positions(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def _learnt(row: dict, hashed: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    rows = B.rows_of(row["payload"])
-    rows = rows.filter(pa.compute.invert(rows.column("held_out")))
-    return symbols(rows.column("__text").to_pylist(), hashed)
-
-
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    found, counts = np.unique(keys, return_counts=True)
-    return found, [counts.astype(np.uint32)]
-
-
-def _sums(least: float):
-    """A shard's reply for counts: each entry's total over all blocks; extra: distinct, and entries of at least `least`."""
-
-    def reply(hashes, values, owner):
-        starts, run = B.runs(hashes)
-        totals = np.add.reduceat(values[0].astype(np.int64), starts)
-        many = np.flatnonzero((totals >= least) & (totals > 0))
-        extra = np.int64((totals > 0).sum()).tobytes() + hashes[starts[many]].tobytes() + totals[many].astype(np.uint64).tobytes()
-        return totals.astype(np.uint32)[run], extra
-
-    return reply
-
-
-def _many(answers: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of distinct keys; the frequent ones, sorted, with counts. Bounded by the share that makes them frequent."""
-    distinct, keys, counts = 0, [], []
-    for r in answers.where("block = -1").select("data").toLocalIterator():
-        distinct += int(np.frombuffer(r["data"][:8], np.int64)[0])
-        both = np.frombuffer(r["data"][8:], np.uint64).reshape(2, -1)
-        keys.append(both[0])
-        counts.append(both[1])
-    k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-    c = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
-    order = np.argsort(k)
-    return distinct, k[order], c[order]
-
-
 def _depth(
     keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, context_counts: np.ndarray, discount: float
 ) -> Depth:
@@ -190,13 +149,207 @@ def _diverging(d: Depth, parent_p: np.ndarray, least: float) -> np.ndarray:
     return d.counts * (own + left * np.log(left / theirs)) > least
 
 
+#: A block's rows without text, the lengths of its texts, its distinct symbols and each symbol's place among them.
+SYMBOLS = "block bigint, raw bigint, payload binary, lengths binary, words binary, codes binary"
+
+
+def symbol_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks of symbols instead of texts: texts are split and hashed once."""
+    packed = B.packed_blocks(docs, "__body", columns, "lm-blocks")
+
+    def run(batches):
+        hashed = WordHash()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
+                rows = B.rows_of(row["payload"])
+                found, lengths = symbols(rows.column("__text").to_pylist(), hashed)
+                words, codes = np.unique(found, return_inverse=True)
+                sink = pa.BufferOutputStream()
+                kept = rows.drop_columns(["__text"])
+                with pa.ipc.new_stream(sink, kept.schema) as out:
+                    out.write_table(kept)
+                made = [pack(sink.getvalue().to_pybytes()), B.put(lengths), B.put_sorted(words), B.put(codes.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]], pa.int64()), pa.array([row["raw"]], pa.int64()), *(pa.array([m], pa.binary()) for m in made)],
+                    names=["block", "raw", "payload", "lengths", "words", "codes"],
+                )
+
+    return saved(packed.mapInArrow(run, SYMBOLS), "lm-symbols")
+
+
+def joined_runs(contexts: np.ndarray, symbols_: np.ndarray) -> np.ndarray:
+    """Hashes of contexts followed by a symbol."""
+    return mixed(mixed(contexts) ^ symbols_)
+
+
+def _moved(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """Each position's value of the symbol before it; `first` at the beginning of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
+@dataclass
+class Level:
+    """One depth at the positions of a block."""
+
+    contexts: np.ndarray  # hashes
+    context_counts: np.ndarray
+    deep: np.ndarray  # the context is a candidate
+    runs: np.ndarray  # hashes of the context and the symbol
+    asked: np.ndarray  # both of the run's shorter runs are frequent enough for it to be
+    counts: np.ndarray | None = None
+    own: np.ndarray | None = None  # max(c - discount, 0) / c(context)
+    rest: np.ndarray | None = None
+    alive: np.ndarray | None = None
+
+
+class Walk:
+    """A block's symbols with the answers of the exchanges so far: words, then counts_d and rests_d of each depth d,
+    then kept_d from the deepest."""
+
+    def __init__(self, row: dict, total: int, distinct: int, least: int, discount: float):
+        self.lengths = B.get(row["lengths"], np.int64)
+        words, codes = B.get_sorted(row["words"]), B.get(row["codes"], np.uint32)
+        rows = self.rows = B.rows_of(row["payload"])
+        self.learnt = np.repeat(~np.array(rows.column("held_out").to_pylist(), bool), self.lengths)
+        self.symbols = words[codes]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        counts = B.joined(row["words_answer"], np.uint32).astype(np.int64)
+        self.known = counts[codes] > 0
+        self.base = self.p = (counts[codes] + 0.5) / (total + 0.5 * (distinct + 1))
+        self.levels: list[Level] = []
+        ends = counts[np.searchsorted(words, END)] if len(words) else 0
+        runs, n = self.symbols, counts[codes]
+        depth = 1
+        while True:
+            context = _moved(runs, self.starts, END if depth == 1 else 0)
+            before = _moved(n, self.starts, ends if depth == 1 else 0)
+            deep = before >= least
+            level = Level(context, before, deep, joined_runs(context, self.symbols), deep & (n >= least))
+            self.levels.append(level)
+            if f"counts_{depth}" not in row:
+                return
+            self._count(level, row[f"counts_{depth}"], least, discount)
+            if f"rests_{depth}" not in row:
+                return
+            self._rest(level, row[f"rests_{depth}"])
+            if f"kept_{depth}" in row:
+                self._keep(level, row[f"kept_{depth}"])
+            if row["depths"] == depth:
+                return
+            self.p = np.where(deep, level.own + level.rest * self.p, self.p)
+            runs, n = level.runs, level.counts
+            depth += 1
+
+    @staticmethod
+    def _count(level: Level, answers, least: int, discount: float) -> None:
+        _, at = np.unique(level.runs[level.asked], return_inverse=True)
+        n = np.zeros(len(level.runs), np.int64)
+        n[level.asked] = B.joined(answers, np.uint32)[at]
+        level.counts = n
+        level.own = np.where(n >= least, np.maximum(n - discount, 0) / np.maximum(level.context_counts, 1), 0.0)
+
+    @staticmethod
+    def _rest(level: Level, answers) -> None:
+        _, at = np.unique(level.contexts[level.deep], return_inverse=True)
+        signed = np.ones(len(level.contexts), np.float32)
+        signed[level.deep] = B.joined(answers, np.float32)[at]
+        level.rest = np.abs(signed).astype(np.float64)
+        level.alive = level.deep & (signed > 0)
+
+    @staticmethod
+    def _keep(level: Level, answers) -> None:
+        open_ = level.deep & ~level.alive
+        _, at = np.unique(level.contexts[open_], return_inverse=True)
+        level.alive[open_] = B.joined(answers, np.uint8)[at] > 0
+
+    def ask_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        x = self.levels[-1]
+        keys, at = np.unique(x.runs[x.asked], return_inverse=True)
+        return keys, [np.bincount(at, self.learnt[x.asked], len(keys)).astype(np.uint32)]
+
+    def ask_rests(self, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Candidates with their counts and sums over occurrences of kept runs: how many; and shares of one, of the
+        divergence and of the suffix's probability."""
+        x = self.levels[-1]
+        keys, first, at = np.unique(x.contexts[x.deep], return_index=True, return_inverse=True)
+        kept = (self.learnt & (x.counts >= least))[x.deep]
+        share = np.where(kept, 1 / np.maximum(x.counts[x.deep], 1), 0.0)
+        own, p = np.maximum(x.own[x.deep], 1e-12), np.maximum(self.p[x.deep], 1e-12)
+        add = lambda v: np.bincount(at, v, len(keys)).astype(np.float32)
+        return keys, [
+            x.context_counts[x.deep][first].astype(np.uint32), np.bincount(at, kept, len(keys)).astype(np.uint32),
+            add(share), add(share * own * np.log(own / p)), add(share * p),
+        ]
+
+    def ask_kept(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Contexts of a depth that don't stay by themselves, and whether a longer one that stays needs them."""
+        x, longer = self.levels[depth - 1], self.levels[depth]
+        open_ = x.deep & ~x.alive
+        keys, at = np.unique(x.contexts[open_], return_inverse=True)
+        return keys, [(np.bincount(at, longer.alive[open_], len(keys)) > 0).astype(np.uint8)]
+
+    def scores(self) -> np.ndarray:
+        p = self.base
+        for x in self.levels:
+            p = np.where(x.alive, x.own + x.rest * p, p)
+        return p
+
+
+def _total(hashes, values, owner):
+    starts, run = B.runs(hashes)
+    totals = np.add.reduceat(values[0].astype(np.int64), starts)
+    return totals.astype(np.uint32)[run], np.array([(totals > 0).sum(), totals.sum()], np.int64).tobytes()
+
+
+def _any(hashes, values, owner):
+    starts, run = B.runs(hashes)
+    return np.maximum.reduceat(values[0], starts)[run], None
+
+
+def _rests(discount: float, least: float):
+    """Each context's rest, negative if the context doesn't stay; extra: how many stay."""
+
+    def reply(hashes, values, owner):
+        starts, run = B.runs(hashes)
+        count = values[0][starts].astype(np.float64)
+        seen, kinds, own, parent = (np.add.reduceat(v.astype(np.float64), starts) for v in values[1:])
+        rest = np.where(seen > 0, (count - seen + discount * kinds) / count, 1.0)
+        left, theirs = np.clip(rest, 1e-9, 1), np.clip(1 - parent, 1e-9, 1)
+        stays = (seen > 0) & (count * (own + left * np.log(left / theirs)) > least)
+        return np.where(stays, rest, -rest).astype(np.float32)[run], np.array([stays.sum()], np.int64).tobytes()
+
+    return reply
+
+
+def _extra(answers: DataFrame) -> np.ndarray:
+    """The sum of the shards' extra numbers."""
+    found = [np.frombuffer(r["data"], np.int64) for r in answers.where("block = -1").select("data").toLocalIterator()]
+    return np.sum(found, axis=0) if found else np.zeros(2, np.int64)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What is written here drops its shuffle files at the end: rounds don't add up on disk."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def train_and_score(
     docs: DataFrame,
     held: Column,
     text: str = "text",
     id_column: str = "doc_id",
-    context_share: float = 1e-4,
-    pair_share: float = 2e-6,
+    order: int = 2,
+    least: int = 2,
     least_divergence: float = 10.0,
     discount: float = 0.5,
 ) -> DataFrame:
@@ -204,98 +357,57 @@ def train_and_score(
 
     held marks the documents that are only scored.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column), F.col(text).alias("__body"), F.coalesce(held, F.lit(False)).alias("held_out"))
-    packed = B.packed_blocks(source, "__body", [id_column, "held_out"], "lm-blocks", training_symbols)
-    shards = B.shards_for(packed)
-    total = packed.agg(F.sum("measured")).first()[0] or 0
-    hashed = WordHash()
+    blocks = symbol_blocks(source, [id_column, "held_out"])
+    shards = B.shards_for(blocks)
 
     def all_words(row: dict):
-        rows = B.rows_of(row["payload"])
-        found, lengths = symbols(rows.column("__text").to_pylist(), hashed)
-        learnt = np.repeat(~np.array(rows.column("held_out").to_pylist(), bool), lengths)
-        keys, at = np.unique(found, return_inverse=True)
-        return keys, [np.bincount(at, learnt, len(keys)).astype(np.uint32)]
-
-    least_pair = max(2.0, pair_share * total)
-    answers = saved(B.answer(B.ask(packed, shards, all_words), _sums(least_pair), [np.uint32]), "lm-words")
-    distinct, names, name_counts = _many(answers)
-    tree = Tree(names, int(total), distinct, [])
-
-    for depth in (0, 1):
-        if depth == 0:
-            often = np.flatnonzero(name_counts >= max(2.0, context_share * total))
-            contexts, context_counts = often.astype(np.uint64), name_counts[often]
-        else:
-            d = tree.depths[0]
-            totals = _occurrences(pair_keys, pair_counts, d, max(2.0, context_share * total))
-            contexts, context_counts = totals
-        tree.depths.append(Depth(contexts, np.empty(0), context_counts, np.empty(0, np.uint64), np.empty(0), np.ones(len(contexts), bool)))
-        shared = spark.sparkContext.broadcast(tree)  # bounded by the shares
-
-        def nexts(row: dict, depth=depth, shared=shared):
-            t = shared.value
-            found, lengths = _learnt(row, hashed)
-            if not len(found) or not len(t.depths[depth].contexts):
-                return np.empty(0, np.uint64), [np.empty(0, np.uint32)]
-            numbers = find(t.symbols, found)
-            context = t.contexts_of(numbers, positions(lengths), depth)
-            good = (context >= 0) & (numbers >= 0)
-            keys, counts = _counted((context[good].astype(np.uint64) << np.uint64(32)) | numbers[good].astype(np.uint64))
-            spread = mixed(keys)  # shards split the range of 64-bit values
-            order = np.argsort(spread)
-            return spread[order], [counts[0][order], keys[order]]
-
-        def sums(hashes, values, owner, least=least_pair):
-            starts, _ = B.runs(hashes)
-            totals = np.add.reduceat(values[0].astype(np.int64), starts)
-            many = np.flatnonzero(totals >= least)
-            extra = np.int64(0).tobytes() + values[1][starts[many]].tobytes() + totals[many].astype(np.uint64).tobytes()
-            return np.zeros(len(hashes), np.uint8), extra
-
-        counted = B.answer(B.ask(packed, shards, nexts), sums, [np.uint32, np.uint64]).where("block = -1")
-        _, pair_keys, pair_counts = _many(counted)
-        tree.depths[depth] = _depth(pair_keys, pair_counts, contexts, context_counts, discount)
-    _prune(tree, name_counts, least_divergence)
-    shared = spark.sparkContext.broadcast(tree)
-    both = B.with_answers(packed.select("block", "payload"), answers, "counts")
+        learnt = np.repeat(~np.array(B.rows_of(row["payload"]).column("held_out").to_pylist(), bool), B.get(row["lengths"], np.int64))
+        keys = B.get_sorted(row["words"])
+        return keys, [np.bincount(B.get(row["codes"], np.uint32), learnt, len(keys)).astype(np.uint32)]
+
+    def exchange(name: str, question, reply, kinds: list) -> np.ndarray:
+        nonlocal blocks
+        with shuffles_dropped(docs.sparkSession):
+            answers = saved(B.answer(B.ask(blocks, shards, question), reply, kinds), f"lm-{name}")
+        blocks = B.with_answers(blocks, answers, name)
+        return _extra(answers)
+
+    distinct, total = map(int, exchange("words_answer", all_words, _total, [np.uint32]))
+    walk = lambda row, depths: Walk(row | {"depths": depths}, total, distinct, least, discount)
+    depth = 0
+    for depth in range(1, order + 1):
+        exchange(f"counts_{depth}", lambda row: walk(row, None).ask_counts(), _total, [np.uint32])
+        kinds = [np.uint32, np.uint32, np.float32, np.float32, np.float32]
+        stay = exchange(f"rests_{depth}", lambda row: walk(row, None).ask_rests(least), _rests(discount, least_divergence), kinds)
+        if not stay[0]:
+            break
+    for d in range(depth - 1, 0, -1):
+        exchange(f"kept_{d}", lambda row, d=d, depth=depth: walk(row, depth).ask_kept(d), _any, [np.uint8])
     fields = [(id_column, kind), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"),
               ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")]
 
     def run(batches):
-        t = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = B.rows_of(batch.column(1)[k].as_py())
-                found, lengths = symbols(rows.column("__text").to_pylist(), hashed)
-                keys, at = np.unique(found, return_inverse=True)
-                counts = B.joined(batch.column(2)[k].as_py(), np.uint32).astype(np.float64)[at]
-                base = t.base(counts)
-                text_of = np.repeat(np.arange(len(lengths)), lengths)
-                add = lambda x: np.bincount(text_of, x, len(lengths))
-                p = t.score(found, positions(lengths), base)
+                w = walk({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}, depth)
+                text_of = np.repeat(np.arange(len(w.lengths)), w.lengths)
+                add = lambda x: np.bincount(text_of, x, len(w.lengths))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column(id_column).combine_chunks(),
-                        rows.column("held_out").combine_chunks(),
-                        pa.array(lengths, pa.int64()),
-                        pa.array(add(counts > 0).astype(np.int64)),
-                        pa.array(np.full(len(lengths), t.total), pa.int64()),
-                        pa.array(add(np.log10(base))),
-                        pa.array(add(np.log10(p))),
+                        w.rows.column(id_column).combine_chunks(),
+                        w.rows.column("held_out").combine_chunks(),
+                        pa.array(w.lengths, pa.int64()),
+                        pa.array(add(w.known).astype(np.int64)),
+                        pa.array(np.full(len(w.lengths), total), pa.int64()),
+                        pa.array(add(np.log10(w.base))),
+                        pa.array(add(np.log10(w.scores()))),
                     ],
                     names=[n for n, _ in fields],
                 )
 
-    return both.mapInArrow(run, extended(fields))
-
-
-def _occurrences(keys: np.ndarray, counts: np.ndarray, parent: Depth, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates of depth two: (context number of the earlier symbol << 32 | later symbol) with their counts."""
-    many = np.flatnonzero(counts >= least)
-    return keys[many], counts[many]
+    return blocks.mapInArrow(run, extended(fields))
 
 
 def _prune(tree: Tree, name_counts: np.ndarray, least: float) -> None:

@@ -260,6 +260,63 @@ def test_lm_scores(edge, docs):
     assert score > base  # the tree tells more than the words alone
 
 
+def test_lm_tree_is_whole(spark):
+    """The spread tree equals one grown whole in memory, on a corpus so large that shares of it would cut."""
+    rng = np.random.RandomState(5)
+    filler = lambda n: [f"f{k}" for k in rng.randint(0, 5000, n)]
+    rows = []
+    planted = {0: "rare pair here goes on", 1: "left mid one", 2: "right mid two", 7: "left mid one", 8: "right mid two"}
+    for i in range(360):  # 'rare pair' stands 18 times in 180,000 words: a ten-thousandth
+        at = filler(500)
+        rows.append((i, " ".join([*at[:250], *planted.get(i % 20, "").split(), *at[250:]])))
+    rows.append((1000, "x rare pair here goes on"))
+    got = lmscore.train_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") == 1000)
+    got = {r["doc_id"]: r for r in got.collect()}
+    trained = [[*t.split(), " "] for i, t in rows if i != 1000]
+    n = Counter(w for t in trained for w in t)
+    total, distinct = sum(n.values()), len(n)
+    runs = [n]  # runs[d]: counts of d + 1 symbols, an end before each text
+    for d in (1, 2):
+        more = Counter()
+        for t in trained:
+            s = [" ", *t]
+            more.update(tuple(s[k : k + d + 1]) for k in range(len(s) - d))
+        runs.append(Counter({k: v for k, v in more.items() if v >= 2}))
+    contexts = [defaultdict(dict) for _ in runs]
+    for d in range(1, len(runs)):
+        for k, v in runs[d].items():
+            contexts[d][k[:-1]][k[-1]] = v
+    count = lambda c: n[c[0]] if len(c) == 1 else runs[len(c) - 1][c]
+
+    def p(c, x, alive=None):
+        if not c:
+            return (n[x] + 0.5) / (total + 0.5 * (distinct + 1))
+        under = p(c[1:], x, alive)
+        nexts = contexts[len(c)].get(c, {}) if len(c) < len(runs) else {}
+        if not nexts or alive is not None and c not in alive:
+            return under
+        own = max(nexts.get(x, 0) - 0.5, 0) / count(c)
+        return own + (1 - sum(v - 0.5 for v in nexts.values()) / count(c)) * under
+
+    alive = set()
+    for d in range(1, len(runs)):
+        found = set()
+        for c, nexts in contexts[d].items():
+            w = {x: (v - 0.5) / count(c) for x, v in nexts.items()}
+            under = {x: p(c[1:], x) for x in nexts}
+            left = np.clip([1 - sum(w.values()), 1 - sum(under.values())], 1e-9, 1)
+            if count(c) * (sum(w[x] * math.log(w[x] / under[x]) for x in w) + left[0] * math.log(left[0] / left[1])) > 10:
+                found.add(c)
+        alive |= {c[k:] for c in found for k in range(len(c))}
+    assert ("rare",) in alive and any(len(c) == 2 for c in alive)
+    longest = max(map(len, alive))
+    for i, t in (rows[0], rows[1], rows[2], rows[-1]):
+        s = [" ", *t.split(), " "]
+        want = sum(math.log10(p(tuple(s[max(0, k - longest) : k]), s[k], alive)) for k in range(1, len(s)))
+        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
+    assert got[1000]["score"] - got[1000]["base_score"] > 8  # the passage is known
+
+
 def test_tree_distributions_sum_to_one():
     names = np.arange(1, 6, dtype=np.uint64)
     counts = np.array([50, 30, 20, 10, 5])
