@@ -51,8 +51,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
             WHEN o_orderstatus = 'O' THEN 'Interested' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Do not contact'
             ELSE 'Safe to recontact' END END AS status,
           o_orderpriority AS owner, CAST(CAST(o_orderdate AS DATE) AS STRING) AS contact_date
-        FROM {{orders}} CROSS JOIN (SELECT count(*) AS parts FROM {{part}}) n JOIN {{part}} ON p_partkey = o_custkey % parts
-        WHERE o_custkey % 2 = 0""",
+        FROM {{orders}} CROSS JOIN (SELECT count(*) AS parts FROM {{part}}) n JOIN {{part}} ON p_partkey = o_custkey % parts""",
     ),
     "message_events": (
         ("events",),
@@ -84,7 +83,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           translate(CAST(doc_id % 400 AS STRING), '0123456789', 'abcdefghij') || ' ' || split_part(text, ' ', 1)
             || CASE doc_id % 4 WHEN 0 THEN ' - VP Sales at ' WHEN 1 THEN ' - Director @ ' WHEN 2 THEN ' | ' ELSE ' - ' END
             || source || ' Group' AS title,
-          substr(text, 1, 600) AS body,
+          text AS body,
           CASE WHEN doc_id % 13 = 0 THEN 'https://example.org/p' || CAST(doc_id AS STRING)
             ELSE 'https://www.linkedin.com/in/Person-' || CAST(doc_id % 400 AS STRING) || '/?x=1' END AS href,
           CASE WHEN doc_id % 3 = 0 THEN 'google_web' WHEN doc_id % 3 = 1 THEN 'Google' ELSE 'other' END AS source,

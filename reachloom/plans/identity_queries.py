@@ -93,7 +93,7 @@ def d08(spark, sf_dir):
 
 def _overrides(primary: DataFrame) -> DataFrame:
     action = F.expr("CASE seq % 9 WHEN 0 THEN 'CONFIRM' WHEN 1 THEN 'REJECT' WHEN 2 THEN 'MARK_DNC' WHEN 3 THEN 'MARK_SAFE' ELSE 'OTHER' END")
-    return primary.where("seq % 4 = 0").select("seq", action.alias("action"))
+    return primary.select("seq", action.alias("action"))
 
 
 def d09(spark, sf_dir):
