@@ -205,28 +205,34 @@ def _letters_in_common(a: Column, b: Column) -> Column:
 def match_fuzzy(primary: DataFrame, history: DataFrame, name_least: int = 90, company_least: int = 80, alone_least: int = 95) -> DataFrame:
     """Seq, cluster, score and both similarities of alike names at alike companies; all within two points of the best.
 
-    Pairs meet on the last word of the name or on its first letter together with a length class: a rounded score of 90
-    bounds the length ratio, so each name looks at its own class and the next ones only. Bounds on length and
-    letters drop pairs before the exact score and can't drop a match.
+    A name looks at the clusters in which any record shares its last word or first letter. The best name and the best
+    company are taken over all records of a cluster, each by itself. A rounded score of 90 bounds the length ratio, so a
+    first letter meets a record's name in its own length class and the next ones only. Bounds on length and letters
+    drop names before the exact score and can't drop a match.
     """
     mine = primary.where("name_key != ''").select("name_key", "company_key").distinct()
-    theirs = history.where("name_key != ''").select(
-        F.col("name_key").alias("n"), F.col("company_key").alias("c"), "cluster").distinct()
+    names = history.where("name_key != ''").select(F.col("name_key").alias("n"), "cluster").distinct()
     size = lambda c: F.floor(F.log(1.25, F.greatest(F.length(c), F.lit(1)).cast("double")))
     last = lambda c: F.concat(F.lit("s:"), F.element_at(words(c), -1))
-    head = lambda c, k: F.concat(F.lit("i:"), F.substring(c, 1, 1), F.lit(":"), (size(c) + k).cast("string"))
-    mine = mine.withColumn("block", F.explode(F.array(last(F.col("name_key")), head(F.col("name_key"), 0))))
-    near = F.array(last(F.col("n")), *[head(F.col("n"), k) for k in (-1, 0, 1)])
-    theirs = theirs.withColumn("block", F.explode(near))
+    head = lambda c: F.concat(F.lit("i:"), F.substring(c, 1, 1))
+    sized = lambda h, c, k: F.concat(h, F.lit(":"), (size(c) + k).cast("string"))
+    wanted = mine.select("name_key").distinct()
+    wanted = wanted.withColumn("block", F.explode(F.array(last(F.col("name_key")), sized(head(F.col("name_key")), F.col("name_key"), 0))))
+    keys = names.select("cluster", F.explode(F.array(last(F.col("n")), head(F.col("n")))).alias("k")).distinct()
+    near = F.when(F.col("k").startswith("s:"), F.array("k")).otherwise(F.array(*[sized(F.col("k"), F.col("n"), k) for k in (-1, 0, 1)]))
+    theirs = names.join(keys, "cluster").select("n", "cluster", F.explode(near).alias("block"))
     a, b = F.col("name_key"), F.col("n")
     total = F.length(a) + F.length(b)
     need = 0.895
-    pairs = mine.join(theirs, "block").where(2 * F.least(F.length(a), F.length(b)) / total >= need).drop("block").distinct()
+    pairs = wanted.join(theirs, "block").where(2 * F.least(F.length(a), F.length(b)) / total >= need).drop("block").distinct()
     pairs = pairs.where(2 * _letters_in_common(a, b) / total >= need)
     scored = pairs.withColumn("name_score", F.bround(token_sort_ratio(a, b))).where(F.col("name_score") >= name_least)
-    scored = scored.withColumn("company_score", F.when(
-        (F.col("company_key") != "") & (F.col("c") != ""), F.bround(token_set_ratio(F.col("company_key"), F.col("c")))).otherwise(0.0))
-    best = scored.groupBy("name_key", "company_key", "cluster").agg(F.max("name_score").alias("name_score"), F.max("company_score").alias("company_score"))
+    alike = scored.groupBy("name_key", "cluster").agg(F.max("name_score").alias("name_score"))
+    companies = history.where("company_key != ''").select(F.col("company_key").alias("c"), "cluster").distinct()
+    company_score = F.when(
+        (F.col("company_key") != "") & F.col("c").isNotNull(), F.bround(token_set_ratio(F.col("company_key"), F.col("c")))).otherwise(0.0)
+    best = mine.join(alike, "name_key").join(companies, "cluster", "left").groupBy("name_key", "company_key", "cluster").agg(
+        F.max("name_score").alias("name_score"), F.max(company_score).alias("company_score"))
     with_company = (F.col("company_key") != "") & (F.col("company_score") >= company_least)
     alone = (F.col("company_key") == "") & (F.col("name_score") >= alone_least)
     best = best.where(with_company | alone).withColumn(

@@ -98,7 +98,7 @@ def _overrides(primary: DataFrame) -> DataFrame:
 
 def d09(spark, sf_dir):
     primary, history, _, _ = _prepared(spark, sf_dir)
-    matches = I.match_decisions(primary, history, fuzzy=False)
+    matches = I.match_decisions(primary, history)
     return _flat(I.apply_review(matches, _overrides(primary), I.cluster_summary(history)))
 
 
@@ -119,10 +119,10 @@ def u02(spark, sf_dir):
     return I.combined_master(primary, history, matches)
 
 
-def u04(spark, sf_dir):
+def u04(spark, sf_dir, fuzzy: bool = False):
     """Rows of each result sheet."""
     primary, history, _, invalid = _prepared(spark, sf_dir)
-    m = saved(I.match_decisions(primary, history, fuzzy=False), "matches")
+    m = saved(I.match_decisions(primary, history, fuzzy=fuzzy), "matches")
     linked = m.where("confirmed").select("seq", F.explode("clusters").alias("cluster")).join(history.select("cluster"), "cluster")
     any_link = m.select("seq", F.explode("clusters").alias("cluster")).join(history.select("cluster"), "cluster")
     sheets = {
@@ -136,11 +136,16 @@ def u04(spark, sf_dir):
     return out
 
 
+def u04_fuzzy(spark, sf_dir):
+    return u04(spark, sf_dir, fuzzy=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "C03_canonicalize": c03, "C03_invalid_rows": c03_invalid, "W02_first_wins_dedupe": w02, "A14_identity_clusters": a14,
     "D06_status_category": d06, "D07_decision_from_history": d07, "J01_match_exact": j01, "J02_match_name_company": j02,
     "J03_match_fuzzy": j03, "D08_match_decision": d08, "D08_match_decision_exact": d08_exact, "D09_apply_review": d09,
     "A03_run_metrics": a03, "A03_run_metrics_fuzzy": a03_fuzzy, "U02_combined_master": u02, "U04_result_sheets": u04,
+    "U04_result_sheets_fuzzy": u04_fuzzy,
 }
 
 
