@@ -62,6 +62,27 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def _cut(rows: DataFrame, can: Column, id_column: str) -> DataFrame:
+    """rows with __extra 1 for those among `can` that come before the first that goes over the source's rest."""
+    steps = rows.where(can).groupBy("source", "__step").agg(
+        F.sum("size").alias("__words"), F.first("rest").alias("rest"))
+    along = Window.partitionBy("source").orderBy("__step")
+    cuts = (
+        steps.withColumn("__upto", F.sum("__words").over(along))
+        .where(F.col("__upto") >= F.col("rest") - 1e-6)
+        .groupBy(F.col("source").alias("__s"))
+        .agg(F.min(F.struct("__step", F.expr("__upto - __words AS before"))).alias("__cut"))
+    )
+    placed = rows.join(cuts, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+    inside = Window.partitionBy("source").orderBy("__rank", id_column, "__row")
+    at_cut = placed.where(can & (F.col("__step") == F.col("__cut.__step")))
+    upto = F.col("__cut.before") + F.sum("size").over(inside)
+    at_cut = at_cut.select(F.col("__row").alias("__r"), (upto <= F.col("rest") + 1e-6).alias("__in"))
+    placed = placed.join(at_cut, F.col("__row") == F.col("__r"), "left").drop("__r")
+    chosen = can & (F.col("__cut").isNull() | (F.col("__step") < F.col("__cut.__step")) | F.coalesce("__in", F.lit(False)))
+    return placed.withColumn("__extra", F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(F.col("__extra"))).drop("__in", "__cut")
+
+
 def mix(
     docs: DataFrame,
     weights: list[float],
@@ -72,12 +93,12 @@ def mix(
     source: str = "source",
     text: str = "text",
     carry: list[str] | None = None,
-    fills: int = 3,
 ) -> DataFrame:
     """Rows of docs with source, size, source_size, target, copies and taken = copies * size.
 
-    After the sample is cut before the document that would go over the target, up to `fills` further documents of a
-    source are added, each the largest that still fits.
+    Documents larger than what the sample may take have no chance in it. After the sample is cut before the document
+    that would go over the target, the remaining documents no larger than the gap are taken by rank as far as they fit,
+    again and again until none fits.
     """
     extra = [c for c in carry or [] if c not in (id_column, "source", "size", "source_size", "target", "copies", "taken")]
     rows = saved(
@@ -92,17 +113,19 @@ def mix(
     )
     sizes = rows.drop(*extra)  # only the last step reads the carried columns
     per = source_targets(sizes, weights, budget, max_copies)
-    roots = sizes.groupBy(F.col("source").alias("__s")).agg(F.sum(F.pow(F.col("size").cast("double"), 1.5)).alias("__roots"))
     per = (
-        per.join(roots, F.col("source").eqNullSafe(F.col("__s")))
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)))
+        per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(F.lit(0)))
         .withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-        .select(F.col("source").alias("__s"), "source_size", "target", "whole", "rest", "__roots")
+        .select(F.col("source").alias("__s"), "source_size", "target", "whole", "rest")
     )
     per = saved(per, "targets")
+    small = F.col("size") <= F.col("rest") + 1e-6
+    roots = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).groupBy(F.col("source").alias("__t")).agg(
+        F.sum(F.when(small, F.pow(F.col("size").cast("double"), 1.5)).otherwise(0.0)).alias("__roots"))
+    per = per.join(roots, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
     ranked = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     u = uniform(F.col(id_column), seed)
-    chance = F.when(F.col("__roots") > 0, F.col("rest") / F.col("__roots") * F.sqrt(F.col("size").cast("double"))).otherwise(F.lit(0.0))
+    chance = F.when(small & (F.col("__roots") > 0), F.col("rest") / F.col("__roots") * F.sqrt(F.col("size").cast("double"))).otherwise(F.lit(0.0))
     ranked = ranked.withColumn("__pi", chance).withColumn(
         "__rank",
         F.when(F.col("__pi") >= 1, F.lit(0.0))
@@ -111,34 +134,16 @@ def mix(
     )
     ranked = ranked.withColumn("__step", F.floor(F.lit(STEPS) * F.col("__rank") / (1 + F.col("__rank"))))
     can = (F.col("size") > 0) & F.col("__rank").isNotNull()
-    steps = ranked.where(can).groupBy("source", "__step").agg(
-        F.sum("size").alias("__words"), F.first("rest").alias("rest"))
-    along = Window.partitionBy("source").orderBy("__step")
-    cuts = (
-        steps.withColumn("__upto", F.sum("__words").over(along))
-        .where(F.col("__upto") >= F.col("rest") - 1e-6)
-        .groupBy(F.col("source").alias("__s"))
-        .agg(F.min(F.struct("__step", F.expr("__upto - __words AS before"))).alias("__cut"))
-    )
-    placed = ranked.join(cuts, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    inside = Window.partitionBy("source").orderBy("__rank", id_column, "__row")
-    at_cut = placed.where(can & (F.col("__step") == F.col("__cut.__step")))
-    upto = F.col("__cut.before") + F.sum("size").over(inside)
-    at_cut = at_cut.select(F.col("__row").alias("__r"), (upto <= F.col("rest") + 1e-6).alias("__in"))
-    placed = placed.join(at_cut, F.col("__row") == F.col("__r"), "left").drop("__r")
-    sampled = can & (F.col("__cut").isNull() | (F.col("__step") < F.col("__cut.__step")) | F.coalesce("__in", F.lit(False)))
-    taken = saved(
-        placed.withColumn("__extra", F.coalesce(sampled, F.lit(False)).cast("int")).drop("__in", "__cut", "__step"), "sample")
-    for _ in range(fills):
-        gaps = taken.groupBy(F.col("source").alias("__s")).agg(
-            (F.first("rest") - F.sum(F.col("__extra") * F.col("size"))).alias("__gap"))
-        open_rows = taken.where(can & (F.col("__extra") == 0)).join(gaps, F.col("source").eqNullSafe(F.col("__s")))
-        best = open_rows.where(F.col("size") <= F.col("__gap")).groupBy("__s").agg(
-            F.max(F.struct("size", (-F.col("__rank")).alias("r"), "__row")).alias("__best"))
-        best = best.select(F.col("__best.__row").alias("__b"))
-        taken = taken.join(best, F.col("__row") == F.col("__b"), "left").withColumn(
-            "__extra", F.when(F.col("__b").isNotNull(), 1).otherwise(F.col("__extra"))).drop("__b")
-        taken = saved(taken, "fill")
+    taken = saved(_cut(ranked.withColumn("__extra", F.lit(0)), can, id_column), "sample")
+    limits = per.select(F.col("__s").alias("__g"), F.col("rest").alias("__limit"))
+    while True:
+        sums = taken.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("__extra") * F.col("size")).alias("__had"))
+        gaps = sums.join(limits, F.col("__s").eqNullSafe(F.col("__g"))).select("__s", (F.col("__limit") - F.col("__had")).alias("__gap"))
+        now = taken.drop("rest").join(gaps, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumnRenamed("__gap", "rest")
+        fits = can & (F.col("__extra") == 0) & (F.col("size") <= F.col("rest") + 1e-6)
+        if now.where(fits).isEmpty():
+            break
+        taken = saved(_cut(now, fits, id_column), "fill")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("__extra")).otherwise(F.lit(0)).cast("long")
     mixed = taken.select(
         "__row", id_column, "source", "size", "source_size", "target",

@@ -239,6 +239,14 @@ def test_mixing_targets_and_limits(spark, edge, docs):
         assert target[s] == pytest.approx(want[s]) and target[s] - longest <= taken[s] <= target[s] + 1e-6
 
 
+def test_mixing_fills_beside_a_long_document(spark):
+    rows = [(0, "w " * 4000, "a")] + [(k, "w " * 60, "a") for k in range(1, 101)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for seed in (1, 2, 3):
+        got = mixing.mix(table, [1.0], budget=0.3, seed=seed).collect()
+        assert got[0]["target"] - 60 < sum(r["taken"] for r in got) <= got[0]["target"]
+
+
 def test_lm_scores(edge, docs):
     table = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
