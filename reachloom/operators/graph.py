@@ -13,18 +13,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternates two steps until the links stop changing: each node hands the smallest id it sees to its larger
     neighbours, then to its smaller ones. Paths shrink to stars in a logarithmic number of rounds; both steps are joins
-    on the node and minima that combine before the shuffle. Each round is written out, so no lineage builds up.
+    on the node and minima that combine before the shuffle. Each round is written out, so no lineage builds up. The
+    minima are written before they meet the links again: then both sides of that join come straight from a shuffle,
+    and adaptive execution splits a hub's links over tasks.
+
+    To add links to known components, give the old result's (id, component) rows among the links.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges, seen = saved(edges.distinct(), "links"), None
+    edges = saved(edges.distinct(), "links")
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = mark(edges)
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        up = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lowest")
+        up = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = up.groupBy("u").agg(F.min("v").alias("m"))
         down = up.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(lowest.select("u", F.col("m").alias("v")).unionByName(down).where("u != v").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = mark(edges)
         if now == seen:
             break
         seen = now

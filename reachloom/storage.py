@@ -9,17 +9,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where it names none."""
+    """The shared folder that the cluster names. Where it names none, a local session gets a folder of its own; a
+    cluster without one is an error, as executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='reachloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+class Scratch:
+    """The tables that saved() writes while it is entered. delete() is for callers that have written out all that was
+    made from them; tables of others stay."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Scratch._open.remove(self)
+
+    def delete(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths.clear()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
