@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved  # noqa: F401  (the operators take it from here)
+
 #: What parts words in Java's regular expressions: ASCII white space. bytes.split() parts UTF-8 text alike.
 SPACE_SPLIT = r"[\x20\x09-\x0D]+"
 #: Raw text bytes that one packed block holds.
@@ -21,40 +21,6 @@ BLOCK_BYTES = 4 << 20
 SLICE_ROWS = 256
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='reachloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Tables that saved() wrote and release() may delete.
-_written: list[str] = []
-
-
-def release(spark: SparkSession, keep: str) -> None:
-    """Deletes the tables that saved() wrote, but for those whose name begins with `keep`. For callers that have
-    written out all that was made from them."""
-    left = [p for p in _written if p.rpartition("/")[2].startswith(keep)]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written:
-        if path not in left:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
-    _written[:] = left
-
-
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % F.lit(n)
