@@ -43,8 +43,9 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    index = toxicity.train(docs, _read(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    held = docs.select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    index = toxicity.train(docs, _read(spark, sf_dir, "labels"), ~held_out)
+    held = docs.select("doc_id", "text", held_out.alias("held_out"))
     return toxicity.score(held, index, keep=["doc_id", "held_out"])
 
 
@@ -60,8 +61,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.train(docs, crc_mod("doc_id", 4) != 2)
-    held = docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out"))
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = langid.train(docs, ~held_out)
+    held = docs.select("doc_id", "text", held_out.alias("held_out"))
     return langid.predict(held, model, keep=["doc_id", "held_out"])
 
 
