@@ -46,11 +46,21 @@ class Scratch:
         self.paths.clear()
 
 
+#: Shuffle files of a statement go when it has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage and outlives executors."""
+    """df written to the shared folder and read again: cuts the lineage and outlives executors. What the write has
+    shuffled is dropped at once: nothing reads it again."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     if Scratch._open:
         Scratch._open[-1].paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
