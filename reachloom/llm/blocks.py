@@ -25,46 +25,53 @@ from .common import BLOCK_BYTES, pack, saved, texts, unpack
 SHARD_BYTES = 16 << 20
 
 
-def packed_blocks(docs: DataFrame, text: str, columns: list[str], name: str, measure: Callable | None = None) -> DataFrame:
-    """A table of blocks: block, raw (text bytes), measured, payload (packed rows with `columns` and body).
-
-    measure(rows) gives the number kept as `measured`. A block is cut when its texts reach BLOCK_BYTES; a longer text
-    is a block of its own.
+def packed_blocks(
+    docs: DataFrame,
+    text: str,
+    columns: list[str],
+    name: str,
+    start: Callable[[], Callable[[pa.Table], tuple[pa.Table, list[bytes]]]] | None = None,
+    extra: tuple[str, ...] = (),
+) -> DataFrame:
+    """A table of blocks: block, raw (text bytes), payload (packed rows with `columns` and __text).
+
+    start() gives a function that runs on each block's rows and returns the rows to keep instead, and what the extra
+    columns hold. A block is cut when its texts reach BLOCK_BYTES; a longer text is a block of its own.
     """
     source = docs.select(*columns, F.col(text).cast("string").cast("binary").alias("__text"))
+    names = ["block", "raw", "payload", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        work = start() if start else lambda rows: (rows, [])
 
         def block():
             nonlocal number
-            rows = pa.Table.from_batches(held).combine_chunks()
+            rows, more = work(pa.Table.from_batches(held).combine_chunks())
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as out:
                 out.write_table(rows)
-            n = measure(rows) if measure else rows.num_rows
-            made = [(task << 32) + number], [size], [n], [pack(sink.getvalue().to_pybytes())]
+            made = [pa.array([(task << 32) + number], pa.int64()), pa.array([size], pa.int64())]
+            made += [pa.array([x], pa.binary()) for x in (pack(sink.getvalue().to_pybytes()), *more)]
             number += 1
             held.clear()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names=["block", "raw", "measured", "payload"]
-            )
+            return pa.RecordBatch.from_arrays(made, names=names)
 
         for part, values in texts(batches, "__text"):
-            start = 0
+            begin = 0
             for k, v in enumerate(values):
                 size += len(v or b"") + 16
                 if size >= BLOCK_BYTES:
-                    held.append(part.slice(start, k + 1 - start))
+                    held.append(part.slice(begin, k + 1 - begin))
                     yield block()
-                    start, size = k + 1, 0
-            if start < part.num_rows:
-                held.append(part.slice(start))
+                    begin, size = k + 1, 0
+            if begin < part.num_rows:
+                held.append(part.slice(begin))
         if held:
             yield block()
 
-    return saved(source.mapInArrow(run, "block bigint, raw bigint, measured bigint, payload binary"), name)
+    schema = "block bigint, raw bigint, " + ", ".join(f"{n} binary" for n in names[2:])
+    return saved(source.mapInArrow(run, schema), name)
 
 
 def rows_of(payload: bytes) -> pa.Table:
@@ -72,8 +79,9 @@ def rows_of(payload: bytes) -> pa.Table:
 
 
 def shards_for(blocks: DataFrame) -> int:
+    """A power of two, so that a hash's high bits name its shard."""
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
-    return max(1, math.ceil(raw / SHARD_BYTES))
+    return 1 << max(0, math.ceil(raw / SHARD_BYTES) - 1).bit_length()
 
 
 def put(values: np.ndarray) -> bytes:
@@ -97,10 +105,13 @@ def get_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(get(data, np.uint64), dtype=np.uint64)
 
 
-def cuts(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's part of sorted hashes begins; one more at the end. Shard s holds hashes from s * 2^64 / shards."""
-    edges = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]]).astype(np.int64)
+def shard_runs(sorted_hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that sorted hashes touch, and where each one's part begins; one more at the end. A hash's shard is
+    its high bits, so the work follows the hashes, however many shards there are."""
+    bits = shards.bit_length() - 1
+    shard = (sorted_hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sorted_hashes), np.int64)
+    begin = np.flatnonzero(np.diff(shard, prepend=-1))
+    return shard[begin], np.append(begin, len(shard))
 
 
 def ask(blocks: DataFrame, shards: int, question: Callable[[dict], tuple[np.ndarray, list[np.ndarray]]]) -> DataFrame:
@@ -111,14 +122,14 @@ def ask(blocks: DataFrame, shards: int, question: Callable[[dict], tuple[np.ndar
             for k in range(batch.num_rows):
                 row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
                 hashes, values = question(row)
-                at = cuts(hashes, shards)
-                full = [s for s in range(shards) if at[s + 1] > at[s]]
+                full, at = shard_runs(hashes, shards)
+                cut = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(full, pa.int32()),
+                        pa.array(full.astype(np.int32)),
                         pa.array([row["block"]] * len(full), pa.int64()),
-                        pa.array([put_sorted(hashes[at[s] : at[s + 1]]) for s in full], pa.binary()),
-                        pa.array([[put(v[at[s] : at[s + 1]]) for v in values] for s in full], pa.list_(pa.binary())),
+                        pa.array([put_sorted(hashes[c]) for c in cut], pa.binary()),
+                        pa.array([[put(v[c]) for v in values] for c in cut], pa.list_(pa.binary())),
                     ],
                     names=["shard", "block", "hashes", "values"],
                 )
@@ -126,10 +137,10 @@ def ask(blocks: DataFrame, shards: int, question: Callable[[dict], tuple[np.ndar
     return blocks.mapInArrow(run, "shard int, block bigint, hashes binary, values array<binary>")
 
 
-def answer(asked: DataFrame, reply: Callable, kinds: list) -> DataFrame:
-    """shard, block, data: reply(hashes, values, owner) sees all entries of a shard, sorted by hash and then by block
-    (owner numbers the blocks), and returns (an array of bytes-packable answers in that order, extra bytes or None).
-    The extra bytes come as a row with block -1."""
+def answer(asked: DataFrame, reply: Callable, kinds: list, names: tuple[str, ...] = ("data",)) -> DataFrame:
+    """shard, block and the answers: reply(hashes, values, owner) sees all entries of a shard, sorted by hash and then by
+    block (owner numbers the blocks), and returns (arrays of answers in that order, one for each of names; extra bytes
+    or None). The extra bytes come as a row with block -1, under the first name."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -142,33 +153,29 @@ def answer(asked: DataFrame, reply: Callable, kinds: list) -> DataFrame:
         owner = np.repeat(np.arange(len(order)), lengths)
         by = np.argsort(hashes, kind="stable")  # stable: within a hash by block
         found, extra = reply(hashes[by], [v[by] for v in values], owner[by])
-        back = np.empty_like(found)
-        back[by] = found
+        back = [np.empty_like(f) for f in found]
+        for to, f in zip(back, found, strict=True):
+            to[by] = f
         ends = np.cumsum(lengths)
-        out = [(shard, ids[k], put(back[e - n : e])) for k, n, e in zip(order, lengths, ends, strict=True)]
+        out = [(ids[k], *(put(f[e - n : e]) for f in back)) for k, n, e in zip(order, lengths, ends, strict=True)]
         if extra is not None:
-            out.append((shard, -1, extra))
-        return pa.table(
-            {
-                "shard": pa.array([x[0] for x in out], pa.int32()),
-                "block": pa.array([x[1] for x in out], pa.int64()),
-                "data": pa.array([x[2] for x in out], pa.binary()),
-            }
-        )
+            out.append((-1, extra, *[b""] * (len(names) - 1)))
+        columns = {"shard": pa.array([shard] * len(out), pa.int32()), "block": pa.array([x[0] for x in out], pa.int64())}
+        return pa.table(columns | {n: pa.array([x[j] for x in out], pa.binary()) for j, n in enumerate(names, 1)})
 
-    return asked.groupBy("shard").applyInArrow(run, "shard int, block bigint, data binary")
+    return asked.groupBy("shard").applyInArrow(run, "shard int, block bigint, " + ", ".join(f"{n} binary" for n in names))
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """blocks with the column `name`: their answers by shard, as array<struct<shard, data>>."""
+def with_answers(blocks: DataFrame, answers: DataFrame, name: str, fields: tuple[str, ...] = ("data",)) -> DataFrame:
+    """blocks with the column `name`: their answers by shard, as array<struct<shard, fields>>."""
     per = answers.where("block >= 0").groupBy(F.col("block").alias("__b")).agg(
-        F.sort_array(F.collect_list(F.struct("shard", "data"))).alias(name))
+        F.sort_array(F.collect_list(F.struct("shard", *fields))).alias(name))
     return blocks.join(per, F.col("block") == F.col("__b"), "left").drop("__b")
 
 
-def joined(answers: list[dict] | None, kind) -> np.ndarray:
+def joined(answers: list[dict] | None, kind, field: str = "data") -> np.ndarray:
     """A block's answers as one array, in the order of its sorted hashes."""
-    return np.concatenate([get(a["data"], kind) for a in answers]) if answers else np.empty(0, kind)
+    return np.concatenate([get(a[field], kind) for a in answers]) if answers else np.empty(0, kind)
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,20 +1,23 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are words (A-Z lower-cased) and one end after each text. Contexts of preceding symbols are nodes of the tree.
-A context is a candidate if it occurs at least `least` times, and it stays only if what follows it differs from what
-follows its suffix: the divergence of the two next-symbol distributions, times the context's count, has to be over
-`least_divergence`. Next symbols kept at a node are those seen there at least `least` times. Nothing depends on the
-corpus's size; `order` is the longest context. A kept context keeps its suffix. A node's distribution is smoothed with
-its suffix's by absolute discounting, down to the word counts of the whole corpus:
+Symbols are words (A-Z lower-cased) and one end after each text. Contexts are the runs of up to `order` symbols before a
+symbol. A context is a candidate if it occurs at least `least` times, whatever the corpus's size, and it stays in the
+tree only if what follows it differs from what its longest suffix in the tree predicts: the divergence of the two
+next-symbol distributions, times the context's count, has to be over `least_divergence`. Candidates grow longer whether
+or not they stay; one that doesn't stay hands its suffix's distribution on. Next symbols kept at a node are those seen
+there at least `least` times. A node's distribution is smoothed with its suffix's by absolute discounting, down to the
+word counts of the whole corpus:
 
-    P(x | s) = max(c(s x) - discount, 0) / c(s) + rest(s) * P(x | suffix of s)
+    P(x | s) = max(c(s x) - discount, 0) / c(s) + rest(s) * P(x | longest suffix of s in the tree)
 
-A text starts in the context of an end. Each symbol is scored in the suffixes of what precedes it that the tree holds.
+A text starts in the context of an end. Each symbol is scored in the longest contexts before it that the tree holds.
 
-Words and runs of words are 64-bit hashes here. The tree grows with the corpus, so it is never whole in one place: each
-depth is two exchanges between blocks and shards of hashes (blocks.py). In the first, blocks get the corpus counts of
-their runs of words. In the second, they get what each context leaves for its suffix and whether it stays: each
-occurrence of a kept run adds its share (1 / count) to its context's sums. A common context costs one entry a block.
+The tree grows with the corpus, so it is never whole in one place. Texts become blocks of word numbers (blocks.py). One
+exchange with shards of the word hashes counts the words, and one exchange for each length d counts what follows the
+contexts of d symbols: a block sends each of its contexts with the distinct symbols that follow it there, the shard that
+a context's hash names sees all of them, decides whether the context stays, and answers with the counts and the rest.
+A context that is more frequent than `hot` is split by the symbols that follow it, and its sums are added up from the
+parts; as all contexts of one length share the corpus's occurrences, there are at most corpus / hot of them, 200,000.
 
 Cases: a null text is empty: one end. Null ids are learnt from unless `held` says otherwise. Repeated rows count and
 come back as often as they occur. Without training rows the counts are 0. An empty table gives an empty result.
@@ -22,325 +25,305 @@ come back as often as they occur. Without training rows the counts are 0. An emp
 
 from __future__ import annotations
 
-import contextlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import WordHash, extended, mixed, pack, saved
+from .common import extended, mixed, saved
 
-#: The end symbol's hash: of a word that no text can have.
-END = WordHash()([b" "])[0]
+#: The end symbol: a word that no text can have.
+END = b" "
+#: Occurrences from which a context is split, at least; and the most contexts of one length that may be split.
+HOT, MOST_HOT = 1 << 20, 200_000
 
 
-def symbols(bodies: list[bytes | None], hashed: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol hashes of texts one after another, and each text's number of symbols."""
-    parts, lengths = [], []
-    for body in bodies:
-        words = body.lower().split() if body else []
-        parts.append(hashed(words))
-        parts.append(np.array([END]))
-        lengths.append(len(words) + 1)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(lengths, np.int64)
+class Local(dict):
+    """Numbers for the words of a block, in the order of their first occurrence."""
 
-
-@dataclass
-class Depth:
-    """The nodes of one depth: contexts by key, what is left for the suffix, and kept next symbols."""
-
-    contexts: np.ndarray  # sorted keys
-    rest: np.ndarray
-    counts: np.ndarray
-    nexts: np.ndarray  # sorted (context number << 32 | symbol number)
-    weights: np.ndarray  # max(c - discount, 0) / c(context)
-    alive: np.ndarray  # stays in the tree
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def symbol_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks of symbols instead of texts: lengths (symbols of each text), words (sorted hashes of the block's distinct
+    symbols), codes (each symbol's place among them)."""
+
+    def start():
+        def work(rows: pa.Table):
+            local, parts, lengths = Local(), [], []
+            end = local[END]
+            for body in rows.column("__text").to_pylist():
+                words = body.lower().split() if body else []
+                parts.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
+                parts.append(np.array([end], np.uint32))
+                lengths.append(len(words) + 1)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in local], np.uint64)
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            codes = place[np.concatenate(parts)]
+            return rows.drop_columns(["__text"]), [B.put(np.array(lengths, np.int64)), B.put_sorted(hashes[order]), B.put(codes)]
+
+        return work
+
+    return B.packed_blocks(docs, "__body", columns, "lm-symbols", start, ("lengths", "words", "codes"))
 
 
 @dataclass
-class Tree:
-    """A tree of two depths whole in memory: what the exchanges below spread, for small corpora and tests."""
+class Totals:
+    """What the word exchange tells of the corpus, and the model's parameters."""
 
-    symbols: np.ndarray  # sorted hashes of the symbols that nodes can name
     total: int
     distinct: int
-    depths: list[Depth]
+    shards: int
+    least: int
+    discount: float
+    least_divergence: float
+    hot: int
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def contexts_of(self, numbers: np.ndarray, before: np.ndarray, depth: int) -> np.ndarray:
-        """Context number at a depth (0: one symbol) for each symbol, or -1. numbers: symbol numbers or -1; before:
-        how many symbols of the same text stand before each, the start's end included."""
-        one = np.empty_like(numbers)
-        one[1:] = numbers[:-1]
-        starts = before == 0
-        one[starts] = find(self.symbols, np.array([END]))[0]
-        first = find(self.depths[0].contexts, one.astype(np.uint64))
-        first[one < 0] = -1
-        if depth == 0:
-            return first
-        two = np.full_like(numbers, -1)
-        two[1:] = first[:-1]
-        two[starts] = -1
-        key = (two.astype(np.uint64) << np.uint64(32)) | np.maximum(one, 0).astype(np.uint64)
-        second = find(self.depths[1].contexts, key)
-        second[(two < 0) | (one < 0)] = -1
-        return second
-
-    def score(self, hashes: np.ndarray, before: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Probability of each symbol."""
-        p = base
-        numbers = find(self.symbols, hashes)
-        for depth, d in enumerate(self.depths):
-            context = self.contexts_of(numbers, before, depth)
-            context[context >= 0] = np.where(d.alive[context[context >= 0]], context[context >= 0], -1)
-            here = np.flatnonzero(context >= 0)
-            if not len(here):
-                continue
-            c = context[here]
-            own = np.zeros(len(here))
-            known = numbers[here] >= 0
-            at = find(d.nexts, (c[known].astype(np.uint64) << np.uint64(32)) | numbers[here][known].astype(np.uint64))
-            own[known] = np.where(at >= 0, d.weights[at] if len(d.weights) else 0.0, 0.0)
-            p = p.copy()
-            p[here] = own + d.rest[c] * p[here]
-        return p
-
-
-def positions(lengths: np.ndarray) -> np.ndarray:
-    """0, 1, 2, ... in each text."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-
-
-def _depth(
-    keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, context_counts: np.ndarray, discount: float
-) -> Depth:
-    """Nodes from the counts of (context number << 32 | symbol number)."""
-    owner = (keys >> np.uint64(32)).astype(np.int64)
-    weights = np.maximum(counts - discount, 0) / np.maximum(context_counts[owner], 1) if len(keys) else np.empty(0)
-    kept = np.bincount(owner, weights, len(contexts)) if len(keys) else np.zeros(len(contexts))
-    return Depth(contexts, 1 - kept, context_counts, keys, weights, np.ones(len(contexts), bool))
-
-
-def _diverging(d: Depth, parent_p: np.ndarray, least: float) -> np.ndarray:
-    """Contexts whose count times divergence from the suffix's distribution is over least. parent_p: the suffix's
-    probability of each kept next symbol; all other symbols count as one."""
-    owner = (d.nexts >> np.uint64(32)).astype(np.int64)
-    n = len(d.contexts)
-    if not len(owner):
-        return np.zeros(n, bool)
-    p = np.maximum(d.weights, 1e-12)
-    own = np.bincount(owner, d.weights * np.log(p / np.maximum(parent_p, 1e-12)), n)
-    theirs = np.clip(1 - np.bincount(owner, parent_p, n), 1e-9, 1)
-    left = np.clip(d.rest, 1e-9, 1)
-    return d.counts * (own + left * np.log(left / theirs)) > least
-
-
-#: A block's rows without text, the lengths of its texts, its distinct symbols and each symbol's place among them.
-SYMBOLS = "block bigint, raw bigint, payload binary, lengths binary, words binary, codes binary"
-
 
-def symbol_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Blocks of symbols instead of texts: texts are split and hashed once."""
-    packed = B.packed_blocks(docs, "__body", columns, "lm-blocks")
-
-    def run(batches):
-        hashed = WordHash()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                rows = B.rows_of(row["payload"])
-                found, lengths = symbols(rows.column("__text").to_pylist(), hashed)
-                words, codes = np.unique(found, return_inverse=True)
-                sink = pa.BufferOutputStream()
-                kept = rows.drop_columns(["__text"])
-                with pa.ipc.new_stream(sink, kept.schema) as out:
-                    out.write_table(kept)
-                made = [pack(sink.getvalue().to_pybytes()), B.put(lengths), B.put_sorted(words), B.put(codes.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]], pa.int64()), pa.array([row["raw"]], pa.int64()), *(pa.array([m], pa.binary()) for m in made)],
-                    names=["block", "raw", "payload", "lengths", "words", "codes"],
-                )
-
-    return saved(packed.mapInArrow(run, SYMBOLS), "lm-symbols")
+def coded(contexts: np.ndarray, symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, symbol) pairs in order: contexts, symbols; and each position's pair."""
+    key = contexts.astype(np.uint64) * np.uint64(width) + symbols.astype(np.uint64)
+    bits = max(1, (len(key) - 1).bit_length())
+    if len(key) and int(key.max()).bit_length() + bits <= 64:  # sorts key and position as one number
+        both = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
+        at, key = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+        starts, run = B.runs(key)
+        inverse = np.empty(len(key), np.int64)
+        inverse[at] = run
+        found = key[starts]
+    else:
+        found, inverse = np.unique(key, return_inverse=True)
+    return (found // np.uint64(width)).astype(np.int64), (found % np.uint64(width)).astype(np.int64), inverse
 
 
-def joined_runs(contexts: np.ndarray, symbols_: np.ndarray) -> np.ndarray:
+def joined_runs(contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Hashes of contexts followed by a symbol."""
-    return mixed(mixed(contexts) ^ symbols_)
-
-
-def _moved(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
-    """Each position's value of the symbol before it; `first` at the beginning of a text."""
-    out = np.empty_like(values)
-    out[1:] = values[:-1]
-    out[starts] = first
-    return out
+    return mixed(mixed(contexts) ^ symbols)
 
 
 @dataclass
 class Level:
-    """One depth at the positions of a block."""
+    """The contexts of one length in a block, the positions that follow them, and the distinct pairs of both."""
 
-    contexts: np.ndarray  # hashes
-    context_counts: np.ndarray
-    deep: np.ndarray  # the context is a candidate
-    runs: np.ndarray  # hashes of the context and the symbol
-    asked: np.ndarray  # both of the run's shorter runs are frequent enough for it to be
-    counts: np.ndarray | None = None
-    own: np.ndarray | None = None  # max(c - discount, 0) / c(context)
-    rest: np.ndarray | None = None
-    alive: np.ndarray | None = None
+    contexts: np.ndarray  # sorted hashes
+    counts: np.ndarray  # of the contexts, in the whole corpus
+    at: np.ndarray  # positions
+    of: np.ndarray  # each position's context
+    pair_context: np.ndarray
+    pair_symbol: np.ndarray
+    pair: np.ndarray  # each position's pair
 
 
 class Walk:
-    """A block's symbols with the answers of the exchanges so far: words, then counts_d and rests_d of each depth d,
-    then kept_d from the deepest."""
+    """A block's symbols, taken through the answers of the exchanges so far."""
 
-    def __init__(self, row: dict, total: int, distinct: int, least: int, discount: float):
+    def __init__(self, row: dict, known: Totals, hot: list[tuple[np.ndarray, np.ndarray]]):
+        self.known = known
         self.lengths = B.get(row["lengths"], np.int64)
-        words, codes = B.get_sorted(row["words"]), B.get(row["codes"], np.uint32)
-        rows = self.rows = B.rows_of(row["payload"])
-        self.learnt = np.repeat(~np.array(rows.column("held_out").to_pylist(), bool), self.lengths)
-        self.symbols = words[codes]
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        counts = B.joined(row["words_answer"], np.uint32).astype(np.int64)
-        self.known = counts[codes] > 0
-        self.base = self.p = (counts[codes] + 0.5) / (total + 0.5 * (distinct + 1))
-        self.levels: list[Level] = []
-        ends = counts[np.searchsorted(words, END)] if len(words) else 0
-        runs, n = self.symbols, counts[codes]
-        depth = 1
-        while True:
-            context = _moved(runs, self.starts, END if depth == 1 else 0)
-            before = _moved(n, self.starts, ends if depth == 1 else 0)
-            deep = before >= least
-            level = Level(context, before, deep, joined_runs(context, self.symbols), deep & (n >= least))
-            self.levels.append(level)
-            if f"counts_{depth}" not in row:
-                return
-            self._count(level, row[f"counts_{depth}"], least, discount)
-            if f"rests_{depth}" not in row:
-                return
-            self._rest(level, row[f"rests_{depth}"])
-            if f"kept_{depth}" in row:
-                self._keep(level, row[f"kept_{depth}"])
-            if row["depths"] == depth:
-                return
-            self.p = np.where(deep, level.own + level.rest * self.p, self.p)
-            runs, n = level.runs, level.counts
-            depth += 1
-
-    @staticmethod
-    def _count(level: Level, answers, least: int, discount: float) -> None:
-        _, at = np.unique(level.runs[level.asked], return_inverse=True)
-        n = np.zeros(len(level.runs), np.int64)
-        n[level.asked] = B.joined(answers, np.uint32)[at]
-        level.counts = n
-        level.own = np.where(n >= least, np.maximum(n - discount, 0) / np.maximum(level.context_counts, 1), 0.0)
-
-    @staticmethod
-    def _rest(level: Level, answers) -> None:
-        _, at = np.unique(level.contexts[level.deep], return_inverse=True)
-        signed = np.ones(len(level.contexts), np.float32)
-        signed[level.deep] = B.joined(answers, np.float32)[at]
-        level.rest = np.abs(signed).astype(np.float64)
-        level.alive = level.deep & (signed > 0)
-
-    @staticmethod
-    def _keep(level: Level, answers) -> None:
-        open_ = level.deep & ~level.alive
-        _, at = np.unique(level.contexts[open_], return_inverse=True)
-        level.alive[open_] = B.joined(answers, np.uint8)[at] > 0
-
-    def ask_counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        x = self.levels[-1]
-        keys, at = np.unique(x.runs[x.asked], return_inverse=True)
-        return keys, [np.bincount(at, self.learnt[x.asked], len(keys)).astype(np.uint32)]
-
-    def ask_rests(self, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Candidates with their counts and sums over occurrences of kept runs: how many; and shares of one, of the
-        divergence and of the suffix's probability."""
-        x = self.levels[-1]
-        keys, first, at = np.unique(x.contexts[x.deep], return_index=True, return_inverse=True)
-        kept = (self.learnt & (x.counts >= least))[x.deep]
-        share = np.where(kept, 1 / np.maximum(x.counts[x.deep], 1), 0.0)
-        own, p = np.maximum(x.own[x.deep], 1e-12), np.maximum(self.p[x.deep], 1e-12)
-        add = lambda v: np.bincount(at, v, len(keys)).astype(np.float32)
-        return keys, [
-            x.context_counts[x.deep][first].astype(np.uint32), np.bincount(at, kept, len(keys)).astype(np.uint32),
-            add(share), add(share * own * np.log(own / p)), add(share * p),
-        ]
-
-    def ask_kept(self, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Contexts of a depth that don't stay by themselves, and whether a longer one that stays needs them."""
-        x, longer = self.levels[depth - 1], self.levels[depth]
-        open_ = x.deep & ~x.alive
-        keys, at = np.unique(x.contexts[open_], return_inverse=True)
-        return keys, [(np.bincount(at, longer.alive[open_], len(keys)) > 0).astype(np.uint8)]
-
-    def scores(self) -> np.ndarray:
-        p = self.base
-        for x in self.levels:
-            p = np.where(x.alive, x.own + x.rest * p, p)
-        return p
-
-
-def _total(hashes, values, owner):
-    starts, run = B.runs(hashes)
-    totals = np.add.reduceat(values[0].astype(np.int64), starts)
-    return totals.astype(np.uint32)[run], np.array([(totals > 0).sum(), totals.sum()], np.int64).tobytes()
-
-
-def _any(hashes, values, owner):
-    starts, run = B.runs(hashes)
-    return np.maximum.reduceat(values[0], starts)[run], None
-
-
-def _rests(discount: float, least: float):
-    """Each context's rest, negative if the context doesn't stay; extra: how many stay."""
-
-    def reply(hashes, values, owner):
-        starts, run = B.runs(hashes)
-        count = values[0][starts].astype(np.float64)
-        seen, kinds, own, parent = (np.add.reduceat(v.astype(np.float64), starts) for v in values[1:])
-        rest = np.where(seen > 0, (count - seen + discount * kinds) / count, 1.0)
-        left, theirs = np.clip(rest, 1e-9, 1), np.clip(1 - parent, 1e-9, 1)
-        stays = (seen > 0) & (count * (own + left * np.log(left / theirs)) > least)
-        return np.where(stays, rest, -rest).astype(np.float32)[run], np.array([stays.sum()], np.int64).tobytes()
-
-    return reply
+        self.words, codes = B.get_sorted(row["words"]), B.get(row["codes"], np.uint32).astype(np.int64)
+        self.codes, self.rows = codes, B.rows_of(row["payload"])
+        self.learnt = np.repeat(~np.array(self.rows.column("held_out").to_pylist(), bool), self.lengths)
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.first = np.zeros(len(codes) + 1, bool)  # of a text; and what lies behind the last
+        self.first[starts], self.first[-1] = True, True
+        counts = B.joined(row["words_answer"], np.int64, "counts")
+        self.numbers = np.concatenate([B.get(a["numbers"], np.int64) * known.shards + a["shard"] for a in row["words_answer"]])
+        self.seen = counts[codes] > 0
+        self.base = known.base(counts)[codes]
+        self.p = self.base.copy()
+        before = np.empty_like(codes)
+        before[1:] = codes[:-1]
+        before[starts] = np.searchsorted(self.words, xxhash.xxh3_64_intdigest(END))
+        deep = counts[before] >= known.least
+        self.level = self._level(self.words, counts, np.flatnonzero(deep), before[deep])
+        for d in range(1, row["depths"] + 1):
+            self._step(row[f"depth_{d}"], hot[d - 1], row["depths"] == d and row["last"])
+
+    def _level(self, contexts, counts, at, of) -> Level:
+        return Level(contexts, counts, at, of, *coded(of, self.codes[at], len(self.words)))
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs in the order in which they are asked, and the pieces that they are asked in: where each one's
+        pairs begin, its hash, its context, and whether it is a part of a split context."""
+        x = self.level
+        parts = -(-x.counts // self.known.hot)
+        split = parts[x.pair_context] > 1
+        part = np.zeros(len(x.pair_context), np.int64)
+        if split.any():  # symbols are in the order of their hashes: parts are runs
+            high = (self.words[x.pair_symbol[split]] >> np.uint64(32)).astype(np.int64)
+            part[split] = (high * parts[x.pair_context[split]]) >> 32
+        new = np.ones(len(part), bool)
+        new[1:] = (x.pair_context[1:] != x.pair_context[:-1]) | (part[1:] != part[:-1])
+        begin = np.flatnonzero(new)
+        context = x.pair_context[begin]
+        route = x.contexts[context].copy()
+        partial = parts[context] > 1
+        route[partial] = mixed(route[partial] + np.uint64(1) + part[begin][partial].astype(np.uint64))
+        order = np.argsort(route, kind="stable")
+        size = np.diff(begin, append=len(part))
+        pairs = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(part))
+        return pairs, size[order], route[order], context[order], partial[order]
+
+    def ask(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+        x = self.level
+        pairs, size, route, context, partial = self.pieces()
+        n = np.bincount(x.pair, self.learnt[x.at], len(x.pair_context)).astype(np.uint32)
+        p = np.empty(len(x.pair_context), np.float16)
+        p[x.pair] = np.log10(self.p[x.at])
+        origin = np.where(partial, x.contexts[context], np.uint64(0))
+        return route, [x.counts[context], origin], size, [self.numbers[x.pair_symbol[pairs]], n[pairs], p[pairs]]
+
+    def _step(self, answers: list[dict] | None, hot: tuple[np.ndarray, np.ndarray], last: bool) -> None:
+        x, known = self.level, self.known
+        pairs, _, _, context, partial = self.pieces()
+        counts = np.zeros(len(pairs), np.int64)
+        counts[pairs] = B.joined(answers, np.int64, "counts")
+        rests = B.joined(answers, np.float32, "rests")
+        rest = np.full(len(x.contexts), -1.0)  # negative: the context doesn't stay
+        rest[context] = rests
+        if partial.any():
+            some = context[partial]
+            rest[some] = hot[1][np.searchsorted(hot[0], x.contexts[some])]
+        kept = counts >= known.least
+        own = np.where(kept, counts - known.discount, 0) / x.counts[x.pair_context]
+        stays = rest[x.of] >= 0
+        at, of = x.at[stays], x.of[stays]
+        self.p[at] = own[x.pair[stays]] + rest[of] * self.p[at]
+        if last:
+            return
+        on = kept[x.pair] & ~self.first[x.at + 1]
+        pair, at = x.pair[on], x.at[on] + 1
+        named = np.zeros(len(kept), bool)
+        named[pair] = True
+        named = np.flatnonzero(named)
+        runs = joined_runs(x.contexts[x.pair_context[named]], self.words[x.pair_symbol[named]])
+        order = np.argsort(runs)
+        place = np.zeros(len(kept), np.int64)
+        place[named[order]] = np.arange(len(order))
+        self.level = self._level(runs[order], counts[named[order]], at, place[pair])
+
+
+def _ask(blocks: DataFrame, shards: int, question) -> DataFrame:
+    """shard, block, pieces, values (arrays beside the pieces), sizes, entries (arrays beside the pieces' entries)."""
 
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
+                pieces, values, sizes, entries = question(row)
+                full, at = B.shard_runs(pieces, shards)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                cut = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+                deep = [slice(a, b) for a, b in zip(ends[at[:-1]], ends[at[1:]], strict=True)]
+                lists = lambda c, arrays: [B.put(v[c]) for v in arrays]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full.astype(np.int32)),
+                        pa.array([row["block"]] * len(full), pa.int64()),
+                        pa.array([B.put_sorted(pieces[c]) for c in cut], pa.binary()),
+                        pa.array([lists(c, [*values, sizes.astype(np.uint32)]) for c in cut], pa.list_(pa.binary())),
+                        pa.array([lists(c, entries) for c in deep], pa.list_(pa.binary())),
+                    ],
+                    names=["shard", "block", "pieces", "values", "entries"],
+                )
 
-def _extra(answers: DataFrame) -> np.ndarray:
-    """The sum of the shards' extra numbers."""
-    found = [np.frombuffer(r["data"], np.int64) for r in answers.where("block = -1").select("data").toLocalIterator()]
-    return np.sum(found, axis=0) if found else np.zeros(2, np.int64)
+    return blocks.mapInArrow(run, "shard int, block bigint, pieces binary, values array<binary>, entries array<binary>")
+
+
+def _answer(asked: DataFrame, known: Totals) -> DataFrame:
+    """shard, block, counts (of the block's pairs), rests (of its pieces; negative: doesn't stay). A row with block -1
+    has the shard's number of kept next symbols and the sums of its parts of split contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        ids = table.column("block").to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        values, entries = (table.column(n).to_pylist() for n in ("values", "entries"))
+        whole = lambda lists, j, kind: np.concatenate([B.get(lists[k][j], kind) for k in order])
+        pieces = [B.get_sorted(table.column("pieces")[k].as_py()) for k in order]
+        cc, origin, sizes = (whole(values, j, kind) for j, kind in enumerate((np.int64, np.uint64, np.uint32)))
+        symbol, n, p = (whole(entries, j, kind) for j, kind in enumerate((np.int64, np.uint32, np.float16)))
+        sizes = sizes.astype(np.int64)
+        found, first, of = np.unique(np.concatenate(pieces), return_index=True, return_inverse=True)
+        _, _, pair = coded(np.repeat(of, sizes), symbol, int(symbol.max()) + 1)
+        some = np.empty(pair.max() + 1, np.int64)  # an entry of each pair
+        some[pair] = np.arange(len(pair))
+        owner = np.repeat(of, sizes)[some]
+        totals = np.bincount(pair, n).astype(np.int64)
+        count, origin = cc[first].astype(np.float64), origin[first]
+        kept = totals >= known.least
+        own = np.where(kept, totals - known.discount, 0) / np.maximum(count[owner], 1)
+        under = np.where(kept, np.power(10.0, p[some].astype(np.float64)), 0.0)
+        add = lambda v: np.bincount(owner, v, len(found))
+        gain = own * np.log(np.where(kept, own, 1) / np.where(kept, under, 1))
+        sums = np.stack([count, add(kept), add(own), add(gain), add(under)], 1)
+        rest = _decided(sums, known.least_divergence)
+        split = origin > 0
+        head = np.concatenate([[np.float64(kept.sum())], np.column_stack([origin[split].view(np.float64), sums[split]]).ravel()])
+        totals[~kept] = 0
+        counts, rests = totals[pair], rest.astype(np.float32)[of]
+        ends = np.cumsum([len(x) for x in pieces])
+        deep = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        out = [(-1, head.tobytes(), b"")]
+        a = b = 0
+        for k, i, j in zip(order, ends, deep, strict=True):
+            out.append((ids[k], B.put(counts[b:j]), B.put(rests[a:i])))
+            a, b = i, j
+        return pa.table(
+            {
+                "shard": pa.array([shard] * len(out), pa.int32()),
+                "block": pa.array([x[0] for x in out], pa.int64()),
+                "counts": pa.array([x[1] for x in out], pa.binary()),
+                "rests": pa.array([x[2] for x in out], pa.binary()),
+            }
+        )
+
+    return asked.groupBy("shard").applyInArrow(run, "shard int, block bigint, counts binary, rests binary")
+
+
+def _decided(sums: np.ndarray, least: float) -> np.ndarray:
+    """Each context's rest, or -1 if it doesn't stay. sums: its count, kept next symbols, what they take of one, their
+    part of the divergence, and what the suffix gives them; all other symbols count as one."""
+    count, kinds, own, gain, under = sums.T
+    rest = 1 - own
+    left, theirs = np.clip(rest, 1e-9, 1), np.clip(1 - under, 1e-9, 1)
+    stays = (kinds > 0) & (count * (gain + left * np.log(left / theirs)) > least)
+    return np.where(stays, rest, -1.0)
+
+
+def _hot(answers: DataFrame, least: float) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """How many next symbols were kept, and the rests of split contexts by hash: at most MOST_HOT."""
+    kept, rows = 0, [np.empty((0, 6))]
+    for r in answers.where("block = -1").select("counts").toLocalIterator():
+        head = np.frombuffer(r["counts"], np.float64)
+        kept += int(head[0])
+        rows.append(head[1:].reshape(-1, 6))
+    rows = np.concatenate(rows)
+    names, first, at = np.unique(np.ascontiguousarray(rows[:, 0]).view(np.uint64), return_index=True, return_inverse=True)
+    sums = np.stack([rows[first, 1], *(np.bincount(at, rows[:, j], len(names)) for j in range(2, 6))], 1)
+    return kept, (names, _decided(sums, least))
+
+
+def _words(asked: DataFrame) -> DataFrame:
+    """shard, block, counts, numbers (the words' places in the shard); block -1: distinct and all words."""
 
+    def reply(hashes, values, owner):
+        starts, run = B.runs(hashes)
+        totals = np.add.reduceat(values[0].astype(np.int64), starts)
+        return [totals[run], run], np.array([(totals > 0).sum(), totals.sum()], np.int64).tobytes()
 
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """What is written here drops its shuffle files at the end: rounds don't add up on disk."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return B.answer(asked, reply, [np.uint32], ("counts", "numbers"))
 
 
 def train_and_score(
@@ -348,14 +331,15 @@ def train_and_score(
     held: Column,
     text: str = "text",
     id_column: str = "doc_id",
-    order: int = 2,
+    order: int = 4,
     least: int = 2,
     least_divergence: float = 10.0,
     discount: float = 0.5,
+    hot: int | None = None,
 ) -> DataFrame:
     """A row for each document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    held marks the documents that are only scored.
+    held marks the documents that are only scored. order: the longest context.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column), F.col(text).alias("__body"), F.coalesce(held, F.lit(False)).alias("held_out"))
@@ -367,31 +351,34 @@ def train_and_score(
         keys = B.get_sorted(row["words"])
         return keys, [np.bincount(B.get(row["codes"], np.uint32), learnt, len(keys)).astype(np.uint32)]
 
-    def exchange(name: str, question, reply, kinds: list) -> np.ndarray:
-        nonlocal blocks
-        with shuffles_dropped(docs.sparkSession):
-            answers = saved(B.answer(B.ask(blocks, shards, question), reply, kinds), f"lm-{name}")
-        blocks = B.with_answers(blocks, answers, name)
-        return _extra(answers)
-
-    distinct, total = map(int, exchange("words_answer", all_words, _total, [np.uint32]))
-    walk = lambda row, depths: Walk(row | {"depths": depths}, total, distinct, least, discount)
-    depth = 0
-    for depth in range(1, order + 1):
-        exchange(f"counts_{depth}", lambda row: walk(row, None).ask_counts(), _total, [np.uint32])
-        kinds = [np.uint32, np.uint32, np.float32, np.float32, np.float32]
-        stay = exchange(f"rests_{depth}", lambda row: walk(row, None).ask_rests(least), _rests(discount, least_divergence), kinds)
-        if not stay[0]:
+    answers = saved(_words(B.ask(blocks, shards, all_words)), "lm-words")
+    found = [np.frombuffer(r["counts"], np.int64) for r in answers.where("block = -1").select("counts").toLocalIterator()]
+    distinct, total = map(int, np.sum(found, axis=0)) if found else (0, 0)
+    blocks = B.with_answers(blocks, answers, "words_answer", ("counts", "numbers"))
+    known = Totals(total, distinct, shards, least, discount, least_divergence, hot or max(HOT, -(-total // MOST_HOT)))
+    split: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def walk(row: dict, depths: int, last: bool, split) -> Walk:
+        return Walk(row | {"depths": depths, "last": last}, known, split)
+
+    depths = 0
+    while depths < order:
+        asked = _ask(blocks, shards, lambda row, d=depths, s=tuple(split): walk(row, d, False, s).ask())
+        answers = saved(_answer(asked, known), f"lm-depth-{depths + 1}")
+        kept, more = _hot(answers, least_divergence)
+        depths += 1
+        split.append(more)
+        blocks = B.with_answers(blocks, answers, f"depth_{depths}", ("counts", "rests"))
+        if not kept:  # no longer contexts
             break
-    for d in range(depth - 1, 0, -1):
-        exchange(f"kept_{d}", lambda row, d=d, depth=depth: walk(row, depth).ask_kept(d), _any, [np.uint8])
     fields = [(id_column, kind), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"),
               ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")]
+    every = tuple(split)
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                w = walk({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}, depth)
+                w = walk({n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}, depths, True, every)
                 text_of = np.repeat(np.arange(len(w.lengths)), w.lengths)
                 add = lambda x: np.bincount(text_of, x, len(w.lengths))
                 yield pa.RecordBatch.from_arrays(
@@ -399,33 +386,12 @@ def train_and_score(
                         w.rows.column(id_column).combine_chunks(),
                         w.rows.column("held_out").combine_chunks(),
                         pa.array(w.lengths, pa.int64()),
-                        pa.array(add(w.known).astype(np.int64)),
+                        pa.array(add(w.seen).astype(np.int64)),
                         pa.array(np.full(len(w.lengths), total), pa.int64()),
                         pa.array(add(np.log10(w.base))),
-                        pa.array(add(np.log10(w.scores()))),
+                        pa.array(add(np.log10(w.p))),
                     ],
                     names=[n for n, _ in fields],
                 )
 
     return blocks.mapInArrow(run, extended(fields))
-
-
-def _prune(tree: Tree, name_counts: np.ndarray, least: float) -> None:
-    """Drops contexts that the divergence test doesn't keep; a kept context keeps its suffix."""
-    first, second = tree.depths
-    base = tree.base(name_counts.astype(np.float64))
-    nexts = (first.nexts & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first.alive = _diverging(first, base[nexts] if len(nexts) else np.empty(0), least)
-    owner = (second.nexts >> np.uint64(32)).astype(np.int64)
-    symbol = second.nexts & np.uint64(0xFFFFFFFF)
-    suffix = find(first.contexts, second.contexts & np.uint64(0xFFFFFFFF))
-    if len(owner):
-        s = suffix[owner]
-        at = find(first.nexts, (np.maximum(s, 0).astype(np.uint64) << np.uint64(32)) | symbol)
-        own = np.where((at >= 0) & (s >= 0), first.weights[np.maximum(at, 0)], 0.0)
-        rest = np.where(s >= 0, first.rest[np.maximum(s, 0)], 1.0)
-        second.alive = _diverging(second, own + rest * base[symbol.astype(np.int64)], least)
-    else:
-        second.alive = np.zeros(len(second.contexts), bool)
-    kept = suffix[second.alive & (suffix >= 0)]
-    first.alive[kept] = True

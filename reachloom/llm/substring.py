@@ -127,7 +127,7 @@ def remove_repeats(
     def smaller_elsewhere(hashes, values, owner):
         starts, run = B.runs(hashes)
         least = np.minimum.reduceat(values[0], starts)
-        return (least[run] < values[0]).astype(np.uint8), None
+        return [(least[run] < values[0]).astype(np.uint8)], None
 
     copies = saved(B.answer(B.ask(packed, shards, ask_copies), smaller_elsewhere, [np.int64]), "repeat-copies")
 
@@ -149,7 +149,7 @@ def remove_repeats(
     def shared_by_two(hashes, values, owner):
         starts, run = B.runs(hashes)
         many = np.maximum.reduceat(values[0], starts) | (np.diff(starts, append=len(hashes)) > 1)
-        return many[run].astype(np.uint8), None
+        return [many[run].astype(np.uint8)], None
 
     with_copies = B.with_answers(packed, copies, "copies")
     shared = saved(B.answer(B.ask(with_copies, shards, ask_anchors), shared_by_two, [np.uint8]), "repeat-anchors")

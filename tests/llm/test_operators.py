@@ -339,22 +339,23 @@ def test_lm_scores(edge, docs):
 
 
 def test_lm_tree_is_whole(spark):
-    """The spread tree equals one grown whole in memory, on a corpus so large that shares of it would cut."""
+    """The spread tree equals one grown whole in memory, on a corpus so large that shares of it would cut; also where
+    frequent contexts are split."""
     rng = np.random.RandomState(5)
     filler = lambda n: [f"f{k}" for k in rng.randint(0, 5000, n)]
     rows = []
-    planted = {0: "rare pair here goes on", 1: "left mid one", 2: "right mid two", 7: "left mid one", 8: "right mid two"}
+    planted = {0: "rare pair here goes on", 1: "left mid one", 2: "right mid two", 7: "left mid one", 8: "right mid two",
+               3: "a b c d one", 4: "e b c d two", 9: "a b c d one", 13: "e b c d two"}
     for i in range(360):  # 'rare pair' stands 18 times in 180,000 words: a ten-thousandth
         at = filler(500)
         rows.append((i, " ".join([*at[:250], *planted.get(i % 20, "").split(), *at[250:]])))
     rows.append((1000, "x rare pair here goes on"))
-    got = lmscore.train_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") == 1000)
-    got = {r["doc_id"]: r for r in got.collect()}
     trained = [[*t.split(), " "] for i, t in rows if i != 1000]
     n = Counter(w for t in trained for w in t)
     total, distinct = sum(n.values()), len(n)
+    order = 4
     runs = [n]  # runs[d]: counts of d + 1 symbols, an end before each text
-    for d in (1, 2):
+    for d in range(1, order + 1):
         more = Counter()
         for t in trained:
             s = [" ", *t]
@@ -365,52 +366,43 @@ def test_lm_tree_is_whole(spark):
         for k, v in runs[d].items():
             contexts[d][k[:-1]][k[-1]] = v
     count = lambda c: n[c[0]] if len(c) == 1 else runs[len(c) - 1][c]
+    alive = set()
 
-    def p(c, x, alive=None):
+    def p(c, x):
         if not c:
             return (n[x] + 0.5) / (total + 0.5 * (distinct + 1))
-        under = p(c[1:], x, alive)
-        nexts = contexts[len(c)].get(c, {}) if len(c) < len(runs) else {}
-        if not nexts or alive is not None and c not in alive:
+        under = p(c[1:], x)
+        if c not in alive:
             return under
+        nexts = contexts[len(c)][c]
         own = max(nexts.get(x, 0) - 0.5, 0) / count(c)
         return own + (1 - sum(v - 0.5 for v in nexts.values()) / count(c)) * under
 
-    alive = set()
     for d in range(1, len(runs)):
-        found = set()
         for c, nexts in contexts[d].items():
             w = {x: (v - 0.5) / count(c) for x, v in nexts.items()}
-            under = {x: p(c[1:], x) for x in nexts}
+            under = {x: 10.0 ** float(np.float16(np.log10(p(c[1:], x)))) for x in nexts}
             left = np.clip([1 - sum(w.values()), 1 - sum(under.values())], 1e-9, 1)
             if count(c) * (sum(w[x] * math.log(w[x] / under[x]) for x in w) + left[0] * math.log(left[0] / left[1])) > 10:
-                found.add(c)
-        alive |= {c[k:] for c in found for k in range(len(c))}
-    assert ("rare",) in alive and any(len(c) == 2 for c in alive)
-    longest = max(map(len, alive))
-    for i, t in (rows[0], rows[1], rows[2], rows[-1]):
-        s = [" ", *t.split(), " "]
-        want = sum(math.log10(p(tuple(s[max(0, k - longest) : k]), s[k], alive)) for k in range(1, len(s)))
-        assert got[i]["score"] == pytest.approx(want, rel=1e-6)
-    assert got[1000]["score"] - got[1000]["base_score"] > 8  # the passage is known
-
-
-def test_tree_distributions_sum_to_one():
-    names = np.arange(1, 6, dtype=np.uint64)
-    counts = np.array([50, 30, 20, 10, 5])
-    tree = lmscore.Tree(names, int(counts.sum()), 5, [])
-    keys = np.array([(c << 32) | s for c in (0, 1) for s in range(4)], np.uint64)
-    tree.depths = [
-        lmscore._depth(keys, np.array([20, 15, 10, 4, 9, 9, 9, 2]), np.array([0, 1], np.uint64), np.array([50, 30]), 0.5),
-        lmscore._depth(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0), 0.5),
-    ]
-    unknown = np.array([999], np.uint64)
-    total = 0.0
-    for x in [*names, *unknown]:
-        two = np.array([names[0], x], np.uint64)
-        base = tree.base(np.array([50.0, dict(zip(names, counts)).get(x, 0)]))
-        total += tree.score(two, np.array([0, 1]), base)[1]
-    assert total == pytest.approx(1.0)
+                alive.add(c)
+    assert ("rare",) in alive and ("a", "b", "c", "d") in alive and any(len(c) == 2 for c in alive)
+    for hot in (None, 300):
+        got = lmscore.train_and_score(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") == 1000, hot=hot)
+        got = {r["doc_id"]: r for r in got.collect()}
+        for i, t in (rows[0], rows[1], rows[2], rows[3], rows[4], rows[-1]):
+            s = [" ", *t.split(), " "]
+            want = sum(math.log10(p(tuple(s[max(0, k - order) : k]), s[k])) for k in range(1, len(s)))
+            assert got[i]["score"] == pytest.approx(want, rel=1e-6)
+        assert got[1000]["score"] - got[1000]["base_score"] > 8  # the passage is known
+
+
+def test_pairs_are_coded_alike():
+    rng = np.random.RandomState(1)
+    c, s = rng.randint(0, 50, 3000), rng.randint(0, 40, 3000)
+    for scale in (1, 2**40):  # the second has no room for positions
+        found, symbols, inverse = lmscore.coded(c * scale, s, 64)
+        assert (found[inverse] == c * scale).all() and (symbols[inverse] == s).all()
+        assert len(found) == len(set(zip(c, s))) and sorted(zip(found, symbols)) == list(zip(found, symbols))
 
 
 def test_quality_by_brute_force(edge, docs):
