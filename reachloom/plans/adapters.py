@@ -33,7 +33,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN c_custkey % 5 = 0 THEN '' WHEN c_custkey % 19 = 0 THEN 'https://www.linkedin.com/company/x'
             ELSE 'linkedin.com/in/Person-' || CAST(c_custkey AS STRING) || '?trk=a' END AS profile_url,
           '' AS status, c_mktsegment AS notes
-        FROM {{customer}} CROSS JOIN (SELECT count(*) AS parts FROM {{part}}) n JOIN {{part}} ON p_partkey = c_custkey % parts""",
+        FROM (SELECT *, c_custkey % (SELECT count(*) FROM {{part}}) AS part_no FROM {{customer}}) c JOIN {{part}} ON p_partkey = part_no""",
     ),
     "history_contacts": (
         ("orders", "part"),
@@ -51,7 +51,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
             WHEN o_orderstatus = 'O' THEN 'Interested' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'Do not contact'
             ELSE 'Safe to recontact' END END AS status,
           o_orderpriority AS owner, CAST(CAST(o_orderdate AS DATE) AS STRING) AS contact_date
-        FROM {{orders}} CROSS JOIN (SELECT count(*) AS parts FROM {{part}}) n JOIN {{part}} ON p_partkey = o_custkey % parts""",
+        FROM (SELECT *, o_custkey % (SELECT count(*) FROM {{part}}) AS part_no FROM {{orders}}) o JOIN {{part}} ON p_partkey = part_no""",
     ),
     "message_events": (
         ("events",),
