@@ -1,32 +1,29 @@
 """Token counts with a public tokenizer, returning lengths only.
 
-Texts are cut at ASCII spaces, tabs and line ends. That is safe when the tokenizer's rules never join text across
-white space (word_bpe_49k.json: white space is dropped between words, composition and lower-casing stop at it, and
-the special strings have none): a text's count is then the sum over its pieces. Equal pieces are counted once and
-remembered for a bounded number of pieces; new pieces are encoded in batches of about BATCH_BYTES, and pieces longer
-than that make a batch of their own. Tokenizers without this property are given whole texts (cut=False).
-
-Cases: null counts as empty, and empty texts have no tokens. A piece without white space is never cut, however long.
+The library encodes batches of texts; only the lengths of the encodings are kept. Batches are balanced by bytes: pieces
+are packed, the largest first, into as few batches of about BATCH_BYTES as hold them. A text longer than LONG_BYTES is
+split into pieces of about that size at safe boundaries, runs of ASCII spaces, tabs and line ends. They are safe when
+the tokenizer's rules never join text across white space (word_bpe_49k.json: white space is dropped between words,
+composition and lower-casing stop at it, and the special strings have none): a text's count is then the sum over its
+pieces. Tokenizers without this property are given whole texts (cut=False).
+
+Cases: null counts as empty, and empty texts have no tokens. A stretch without white space is never cut, however long.
 Repeated rows each get their row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
-from pathlib import Path
 
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import annotate
 
 BATCH_BYTES = 256 << 10
-#: Remembered pieces in one Python worker.
-REMEMBERED = 600_000
-PARTS = re.compile(r"[ \t\n\r]+")
+LONG_BYTES = 64 << 10
+SAFE = re.compile(r"[ \t\n\r]+")
 
 
 class Counting:
@@ -37,72 +34,53 @@ class Counting:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = public_tokenizers.path(name)
-        self.cut, self.known = cut, {"": 0}
+        self.cut = cut
         if name.endswith(".json"):
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            whole = lambda t: [len(e) for e in tokenizer.encode_batch_fast(t, add_special_tokens=False)]
-            self.encode = self.by_model(tokenizer, path, whole) if cut else whole
+            self.encode = lambda t: [len(e) for e in tokenizer.encode_batch_fast(t, add_special_tokens=False)]
         else:
             import sentencepiece
 
             pieces = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda t: [len(e) for e in pieces.encode(t, num_threads=1)]
 
+    def pieces(self, text: str, size: int = LONG_BYTES) -> list[str]:
+        """A text, or what it is split into where it is long: each piece ends at the first safe boundary after `size`."""
+        if not self.cut or len(text) <= size:
+            return [text]
+        out, at = [], 0
+        while at < len(text):
+            found = SAFE.search(text, at + size)
+            end = found.start() if found else len(text)
+            out.append(text[at:end])
+            at = found.end() if found else end
+        return out
+
     @staticmethod
-    def by_model(tokenizer, path: str, whole):
-        """encode() for pieces: printable ASCII pieces are split by the tokenizer file's own pattern and handed
-        straight to its model, which skips building encodings; all others, and any with a marker of a special
-        string, take the library's whole way. Only for files that lower-case and split by one pattern."""
-        spec = json.loads(Path(path).read_text())
-        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        if steps != ["NFC", "Replace", "Lowercase"] or "Regex" not in split.get("pattern", {}):
-            return whole
-        pattern, model = regex.compile(split["pattern"]["Regex"]), tokenizer.model
-        marks = [t["content"][:2] for t in spec.get("added_tokens", [])]
-
-        def encode(pieces: list[str]) -> list[int]:
-            counts, rest = [], []
-            for k, p in enumerate(pieces):
-                if p.isascii() and p.isprintable() and not any(m in p for m in marks):
-                    counts.append(sum([len(model.tokenize(x)) for x in pattern.findall(p.lower())]))
-                else:
-                    counts.append(0)
-                    rest.append(k)
-            if rest:
-                for k, n in zip(rest, whole([pieces[k] for k in rest]), strict=True):
-                    counts[k] = n
-            return counts
-
-        return encode
-
-    def batches(self, texts: list[str]):
-        """Runs of texts with about BATCH_BYTES each; a longer text goes alone."""
-        run, held = [], 0
-        for t in texts:
-            if run and held + len(t) > BATCH_BYTES:
-                yield run
-                run, held = [], 0
-            run.append(t)
-            held += len(t) + 16
-        if run:
-            yield run
+    def batches(sizes: list[int]) -> list[list[int]]:
+        """Numbers of pieces in batches: the largest piece left opens one, and the next ones fill it up to
+        BATCH_BYTES."""
+        out: list[list[int]] = []
+        held = 0
+        for k in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+            if not out or held + sizes[k] > BATCH_BYTES:
+                out.append([])
+                held = 0
+            out[-1].append(k)
+            held += sizes[k] + 16
+        return out
 
     def lengths(self, texts: list[str]) -> list[int]:
-        if not self.cut:
-            return [n for run in self.batches(texts) for n in self.encode(run)]
-        pieces = [PARTS.split(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for each in pieces for p in each}.difference(known))
-        for run in self.batches(sorted(new, key=len)):
-            known.update(zip(run, self.encode(run), strict=True))
-        return [sum(map(known.__getitem__, each)) for each in pieces]
+        counts = [0] * len(texts)
+        pieces = [(k, p) for k, t in enumerate(texts) if t for p in self.pieces(t)]
+        for batch in self.batches([len(p) for _, p in pieces]):
+            for j, n in zip(batch, self.encode([pieces[j][1] for j in batch]), strict=True):
+                counts[pieces[j][0]] += n
+        return counts
 
 
 #: One for each tokenizer in a Python worker, kept between its tasks.

@@ -96,6 +96,11 @@ def test_token_counts_equal_whole_texts(edge, docs):
     for i, t in pairs(table):
         want[(i, len((t or "").encode()), whole.lengths([t or ""])[0])] += 1
     assert got == want
+    cutting = tokens.Counting("word_bpe_49k.json", cut=True)
+    long = [t for _, t in pairs(table) if t and len(t) > 3000][:40]
+    for size in (50, 700):  # every long text in many pieces
+        assert [sum(cutting.encode(cutting.pieces(t, size))) for t in long] == whole.lengths(long)
+    assert cutting.pieces("x" * 200_000) == ["x" * 200_000]
     odd = ["don't I'LL <|endoftext|>x a<|startoftext|> 12", "x\x00y \x1c ΣΑΣ.", "́ a", "a\x0bb", "<|endoftext", "é́"]
     assert tokens.Counting("word_bpe_49k.json", cut=True).lengths(odd) == whole.lengths(odd)
 
