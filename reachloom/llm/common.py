@@ -76,6 +76,14 @@ def window_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def window_hashes_at(h: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hashes of the runs of n consecutive word hashes that begin at some positions."""
+    out = np.full(len(at), np.uint64((0x51ED270B + seed * 0x632BE59BD9B4E019) % 2**64), np.uint64)
+    for i in range(n):
+        out = mixed(out ^ h[at + i])
+    return out
+
+
 def pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 

@@ -12,7 +12,8 @@ Steps (blocks.py moves what they ask and answer): 1. Documents of equal words: a
 words and take no further part. 2. Anchors that two documents have. 3. Of windows around such anchors, the smallest
 id. 4. The words are removed.
 
-Words, anchors, windows and whole documents are compared by 64-bit hashes.
+Windows and whole documents are compared by 128-bit hashes, words within them by 64-bit ones. Anchors are compared by
+fewer bits: a chance match there only costs work.
 
 Cases: a null or empty text has no words. Ids are whole numbers; a null id counts as larger than all others. Rows
 with equal ids never lose words to each other. Repeated rows all come back. An empty table gives an empty result.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import WordHash, saved, window_hashes
+from .common import WordHash, saved, window_hashes, window_hashes_at
 
 PERIOD = 7
 #: Every remainder modulo 7 is a difference of two of these.
@@ -47,15 +48,16 @@ class Block:
         self.words = [b.split() if b else [] for b in self.rows.column("__text").to_pylist()]
         self.hashed = hashed
 
-    def prints(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of at least a window, and a hash of all their words."""
+    def prints(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of at least a window, and two hashes of all their words."""
         rows = np.array([k for k, w in enumerate(self.words) if len(w) >= window], np.int64)
-        return rows, np.array([xxhash.xxh3_64_intdigest(b" ".join(self.words[k])) for k in rows], np.uint64)
+        both = [xxhash.xxh3_128_intdigest(b" ".join(self.words[k])) for k in rows]
+        return rows, np.array([p >> 64 for p in both], np.uint64), np.array([p & (2**64 - 1) for p in both], np.uint64)
 
     def firsts(self, window: int, answers: list[dict] | None) -> np.ndarray:
         """Rows that are no copy of a smaller id's words (one of several equal rows with the smallest id)."""
-        rows, prints = self.prints(window)
-        _, at, least = smallest(prints, self.ids[rows])
+        rows, *prints = self.prints(window)
+        _, _, at, least = smallest(*prints, self.ids[rows])
         smaller = B.joined(answers, np.uint8)
         return rows[(smaller[at] == 0) & (self.ids[rows] == least[at])]
 
@@ -66,12 +68,17 @@ class Block:
         return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), starts
 
 
-def smallest(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, each entry's place among them, and the smallest id of each."""
-    found, at = np.unique(hashes, return_inverse=True)
-    least = np.full(len(found), NO_ID)
-    np.minimum.at(least, at, ids)
-    return found, at, least
+def smallest(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, check) pairs in order, each entry's place among them, and the smallest id of each."""
+    order = np.lexsort((checks, hashes))
+    h, c = hashes[order], checks[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    starts = np.flatnonzero(new)
+    at = np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(ids[order], starts) if len(starts) else np.empty(0, np.int64)
+    return h[starts], c[starts], at, least
 
 
 def anchors(hashes: np.ndarray, starts: np.ndarray, window: int, keep_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,17 +93,17 @@ def anchors(hashes: np.ndarray, starts: np.ndarray, window: int, keep_bits: int)
     return (all_hashes[good] >> low) << low, at[good], owner[good]
 
 
-def candidates(hashes: np.ndarray, starts: np.ndarray, window: int, shared_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows with an anchor at one of the positions shared_at: hash, position, number of the text."""
+def candidates(hashes: np.ndarray, starts: np.ndarray, window: int, shared_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows with an anchor at one of the positions shared_at: two hashes, position, number of the text."""
     if len(hashes) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     marked = np.zeros(len(hashes) + 1, np.int32)
     marked[shared_at + 1] = 1
     before = np.cumsum(marked)
     at = np.arange(len(hashes) - window + 1)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(at)]
-    good = (before[at + PERIOD] > before[at]) & (at + window <= starts[owner + 1])
-    return window_hashes(hashes, window, 2)[good], at[good], owner[good]
+    good = np.flatnonzero((before[at + PERIOD] > before[at]) & (at + window <= starts[owner + 1]))
+    return window_hashes_at(hashes, good, window, 2), window_hashes_at(hashes, good, window, 3), good, owner[good]
 
 
 def remove_repeats(
@@ -120,16 +127,16 @@ def remove_repeats(
 
     def ask_copies(row: dict):
         b = Block(row["payload"], id_column, None)
-        rows, prints = b.prints(window)
-        keys, _, least = smallest(prints, b.ids[rows])
-        return keys, [least]
+        rows, *prints = b.prints(window)
+        keys, checks, _, least = smallest(*prints, b.ids[rows])
+        return keys, [least, checks]
 
     def smaller_elsewhere(hashes, values, owner):
-        starts, run = B.runs(hashes)
-        least = np.minimum.reduceat(values[0], starts)
-        return [(least[run] < values[0]).astype(np.uint8)], None
+        ids, checks = values
+        _, _, at, least = smallest(hashes, checks, ids)
+        return [(least[at] < ids).astype(np.uint8)], None
 
-    copies = saved(B.answer(B.ask(packed, shards, ask_copies), smaller_elsewhere, [np.int64]), "repeat-copies")
+    copies = saved(B.answer(B.ask(packed, shards, ask_copies), smaller_elsewhere, [np.int64, np.uint64]), "repeat-copies")
 
     def anchors_of(row: dict):
         b = Block(row["payload"], id_column, hashed)
@@ -158,15 +165,15 @@ def remove_repeats(
         b, firsts, words, starts, (found, places, _) = anchors_of(row)
         _, at = np.unique(found, return_inverse=True)
         dup = B.joined(row["anchors"], np.uint8)[at] == 1 if len(found) else np.empty(0, bool)
-        hashes, where, owner = candidates(words, starts, window, places[dup])
-        return b, firsts, starts, where, owner, smallest(hashes, b.ids[firsts][owner])
+        hashes, checks, where, owner = candidates(words, starts, window, places[dup])
+        return b, firsts, starts, where, owner, smallest(hashes, checks, b.ids[firsts][owner])
 
     def ask_windows(row: dict):
-        *_, (keys, _, least) = windows_of(row)
-        return keys, [least]
+        *_, (keys, checks, _, least) = windows_of(row)
+        return keys, [least, checks]
 
     both = _answers_of(packed, copies=copies, anchors=shared)
-    found = saved(B.answer(B.ask(both, shards, ask_windows), smaller_elsewhere, [np.int64]), "repeat-windows")
+    found = saved(B.answer(B.ask(both, shards, ask_windows), smaller_elsewhere, [np.int64, np.uint64]), "repeat-windows")
     every = _answers_of(packed, copies=copies, anchors=shared, windows=found)
     fields = [source.schema[c] for c in (id_column, *extra)]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -176,7 +183,7 @@ def remove_repeats(
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                b, firsts, starts, where, owner, (_, at, least) = windows_of(row)
+                b, firsts, starts, where, owner, (_, _, at, least) = windows_of(row)
                 smaller = B.joined(row["windows"], np.uint8)
                 gone = [np.zeros(len(w), bool) for w in b.words]
                 for r, w in enumerate(b.words):
