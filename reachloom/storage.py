@@ -50,17 +50,23 @@ class Scratch:
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, by: str | None = None, buckets: int = 1) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and outlives executors. What the write has
-    shuffled is dropped at once: nothing reads it again."""
+    shuffled is dropped at once: nothing reads it again. With `by` it is a bucketed table: joins on that column with
+    tables of as many buckets need no shuffle."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    key = f"{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{key}"
     before = spark.conf.get(DROP_SHUFFLES, None)
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        if by:
+            key = key.replace("-", "_")
+            df.write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(key)
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
     if Scratch._open:
         Scratch._open[-1].paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(key) if by else spark.read.schema(df.schema).parquet(path)
