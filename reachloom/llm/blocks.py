@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, pack, saved, texts, unpack
 
+#: Raw text bytes of one bucket of blocks, and Spark's bound on buckets.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
 #: Raw text bytes for one shard. A text of this size asks for about two million hashes at the very most.
 SHARD_BYTES = 16 << 20
 
@@ -32,8 +34,11 @@ def packed_blocks(
     name: str,
     start: Callable[[], Callable[[pa.Table], tuple[pa.Table, list[bytes]]]] | None = None,
     extra: tuple[str, ...] = (),
+    buckets: int = 0,
 ) -> DataFrame:
-    """A table of blocks: block, raw (text bytes), payload (packed rows with `columns` and __text).
+    """A table of blocks: block, raw (text bytes), payload (packed rows with `columns` and __text); bucketed by block if
+    buckets are asked for: answers written by bucketed_answers() then join it without a shuffle, so that exchanges
+    don't move the blocks.
 
     start() gives a function that runs on each block's rows and returns the rows to keep instead, and what the extra
     columns hold. A block is cut when its texts reach BLOCK_BYTES; a longer text is a block of its own.
@@ -71,17 +76,30 @@ def packed_blocks(
             yield block()
 
     schema = "block bigint, raw bigint, " + ", ".join(f"{n} binary" for n in names[2:])
-    return saved(source.mapInArrow(run, schema), name)
+    blocks = source.mapInArrow(run, schema)
+    return saved(blocks.repartition(buckets, "block"), name, "block", buckets) if buckets else saved(blocks, name)
 
 
 def rows_of(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(unpack(payload)).read_all()
 
 
-def shards_for(blocks: DataFrame) -> int:
+def shards_for(blocks: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     """A power of two, so that a hash's high bits name its shard."""
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
-    return 1 << max(0, math.ceil(raw / SHARD_BYTES) - 1).bit_length()
+    return 1 << max(0, math.ceil(raw / shard_bytes) - 1).bit_length()
+
+
+def buckets_for(docs: DataFrame, text: str) -> int:
+    raw = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    return min(MOST_BUCKETS, max(1, math.ceil(raw / BUCKET_BYTES)))
+
+
+def bucketed_answers(answers: DataFrame, name: str, fields: tuple[str, ...], buckets: int) -> DataFrame:
+    """block, `name` (array<struct<shard, fields>>): each block's answers by shard. Blocks under 0 are shards' extras."""
+    per = answers.repartition(buckets, "block").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("shard", *fields))).alias(name))
+    return saved(per, f"answers-{name}", "block", buckets)
 
 
 def put(values: np.ndarray) -> bytes:
@@ -140,7 +158,7 @@ def ask(blocks: DataFrame, shards: int, question: Callable[[dict], tuple[np.ndar
 def answer(asked: DataFrame, reply: Callable, kinds: list, names: tuple[str, ...] = ("data",)) -> DataFrame:
     """shard, block and the answers: reply(hashes, values, owner) sees all entries of a shard, sorted by hash and then by
     block (owner numbers the blocks), and returns (arrays of answers in that order, one for each of names; extra bytes
-    or None). The extra bytes come as a row with block -1, under the first name."""
+    or None). The extra bytes come as a row with block -1 - shard, under the first name."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -159,7 +177,7 @@ def answer(asked: DataFrame, reply: Callable, kinds: list, names: tuple[str, ...
         ends = np.cumsum(lengths)
         out = [(ids[k], *(put(f[e - n : e]) for f in back)) for k, n, e in zip(order, lengths, ends, strict=True)]
         if extra is not None:
-            out.append((-1, extra, *[b""] * (len(names) - 1)))
+            out.append((-1 - shard, extra, *[b""] * (len(names) - 1)))
         columns = {"shard": pa.array([shard] * len(out), pa.int32()), "block": pa.array([x[0] for x in out], pa.int64())}
         return pa.table(columns | {n: pa.array([x[j] for x in out], pa.binary()) for j, n in enumerate(names, 1)})
 

@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import extended, mixed, saved
+from .common import extended, mixed
 
 #: The end symbol: a word that no text can have.
 END = b" "
+#: Raw text bytes for one shard.
+SHARD_BYTES = 8 << 20
 #: Occurrences from which a context is split, at least; and the most contexts of one length that may be split.
 HOT, MOST_HOT = 1 << 20, 200_000
 
@@ -50,7 +52,7 @@ class Local(dict):
         return number
 
 
-def symbol_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
+def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """Blocks of symbols instead of texts: lengths (symbols of each text), words (sorted hashes of the block's distinct
     symbols), codes (each symbol's place among them)."""
 
@@ -72,7 +74,7 @@ def symbol_blocks(docs: DataFrame, columns: list[str]) -> DataFrame:
 
         return work
 
-    return B.packed_blocks(docs, "__body", columns, "lm-symbols", start, ("lengths", "words", "codes"))
+    return B.packed_blocks(docs, "__body", columns, "lm-symbols", start, ("lengths", "words", "codes"), buckets)
 
 
 @dataclass
@@ -242,8 +244,8 @@ def _ask(blocks: DataFrame, shards: int, question) -> DataFrame:
 
 
 def _answer(asked: DataFrame, known: Totals) -> DataFrame:
-    """shard, block, counts (of the block's pairs), rests (of its pieces; negative: doesn't stay). A row with block -1
-    has the shard's number of kept next symbols and the sums of its parts of split contexts."""
+    """shard, block, counts (of the block's pairs), rests (of its pieces; negative: doesn't stay). A row with block
+    -1 - shard has the shard's number of kept next symbols and the sums of its parts of split contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -275,7 +277,7 @@ def _answer(asked: DataFrame, known: Totals) -> DataFrame:
         counts, rests = totals[pair], rest.astype(np.float32)[of]
         ends = np.cumsum([len(x) for x in pieces])
         deep = np.concatenate([[0], np.cumsum(sizes)])[ends]
-        out = [(-1, head.tobytes(), b"")]
+        out = [(-1 - shard, head.tobytes(), b"")]
         a = b = 0
         for k, i, j in zip(order, ends, deep, strict=True):
             out.append((ids[k], B.put(counts[b:j]), B.put(rests[a:i])))
@@ -305,8 +307,8 @@ def _decided(sums: np.ndarray, least: float) -> np.ndarray:
 def _hot(answers: DataFrame, least: float) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
     """How many next symbols were kept, and the rests of split contexts by hash: at most MOST_HOT."""
     kept, rows = 0, [np.empty((0, 6))]
-    for r in answers.where("block = -1").select("counts").toLocalIterator():
-        head = np.frombuffer(r["counts"], np.float64)
+    for r in answers.where("block < 0").select(F.col("depth")[0]["counts"]).toLocalIterator():
+        head = np.frombuffer(r[0], np.float64)
         kept += int(head[0])
         rows.append(head[1:].reshape(-1, 6))
     rows = np.concatenate(rows)
@@ -316,7 +318,7 @@ def _hot(answers: DataFrame, least: float) -> tuple[int, tuple[np.ndarray, np.nd
 
 
 def _words(asked: DataFrame) -> DataFrame:
-    """shard, block, counts, numbers (the words' places in the shard); block -1: distinct and all words."""
+    """shard, block, counts, numbers (the words' places in the shard); block -1 - shard: distinct and all words."""
 
     def reply(hashes, values, owner):
         starts, run = B.runs(hashes)
@@ -343,18 +345,23 @@ def train_and_score(
     """
     kind = docs.schema[id_column].dataType.simpleString()
     source = docs.select(F.col(id_column), F.col(text).alias("__body"), F.coalesce(held, F.lit(False)).alias("held_out"))
-    blocks = symbol_blocks(source, [id_column, "held_out"])
-    shards = B.shards_for(blocks)
+    buckets = B.buckets_for(source, "__body")
+    blocks = symbol_blocks(source, [id_column, "held_out"], buckets)
+    shards = B.shards_for(blocks, SHARD_BYTES)
 
     def all_words(row: dict):
         learnt = np.repeat(~np.array(B.rows_of(row["payload"]).column("held_out").to_pylist(), bool), B.get(row["lengths"], np.int64))
         keys = B.get_sorted(row["words"])
         return keys, [np.bincount(B.get(row["codes"], np.uint32), learnt, len(keys)).astype(np.uint32)]
 
-    answers = saved(_words(B.ask(blocks, shards, all_words)), "lm-words")
-    found = [np.frombuffer(r["counts"], np.int64) for r in answers.where("block = -1").select("counts").toLocalIterator()]
+    def told(answers: DataFrame, name: str) -> None:
+        nonlocal blocks
+        blocks = blocks.join(answers.select("block", F.col(answers.columns[1]).alias(name)), "block", "left")
+
+    words = B.bucketed_answers(_words(B.ask(blocks, shards, all_words)), "words_answer", ("counts", "numbers"), buckets)
+    found = [np.frombuffer(r[0], np.int64) for r in words.where("block < 0").select(F.col("words_answer")[0]["counts"]).toLocalIterator()]
     distinct, total = map(int, np.sum(found, axis=0)) if found else (0, 0)
-    blocks = B.with_answers(blocks, answers, "words_answer", ("counts", "numbers"))
+    told(words, "words_answer")
     known = Totals(total, distinct, shards, least, discount, least_divergence, hot or max(HOT, -(-total // MOST_HOT)))
     split: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -364,11 +371,11 @@ def train_and_score(
     depths = 0
     while depths < order:
         asked = _ask(blocks, shards, lambda row, d=depths, s=tuple(split): walk(row, d, False, s).ask())
-        answers = saved(_answer(asked, known), f"lm-depth-{depths + 1}")
+        answers = B.bucketed_answers(_answer(asked, known), "depth", ("counts", "rests"), buckets)
         kept, more = _hot(answers, least_divergence)
         depths += 1
         split.append(more)
-        blocks = B.with_answers(blocks, answers, f"depth_{depths}", ("counts", "rests"))
+        told(answers, f"depth_{depths}")
         if not kept:  # no longer contexts
             break
     fields = [(id_column, kind), ("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"),
