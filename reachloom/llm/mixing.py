@@ -3,7 +3,9 @@
 Each source gets a target in words: weights share out a budget, no source goes over max_copies times its own words,
 and what capped sources leave is shared among the others by weight. A source's target is then met with whole copies
 of every document as far as they fit, and with a sample for the rest: each document has an inclusion probability
-(proportional to the root of its size, certain where that reaches one), gets the rank
+proportional to the root of its size, so that the expected words are the rest. Documents whose probability would reach
+one are certain: they are taken out first, the largest before others, and the odds of the others are set for what is
+left. Each of the others gets the rank
 
     random odds / inclusion odds
 
@@ -62,6 +64,33 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
+def inclusion(rows: DataFrame) -> DataFrame:
+    """__t (source), __certain (the size from which documents are certain), __odds: the others are included with a
+    probability of __odds times the root of their size.
+
+    rows: source, rest, size, of the documents that can be taken. Works on the number of documents of each size, of
+    which a source has no more than its longest document has words. Going down from the largest, a size is certain as
+    long as its probability would reach one among the documents not yet certain; the first that doesn't ends it.
+    """
+    down = Window.partitionBy("source").orderBy(F.desc("size"))
+    sizes = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"))
+    size, n = F.col("size").cast("double"), F.col("n")
+    larger = lambda c: F.sum(c).over(down) - c
+    every = Window.partitionBy("source")
+    left = F.col("rest") - larger(size * n)
+    roots = F.sum(n * F.pow(size, 1.5)).over(every) - larger(n * F.pow(size, 1.5))
+    steps = sizes.select("source", "size", (left / F.greatest(roots, F.lit(1e-300))).alias("odds"))
+    # All documents of a size are certain together: taking one leaves no lower odds for the next.
+    ends = steps.where(F.col("odds") * F.sqrt(F.col("size").cast("double")) < 1)
+    first = ends.groupBy("source").agg(F.max(F.struct("size", "odds")).alias("x"))
+    return rows.select("source").distinct().join(
+        first.select(F.col("source").alias("__f"), "x"), F.col("source").eqNullSafe(F.col("__f")), "left"
+    ).select(
+        F.col("source").alias("__t"), F.coalesce(F.col("x.size") + 1, F.lit(0)).alias("__certain"),
+        F.coalesce(F.col("x.odds"), F.lit(0.0)).alias("__odds"),
+    )
+
+
 def _cut(rows: DataFrame, can: Column, id_column: str) -> DataFrame:
     """rows with __extra 1 for those among `can` that come before the first that goes over the source's rest."""
     steps = rows.where(can).groupBy("source", "__step").agg(
@@ -69,7 +98,7 @@ def _cut(rows: DataFrame, can: Column, id_column: str) -> DataFrame:
     along = Window.partitionBy("source").orderBy("__step")
     cuts = (
         steps.withColumn("__upto", F.sum("__words").over(along))
-        .where(F.col("__upto") >= F.col("rest") - 1e-6)
+        .where(F.col("__upto") > F.col("rest") + 1e-6)
         .groupBy(F.col("source").alias("__s"))
         .agg(F.min(F.struct("__step", F.expr("__upto - __words AS before"))).alias("__cut"))
     )
@@ -120,19 +149,17 @@ def mix(
     )
     per = saved(per, "targets")
     small = F.col("size") <= F.col("rest") + 1e-6
-    roots = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).groupBy(F.col("source").alias("__t")).agg(
-        F.sum(F.when(small, F.pow(F.col("size").cast("double"), 1.5)).otherwise(0.0)).alias("__roots"))
-    per = per.join(roots, F.col("__s").eqNullSafe(F.col("__t"))).drop("__t")
+    joined = sizes.join(per, F.col("source").eqNullSafe(F.col("__s")))
+    per = per.join(inclusion(joined.where(small & (F.col("size") > 0))), F.col("__s").eqNullSafe(F.col("__t")), "left").drop("__t")
     ranked = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     u = uniform(F.col(id_column), seed)
-    chance = F.when(small & (F.col("__roots") > 0), F.col("rest") / F.col("__roots") * F.sqrt(F.col("size").cast("double"))).otherwise(F.lit(0.0))
-    ranked = ranked.withColumn("__pi", chance).withColumn(
-        "__rank",
-        F.when(F.col("__pi") >= 1, F.lit(0.0))
-        .when(F.col("__pi") <= 0, F.lit(None).cast("double"))
-        .otherwise((u / (1 - u)) / (F.col("__pi") / (1 - F.col("__pi")))),
-    )
-    ranked = ranked.withColumn("__step", F.floor(F.lit(STEPS) * F.col("__rank") / (1 + F.col("__rank"))))
+    certain = small & (F.col("size") >= F.col("__certain"))
+    chance = F.least(F.lit(1 - 1e-12), F.col("__odds") * F.sqrt(F.col("size").cast("double")))
+    rank = F.when(certain, F.lit(0.0)).when(
+        small & (F.col("size") > 0) & (chance > 0), (u / (1 - u)) / (chance / (1 - chance)))
+    ranked = ranked.withColumn("__rank", rank)
+    step = F.floor(F.lit(STEPS) * F.col("__rank") / (1 + F.col("__rank")))
+    ranked = ranked.withColumn("__step", F.when(certain, F.lit(-1)).otherwise(step)).drop("__certain", "__odds")
     can = (F.col("size") > 0) & F.col("__rank").isNotNull()
     taken = saved(_cut(ranked.withColumn("__extra", F.lit(0)), can, id_column), "sample")
     limits = per.select(F.col("__s").alias("__g"), F.col("rest").alias("__limit"))

@@ -322,6 +322,35 @@ def test_mixing_fills_beside_a_long_document(spark):
         assert got[0]["target"] - 60 < sum(r["taken"] for r in got) <= got[0]["target"]
 
 
+def test_mixing_includes_as_often_as_stated(spark):
+    """Certain documents always; others about as often as a plain computation of the inclusion odds says."""
+    sizes = [900, 500] + [40 + 3 * (k % 30) for k in range(1500)]
+    table = spark.createDataFrame([(k, "w " * n, "a") for k, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    rest = 0.25 * sum(sizes)
+    certain, left = set(), rest
+    while True:
+        roots = sum(s**1.5 for k, s in enumerate(sizes) if k not in certain)
+        more = [k for k, s in enumerate(sizes) if k not in certain and left / roots * s**0.5 >= 1]
+        if not more:
+            break
+        certain.add(max(more, key=lambda k: sizes[k]))
+        left = rest - sum(sizes[k] for k in certain)
+    docs = table.select("doc_id", F.lit("a").alias("source"), F.size(quality.words_of(F.col("text"))).alias("size"), F.lit(rest).alias("rest"))
+    got = mixing.inclusion(docs).first()
+    assert {k for k, s in enumerate(sizes) if s >= got["__certain"]} == certain
+    assert got["__odds"] == pytest.approx(left / roots)
+    big = spark.createDataFrame([(0, 5000, "b", 20000.0)] + [(k, 10, "b", 20000.0) for k in range(1, 3000)], "doc_id bigint, size bigint, source string, rest double")
+    assert mixing.inclusion(big).first()["__certain"] == 11  # its odds reach one only as the largest
+    runs, hits = 6, Counter()
+    for seed in range(runs):
+        hits.update(r["doc_id"] for r in mixing.mix(table, [1.0], budget=0.25, seed=seed).collect() if r["copies"])
+    assert all(hits[k] == runs for k in certain)
+    for low, high in ((40, 70), (70, 100), (100, 140)):
+        group = [k for k, s in enumerate(sizes) if low <= s < high]
+        want = sum(left / roots * sizes[k] ** 0.5 for k in group) / len(group)
+        assert sum(hits[k] for k in group) / runs / len(group) == pytest.approx(want, rel=0.1)
+
+
 def test_lm_scores(edge, docs):
     table = docs.select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
