@@ -83,7 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", F.col("host_rate"),
+        "base_failed", "kept", "host_rate", "host_rule",
     )
 
 

@@ -459,7 +459,38 @@ def test_quality_by_brute_force(edge, docs):
 
 
 def test_a_bad_host_goes_whole(spark):
-    good = " ".join(f"g{i}" for i in range(30))
-    rows = [(k, "short", "bad") for k in range(60)] + [(100, good, "bad")] + [(200 + k, good + str(k), "fine") for k in range(60)]
-    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
-    assert not got[100] and all(got[200 + k] for k in range(60))
+    """Host rates and verdicts by a plain computation, on hosts of many sizes of which some fail a rule mostly."""
+    rng = np.random.RandomState(4)
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = []
+    for h, (n, share, bad) in enumerate(
+        [(60, 0.95, "short"), (80, 0.9, good + " #" * 9), (3, 1.0, "short"), (50, 0.4, "short"), (40, 0.05, "short"), (70, 0.0, ""), (30, 1.0, "x\n" * 40),
+         (25, 0.1, "short"), (90, 0.02, ""), (21, 0.05, "short"), (200, 0.03, "short"), (1, 0.0, "")]):
+        rows += [(len(rows) + k, bad if rng.rand() < share else f"{good} {len(rows) + k}", None if h == 11 else f"h{h}") for k in range(n)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(table).collect()}
+    count, fails = Counter(), defaultdict(Counter)
+    for i, _, h in rows:
+        r = got[i]
+        count[h] += 1
+        w = r["n_words"]
+        own = {"few_words": w < 20, "repeats": 100 * r["n_repeat_words"] > 30 * w, "symbols": 10 * r["n_symbols"] > w,
+               "word_length": not 2 * w <= r["word_chars"] <= 15 * w, "repeated_lines": r["n_dup_lines"] > 0.3 * r["n_lines"]}
+        for rule, bad in own.items():
+            fails[rule][h] += bad
+    rejected, best = set(), defaultdict(float)
+    for rule, failed in fails.items():
+        rates = [failed[h] / count[h] for h in count]
+        mean = sum(failed.values()) / sum(count.values())
+        within = mean * (1 - mean)
+        between = max(np.var(rates, ddof=1) - within * np.mean([1 / n for n in count.values()]), 1e-9)
+        weight = max(2.0, min(1000.0, within / between - 1))
+        for h, n in count.items():
+            rate = (failed[h] + mean * weight) / (n + weight)
+            best[h] = max(best[h], rate)
+            if n >= 20 and rate > 0.5 and rate > mean + 3.0 * math.sqrt(within / (weight + 1)):
+                rejected.add(h)
+    assert rejected and "h2" not in rejected and "h5" not in rejected and any(r["base_failed"] != (not r["kept"]) for r in got.values())
+    for i, _, h in rows:
+        assert got[i]["host_rate"] == pytest.approx(best[h])
+        assert got[i]["kept"] == (not got[i]["base_failed"] and h not in rejected)
