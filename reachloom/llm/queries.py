@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, substring, tokens, toxicity
 from .common import crc_mod
+from .oracles import ORACLES
 
 #: Weights of the sources in code-point order, repeated.
 SOURCE_WEIGHTS = [3.0, 1.0, 2.0]
@@ -38,7 +39,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
     )
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.format_chat(turns))
+    return chat.read_back(chat.format_chat(turns)).drop("valid")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality.quality_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "host_rate", "host_rule",
+        "base_failed", "kept",
     )
 
 
@@ -103,4 +104,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
