@@ -13,7 +13,8 @@ still outside with every class of another component (_links_in_buckets). Round 3
 that hold two groups of a bucket's classes, bounded by bytes; a pair that shares several bands is looked at in the
 first of them only, and a task gives at most one link for two components, so no pair becomes a row of its own.
 
-A candidate's signatures are compared STEP minima at a time; it is pruned as soon as the posterior probability (uniform
+Of each minimum a signature keeps the low 8 bits: two minima then agree by chance once in 256, which the match
+probability takes into account. A candidate's signatures are compared STEP minima at a time; it is pruned as soon as the posterior probability (uniform
 prior) that the similarity reaches the threshold falls below `miss` divided by the number of looks, so that all looks
 together miss a pair at the threshold with a probability of about `miss`. Survivors are verified exactly on full sets,
 rebuilt from the texts. Links are closed to components by label passing with stars (operators/graph.py).
@@ -45,7 +46,7 @@ STEP = 24
 #: Bytes (signatures and packed texts) of a bucket's classes that one side of an in-task comparison holds.
 GROUP_BYTES = 512 << 10
 #: Rounds in which classes outside a bucket's largest component meet one drawn member of it, and members to draw from.
-DRAWN_ROUNDS = 2
+DRAWN_ROUNDS = 3
 DRAWN = 4
 SCALES = np.random.RandomState(7).randint(0, 2**32, (2, MINIMA), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 NO_ID = 2**63 - 1
@@ -83,9 +84,10 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
     """For 0, STEP, 2 STEP, ... compared minima: the fewest equal ones at which P(similarity >= threshold) is at least
     miss divided by the number of looks.
 
-    With a uniform prior the similarity's posterior after m of n equal minima is Beta(m + 1, n - m + 1); its upper tail
-    is the chance of at most m successes in n + 1 draws at the threshold.
+    With a uniform prior the match probability's posterior after m of n equal minima is Beta(m + 1, n - m + 1); its
+    upper tail is the chance of at most m successes in n + 1 draws at the threshold's match probability.
     """
+    threshold += (1 - threshold) / 256
     out, miss = [0], miss / (COMPARED // STEP)
     for n in range(STEP, COMPARED + 1, STEP):
         tail, m = 0.0, -1
@@ -98,7 +100,7 @@ def least_matches(threshold: float, miss: float) -> np.ndarray:
 
 def _prepared(docs: DataFrame, words: int, text: str, id_column: str, carry: list[str]) -> DataFrame:
     """A saved row for each document: row (a number), id, the carried columns, a, b (hashes of its set), n_shingles;
-    for the slice's first row of each set also minima (low 16 bits), bands and the text packed."""
+for the slice's first row of each set also minima (low 8 bits), bands, marks (their low 16 bits) and the text packed."""
     carried = [F.col(c).alias(f"__carry_{c}") for c in carry]
     source = docs.select(
         F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID)).alias("id"), *carried,
@@ -120,6 +122,7 @@ def _prepared(docs: DataFrame, words: int, text: str, id_column: str, carry: lis
             chosen = np.array(sorted(first.values()), np.int64)
             minima: list = [None] * len(ids)
             bands: list = [None] * len(ids)
+            marks: list = [None] * len(ids)
             packed: list = [None] * len(ids)
             if len(chosen):
                 inside = np.repeat(np.isin(np.arange(len(ids)), chosen), sizes)
@@ -129,9 +132,10 @@ def _prepared(docs: DataFrame, words: int, text: str, id_column: str, carry: lis
                 for r in range(ROWS):
                     keys = (keys ^ grouped[:, :, r]) * np.uint64(0xD6E8FEB86659FD93)
                     keys ^= keys >> np.uint64(32)
-                low = made[:, :COMPARED].astype(np.uint16)
+                low = made[:, :COMPARED].astype(np.uint8)
                 for j, k in enumerate(chosen):
                     minima[k], bands[k], packed[k] = low[j].tobytes(), keys[j].view(np.int64), pack(bodies[k])
+                    marks[k] = keys[j].astype(np.uint16).tobytes()
             half = lambda x, s: np.array([(p >> s) & (2**64 - 1) for p in x], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -141,13 +145,14 @@ def _prepared(docs: DataFrame, words: int, text: str, id_column: str, carry: lis
                     pa.array(sizes),
                     pa.array(minima, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
+                    pa.array(marks, pa.binary()),
                     pa.array(packed, pa.binary()),
                 ],
-                names=[*before, "a", "b", "n_shingles", "minima", "bands", "packed"],
+                names=[*before, "a", "b", "n_shingles", "minima", "bands", "marks", "packed"],
             )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    schema = f"{kinds} a bigint, b bigint, n_shingles bigint, minima binary, bands array<bigint>, packed binary"
+    schema = f"{kinds} a bigint, b bigint, n_shingles bigint, minima binary, bands array<bigint>, marks binary, packed binary"
     return saved(source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "near-sets")
 
 
@@ -161,7 +166,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mx, my = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, COMPARED) for i in (2, 3))
+            mx, my = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COMPARED) for i in (2, 3))
             alive = np.arange(batch.num_rows)
             equal = np.zeros(batch.num_rows, np.int64)
             for step, least_equal in enumerate(least[1:]):
@@ -185,9 +190,9 @@ def _links_in_buckets(mixed: DataFrame, signed: DataFrame, words: int, percent:
     outside = F.col("component") != F.col("main")
     groups = lambda v: F.greatest(F.lit(1), F.ceil(F.sum(v) / GROUP_BYTES)).cast("int")
     dealt = mixed.groupBy("bucket").agg(groups(F.when(outside, F.col("bytes")).otherwise(0)).alias("fews"), groups(F.col("bytes")).alias("manys"))
-    rows = mixed.join(saved(dealt, "near-dealt"), "bucket").join(signed.select("node", "minima", "bands", "packed"), "node")
+    rows = mixed.join(saved(dealt, "near-dealt"), "bucket").join(signed, "node")
     place = lambda n: F.pmod(F.xxhash64("node", F.lit(11)), F.col(n)).cast("int")
-    members = F.collect_list(F.struct("node", "component", "minima", "bands", "packed"))
+    members = F.collect_list(F.struct("node", "component", "minima", "marks", "packed"))
     few = rows.where(outside).groupBy("bucket", place("fews").alias("k")).agg(members.alias("few"), F.first("manys").alias("manys"))
     few = few.select("bucket", F.explode(F.sequence(F.lit(0), F.col("manys") - 1)).alias("place"), "few")
     many = rows.groupBy("bucket", place("manys").alias("place")).agg(
@@ -195,9 +200,9 @@ def _links_in_buckets(mixed: DataFrame, signed: DataFrame, words: int, percent:
     both = few.join(many, ["bucket", "place"]).select("few", "many", "main", "band")
 
     def side(column, k: int):
-        nodes, parts, minima, bands, packed = column[k].values.flatten()
-        minima = np.frombuffer(b"".join(minima.to_pylist()), np.uint16).reshape(-1, COMPARED)
-        return nodes.to_numpy(), parts.to_numpy(), minima, bands.flatten().to_numpy().reshape(-1, BANDS), packed
+        nodes, parts, minima, marks, packed = column[k].values.flatten()
+        minima = np.frombuffer(b"".join(minima.to_pylist()), np.uint8).reshape(-1, COMPARED)
+        return nodes.to_numpy(), parts.to_numpy(), minima, np.frombuffer(b"".join(marks.to_pylist()), np.uint16).reshape(-1, BANDS), packed
 
     def run(batches):
         hashed = WordHash()
@@ -213,7 +218,9 @@ def _links_in_buckets(mixed: DataFrame, signed: DataFrame, words: int, percent:
                     equal += (mi[a, at] == mj[b, at]).sum(1)
                     good = equal >= least_equal
                     a, b, equal = a[good], b[good], equal[good]
-                here = (bi[a] == bj[b]).argmax(1) == band  # else another bucket has the pair
+                # The first band that both share by its mark and its minima; if it's another one, another bucket has the pair.
+                same = (mi[a] == mj[b]).reshape(-1, BANDS, ROWS).all(2) & (bi[a] == bj[b])
+                here = same.argmax(1) == band
                 a, b, equal = a[here], b[here], equal[here]
                 joined: dict[int, int] = {}
                 sets: dict[tuple[int, int], np.ndarray] = {}
@@ -283,12 +290,12 @@ def near_duplicates(
     node = F.min(F.when(F.col("minima").isNotNull(), F.col("row"))).alias("node")
     classes = prepared.where("n_shingles > 0").groupBy(*kinds).agg(F.min("id").alias("least"), node)
     classes = saved(classes, "near-classes")
-    signed = prepared.where("minima IS NOT NULL").select(F.col("row").alias("node"), "minima", "bands", "packed")
+    signed = prepared.where("minima IS NOT NULL").select(F.col("row").alias("node"), "minima", "bands", "marks", "packed")
     signed = signed.join(classes.select("node"), "node", "left_semi")
-    buckets = signed.select("node", (F.length("packed") + 1500).alias("bytes"), F.posexplode("bands").alias("band", "bucket"))
+    buckets = signed.select("node", (F.length("packed") + 700).alias("bytes"), F.posexplode("bands").alias("band", "bucket"))
     counts = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = saved(buckets.join(counts.select("bucket", "lead"), "bucket"), "near-buckets")
-    signed = saved(signed.join(members.select("node").distinct(), "node", "left_semi"), "near-signed")
+    signed = saved(signed.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "near-signed")
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely = saved(_likely(pairs, signed, percent / 100, miss), "near-likely")  # one Python worker a task at a time
