@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .common import extended, mixed
 
-#: The end symbol: a word that no text can have.
-END = b" "
+#: The end symbol: a word that no text can have, as this byte isn't UTF-8.
+END = b"\xff"
 #: Raw text bytes for one shard.
 SHARD_BYTES = 8 << 20
 #: Occurrences from which a context is split, at least; and the most contexts of one length that may be split.
@@ -58,19 +58,16 @@ def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFram
 
     def start():
         def work(rows: pa.Table):
-            local, parts, lengths = Local(), [], []
-            end = local[END]
-            for body in rows.column("__text").to_pylist():
-                words = body.lower().split() if body else []
-                parts.append(np.fromiter(map(local.__getitem__, words), np.uint32, len(words)))
-                parts.append(np.array([end], np.uint32))
-                lengths.append(len(words) + 1)
+            local = Local()
+            bodies = [(body or b"").replace(END, b"\xef\xbf\xbd") for body in rows.column("__text").to_pylist()]
+            words = (b" " + END + b" ").join([*bodies, b""]).lower().split()  # an end after each text
+            numbers = np.fromiter(map(local.__getitem__, words), np.uint32, len(words))
+            lengths = np.diff(np.flatnonzero(numbers == local[END]), prepend=-1)
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in local], np.uint64)
             order = np.argsort(hashes)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            codes = place[np.concatenate(parts)]
-            return rows.drop_columns(["__text"]), [B.put(np.array(lengths, np.int64)), B.put_sorted(hashes[order]), B.put(codes)]
+            return rows.drop_columns(["__text"]), [B.put(lengths.astype(np.int64)), B.put_sorted(hashes[order]), B.put(place[numbers])]
 
         return work
 
@@ -124,7 +121,7 @@ class Level:
     of: np.ndarray  # each position's context
     pair_context: np.ndarray
     pair_symbol: np.ndarray
-    pair: np.ndarray  # each position's pair
+    pair: np.ndarray  # each position's pair; -1 where the suffix's pair is too rare for this one to be kept
 
 
 class Walk:
@@ -147,17 +144,23 @@ class Walk:
         before = np.empty_like(codes)
         before[1:] = codes[:-1]
         before[starts] = np.searchsorted(self.words, xxhash.xxh3_64_intdigest(END))
+        self.frequent = counts[codes] >= known.least  # the pair with the suffix occurs often enough
         deep = counts[before] >= known.least
         self.level = self._level(self.words, counts, np.flatnonzero(deep), before[deep])
         for d in range(1, row["depths"] + 1):
             self._step(row[f"depth_{d}"], hot[d - 1], row["depths"] == d and row["last"])
 
     def _level(self, contexts, counts, at, of) -> Level:
-        return Level(contexts, counts, at, of, *coded(of, self.codes[at], len(self.words)))
+        asked = np.flatnonzero(self.frequent[at])
+        pair_context, pair_symbol, inverse = coded(of[asked], self.codes[at[asked]], len(self.words))
+        pair = np.full(len(at), -1)
+        pair[asked] = inverse
+        return Level(contexts, counts, at, of, pair_context, pair_symbol, pair)
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs in the order in which they are asked, and the pieces that they are asked in: where each one's
-        pairs begin, its hash, its context, and whether it is a part of a split context."""
+        """The pairs in the order in which they are asked, and the pieces that they are asked in: how many pairs each
+        has, its hash, its context, and whether it is a part of a split context. A context without pairs is asked for
+        its rest alone."""
         x = self.level
         parts = -(-x.counts // self.known.hot)
         split = parts[x.pair_context] > 1
@@ -169,20 +172,30 @@ class Walk:
         new[1:] = (x.pair_context[1:] != x.pair_context[:-1]) | (part[1:] != part[:-1])
         begin = np.flatnonzero(new)
         context = x.pair_context[begin]
+        size = np.diff(begin, append=len(part))
         route = x.contexts[context].copy()
         partial = parts[context] > 1
         route[partial] = mixed(route[partial] + np.uint64(1) + part[begin][partial].astype(np.uint64))
+        alone = np.zeros(len(x.contexts), bool)
+        alone[x.of] = True
+        alone[x.pair_context] = False
+        alone = np.flatnonzero(alone & (parts <= 1))
+        begin, size = np.concatenate([begin, np.zeros_like(alone)]), np.concatenate([size, np.zeros_like(alone)])
+        route, context = np.concatenate([route, x.contexts[alone]]), np.concatenate([context, alone])
+        partial = np.concatenate([partial, np.zeros(len(alone), bool)])
         order = np.argsort(route, kind="stable")
-        size = np.diff(begin, append=len(part))
         pairs = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(part))
         return pairs, size[order], route[order], context[order], partial[order]
 
     def ask(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
         x = self.level
         pairs, size, route, context, partial = self.pieces()
-        n = np.bincount(x.pair, self.learnt[x.at], len(x.pair_context)).astype(np.uint32)
-        p = np.empty(len(x.pair_context), np.float16)
-        p[x.pair] = np.log10(self.p[x.at])
+        asked = np.flatnonzero(x.pair >= 0)
+        pair, at = x.pair[asked], x.at[asked]
+        n = np.bincount(pair, self.learnt[at], len(x.pair_context)).astype(np.uint32)
+        some = np.empty(len(x.pair_context), np.int64)  # a position of each pair
+        some[pair] = at
+        p = np.log10(self.p[some]).astype(np.float16)
         origin = np.where(partial, x.contexts[context], np.uint64(0))
         return route, [x.counts[context], origin], size, [self.numbers[x.pair_symbol[pairs]], n[pairs], p[pairs]]
 
@@ -198,13 +211,16 @@ class Walk:
             some = context[partial]
             rest[some] = hot[1][np.searchsorted(hot[0], x.contexts[some])]
         kept = counts >= known.least
-        own = np.where(kept, counts - known.discount, 0) / x.counts[x.pair_context]
+        own = np.append(np.where(kept, counts - known.discount, 0) / x.counts[x.pair_context], 0.0)  # the last: no pair
         stays = rest[x.of] >= 0
         at, of = x.at[stays], x.of[stays]
         self.p[at] = own[x.pair[stays]] + rest[of] * self.p[at]
         if last:
             return
-        on = kept[x.pair] & ~self.first[x.at + 1]
+        there = np.append(kept, False)[x.pair]
+        self.frequent = np.zeros(len(self.codes), bool)
+        self.frequent[x.at[there]] = True
+        on = there & ~self.first[x.at + 1]
         pair, at = x.pair[on], x.at[on] + 1
         named = np.zeros(len(kept), bool)
         named[pair] = True
@@ -258,11 +274,11 @@ def _answer(asked: DataFrame, known: Totals) -> DataFrame:
         symbol, n, p = (whole(entries, j, kind) for j, kind in enumerate((np.int64, np.uint32, np.float16)))
         sizes = sizes.astype(np.int64)
         found, first, of = np.unique(np.concatenate(pieces), return_index=True, return_inverse=True)
-        _, _, pair = coded(np.repeat(of, sizes), symbol, int(symbol.max()) + 1)
-        some = np.empty(pair.max() + 1, np.int64)  # an entry of each pair
+        _, _, pair = coded(np.repeat(of, sizes), symbol, int(symbol.max(initial=0)) + 1)
+        some = np.empty(pair.max(initial=-1) + 1, np.int64)  # an entry of each pair
         some[pair] = np.arange(len(pair))
         owner = np.repeat(of, sizes)[some]
-        totals = np.bincount(pair, n).astype(np.int64)
+        totals = np.bincount(pair, n, len(some)).astype(np.int64)
         count, origin = cc[first].astype(np.float64), origin[first]
         kept = totals >= known.least
         own = np.where(kept, totals - known.discount, 0) / np.maximum(count[owner], 1)
