@@ -151,6 +151,7 @@ def mix(
     small = F.col("size") <= F.col("rest") + 1e-6
     joined = sizes.join(per, F.col("source").eqNullSafe(F.col("__s")))
     per = per.join(inclusion(joined.where(small & (F.col("size") > 0))), F.col("__s").eqNullSafe(F.col("__t")), "left").drop("__t")
+    per = saved(per, "odds")  # a row for each source: the plans below use it many times
     ranked = sizes.join(per, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     u = uniform(F.col(id_column), seed)
     certain = small & (F.col("size") >= F.col("__certain"))
@@ -166,6 +167,7 @@ def mix(
     while True:
         sums = taken.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("__extra") * F.col("size")).alias("__had"))
         gaps = sums.join(limits, F.col("__s").eqNullSafe(F.col("__g"))).select("__s", (F.col("__limit") - F.col("__had")).alias("__gap"))
+        gaps = saved(gaps, "gaps")  # a row for each source
         now = taken.drop("rest").join(gaps, F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumnRenamed("__gap", "rest")
         fits = can & (F.col("__extra") == 0) & (F.col("size") <= F.col("rest") + 1e-6)
         if now.where(fits).isEmpty():

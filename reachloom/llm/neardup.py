@@ -46,7 +46,7 @@ STEP = 24
 #: Bytes (signatures and packed texts) of a bucket's classes that one side of an in-task comparison holds.
 GROUP_BYTES = 512 << 10
 #: Rounds in which classes outside a bucket's largest component meet one drawn member of it, and members to draw from.
-DRAWN_ROUNDS = 3
+DRAWN_ROUNDS = 2
 DRAWN = 4
 SCALES = np.random.RandomState(7).randint(0, 2**32, (2, MINIMA), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 NO_ID = 2**63 - 1
