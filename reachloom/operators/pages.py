@@ -13,23 +13,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import any_of
 from ..functions.text import (
     RELEVANT_PATH_TERMS,
     canonical_url,
+    clean_spaces,
     has_path_term,
     is_allowed_url,
     normalize_public_phone,
     normalize_text,
     phone_type,
     registrable_scope,
+    plain_text as plain_name,
     text_of,
     url_host,
-    words,
 )
+from .signals import around, positions
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words near a number that make it a phone number.
-PHONE_CUES = ("phone", "tel", "telephone", "mobile", "call", "contact", "office", "direct", "landline", "board", "fax", "reach")
+# Fixed values of the data rules: words near a number that make it a phone number, and what a number looks like.
+PHONE_CUES = ("phone", "telephone", "tel", "call", "mobile", "contact", "office", "reception", "switchboard", "media", "press", "investor")
+PHONE_SHAPE = r"(?<![\w])(?:\+?\d{1,3}[\s()./-]*)?(?:\(?\d{2,5}\)?[\s()./-]*){1,3}\d{3,5}(?![\w])"
+CONTAINERS = ("li", "p", "address", "div", "section")
 
 
 class _Elements(html.parser.HTMLParser):
@@ -39,6 +44,7 @@ class _Elements(html.parser.HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[tuple[int, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         got = dict(attrs)
@@ -54,11 +60,43 @@ class _Elements(html.parser.HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.pieces.append((self.open[-1] if self.open else -1, data.strip()))
         if self.open and data.strip():
             row = self.rows[self.open[-1]]
             row["text"] = f"{row['text']} {data.strip()}".strip()
 
 
+    def ancestors(self, node: int) -> Iterator[int]:
+        while node >= 0:
+            yield node
+            node = self.rows[node]["parent"]
+
+    def text_in(self, node: int) -> str:
+        return " ".join(t for at, t in self.pieces if node in self.ancestors(at))
+
+
+def tel_links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, candidate, evidence: numbers in tel: links with the text of the nearest list item, paragraph,
+    address, division or section around them (else the link's own)."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page, body in zip(batch["page_id"], batch["html"], strict=True):
+                if not body or "tel:" not in body:
+                    continue
+                reader = _Elements()
+                reader.feed(body)
+                for k, row in enumerate(reader.rows):
+                    if row["tag"] == "a" and row["href"].startswith("tel:"):
+                        around = next((n for n in reader.ancestors(row["parent"]) if reader.rows[n]["tag"] in CONTAINERS), k)
+                        rows.append((page, k, row["href"][4:].split("?", 1)[0], reader.text_in(around)))
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "candidate", "evidence"])
+
+    return pages.select("page_id", "html").mapInPandas(parse, "page_id bigint, pos int, candidate string, evidence string")
+
+
 def html_nodes(pages: DataFrame) -> DataFrame:
     """page_id, url, node, parent, tag, class, text, href, type."""
 
@@ -114,15 +152,29 @@ def plain_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s*\n\s*", "\n"))
 
 
-def phones_from_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, phone, kind: phone-shaped text with a cue word within 180 characters, once each."""
-    shaped = r"(?s)(.{0,180}?)(\+?\d[\d ().-]{6,18}\d)"
-    found = df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(shaped), F.lit(0))).alias("hit"))
-    found = found.select(key, "hit", normalize_public_phone(F.regexp_extract("hit", r"(\+?\d[\d ().-]{6,18}\d)$", 1)).alias("phone"))
-    cue = F.arrays_overlap(words(normalize_text(F.col("hit"))), F.array(*map(F.lit, PHONE_CUES)))
-    one = Window.partitionBy(key, "phone").orderBy("hit")
-    found = found.where((F.col("phone") != "") & cue).withColumn("n", F.row_number().over(one)).where("n = 1")
-    return found.select(key, "phone", phone_type(F.col("phone"), F.col("hit")).alias("kind"))
+def phones_from_pages(pages: DataFrame, leader: str = "") -> DataFrame:
+    """page_id, phone, kind, attribution, confidence, evidence: numbers of tel: links, then phone-shaped numbers
+    anywhere in the visible text with a cue word within 180 characters before or after; each number of a page once,
+    the first. pages: page_id, html."""
+    shape = F.lit(PHONE_SHAPE)
+    shown = pages.where(F.col("html").rlike(r"\d{3}")).select("page_id", clean_spaces(plain_text(F.col("html"))).alias("t"))
+    seen = shown.select("page_id", "t", F.posexplode(positions(F.col("t"), shape)).alias("pos", "at"))
+    near = around(F.col("t"), F.col("at.start"), F.length("at.match"), 180, 180)
+    seen = seen.select("page_id", F.lit(1).alias("step"), "pos", F.col("at.match").alias("candidate"), near.alias("evidence"))
+    found = tel_links(pages).select("page_id", F.lit(0).alias("step"), "pos", "candidate", "evidence").unionByName(seen)
+    found = found.withColumn("phone", normalize_public_phone(F.col("candidate"))).where("phone != ''")
+    found = found.withColumn("evidence", F.substring(clean_spaces(F.col("evidence")), 1, 280)).withColumn("key", normalize_text(F.col("evidence")))
+    cue = any_of([F.col("key").contains(c) for c in PHONE_CUES])
+    name = plain_name(leader)
+    theirs = F.col("key").contains(name) if name else F.lit(False)
+    link = F.col("step") == 0
+    found = found.where(link | cue).withColumns({
+        "attribution": F.when(theirs, "leader_context").otherwise("company_general"),
+        "confidence": F.when(link & theirs, "high").when(link | theirs, "medium").otherwise("low"),
+    })
+    one = F.row_number().over(Window.partitionBy("page_id", "phone").orderBy("step", "pos"))
+    return found.withColumn("n", one).where("n = 1").select(
+        "page_id", "phone", phone_type(F.col("phone"), F.col("evidence")).alias("kind"), "attribution", "confidence", "evidence")
 
 
 def message_links(df: DataFrame, key: str, html_column: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import taxonomy as X
 from ..operators import campaigns as M
 from ..operators import candidates as C
 from ..operators import schemas as S
+from ..operators import signals as G
 from ..session import table
 from . import twins as T
 from .adapters import cte, frame
@@ -553,3 +554,88 @@ def c04(spark, sf_dir):
     return S.reconcile_schema(frame(spark, sf_dir, "lead_rows"), ["name", "seq", "senior", "company", "phone"])
 
 
+
+
+# --- free text --------------------------------------------------------------------------------------------------------
+def _told(spark, sf_dir):
+    """Texts of documents with sentences about people and companies put between their words, by turns."""
+    said = F.expr("""CASE doc_id % 8 WHEN 0 THEN 'Keynote speaker at the summit: Ann Lee. ' WHEN 1 THEN 'Smart speaker system for sale. ' WHEN 2 THEN 'He raised a Series B round. '
+      WHEN 3 THEN 'Panelists include Bob Ray and Kim P. at the forum. ' WHEN 4 THEN 'A B2B SaaS platform for enterprise clients. '
+      WHEN 5 THEN 'Consumer app and retail customers, D2C. Enterprise sales. ' WHEN 6 THEN 'The GCC and its Captive Centre, award winner. ' ELSE '' END""")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(said, F.coalesce("text", F.lit(""))).alias("body"), "source")
+
+
+_TOLD = """told AS (SELECT doc_id, source, CASE doc_id % 8 WHEN 0 THEN 'Keynote speaker at the summit: Ann Lee. ' WHEN 1 THEN 'Smart speaker system for sale. ' WHEN 2 THEN 'He raised a Series B round. '
+  WHEN 3 THEN 'Panelists include Bob Ray and Kim P. at the forum. ' WHEN 4 THEN 'A B2B SaaS platform for enterprise clients. '
+  WHEN 5 THEN 'Consumer app and retail customers, D2C. Enterprise sales. ' WHEN 6 THEN 'The GCC and its Captive Centre, award winner. ' ELSE '' END || coalesce(text, '') AS body FROM documents)"""
+
+
+@query("D11_assess_signal", f"""WITH {_TOLD}
+  SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'Past Speaker' WHEN 2 THEN 'Company Growth' WHEN 3 THEN 'Past Speaker' WHEN 6 THEN 'Award Recipient' ELSE 'No Verified Signal' END AS name,
+    CASE doc_id % 8 WHEN 0 THEN 95 WHEN 2 THEN 65 WHEN 3 THEN 95 WHEN 6 THEN 88 ELSE 35 END AS score, doc_id % 8 IN (0, 3) AS selected_match FROM told""")
+def d11(spark, sf_dir):
+    rows = _told(spark, sf_dir).select("doc_id", F.lit("").alias("title"), "body", F.lit("Ann Lee").alias("person"))
+    return G.assess_signal(rows, "doc_id", ["panelist"]).select("doc_id", "name", "score", "selected_match")
+
+
+@query("D12_business_model", f"""WITH {_TOLD}
+  SELECT doc_id, CASE doc_id % 8 WHEN 4 THEN 'B2B' WHEN 5 THEN 'Hybrid' ELSE 'Unknown' END AS detected, doc_id % 8 IN (4, 5) AS matched,
+    CASE doc_id % 8 WHEN 4 THEN 'High' WHEN 5 THEN 'High' ELSE 'None' END AS confidence FROM told""")
+def d12(spark, sf_dir):
+    return _told(spark, sf_dir).select("doc_id", G.business_model(F.lit(""), F.col("body"), "B2B").alias("m")).select("doc_id", "m.detected", "m.matched", "m.confidence")
+
+
+@query("D13_gcc_terms", f"WITH {_TOLD} SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN 'GCC;Captive Centre' ELSE '' END AS terms FROM told")
+def d13(spark, sf_dir):
+    return _told(spark, sf_dir).select("doc_id", F.array_join(G.gcc_terms(F.col("body")), ";").alias("terms"))
+
+
+@query("X14_person_names", f"""WITH {_TOLD}, n AS (SELECT doc_id, list_concat(
+    list_filter(regexp_extract_all(body, '\\b([A-Z][a-z]{{1,15}}(?:\\s+[A-Z][a-z]{{1,15}}){{1,2}})\\b', 1), lambda x: len(list_intersect(regexp_split_to_array(lower(x), '\\s+'), [{T.quoted(G.NOT_NAMES)}])) = 0),
+    list_filter(regexp_extract_all(body, '\\b([A-Z][a-z]{{1,15}}\\s+[A-Z]\\.)', 1), lambda x: NOT list_contains([{T.quoted(G.NOT_NAMES)}], regexp_split_to_array(lower(x), '\\s+')[1]))) AS c FROM told)
+  SELECT doc_id, array_to_string(list_filter(c, lambda x, i: length(x) > 3 AND NOT list_contains(list_transform(c[1 : i - 1], lambda y: lower(y)), lower(x))), ';') AS names FROM n""")
+def x14(spark, sf_dir):
+    return _told(spark, sf_dir).select("doc_id", F.array_join(G.person_names(F.col("body")), ";").alias("names"))
+
+
+@query("X15_event_participants")
+def x15(spark, sf_dir):
+    return G.event_participants(_told(spark, sf_dir), "doc_id", "body")
+
+
+_FACTS = """CASE doc_id % 4 WHEN 0 THEN 'Revenue of $ 1,200 crore in the year, founded in 1998 and headquartered in Pune, India. ' WHEN 1 THEN 'It has 5,000+ employees. Net profit was 30 million. '
+  ELSE '' END || coalesce(text, '')"""
+
+
+@query("X16_company_facts", f"""WITH s AS (SELECT doc_id, source, {_FACTS} AS body FROM documents WHERE source <> '')
+  SELECT source, coalesce(arg_min('1,200 crore', doc_id) FILTER (WHERE doc_id % 4 = 0), '') AS revenue, coalesce(arg_min('5000', doc_id) FILTER (WHERE doc_id % 4 = 1), '') AS employees,
+    coalesce(arg_min('1998', doc_id) FILTER (WHERE doc_id % 4 = 0), '') AS founded, coalesce(arg_min('Pune', doc_id) FILTER (WHERE doc_id % 4 = 0), '') AS hq,
+    coalesce(arg_min('30 million', doc_id) FILTER (WHERE doc_id % 4 = 1), '') AS profit, coalesce(arg_min(substr(body, 1, 500), doc_id) FILTER (WHERE length(body) > 60), '') AS description
+  FROM s GROUP BY source""")
+def x16(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(_FACTS).alias("body"), F.lit("").alias("href"))
+    return G.company_facts(rows, "source", "doc_id").select("source", "revenue", "employees", "founded", "hq", "profit", "description")
+
+
+@query("X17_company_summary", f"""WITH s AS (SELECT doc_id, {_FACTS} AS body FROM documents)
+  SELECT doc_id, CASE WHEN length(body) <= 60 THEN '—' ELSE coalesce(nullif(substr(array_to_string(list_filter(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+    lambda x: length(x) > 30)[1 : 2], ' '), 1, 300), ''), '—') END AS description, CASE WHEN doc_id % 4 = 1 THEN '30 million' ELSE '—' END AS profit FROM s""")
+def x17(spark, sf_dir):
+    said, profit = G.company_summary(F.col("body"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_FACTS).alias("body")).select("doc_id", said.alias("description"), profit.alias("profit"))
+
+
+@query("J08_best_profile_for_person", """
+  WITH p AS (SELECT c_custkey AS id, c_custkey % 5 AS k FROM customer)
+  SELECT id AS person_id, CASE k WHEN 0 THEN 'matched' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'matched' WHEN 3 THEN 'not_found' ELSE 'ambiguous' END AS match_status,
+    CASE k WHEN 0 THEN 'u' || CAST(id AS VARCHAR) || 'a' WHEN 2 THEN 'u' || CAST(id AS VARCHAR) || 'a' ELSE '' END AS url,
+    CASE k WHEN 0 THEN CAST(1.0 AS DOUBLE) WHEN 1 THEN CAST(0.6 AS DOUBLE) WHEN 2 THEN CAST(0.6 AS DOUBLE) + CAST(0.3 AS DOUBLE) WHEN 3 THEN CAST(0.0 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS score FROM p""")
+def j08(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("person_id"), F.lit("Dr. Ann Lee").alias("name"), F.lit("Zenith Foods Ltd").alias("company"), F.lit("Head of Data").alias("designation"))
+    k = F.col("person_id") % 5
+    first = people.select("person_id", F.concat(F.lit("u"), F.col("person_id").cast("string"), F.lit("a")).alias("url"),
+                          F.when(k == 3, "Bob Ray").otherwise("Ann Lee").alias("name"), F.when(k == 1, "Other").otherwise("Zenith Foods").alias("company"),
+                          F.when(k.isin(0, 4), "the head of data there").otherwise("x").alias("text"))
+    second = people.where(k == 4).select("person_id", F.lit("u-second").alias("url"), F.lit("A Lee").alias("name"), F.lit("Zenith Foods").alias("company"), F.lit("data head").alias("text"))
+    return G.best_profile(people, first.unionByName(second)).select("person_id", "match_status", "url", "score")

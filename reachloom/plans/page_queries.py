@@ -14,8 +14,17 @@ def x00(spark, sf_dir):
     return X.html_nodes(table(spark, sf_dir, "pages")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
+def _with_contacts(spark, sf_dir):
+    """The pages, each with a contact block of its own, as the given ones have none."""
+    n = F.lpad(F.col("page_id").cast("string"), 6, "0")
+    block = F.concat(
+        F.lit('<address>Ann Lee, press office <a href="tel:+44 20 7'), n, F.lit('">call</a></address><p>Phone: 080 1'), n, F.lit("7, 080 8"), n,
+        F.lit('5 (switchboard)</p><a href="/about/team-'), n, F.lit('?x=1#y">Team</a><a href="/login/contact">no</a>'))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), block))
+
+
 def x12(spark, sf_dir):
-    return X.phones_from_text(table(spark, sf_dir, "pages").select("page_id", X.plain_text(F.col("html")).alias("body")), "page_id", "body")
+    return X.phones_from_pages(_with_contacts(spark, sf_dir), "Ann Lee").drop("evidence")
 
 
 def x13_links(spark, sf_dir):
@@ -23,7 +32,7 @@ def x13_links(spark, sf_dir):
 
 
 def x13(spark, sf_dir):
-    return X.relevant_links(table(spark, sf_dir, "pages"))
+    return X.relevant_links(_with_contacts(spark, sf_dir))
 
 
 def x19(spark, sf_dir):
@@ -50,6 +59,13 @@ QUERIES = {
 
 _LOCAL = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Kolkata'"
 ORACLES = {
+    "X12_phones_from_pages": """
+      WITH p AS (SELECT page_id, lpad(CAST(page_id AS VARCHAR), 6, '0') AS n FROM pages)
+      SELECT page_id, '+44207' || n AS phone, 'business_phone' AS kind, 'leader_context' AS attribution, 'high' AS confidence FROM p
+      UNION ALL SELECT page_id, '0801' || n || '7', 'business_phone', 'leader_context', 'medium' FROM p
+      UNION ALL SELECT page_id, '0808' || n || '5', 'business_phone', 'leader_context', 'medium' FROM p""",
+    "X13_relevant_links": """
+      SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/about/team-' || lpad(CAST(page_id AS VARCHAR), 6, '0') AS link FROM pages""",
     "X18_message_links": cte("search_rows") + """
       SELECT seq, 0 AS pos, href AS destination_url, sha256(CAST(seq AS VARCHAR) || '|0|' || href) AS token FROM search_rows""",
     "D20_align_to_window": f"""
