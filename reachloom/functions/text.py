@@ -339,28 +339,33 @@ def public_url_ok(c: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table for each character of a."""
-    row = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
-    chars_b = F.split(b, "")
+    """Length of the longest common subsequence: one row of the table for each character of a. Both sides are split
+    once: in the loops they are bound values."""
 
-    def step(prev: Column, x: Column) -> Column:
-        made = F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            F.array(F.lit(0)),
-            lambda acc, j: F.concat(acc, F.array(F.when(
-                F.get(chars_b, j - 1) == x, F.get(prev, j - 1) + 1
-            ).otherwise(F.greatest(F.get(prev, j), F.get(acc, j - 1))))),
-        )
-        return made
+    def table(chars_a: Column, chars_b: Column) -> Column:
+        def step(prev: Column, x: Column) -> Column:
+            return F.aggregate(
+                chars_b,
+                F.array(F.lit(0)),
+                lambda acc, y: F.array_append(acc, F.when(
+                    x == y, F.get(prev, F.size(acc) - 1) + 1
+                ).otherwise(F.greatest(F.get(prev, F.size(acc)), F.element_at(acc, -1)))),
+            )
 
-    filled = F.aggregate(F.split(a, ""), row, step)
-    return F.when((a == "") | (b == ""), F.lit(0)).otherwise(F.element_at(filled, -1))
+        return F.element_at(F.aggregate(chars_a, F.array_repeat(F.lit(0), F.size(chars_b) + 1), step), -1)
+
+    filled = bound(F.split(a, ""), lambda x: bound(F.split(b, ""), lambda y: table(x, y)))
+    return F.when((a == "") | (b == ""), F.lit(0)).otherwise(filled)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """200 * LCS / (both lengths); 100 for two empty values."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(a, b) / total)
+
+    def ratio(x: Column, y: Column) -> Column:
+        total = F.length(x) + F.length(y)
+        return F.when(total == 0, F.lit(100.0)).when(x == y, F.lit(100.0)).otherwise(F.lit(200.0) * lcs_length(x, y) / total)
+
+    return bound(a, lambda x: bound(b, lambda y: ratio(x, y)))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import first_reason
@@ -267,7 +267,9 @@ def retry_queue(attempts: DataFrame) -> DataFrame:
     ).select("task", "query", "sources", F.col("x.source").alias("last_source"), F.col("x.last.reason").alias("reason"), "challenge", "attempts")
 
 
-def first_in_window(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by an order; a limit before the shuffle keeps hot keys small."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("__n", n).where("__n = 1").drop("__n")
+def resume(work: DataFrame, unit: str, finished: DataFrame, cursor: str) -> DataFrame:
+    """What is left to do: rows after the last finished cursor, and earlier ones of units that never finished."""
+    units = finished.select(unit).distinct()
+    last = finished.agg(F.max(cursor).alias("__last"))  # one row
+    rows = work.join(units.withColumn("__done", F.lit(True)), unit, "left").crossJoin(F.broadcast(last))
+    return rows.where(F.col("__last").isNull() | (F.col(cursor) > F.col("__last")) | F.col("__done").isNull()).drop("__done", "__last")

@@ -201,10 +201,10 @@ def event_participants(rows: DataFrame, key: str, text: str, asked: list[str] |
     before = F.expr("substring(text, greatest(0, start - 110) + 1, least(start, 110))")
     after = F.expr("substring(text, start + size + 1, 80)")
     df = df.where(before.rlike(LISTED) | after.rlike(DESCRIBED))
-    df = df.withColumn("id", F.concat_ws("|", F.col(key).cast("string"), "name"))
-    near = df.select("id", F.lit("").alias("title"), around(F.col("text"), F.col("start"), F.col("size"), 170, 170).alias("body"), F.col("name").alias("person"))
-    signals = assess_signal(near, "id", asked).where("name != 'No Verified Signal' AND selected_match")
-    return df.select(key, "id", F.col("name").alias("person")).join(signals, "id").select(key, F.col("person").alias("name"), F.col("name").alias("signal"), "evidence")
+    df = df.withColumn("__id", F.concat_ws("|", F.col(key).cast("string"), "name"))
+    near = df.select("__id", F.lit("").alias("title"), around(F.col("text"), F.col("start"), F.col("size"), 170, 170).alias("body"), F.col("name").alias("person"))
+    signals = assess_signal(near, "__id", asked).where("name != 'No Verified Signal' AND selected_match")
+    return df.select(key, "__id", F.col("name").alias("person")).join(signals, "__id").select(key, F.col("person").alias("name"), F.col("name").alias("signal"), "evidence")
 
 
 def company_facts(rows: DataFrame, company: str, order: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as X
 from ..operators import campaigns as M
 from ..operators import candidates as C
+from ..operators import ordering as R
 from ..operators import schemas as S
 from ..operators import signals as G
 from ..session import table
@@ -639,3 +640,72 @@ def j08(spark, sf_dir):
                           F.when(k.isin(0, 4), "the head of data there").otherwise("x").alias("text"))
     second = people.where(k == 4).select("person_id", F.lit("u-second").alias("url"), F.lit("A Lee").alias("name"), F.lit("Zenith Foods").alias("company"), F.lit("data head").alias("text"))
     return G.best_profile(people, first.unionByName(second)).select("person_id", "match_status", "url", "score")
+
+
+# --- orders -----------------------------------------------------------------------------------------------------------
+@query("W01_rank_candidates", _twin(("candidates",), """
+  SELECT seq, row_number() OVER (ORDER BY CASE WHEN designation <> 'Unknown' THEN 5 ELSE 0 END + CASE WHEN company <> 'Unknown' THEN 2 ELSE 0 END DESC,
+    length(body) DESC, seq) AS rank FROM {candidates}"""))
+def w01(spark, sf_dir):
+    points = F.when(F.col("designation") != "Unknown", 5).otherwise(0) + F.when(F.col("company") != "Unknown", 2).otherwise(0)
+    rows = _frame(spark, sf_dir, "candidates").select("seq", points.alias("points"), F.length("body").alias("size"))
+    return R.numbered(rows, [F.desc("points"), F.desc("size"), F.asc("seq")]).select("seq", "rank")
+
+
+@query("W06_rank_column", cte("lead_rows") + "SELECT seq, row_number() OVER (ORDER BY seq % 13 DESC, seq) AS rank FROM lead_rows")
+def w06(spark, sf_dir):
+    return R.numbered(frame(spark, sf_dir, "lead_rows").select("seq"), [F.desc(F.col("seq") % 13), F.asc("seq")])
+
+
+@query("O01_accept_until_target", _twin(("candidates",), """
+  SELECT seq, row_number() OVER (ORDER BY length(body) DESC, seq) AS rank FROM {candidates} WHERE url <> '' AND designation <> 'Unknown' QUALIFY rank <= 100"""))
+def o01(spark, sf_dir):
+    rows = _frame(spark, sf_dir, "candidates").where("url != '' AND designation != 'Unknown'").select("seq", F.length("body").alias("size"))
+    return R.first_rows(rows, [F.desc("size"), F.asc("seq")], 100).select("seq", "rank")
+
+
+@query("J15_enrich_and_blacklist", cte("lead_rows") + """
+  SELECT l.seq, coalesce(n_comment_or_name, '—') AS summary, row_number() OVER (ORDER BY l.seq % 13 DESC, l.seq) AS rank
+  FROM lead_rows l LEFT JOIN (SELECT n_name, r_name AS n_comment_or_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA') n ON n.n_name = l.country
+  WHERE l.seniority <> 'Intern'""")
+def j15(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    known = nation.join(region.where("r_name != 'ASIA'"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_name").alias("country"), F.col("r_name").alias("summary"))
+    rows = frame(spark, sf_dir, "lead_rows")
+    banned = rows.where("seniority = 'Intern'").select("name").distinct()
+    kept = rows.join(banned, "name", "left_anti").join(known, "country", "left").select("seq", F.coalesce("summary", F.lit("—")).alias("summary"))
+    return R.numbered(kept, [F.desc(F.col("seq") % 13), F.asc("seq")])
+
+
+@query("K03_interleave", _twin(("search_rows",), """
+  SELECT seq, row_number() OVER (ORDER BY rn // w, stage, rn) AS place FROM (SELECT *, CASE stage WHEN 1 THEN 1 ELSE 2 END AS w,
+    row_number() OVER (PARTITION BY stage ORDER BY seq) - 1 AS rn FROM (SELECT seq, CASE WHEN source = 'other' THEN 1 ELSE 0 END AS stage FROM {search_rows}) a) b"""))
+def k03(spark, sf_dir):
+    rows = frame(spark, sf_dir, "search_rows").select("seq", "source")
+    return R.interleaved(rows, F.when(F.col("source") == "other", 1).otherwise(0), {0: 2, 1: 1}, [F.asc("seq")]).select("seq", "place")
+
+
+@query("A09_citation_evidence", _twin(("candidates",), """
+  SELECT company, substr(string_agg(body, ' ' ORDER BY seq), 1, 1600) AS evidence FROM {candidates} WHERE contains(lower(body), 'the') GROUP BY company"""))
+def a09(spark, sf_dir):
+    rows = _frame(spark, sf_dir, "candidates").where(F.lower("body").contains("the")).select("company", "seq", F.substring("body", 1, 1600).alias("t"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("company").orderBy("seq"))).where("n <= 400")  # a text holds 'the' and a space
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "t"))), lambda x: x.t), " ")
+    return rows.groupBy("company").agg(F.substring(whole, 1, 1600).alias("evidence"))
+
+
+@query("W05_within_delta_of_best", cte("recipients") + """
+  SELECT id, campaign_id FROM (SELECT id, campaign_id, CAST(round(balance) AS BIGINT) % 101 AS score, max(CAST(round(balance) AS BIGINT) % 101) OVER (PARTITION BY campaign_id) AS best FROM recipients) r
+  WHERE best - score <= 2""")
+def w05(spark, sf_dir):
+    rows = frame(spark, sf_dir, "recipients").select("id", "campaign_id", (F.round("balance").cast("bigint") % 101).alias("score"))
+    best = rows.groupBy("campaign_id").agg(F.max("score").alias("best"))
+    return rows.join(best, "campaign_id").where("best - score <= 2").select("id", "campaign_id")
+
+
+@query("R04_resume_from_cursor", """
+  SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup') OR (event_type <> 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup'))""")
+def r04(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    done = events.where("event_type = 'signup'")
+    return M.resume(events, "user_id", done, "event_id").select("event_id")

@@ -22,7 +22,20 @@ def test_pages(spark):
     assert [r["link"] for r in X.relevant_links(pages).collect()] == ["https://www.example.com/about/team"]
     text = pages.select("page_id", X.plain_text(F.col("html")).alias("t"))
     assert "var a" not in text.first()["t"]
-    assert [(r["phone"], r["kind"]) for r in X.phones_from_text(text, "page_id", "t").collect()] == [("+442079460018", "business_phone")]
+    assert [(r["phone"], r["kind"]) for r in X.phones_from_pages(pages).collect()] == [("+442079460018", "business_phone")]
+
+
+def test_phones_on_both_sides_of_a_cue(spark):
+    rows = [
+        (1, "<p>Phone: 080 1234 5678, 080 8765 4321</p>"), (2, "<p>080 1234 5678 (office)</p>"), (3, "<p>080 1234 5678</p>"),
+        (4, '<ul><li>Ann Lee <b>desk</b> <a href="tel:+44 20 7946 0018?x">x</a></li><li>other</li></ul><p>call +44 20 7946 0018</p>'), (5, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string")
+    got = {(r["page_id"], r["phone"], r["attribution"], r["confidence"]) for r in X.phones_from_pages(pages, "Ann Lee").collect()}
+    assert got == {
+        (1, "08012345678", "company_general", "low"), (1, "08087654321", "company_general", "low"), (2, "08012345678", "company_general", "low"),
+        (4, "+442079460018", "leader_context", "high"),
+    }
 
 
 def test_windows(spark):

@@ -8,7 +8,7 @@ import pytest
 
 from reachloom.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def plain(value):
@@ -43,3 +43,16 @@ def test_twin(spark, small, duck, name):
 
 def test_entry(spark, small):
     assert registry.entry(spark, small).count() == 11
+
+
+#: Queries that ask for a pairing of dimensions, a list of phrases, rules, or a few rows of totals.
+PAIRED = ("J12", "K05", "K02", "J13", "D11", "X15", "M07", "R04", "A08")
+
+
+def test_no_query_pairs_all_rows(spark, small):
+    """Joins have keys: no nested loop or product of whole tables hides in a plan."""
+    for name, query in registry.queries().items():
+        if name.startswith(PAIRED):
+            continue
+        plan = query(spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
