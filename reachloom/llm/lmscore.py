@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +45,20 @@ SHARD_BYTES = 8 << 20
 HOT, MOST_HOT = 1 << 20, 200_000
 
 
-class Local(dict):
-    """Numbers for the words of a block, in the order of their first occurrence."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def words_of(bodies: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Numbers of the words of all texts one after another, the distinct words that they number, and how many words each
+    text has. Arrow lower-cases A-Z and parts at ASCII white space."""
+    held = bodies.combine_chunks().fill_null(b"")
+    held = pa.Array.from_buffers(pa.string(), len(held), held.buffers(), offset=held.offset)  # bytes as they are
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(held))
+    owner = np.repeat(np.arange(len(held)), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
+    flat = parts.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty part
+    encoded = flat.filter(real).dictionary_encode()
+    names = encoded.dictionary
+    names = pa.Array.from_buffers(pa.binary(), len(names), names.buffers(), offset=names.offset).to_pylist()
+    counts = np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(held))
+    return encoded.indices.to_numpy(zero_copy_only=False), names, counts
 
 
 def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -58,16 +67,17 @@ def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFram
 
     def start():
         def work(rows: pa.Table):
-            local = Local()
-            bodies = [(body or b"").replace(END, b"\xef\xbf\xbd") for body in rows.column("__text").to_pylist()]
-            words = (b" " + END + b" ").join([*bodies, b""]).lower().split()  # an end after each text
-            numbers = np.fromiter(map(local.__getitem__, words), np.uint32, len(words))
-            lengths = np.diff(np.flatnonzero(numbers == local[END]), prepend=-1)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in local], np.uint64)
+            found, names, counts = words_of(rows.column("__text"))
+            lengths = counts.astype(np.int64) + 1  # an end after each text
+            end = np.zeros(len(found) + len(counts), bool)
+            end[np.cumsum(lengths) - 1] = True
+            numbers = np.full(len(end), len(names), np.uint32)
+            numbers[~end] = found
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in (*names, END)], np.uint64)
             order = np.argsort(hashes)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            return rows.drop_columns(["__text"]), [B.put(lengths.astype(np.int64)), B.put_sorted(hashes[order]), B.put(place[numbers])]
+            return rows.drop_columns(["__text"]), [B.put(lengths), B.put_sorted(hashes[order]), B.put(place[numbers])]
 
         return work
 
@@ -183,7 +193,7 @@ class Walk:
         begin, size = np.concatenate([begin, np.zeros_like(alone)]), np.concatenate([size, np.zeros_like(alone)])
         route, context = np.concatenate([route, x.contexts[alone]]), np.concatenate([context, alone])
         partial = np.concatenate([partial, np.zeros(len(alone), bool)])
-        order = np.argsort(route, kind="stable")
+        order = np.argsort(route)
         pairs = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(part))
         return pairs, size[order], route[order], context[order], partial[order]
 
@@ -273,7 +283,11 @@ def _answer(asked: DataFrame, known: Totals) -> DataFrame:
         cc, origin, sizes = (whole(values, j, kind) for j, kind in enumerate((np.int64, np.uint64, np.uint32)))
         symbol, n, p = (whole(entries, j, kind) for j, kind in enumerate((np.int64, np.uint32, np.float16)))
         sizes = sizes.astype(np.int64)
-        found, first, of = np.unique(np.concatenate(pieces), return_index=True, return_inverse=True)
+        hashes = np.concatenate(pieces)
+        by = np.argsort(hashes)
+        starts, run = B.runs(hashes[by])
+        found, first, of = hashes[by][starts], by[starts], np.empty(len(by), np.int64)  # the contexts, and each piece's
+        of[by] = run
         _, _, pair = coded(np.repeat(of, sizes), symbol, int(symbol.max(initial=0)) + 1)
         some = np.empty(pair.max(initial=-1) + 1, np.int64)  # an entry of each pair
         some[pair] = np.arange(len(pair))
