@@ -13,6 +13,7 @@ from ..operators import campaigns as M
 from ..operators import candidates as C
 from ..operators import ordering as R
 from ..operators import schemas as S
+from ..operators import scoring as L
 from ..operators import signals as G
 from ..session import table
 from . import twins as T
@@ -709,3 +710,45 @@ def r04(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     done = events.where("event_type = 'signup'")
     return M.resume(events, "user_id", done, "event_id").select("event_id")
+
+
+# --- scores -----------------------------------------------------------------------------------------------------------
+@query("D04_composite_lead_scores")  # the twin is table_queries'
+def d04(spark, sf_dir):
+    return L.composite_lead_scores(frame(spark, sf_dir, "lead_rows")).select("seq", "event_invitation", "dm", "sales", "net", "partnership", "overall")
+
+
+@query("P12_export_ready", _twin(("candidates",), f"""
+  SELECT seq, {T.n01('name')} NOT IN ('', 'unknown', 'none', 'nan', 'na', 'n a', 'null') AND len(string_split({T.n01('name')}, ' ')) <= 8 AND NOT regexp_matches(name, '\\d|@')
+    AND company <> 'Unknown' AND seq % 4 <> 3 AND url <> '' AND designation <> 'Unknown' AND seq % 8 <> 1 AS ready FROM {{candidates}}""".replace("{{candidates}}", "{candidates}")))
+def p12(spark, sf_dir):
+    company = F.when(F.col("seq") % 4 == 3, F.concat("company", F.lit(" seeking"))).otherwise(F.col("company"))
+    role = F.when(F.col("seq") % 8 == 1, F.concat(F.lit("We are hiring a "), "designation")).otherwise(F.col("designation"))
+    return _frame(spark, sf_dir, "candidates").select("seq", L.export_ready(F.col("name"), company, F.col("url"), role).alias("ready"))
+
+
+@query("D10_category_match", cte("lead_rows") + f"""
+  , h AS (SELECT seq, CAST({one_of('seniority', 'ceo', 'director')} AS INT) AS a, CAST({one_of("industry || ' ' || company_stage", 'fintech', 'unicorn', 'retail')} AS INT) AS b,
+    CAST({one_of('country', 'india', 'france', 'china', 'germany', 'united states')} AS INT) AS c,
+    CAST(industry = 'SaaS' OR speaker = 'Yes' AS INT) AS d FROM lead_rows)
+  SELECT seq, a + b + c + 4 + CASE WHEN speaker = 'Yes' THEN 1 ELSE 0 END AS match_score, a + b + c = 3 AND speaker = 'Yes' AS every
+  FROM h JOIN lead_rows USING (seq)""".replace("\n  , h AS", ", h AS"))
+def d10(spark, sf_dir):
+    rows = frame(spark, sf_dir, "lead_rows").withColumn("said", F.when(F.col("speaker") == "Yes", "keynote speaker at a summit").otherwise(""))
+    texts = {"role": ["seniority"], "location": ["country"], "industry": ["industry", "company_stage"], "signal": ["awards", "said"], "custom": ["name"], "organization": ["name"]}
+    asked = {"role": ["ceo", "director"], "location": ["india", "france", "china", "germany", "united states"], "industry": ["fintech", "unicorn", "retail"], "signal": ["keynote"]}
+    return L.category_match(rows, "seq", texts, asked)
+
+
+@query("D05_evaluate", cte("primary_contacts") + f"""
+  , r AS (SELECT *, {one_of('designation', 'cmo', 'chief marketing officer')} OR {one_of('designation', 'sales director')}
+      OR ({T.p01('designation', 'sales')} AND {T.p01('designation', 'director')}) OR ({T.p01('designation', 'chief')} AND {T.p01('designation', 'marketing')} AND {T.p01('designation', 'officer')}) AS role,
+    seq % 3 <> 0 AS place, seq % 5 <> 0 AS given, seq % 4 = 0 AS told, company <> '' AS known FROM primary_contacts)
+  SELECT seq, role AND place AS hard, role AND place AND given AND told AS strict, greatest(50, least(99, CASE WHEN told THEN 95 ELSE 35 END + CASE WHEN role THEN 12 ELSE 0 END
+    + CASE WHEN place THEN 10 ELSE 0 END + CASE WHEN given THEN 5 ELSE 0 END + CASE WHEN known THEN 2 ELSE 0 END + CASE WHEN given THEN 6 ELSE 0 END)) AS score FROM r""".replace("\n  , r AS", ", r AS"))
+def d05(spark, sf_dir):
+    rows = frame(spark, sf_dir, "primary_contacts").select(
+        "seq", F.col("full_name").alias("name"), "designation", "company", F.when(F.col("seq") % 3 != 0, "Pune, India").otherwise("Rome").alias("location"),
+        F.when(F.col("seq") % 5 != 0, "a fintech with enterprise software, B2B").otherwise("").alias("company_evidence"),
+        F.when(F.col("seq") % 4 == 0, "keynote speaker").otherwise("").alias("person_evidence"))
+    return L.evaluate(rows, "seq", ["CMO", "Sales Director"], ["India"], ["fintech"], ["keynote"], model="B2B")

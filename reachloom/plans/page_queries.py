@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages as X
+from ..operators import people as P
 from ..operators import scheduling as S
 from ..session import table
 from .adapters import cte, frame
@@ -80,3 +81,41 @@ ORACLES = {
       SELECT id, campaign_id, TIMESTAMP '2024-03-01 09:00:00' + to_days(CAST(day AS INT)) + to_minutes(CAST(sum(gap) OVER
         (PARTITION BY campaign_id, day ORDER BY n) AS BIGINT)) AS send_at FROM g""",
 }
+
+
+def _with_people(spark, sf_dir):
+    """The pages, each with people of its own in a data set, linked data and a link, as the given ones have none."""
+    name = F.concat(F.lit("Ann "), F.initcap(F.translate(F.col("page_id").cast("string"), "0123456789", "abcdefghij")))
+    n = F.col("page_id").cast("string")
+    block = F.concat(
+        F.lit('<script>var d = {"speakers": [{"fullName": "'), name, F.lit('", "jobTitle": "CTO", "company": {"name": "Acme"}, "linkedin": "https://in.linkedin.com/in/Ann-'), n,
+        F.lit('"}, {"name": "Bob Ray", "status": "draft"}]}</script><script type="application/ld+json">{"@type": "Person", "name": "Kim Poe", "sameAs": "https://linkedin.com/in/kim-'), n,
+        F.lit('"}</script><p><a href="https://www.linkedin.com/in/ann-'), n, F.lit('/">Ann X VP at Beta</a></p>'))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), block))
+
+
+def x06_raw(spark, sf_dir):
+    return P.raw_people(_with_people(spark, sf_dir)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
+
+
+def x10(spark, sf_dir):
+    return P.person_records(P.raw_people(_with_people(spark, sf_dir))).select("page_id", "dataset", "name", "designation", "company", "profile_url", "match_status")
+
+
+def x11(spark, sf_dir):
+    return P.extract_people(_with_people(spark, sf_dir))[0].select("page_id", "name", "designation", "company", "profile_url")
+
+
+_NAME = "'Ann ' || upper(substr(a, 1, 1)) || substr(a, 2)"
+_PEOPLE = "p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, translate(CAST(page_id AS VARCHAR), '0123456789', 'abcdefghij') AS a FROM pages)"
+QUERIES |= {"X06_raw_people": x06_raw, "X10_person_records": x10, "X11_extract_people": x11}
+ORACLES |= {
+    "X06_raw_people": """SELECT d AS dataset, CAST(count(*) * k AS BIGINT) AS n, count(*) AS pages FROM pages CROSS JOIN (VALUES ('speakers', 2), ('json_ld_person', 1), ('visible_profile_links', 1)) t(d, k) GROUP BY d, k""",
+    "X10_person_records": f"""WITH {_PEOPLE}
+      SELECT page_id, 'speakers' AS dataset, {_NAME} AS name, 'CTO' AS designation, 'Acme' AS company, 'https://www.linkedin.com/in/ann-' || n || '/' AS profile_url, 'provided' AS match_status FROM p
+      UNION ALL SELECT page_id, 'json_ld_person', 'Kim Poe', '', '', 'https://www.linkedin.com/in/kim-' || n || '/', 'provided' FROM p
+      UNION ALL SELECT page_id, 'visible_profile_links', 'Ann X', 'VP', 'Beta', 'https://www.linkedin.com/in/ann-' || n || '/', 'provided' FROM p""",
+    "X11_extract_people": f"""WITH {_PEOPLE}
+      SELECT page_id, {_NAME} AS name, 'CTO' AS designation, 'Acme' AS company, 'https://www.linkedin.com/in/ann-' || n || '/' AS profile_url FROM p
+      UNION ALL SELECT page_id, 'Kim Poe', '', '', 'https://www.linkedin.com/in/kim-' || n || '/' FROM p""",
+}

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from reachloom.operators import pages as X
+from reachloom.operators import people as P
 from reachloom.operators import scheduling as S
 
 HTML = (
@@ -55,3 +56,28 @@ def test_slots_keep_the_daily_cap(spark):
     got = S.daily_slots(rows, "2024-03-01", 9, 4, 5, 100)
     per = got.groupBy(F.to_date("send_at")).agg(F.count(F.lit(1)).alias("n"), F.max(F.hour("send_at")).alias("h")).collect()
     assert sum(r["n"] for r in per) == 650 and max(r["n"] for r in per) == 100 and max(r["h"] for r in per) < 18
+
+
+PEOPLE = {
+    1: '<script>var d = {"speakers": {"data": [{"fullName": "Ann Lee", "jobTitle": "CTO", "company": {"name": "Acme"}, "linkedin": "https://in.linkedin.com/in/Ann-Lee?x"},'
+       '{"firstName": "Bob", "lastName": "Ray", "isActive": false}, {"person": {"name": "Kim Poe", "location": {"addressCountry": "India"}}, "id": 7}]}}</script>'
+       '<a href="https://www.linkedin.com/in/ann-lee/">Ann Lee CTO at Acme</a>',
+    2: '<script type="application/ld+json">{"@graph": [{"@type": "Person", "name": "Eve Moe", "worksFor": {"name": "Beta"}, "sameAs": ["https://x.org", "https://linkedin.com/in/eve"]},'
+       '{"@type": "Thing", "name": "No One"}]}</script>',
+    3: '<div class="speaker-card"><h3>Max Dow</h3><h4>Head of Data at Gamma</h4><a href="https://linkedin.com/in/max">in</a></div><li class="member"><h4>Room 101</h4></li>',
+    4: "<p>nobody</p>", 5: None,
+    6: r'<script>self.__next_f.push([1,"{\"people\": [{\"name\": \"Lia Orr\", \"status\": \"draft\"}, {\"name\": \"Tom Ash\"}]}"])</script>',
+}
+
+
+def test_people_on_pages(spark):
+    pages = spark.createDataFrame([(k, f"https://e.org/{k}", v) for k, v in PEOPLE.items()], "page_id bigint, url string, html string")
+    people, none = P.extract_people(pages)
+    got = sorted((r["page_id"], r["name"], r["designation"], r["company"], r["country"], r["profile_url"], r["match_status"]) for r in people.collect())
+    url = lambda x: f"https://www.linkedin.com/in/{x}/"
+    assert got == [
+        (1, "Ann Lee", "CTO", "Acme", "", url("ann-lee"), "provided"), (1, "Kim Poe", "", "", "India", "", "not_found"),
+        (2, "Eve Moe", "", "Beta", "", url("eve"), "provided"), (3, "Max Dow", "Head of Data", "Gamma", "", url("max"), "provided"),
+        (6, "Tom Ash", "", "", "", "", "not_found"),
+    ]
+    assert sorted(r["page_id"] for r in none.collect()) == [4, 5]
