@@ -114,6 +114,22 @@ def get(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def bundle(arrays: list[np.ndarray]) -> bytes:
+    """Several arrays packed together: their lengths, then each one's bytes transposed."""
+    sizes = np.array([len(a) for a in arrays], np.int64).tobytes()
+    return pack(sizes + b"".join(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays if len(a)))
+
+
+def unbundle(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw, at, out = unpack(data), 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.empty(0, kind))
+        at += n * width
+    return out
+
+
 def put_sorted(values: np.ndarray) -> bytes:
     """Sorted 64-bit values by their steps."""
     return put(np.diff(values, prepend=np.uint64(0)))

@@ -212,9 +212,11 @@ class Walk:
     def _step(self, answers: list[dict] | None, hot: tuple[np.ndarray, np.ndarray], last: bool) -> None:
         x, known = self.level, self.known
         pairs, _, _, context, partial = self.pieces()
-        counts = np.zeros(len(pairs), np.int64)
-        counts[pairs] = B.joined(answers, np.int64, "counts")
-        rests = B.joined(answers, np.float32, "rests")
+        told = [B.unbundle(a["data"], ANSWERED) for a in answers or []]
+        counts, rests = np.zeros(len(pairs), np.int64), np.empty(0, np.float32)
+        if told:
+            counts[pairs] = np.concatenate([t[0] for t in told])
+            rests = np.concatenate([t[1] for t in told])
         rest = np.full(len(x.contexts), -1.0)  # negative: the context doesn't stay
         rest[context] = rests
         if partial.any():
@@ -242,8 +244,15 @@ class Walk:
         self.level = self._level(runs[order], counts[named[order]], at, place[pair])
 
 
+#: What a block sends to a shard: steps between its pieces' hashes, their counts, origins and sizes; then of each piece's
+#: entries the symbol, the count in the block and the suffix's probability. What comes back: counts of the entries, and
+#: rests of the pieces.
+ASKED = (np.uint64, np.int64, np.uint64, np.uint32, np.int64, np.uint32, np.float16)
+ANSWERED = (np.int64, np.float32)
+
+
 def _ask(blocks: DataFrame, shards: int, question) -> DataFrame:
-    """shard, block, pieces, values (arrays beside the pieces), sizes, entries (arrays beside the pieces' entries)."""
+    """shard, block, data (ASKED)."""
 
     def run(batches):
         for batch in batches:
@@ -252,36 +261,32 @@ def _ask(blocks: DataFrame, shards: int, question) -> DataFrame:
                 pieces, values, sizes, entries = question(row)
                 full, at = B.shard_runs(pieces, shards)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                cut = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
-                deep = [slice(a, b) for a, b in zip(ends[at[:-1]], ends[at[1:]], strict=True)]
-                lists = lambda c, arrays: [B.put(v[c]) for v in arrays]
+                data = []
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    steps = np.diff(pieces[a:b], prepend=np.uint64(0))
+                    own = slice(ends[a], ends[b])
+                    data.append(B.bundle([steps, *(v[a:b] for v in values), sizes[a:b].astype(np.uint32), *(e[own] for e in entries)]))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full.astype(np.int32)),
-                        pa.array([row["block"]] * len(full), pa.int64()),
-                        pa.array([B.put_sorted(pieces[c]) for c in cut], pa.binary()),
-                        pa.array([lists(c, [*values, sizes.astype(np.uint32)]) for c in cut], pa.list_(pa.binary())),
-                        pa.array([lists(c, entries) for c in deep], pa.list_(pa.binary())),
-                    ],
-                    names=["shard", "block", "pieces", "values", "entries"],
+                    [pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array(data, pa.binary())],
+                    names=["shard", "block", "data"],
                 )
 
-    return blocks.mapInArrow(run, "shard int, block bigint, pieces binary, values array<binary>, entries array<binary>")
+    return blocks.mapInArrow(run, "shard int, block bigint, data binary")
 
 
 def _answer(asked: DataFrame, known: Totals) -> DataFrame:
-    """shard, block, counts (of the block's pairs), rests (of its pieces; negative: doesn't stay). A row with block
-    -1 - shard has the shard's number of kept next symbols and the sums of its parts of split contexts."""
+    """shard, block, data (ANSWERED; a rest under 0: the context doesn't stay). A row with block -1 - shard has the
+    shard's number of kept next symbols and the sums of its parts of split contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         ids = table.column("block").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        values, entries = (table.column(n).to_pylist() for n in ("values", "entries"))
-        whole = lambda lists, j, kind: np.concatenate([B.get(lists[k][j], kind) for k in order])
-        pieces = [B.get_sorted(table.column("pieces")[k].as_py()) for k in order]
-        cc, origin, sizes = (whole(values, j, kind) for j, kind in enumerate((np.int64, np.uint64, np.uint32)))
-        symbol, n, p = (whole(entries, j, kind) for j, kind in enumerate((np.int64, np.uint32, np.float16)))
+        sent = table.column("data")
+        parts = [B.unbundle(sent[k].as_py(), ASKED) for k in order]
+        pieces = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
+        cc, origin, sizes, symbol, n, p = (np.concatenate([x[j] for x in parts]) for j in range(1, len(ASKED)))
+        del parts
         sizes = sizes.astype(np.int64)
         hashes = np.concatenate(pieces)
         by = np.argsort(hashes)
@@ -307,21 +312,20 @@ def _answer(asked: DataFrame, known: Totals) -> DataFrame:
         counts, rests = totals[pair], rest.astype(np.float32)[of]
         ends = np.cumsum([len(x) for x in pieces])
         deep = np.concatenate([[0], np.cumsum(sizes)])[ends]
-        out = [(-1 - shard, head.tobytes(), b"")]
+        out = [(-1 - shard, head.tobytes())]
         a = b = 0
         for k, i, j in zip(order, ends, deep, strict=True):
-            out.append((ids[k], B.put(counts[b:j]), B.put(rests[a:i])))
+            out.append((ids[k], B.bundle([counts[b:j], rests[a:i]])))
             a, b = i, j
         return pa.table(
             {
                 "shard": pa.array([shard] * len(out), pa.int32()),
                 "block": pa.array([x[0] for x in out], pa.int64()),
-                "counts": pa.array([x[1] for x in out], pa.binary()),
-                "rests": pa.array([x[2] for x in out], pa.binary()),
+                "data": pa.array([x[1] for x in out], pa.binary()),
             }
         )
 
-    return asked.groupBy("shard").applyInArrow(run, "shard int, block bigint, counts binary, rests binary")
+    return asked.groupBy("shard").applyInArrow(run, "shard int, block bigint, data binary")
 
 
 def _decided(sums: np.ndarray, least: float) -> np.ndarray:
@@ -337,7 +341,7 @@ def _decided(sums: np.ndarray, least: float) -> np.ndarray:
 def _hot(answers: DataFrame, least: float) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
     """How many next symbols were kept, and the rests of split contexts by hash: at most MOST_HOT."""
     kept, rows = 0, [np.empty((0, 6))]
-    for r in answers.where("block < 0").select(F.col("depth")[0]["counts"]).toLocalIterator():
+    for r in answers.where("block < 0").select(F.col("depth")[0]["data"]).toLocalIterator():
         head = np.frombuffer(r[0], np.float64)
         kept += int(head[0])
         rows.append(head[1:].reshape(-1, 6))
@@ -401,7 +405,7 @@ def train_and_score(
     depths = 0
     while depths < order:
         asked = _ask(blocks, shards, lambda row, d=depths, s=tuple(split): walk(row, d, False, s).ask())
-        answers = B.bucketed_answers(_answer(asked, known), "depth", ("counts", "rests"), buckets)
+        answers = B.bucketed_answers(_answer(asked, known), "depth", ("data",), buckets)
         kept, more = _hot(answers, least_divergence)
         depths += 1
         split.append(more)
