@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as X
 from ..operators import campaigns as M
 from ..operators import candidates as C
+from ..operators import keys as K
 from ..operators import ordering as R
 from ..operators import schemas as S
 from ..operators import scoring as L
@@ -752,3 +753,53 @@ def d05(spark, sf_dir):
         F.when(F.col("seq") % 5 != 0, "a fintech with enterprise software, B2B").otherwise("").alias("company_evidence"),
         F.when(F.col("seq") % 4 == 0, "keynote speaker").otherwise("").alias("person_evidence"))
     return L.evaluate(rows, "seq", ["CMO", "Sales Director"], ["India"], ["fintech"], ["keynote"], model="B2B")
+
+
+# --- keys -------------------------------------------------------------------------------------------------------------
+@query("S03_existing_url_keys", cte("search_rows") + f"""
+  SELECT DISTINCT url FROM (SELECT unnest([{T.n06('title')}, {T.n06('body')}, {T.n06('href')}, {T.n06('source')}, {T.n06('query')}]) AS url FROM search_rows) u WHERE url <> ''""")
+def s03(spark, sf_dir):
+    return K.existing_url_keys(frame(spark, sf_dir, "search_rows"))
+
+
+@query("S04_existing_people_keys", cte("history_contacts") + """
+  SELECT DISTINCT lower(trim(full_name)) || '|' || lower(trim(company)) AS person FROM history_contacts WHERE trim(full_name) <> ''""")
+def s04(spark, sf_dir):
+    rows = frame(spark, sf_dir, "history_contacts").select("seq", F.col("full_name").alias(" Full Name"), F.col("company").alias("Organisation"))
+    return K.existing_people_keys(rows)
+
+
+@query("S05_exclusion_keys", cte("primary_contacts") + f"""
+  SELECT DISTINCT 'i1' AS import_id, kind, value FROM (SELECT 'url' AS kind, {T.n06('profile_url')} AS value FROM primary_contacts
+    UNION ALL SELECT 'identity', {T.n14('full_name', 'company')} FROM primary_contacts) k WHERE value <> ''""")
+def s05(spark, sf_dir):
+    rows = frame(spark, sf_dir, "primary_contacts").select(F.col("full_name").alias("Name"), F.col("company").alias("Company"), F.col("profile_url").alias("Linked-In URL"))
+    return K.exclusion_keys(rows, "i1")
+
+
+@query("S07_seed_scan", cte("search_rows") + """
+  SELECT seq, title FROM search_rows WHERE contains(lower(title || ' ' || body || ' ' || href || ' ' || source || ' ' || query), 'thed')
+    OR contains(lower(title || ' ' || body || ' ' || href || ' ' || source || ' ' || query), 'eaux') ORDER BY seq LIMIT 200""")
+def s07(spark, sf_dir):
+    rows = frame(spark, sf_dir, "search_rows").select("seq", "title", "body", "href", "source", "query")
+    return K.seed_scan(rows, '"thed" OR (eaux)'.replace("OR", "or"), "seq", 200).select("seq", "title")
+
+
+@query("J04_exclude_existing", _twin(("candidates", "history_contacts"), f"""
+  SELECT seq FROM {{candidates}} c WHERE url NOT IN (SELECT {T.n06('profile_url')} FROM {{history_contacts}} WHERE {T.n06('profile_url')} <> '')"""))
+def j04(spark, sf_dir):
+    known = K.existing_url_keys(frame(spark, sf_dir, "history_contacts").select("profile_url"))
+    return K.exclude_existing(_frame(spark, sf_dir, "candidates"), known).select("seq")
+
+
+@query("J05_dedup_scope_filter", _twin(("candidates",), """
+  SELECT 'job' AS scope, seq FROM {candidates} c WHERE url NOT IN (SELECT url FROM {candidates} WHERE query = 'de') UNION ALL
+  SELECT 'global', seq FROM {candidates} WHERE url NOT IN (SELECT url FROM {candidates} WHERE query IN ('de', 'fr')) UNION ALL SELECT 'none', seq FROM {candidates}"""))
+def j05(spark, sf_dir):
+    rows = _frame(spark, sf_dir, "candidates")
+    seen = rows.where("query IN ('de', 'fr')").select("url", F.col("query").alias("job"))
+    out = None
+    for scope in ("job", "global", "none"):
+        one = K.dedup_scope(rows, seen, scope, "de").select(F.lit(scope).alias("scope"), "seq")
+        out = one if out is None else out.unionByName(one)
+    return out
