@@ -48,20 +48,6 @@ def add(name: str, sources: str, query: str, twin: str | None = None) -> None:
 add("X01_parse_profile_fields", "candidates", "SELECT seq, name, designation, company FROM {candidates}")
 add("X05_results_from_records", "search_rows", """
   SELECT query, href, seq FROM (SELECT *, row_number() OVER (PARTITION BY query, href ORDER BY seq) AS n FROM {search_rows}) r WHERE n = 1""")
-add("S03_existing_url_keys", "candidates", "SELECT DISTINCT url FROM {candidates} WHERE url <> ''")
-add("S04_existing_people_keys", "candidates", "SELECT DISTINCT lower(trim(name)) || '|' || lower(trim(company)) AS person FROM {candidates} WHERE trim(name) <> ''")
-add("S05_exclusion_keys", "candidates", """
-  SELECT DISTINCT 'url' AS kind, url AS value FROM {candidates} WHERE url <> ''
-  UNION SELECT DISTINCT 'identity', lower(name) || '|' || lower(company) FROM {candidates} WHERE name <> ''""")
-add("S07_seed_scan", "search_rows", """
-  SELECT seq, title FROM {search_rows} WHERE contains(lower(title || ' ' || body), 'thed') OR contains(lower(title || ' ' || body), 'eaux')
-  ORDER BY seq LIMIT 200""")
-_QUALITY = "CASE WHEN {c} IN ('', 'Unknown') THEN 0 ELSE length({c}) END"
-_PICK = lambda c: f"max_by({c}, {_QUALITY.replace('{c}', c)} * CAST(1000000 AS BIGINT) - seq)"
-add("A01_merge_candidates", "candidates", f"""
-  SELECT url, {_PICK('name')} AS name, {_PICK('designation')} AS designation, {_PICK('company')} AS company,
-    count(DISTINCT source) AS sources, count(DISTINCT query) AS queries, min(seq) AS first_seq
-  FROM {{candidates}} WHERE url <> '' GROUP BY url""")
 add("A02_merge_partial_profiles", "candidates", """
   SELECT url, max_by(name, CASE WHEN name IN ('', 'Unknown') THEN -1 ELSE seq END) AS name,
     max_by(designation, length(designation) * CAST(1000000 AS BIGINT) + seq) AS designation,
@@ -79,10 +65,6 @@ add("A06_campaign_funnel", "recipients", """
 add("A07_provider_outcomes", "events", """
   SELECT event_type AS source, count(*) AS attempts, count(*) FILTER (WHERE value > 20) AS successful,
     count(*) FILTER (WHERE value <= 1) AS empty, sum(CAST(floor(value) AS BIGINT)) AS results FROM {events} GROUP BY event_type""")
-add("A08_retry_queue", "events", """
-  SELECT user_id AS task, max(event_id) AS last_attempt, count(*) AS failures, max_by(event_type, event_id) AS last_source,
-    count(DISTINCT event_type) AS sources FROM {events} e WHERE value <= 20
-    AND NOT EXISTS (SELECT 1 FROM {events} s WHERE s.user_id = e.user_id AND s.value > 500) GROUP BY user_id""")
 add("A10_metric_sum", "message_events", "SELECT campaign_id, event_type AS name, count(*) AS value FROM {message_events} GROUP BY campaign_id, event_type")
 add("A11_lead_upsert", "candidates", """
   SELECT url, min(seq) AS first_seen, max(seq) AS last_seen, max_by(name, seq) AS name, max_by(company, seq) AS company
@@ -94,13 +76,6 @@ add("A13_distinct_statuses", "history_contacts", "SELECT DISTINCT status FROM {h
 add("A15_page_fingerprint", "candidates", """
   SELECT query, page, sha2(array_join(array_sort(collect_set(url)), '|'), 256) AS fingerprint FROM {candidates} WHERE url <> '' GROUP BY query, page""", """
   SELECT query, page, sha256(array_to_string(list_sort(list(DISTINCT url)), '|')) AS fingerprint FROM {candidates} WHERE url <> '' GROUP BY query, page""")
-add("A09_citation_evidence", "candidates", """
-  SELECT company, substr(array_join(transform(array_sort(collect_list(struct(seq, body))), x -> x.body), ' '), 1, 1600) AS evidence
-  FROM {candidates} WHERE contains(lower(body), 'the') GROUP BY company""", """
-  SELECT company, substr(string_agg(body, ' ' ORDER BY seq), 1, 1600) AS evidence FROM {candidates} WHERE contains(lower(body), 'the') GROUP BY company""")
-add("W01_rank_candidates", "candidates", """
-  SELECT seq, row_number() OVER (ORDER BY CASE WHEN designation <> 'Unknown' THEN 5 ELSE 0 END + CASE WHEN company <> 'Unknown' THEN 2 ELSE 0 END DESC,
-    length(body) DESC, seq) AS rank FROM {candidates}""")
 add("W03_best_wins_dedupe", "candidates", """
   SELECT url, seq FROM (SELECT url, seq, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN designation <> 'Unknown' THEN 1 ELSE 0 END DESC, seq) AS n
   FROM {candidates} WHERE url <> '') r WHERE n = 1""")
@@ -109,17 +84,11 @@ add("W04_top1_with_margin", "candidates", """
     SELECT *, score - coalesce(lead(score) OVER w, score - CAST(1 AS DOUBLE)) AS margin, row_number() OVER w AS n FROM (
       SELECT name, url, max(CAST(0.6 AS DOUBLE) + CASE WHEN company <> 'Unknown' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS score
       FROM {candidates} WHERE url <> '' GROUP BY name, url) s WINDOW w AS (PARTITION BY name ORDER BY score DESC, url)) r WHERE n = 1""")
-add("W05_within_delta_of_best", "lead_rows", """
-  SELECT seq, industry FROM (SELECT seq, industry, seq % 17 AS score, max(seq % 17) OVER (PARTITION BY industry) AS best FROM {lead_rows}) r WHERE best - score <= 2""")
-add("W06_rank_column", "lead_rows", "SELECT seq, row_number() OVER (ORDER BY seq % 13 DESC, seq) AS rank FROM {lead_rows}")
 add("W07_group_anchor", "history_contacts", """
   SELECT seq, first_value(seq) OVER (PARTITION BY full_name, company ORDER BY seq) AS anchor FROM {history_contacts}""")
 add("W08_repeat_page_flag", "candidates", """
   SELECT query, page, max(CASE WHEN page = first_page THEN 1 ELSE 0 END) = 0 AS repeats FROM (
     SELECT query, page, min(page) OVER (PARTITION BY query, url) AS first_page FROM {candidates} WHERE url <> '') p GROUP BY query, page""")
-add("O01_accept_until_target", "candidates", """
-  SELECT seq, rank FROM (SELECT seq, row_number() OVER (ORDER BY length(body) DESC, seq) AS rank FROM {candidates}
-    WHERE url <> '' AND designation <> 'Unknown') r WHERE rank <= 100""")
 add("O02_contact_order", "primary_contacts", """
   SELECT phone, max(CASE WHEN email <> '' THEN 2 ELSE 1 END) AS confidence, min(seq) AS first_seq FROM {primary_contacts} WHERE phone <> '' GROUP BY phone""")
 add("O03_keyset_page", "events", "SELECT event_id, event_type FROM {events} WHERE event_id > 500 ORDER BY event_id LIMIT 200")
@@ -131,18 +100,6 @@ add("U01_union_sources", "primary_contacts history_contacts", """
 add("U03_except_intersect", "primary_contacts history_contacts", """
   SELECT 'only_new' AS part, count(*) AS n FROM (SELECT lower(email) AS e FROM {primary_contacts} WHERE email <> '' EXCEPT SELECT email FROM {history_contacts}) a
   UNION ALL SELECT 'both', count(*) FROM (SELECT lower(email) AS e FROM {primary_contacts} WHERE email <> '' INTERSECT SELECT email FROM {history_contacts}) b""")
-add("J04_exclude_existing", "candidates history_contacts", """
-  SELECT seq FROM {candidates} c WHERE url <> '' AND NOT EXISTS (SELECT 1 FROM {history_contacts} h
-    WHERE h.profile_url <> '' AND replace(h.profile_url, 'https://in.', 'https://www.') = c.url)""")
-add("J05_dedup_scope_filter", "candidates", """
-  SELECT seq FROM {candidates} c WHERE url <> '' AND NOT EXISTS (SELECT 1 FROM {candidates} o WHERE o.url = c.url AND o.query <> c.query)""")
-add("J06_admit_recipients", "recipients", """
-  SELECT id, CASE WHEN NOT contains(email, '@') THEN 'invalid_email' WHEN s.e IS NOT NULL THEN 'suppressed' WHEN h.e IS NOT NULL
-    THEN 'already_in_campaign_history' WHEN n > 1 THEN 'duplicate_email_in_campaign' ELSE '' END AS reason
-  FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id, email ORDER BY id) AS n FROM {recipients} WHERE status = 'DRAFT') r
-  LEFT JOIN (SELECT DISTINCT email AS e FROM {recipients} WHERE status IN ('BOUNCED', 'UNSUBSCRIBED')) s ON s.e = r.email
-  LEFT JOIN (SELECT DISTINCT email AS e FROM {recipients} WHERE status NOT IN ('CANCELLED', 'FAILED', 'SKIPPED_SUPPRESSED', 'DRAFT')
-    AND response_classification <> 'RECONTACT_ALLOWED') h ON h.e = r.email""")
 add("J07_attach_company_evidence", "candidates", """
   SELECT c.seq, coalesce(e.n, 0) AS evidence FROM {candidates} c LEFT JOIN (SELECT lower(company) AS k, count(*) AS n FROM {candidates}
     WHERE company <> 'Unknown' GROUP BY lower(company)) e ON e.k = lower(c.company)""")
@@ -158,22 +115,10 @@ add("J12_task_matrix", "lead_rows region", """
   CROSS JOIN (SELECT DISTINCT seniority FROM {lead_rows}) s""")
 add("J14_awaiting_review", "candidates", """
   SELECT seq FROM {candidates} c WHERE url <> '' AND NOT EXISTS (SELECT 1 FROM {candidates} l WHERE l.url = c.url AND l.designation <> 'Unknown')""")
-add("J15_enrich_and_blacklist", "lead_rows nation", """
-  SELECT l.seq, coalesce(n.n_name, '-') AS summary, row_number() OVER (ORDER BY l.seq % 13 DESC, l.seq) AS rank
-  FROM {lead_rows} l LEFT JOIN {nation} n ON n.n_name = l.country AND n.n_nationkey < 20 WHERE l.seq % 11 <> 0""")
 add("J16_flag_strict", "candidates", """
   SELECT c.seq, s.url IS NOT NULL AS strict FROM {candidates} c LEFT JOIN (SELECT DISTINCT url FROM {candidates} WHERE designation <> 'Unknown' AND url <> '') s ON s.url = c.url""")
 add("J17_evidence_lookup", "candidates", """
   SELECT url, max_by(body, seq) AS evidence, max(seq) AS created FROM {candidates} WHERE url <> '' GROUP BY url HAVING max(seq) > 100""")
-_RAW = "CASE WHEN designation <> 'Unknown' THEN 15 ELSE 0 END + CASE WHEN company <> 'Unknown' THEN 12 ELSE 0 END + CASE WHEN contains(lower(body), 'the') THEN 10 ELSE 0 END"
-add("D01_confidence_score", "candidates", f"SELECT seq, least(99, 50 + {_RAW}) AS confidence FROM {{candidates}}")
-add("D02_raw_score", "candidates", """
-  SELECT seq, CASE WHEN contains(lower(designation), 'vp') THEN 5 ELSE 0 END + CASE WHEN contains(lower(body), 'the') THEN 4 ELSE 0 END
-    + CASE WHEN company <> 'Unknown' THEN 2 ELSE 0 END AS score FROM {candidates}""")
-add("D03_poc_match", "candidates", """
-  SELECT seq, reason, CASE WHEN reason = '' THEN least(96, 68 + 4 * 3 + 4 * 2) ELSE 0 END AS score FROM (SELECT seq, CASE WHEN name = '' THEN 'invalid_name'
-    WHEN contains(lower(body), 'scum') THEN 'excluded_terms' WHEN company = 'Unknown' THEN 'company_mismatch' WHEN NOT contains(designation, 'VP')
-    THEN 'designation_mismatch' ELSE '' END AS reason FROM {candidates}) r""")
 _SENIOR = "CASE seniority WHEN 'CEO' THEN 100 WHEN 'CTO' THEN 95 WHEN 'VP' THEN 75 WHEN 'Director' THEN 65 WHEN 'Managing Director' THEN 98 ELSE 60 END"
 _INDUSTRY = "CASE industry WHEN 'FinTech' THEN 95 WHEN 'SaaS' THEN 92 WHEN 'Retail' THEN 70 WHEN 'Energy' THEN 68 ELSE 65 END"
 _STAGE = "CASE company_stage WHEN 'Unicorn (>$1B)' THEN 100 WHEN 'Mid-Market (500-5K)' THEN 75 WHEN 'Early Stage (<100)' THEN 40 ELSE 60 END"
@@ -188,48 +133,17 @@ _SCORES = f"""
   FROM (SELECT seq, {_SENIOR} AS s, {_INDUSTRY} AS i, {_STAGE} AS c, {_EVENT} AS e, {_BUY} AS b FROM {{lead_rows}}) p) q"""
 add("D04_composite_lead_scores", "lead_rows", _SCORES.replace("ROUND(", "bround("), re.sub(r"ROUND\(([^()]*(?:\([^()]*\)[^()]*)*)\)", r"round_even(\1, 0)", _SCORES))
 add("O05_priority_sort", "lead_rows", f"SELECT seq, {_SENIOR} + {_INDUSTRY} AS score FROM {{lead_rows}} ORDER BY score DESC, seq LIMIT 10")
-add("D12_business_model", "search_rows", """
-  SELECT seq, CASE WHEN b >= 2 AND c >= 2 THEN 'Hybrid' WHEN b > c THEN 'B2B' WHEN c > b THEN 'B2C' ELSE 'Unknown' END AS model FROM (
-    SELECT seq, CASE WHEN contains(lower(body), 'the') THEN 2 ELSE 0 END + CASE WHEN contains(lower(body), 'tion') THEN 1 ELSE 0 END AS b,
-      CASE WHEN contains(lower(body), 'der') THEN 2 ELSE 0 END + CASE WHEN contains(lower(body), 'ing') THEN 1 ELSE 0 END AS c FROM {search_rows}) s""")
 add("D22_retry_delay", "events", """
   SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 1440 ELSE CAST(least(120, power(2, least(event_id % 12, 7))) AS INT) END AS minutes FROM {events}""")
 add("D23_stale", "events", "SELECT event_id, event_type IN ('click', 'view') AND ts < TIMESTAMP '2024-01-10 00:00:00' AS stale FROM {events}")
 add("D24_retention", "events", "SELECT event_type, count(*) AS kept FROM {events} WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY event_type")
-add("D25_expired_leases", "recipients", "SELECT id, CASE WHEN status = 'OPENED' AND minute < 25 THEN 'QUEUED' ELSE status END AS status FROM {recipients}")
-add("M01_recipient_intake", "recipients", """
-  SELECT id, CASE WHEN NOT contains(email, '@') THEN 'invalid_or_blank_email' WHEN upper(decision) <> 'SAFE TO CONTACT' THEN 'not_safe_to_contact'
-    WHEN n > 1 THEN 'duplicate_email_in_source' ELSE '' END AS reason FROM (
-    SELECT *, row_number() OVER (PARTITION BY contains(email, '@') AND upper(decision) = 'SAFE TO CONTACT', lower(email) ORDER BY id) AS n FROM {recipients}) r""")
-add("M04_render", "recipients", """
-  SELECT id, replace(replace('Hello {{name}}, greetings to {{company}}', '{{name}}', full_name), '{{company}}', company) AS subject FROM {recipients}""")
-add("M06_suppress", "message_events recipients", """
-  SELECT r.email, min(e.occurred_at) AS since FROM {message_events} e JOIN {recipients} r ON r.id = e.recipient_id WHERE e.event_type = 'BOUNCED'
-    AND NOT EXISTS (SELECT 1 FROM {recipients} s WHERE s.email = r.email AND s.status = 'UNSUBSCRIBED') GROUP BY r.email""")
-add("M07_campaign_transition", "recipients", """
-  SELECT campaign_id, CASE WHEN count(*) FILTER (WHERE status IN ('QUEUED', 'SENDING')) = 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS state FROM {recipients} GROUP BY campaign_id""")
 add("M08_campaign_history", "recipients", """
   SELECT id, email, CASE WHEN status IN ('UNSUBSCRIBED', 'BOUNCED') THEN 'Do not contact' ELSE 'Contacted' END AS status FROM {recipients}
   WHERE status NOT IN ('DRAFT', 'QUEUED', 'CANCELLED', 'SKIPPED_SUPPRESSED')""")
-add("M09_campaign_sheets", "recipients", """
-  SELECT 'recipients' AS sheet, count(*) AS n FROM {recipients} UNION ALL SELECT 'replies', count(*) FROM {recipients} WHERE status = 'REPLIED'
-  UNION ALL SELECT 'bounces', count(*) FROM {recipients} WHERE status = 'BOUNCED'""")
-add("C07_recipients_view", "recipients", "SELECT id, email, status, coalesce(response_classification, '') AS response FROM {recipients} ORDER BY minute, id")
-add("X20_mailbox_event", "message_events", """
-  SELECT id, CASE WHEN event_type = 'BOUNCED' THEN 'bounce' WHEN event_type = 'REPLIED' THEN 'reply' ELSE 'other' END AS kind FROM {message_events}""")
 add("P18_grid_filter", "history_contacts", """
   SELECT seq FROM {history_contacts} WHERE status IN ('Contacted', 'Interested') AND contains(lower(full_name || chr(1) || company || chr(1) || owner), 'ring')""")
 add("R01_ingest_events", "distinct_events", "SELECT id, provider_event_id FROM {distinct_events}")
-add("R02_recipient_state", "distinct_events", """
-  SELECT recipient_id, count(*) FILTER (WHERE event_type = 'OPENED') AS opens, min(occurred_at) FILTER (WHERE event_type = 'OPENED') AS first_opened,
-    max(occurred_at) FILTER (WHERE event_type = 'OPENED') AS last_opened, count(*) FILTER (WHERE event_type = 'CLICKED') AS clicks,
-    CASE WHEN count(*) FILTER (WHERE event_type IN ('REPLIED', 'BOUNCED')) > 0
-      THEN max_by(event_type, CASE WHEN event_type IN ('REPLIED', 'BOUNCED') THEN occurred_at END)
-      WHEN count(*) FILTER (WHERE event_type = 'CLICKED') > 0 THEN 'CLICKED'
-      WHEN count(*) FILTER (WHERE event_type = 'OPENED') > 0 THEN 'OPENED' ELSE 'SENT' END AS status
-  FROM {distinct_events} GROUP BY recipient_id""")
 add("R03_suppression_batch", "distinct_events", "SELECT recipient_id, min(occurred_at) AS since FROM {distinct_events} WHERE event_type = 'BOUNCED' GROUP BY recipient_id")
-add("R04_resume_from_cursor", "events", "SELECT event_id FROM {events} e WHERE NOT EXISTS (SELECT 1 FROM {events} d WHERE d.event_id = e.event_id AND d.event_id % 3 = 0)")
 add("R05_live_funnel", "distinct_events", "SELECT campaign_id, event_type AS status, count(*) AS n FROM {distinct_events} GROUP BY campaign_id, event_type")
 add("K01_chunked_terms", "part", """
   SELECT p_brand, chunk, count(*) AS terms, min(p_name) AS first_term FROM (SELECT p_brand, p_name,
@@ -239,39 +153,12 @@ add("K02_coverage_combinations", "region lead_rows", """
   SELECT r_name, seniority, row_number() OVER (ORDER BY CASE WHEN i % 6 = j % 6 THEN 0 ELSE 1 END, i + j, greatest(i, j), i, j) AS place FROM (
     SELECT r_name, r_regionkey AS i FROM {region}) a CROSS JOIN (SELECT seniority, row_number() OVER (ORDER BY seniority) - 1 AS j
     FROM (SELECT DISTINCT seniority FROM {lead_rows}) s) b""")
-add("K03_interleave", "search_rows", """
-  SELECT seq, row_number() OVER (ORDER BY round, stage, rn) AS place FROM (SELECT seq, CASE WHEN source = 'other' THEN 1 ELSE 0 END AS stage, rn,
-    CAST(floor((rn - 1) / CASE WHEN source = 'other' THEN CAST(1 AS DOUBLE) ELSE CAST(2 AS DOUBLE) END) AS BIGINT) AS round FROM (
-    SELECT *, row_number() OVER (PARTITION BY CASE WHEN source = 'other' THEN 1 ELSE 0 END ORDER BY seq) AS rn FROM {search_rows}) r) q""")
 
 
-_REASON = """CASE WHEN contains(lower(body), 'scum') THEN 'excluded_terms' WHEN NOT contains(lower(body), 'th') THEN 'required_terms'
-    WHEN NOT contains(lower(designation), 'vp') AND NOT contains(lower(designation), 'director') THEN 'role'
-    WHEN company = 'Unknown' THEN 'target_company' WHEN query NOT IN ('en', 'fr') THEN 'location' ELSE '' END"""
-add("P13_filter_reason", "candidates", f"SELECT seq, {_REASON} AS reason FROM {{candidates}}")
-add("P14_validate", "candidates", f"""
-  SELECT seq, reason, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS outcome FROM (
-    SELECT seq, CASE WHEN url = '' THEN 'invalid_linkedin_url' WHEN n > 1 THEN 'duplicate' WHEN name = '' THEN 'incomplete' ELSE why END AS reason
-    FROM (SELECT *, {_REASON} AS why, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN {_REASON} = '' THEN 0 ELSE 1 END, seq) AS n
-      FROM {{candidates}}) c) r""")
-_HITS = ("contains(lower(designation), 'director')", "query = 'en'", "company <> 'Unknown'", "contains(lower(body), 'the')", "contains(lower(body), 'tion')")
-_HIT_ROWS = "SELECT seq, " + ", ".join(f"CASE WHEN {h} THEN 1 ELSE 0 END AS h{k}" for k, h in enumerate(_HITS)) + " FROM {candidates}"
-add("D05_evaluate", "candidates", f"""
-  SELECT seq, hard = 1 AS hard, hard * h3 * h4 = 1 AS strict, greatest(50, least(99, 35 + 12 * h0 + 10 * h1 + 5 * h2 + 8 * h3 + 2 * h4)) AS score
-  FROM (SELECT *, h0 * h1 * h2 AS hard FROM ({_HIT_ROWS}) a) b""")
-add("D10_category_match", "candidates", f"SELECT seq, h0 + h1 + h2 + h3 + h4 AS match_score, h0 * h1 * h2 * h3 * h4 = 1 AS every FROM ({_HIT_ROWS}) h")
 add("K05_task_table", "lead_rows region", """
   SELECT c.industry, s.seniority, r.r_name AS location, v.pass FROM (SELECT DISTINCT industry FROM {lead_rows}) c
   CROSS JOIN (SELECT DISTINCT seniority FROM {lead_rows}) s CROSS JOIN {region} r CROSS JOIN (SELECT 1 AS pass UNION ALL SELECT 2 UNION ALL SELECT 3) v""")
-add("M03_missing_tokens", "recipients", """
-  SELECT id, concat_ws(',', CASE WHEN trim(company) = '' THEN 'company' END, CASE WHEN trim(response_classification) = '' THEN 'response' END) AS missing FROM {recipients}""")
-add("M05_materialise_messages", "recipients", """
-  SELECT id, 'Hello ' || full_name AS subject, row_number() OVER (PARTITION BY campaign_id ORDER BY id) * 6 AS minute_slot FROM {recipients} WHERE status IN ('DRAFT', 'QUEUED')""")
-add("P12_export_ready", "candidates", """
-  SELECT seq, url <> '' AND name <> '' AND designation <> 'Unknown' AND NOT contains(lower(designation), 'hiring') AND length(company) <= 80 AS ready FROM {candidates}""")
-add("P19_evidence_needed", "candidates", "SELECT seq, company <> 'Unknown' AND NOT contains(lower(body), 'the') AS needed FROM {candidates}")
 add("C05_select_visible", "lead_rows", "SELECT name, country, seniority, industry FROM {lead_rows}")
-add("C04_reconcile_schema", "lead_rows", "SELECT name AS full_name, seniority AS designation, '' AS email FROM {lead_rows}")
 
 
 def _frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
