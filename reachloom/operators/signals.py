@@ -233,6 +233,17 @@ def company_summary(body: Column) -> tuple[Column, Column]:
     return F.when(F.length(body) > 60, dash(said)).otherwise("—"), dash(profit)
 
 
+def top_with_margin(scored: DataFrame, key: str, least: float = 0.80, margin: float = 0.10) -> DataFrame:
+    """For each key the url of the greatest score (then the first by name), its lead over the next (1 if alone), and
+    matched if it has `least` and leads by `margin`; else it is ambiguous and its url isn't told."""
+    by = Window.partitionBy(key).orderBy(F.desc("score"), "url")
+    best = scored.withColumn("__n", F.row_number().over(by)).withColumn("__second", F.lead("score").over(by)).where("__n = 1")
+    lead = F.when(F.col("__second").isNull(), F.lit(1.0)).otherwise(F.col("score") - F.col("__second"))
+    sure = (F.col("score") >= least) & (F.col("margin") >= margin)
+    return best.withColumn("margin", lead).select(
+        key, F.when(sure, F.col("url")).otherwise("").alias("url"), "score", "margin", F.when(sure, "matched").otherwise("ambiguous").alias("match_status"))
+
+
 def best_profile(people: DataFrame, results: DataFrame, least: float = 0.80, margin: float = 0.10) -> DataFrame:
     """J08 with W04: for each person (person_id, name, company, designation) the best profile among the results of its
     search (person_id, url, name, company, text): score 0.6 or 0.5 for the name, 0.3 for the company, 0.2 for the
@@ -246,11 +257,7 @@ def best_profile(people: DataFrame, results: DataFrame, least: float = 0.80, mar
     score = F.when(name > 0, F.least(F.lit(1.0), name + company + role)).otherwise(0.0)
     best = pairs.select("person_id", F.col("r.url").alias("url"), score.alias("score")).where("score > 0 AND url != ''")
     best = best.groupBy("person_id", "url").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("person_id").orderBy(F.desc("score"), "url")
-    best = best.withColumn("n", F.row_number().over(by)).withColumn("second", F.lead("score").over(by)).where("n = 1")
-    lead = F.when(F.col("second").isNull(), F.lit(1.0)).otherwise(F.col("score") - F.col("second"))
-    best = best.withColumn("margin", lead)
-    sure = (F.col("score") >= least) & (F.col("margin") >= margin)
-    return people.select("person_id").join(best, "person_id", "left").select(
-        "person_id", F.when(F.col("url").isNull(), "not_found").when(sure, "matched").otherwise("ambiguous").alias("match_status"),
-        F.when(sure, F.col("url")).otherwise("").alias("url"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
+    told = top_with_margin(best, "person_id", least, margin)
+    return people.select("person_id").join(told, "person_id", "left").select(
+        "person_id", F.coalesce("match_status", F.lit("not_found")).alias("match_status"), F.coalesce("url", F.lit("")).alias("url"),
+        F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("margin", F.lit(0.0)).alias("margin"))

@@ -803,3 +803,14 @@ def j05(spark, sf_dir):
         one = K.dedup_scope(rows, seen, scope, "de").select(F.lit(scope).alias("scope"), "seq")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("W04_top1_with_margin", _twin(("candidates",), """
+  SELECT name, CASE WHEN score >= 0.8 AND margin >= 0.1 THEN url ELSE '' END AS url, score, CASE WHEN score >= 0.8 AND margin >= 0.1 THEN 'matched' ELSE 'ambiguous' END AS match_status FROM (
+    SELECT *, coalesce(score - lead(score) OVER w, CAST(1 AS DOUBLE)) AS margin, row_number() OVER w AS n FROM (
+      SELECT name, url, max(CASE WHEN company = 'Unknown' THEN CAST(0.5 AS DOUBLE) WHEN seq % 3 = 0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END) AS score
+      FROM {candidates} WHERE url <> '' GROUP BY name, url) s WINDOW w AS (PARTITION BY name ORDER BY score DESC, url)) r WHERE n = 1"""))
+def w04(spark, sf_dir):
+    points = F.when(F.col("company") == "Unknown", 0.5).when(F.col("seq") % 3 == 0, 0.95).otherwise(0.9)
+    scored = _frame(spark, sf_dir, "candidates").where("url != ''").groupBy("name", "url").agg(F.max(points).alias("score"))
+    return G.top_with_margin(scored, "name").drop("margin")

@@ -79,11 +79,6 @@ add("A15_page_fingerprint", "candidates", """
 add("W03_best_wins_dedupe", "candidates", """
   SELECT url, seq FROM (SELECT url, seq, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN designation <> 'Unknown' THEN 1 ELSE 0 END DESC, seq) AS n
   FROM {candidates} WHERE url <> '') r WHERE n = 1""")
-add("W04_top1_with_margin", "candidates", """
-  SELECT name, url, score, CASE WHEN score >= 0.8 AND margin >= 0.1 THEN 'matched' ELSE 'ambiguous' END AS match_status FROM (
-    SELECT *, score - coalesce(lead(score) OVER w, score - CAST(1 AS DOUBLE)) AS margin, row_number() OVER w AS n FROM (
-      SELECT name, url, max(CAST(0.6 AS DOUBLE) + CASE WHEN company <> 'Unknown' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS score
-      FROM {candidates} WHERE url <> '' GROUP BY name, url) s WINDOW w AS (PARTITION BY name ORDER BY score DESC, url)) r WHERE n = 1""")
 add("W07_group_anchor", "history_contacts", """
   SELECT seq, first_value(seq) OVER (PARTITION BY full_name, company ORDER BY seq) AS anchor FROM {history_contacts}""")
 add("W08_repeat_page_flag", "candidates", """
