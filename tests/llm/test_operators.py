@@ -63,6 +63,39 @@ def test_every_operator_takes_edge_and_empty_tables(spark, edge):
         assert quality.quality_rules(table).count() == n
 
 
+def test_clashing_columns_give_way(spark, edge):
+    items = spark.createDataFrame([(1, "t1 t2 t3")], "item_id bigint, text string")
+    at = lambda df: {r["doc_id"]: r.asDict() for r in df.where("doc_id IN (100004, 100005, 100007)").collect()}
+    hits = at(decontaminate.occurrences(edge, items))
+    assert hits[100005]["n_words"] == 3000 and hits[100007]["n_hit"] == 3 and hits[100007]["kept"] == "x"
+    counts = at(tokens.token_counts(edge))
+    assert counts[100005]["n_words"] == 1 and counts[100005]["n_tokens"] > 3000  # not a name of its own: carried along
+    index = toxicity.train(edge, spark.createDataFrame([], "doc_id bigint, toxic int"), F.lit(True))
+    assert at(toxicity.score(edge, index))[100005]["score"] == 0.0
+    near = neardup.near_duplicates(edge, carry=["kept", "lang"])
+    assert dict(near.dtypes)["kept"] == "boolean" and at(near)[100007]["component_id"] == 100006 and at(near)[100007]["lang"] == "fr"
+    cut = substring.remove_repeats(edge, carry=["n_words", "kept"])
+    assert at(cut)[100005]["n_words"] == 3000 and at(cut)[100007]["n_removed"] == 40 and at(cut)[100007]["kept"] == "x"
+    named = langid.predict(edge, langid.train(edge, F.lit(True)))
+    assert named.columns.count("score") == 1 and at(named)[100004]["block"] == 2
+    rules = quality.quality_rules(edge)
+    assert dict(rules.dtypes)["kept"] == "boolean" and at(rules)[100005]["n_words"] == 3000
+    mixed = mixing.mix(edge, [1.0], carry=["size", "lang"]) if "size" in edge.columns else mixing.mix(edge.withColumn("size", F.lit(7)), [1.0], carry=["size", "lang"])
+    assert at(mixed)[100005]["size"] == 3000 and at(mixed)[100005]["lang"] == "en"
+
+
+def test_a_text_longer_than_a_block(spark):
+    rng = np.random.RandomState(8)
+    body = " ".join(f"w{k}" for k in rng.randint(0, 10**6, 700_000))
+    assert len(body) > 4 << 20
+    table = spark.createDataFrame([(1, body), (2, "x " + body), (3, "short one")], "doc_id bigint, text string")
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(table).collect()}
+    assert cut == {1: (700_000, 0), 2: (700_001, 700_000), 3: (2, 0)}
+    scored = {r["doc_id"]: r for r in lmscore.train_and_score(table, F.lit(False)).collect()}
+    assert scored[2]["n_tokens"] == 700_002 == scored[2]["n_known"] and scored[1]["score"] > scored[1]["base_score"]
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_decontamination_by_brute_force(spark, edge, docs, small):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     extra = spark.createDataFrame([(9001, "T1, t2! t3"), (9002, "one")], "item_id bigint, text string")
