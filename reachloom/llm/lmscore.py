@@ -29,7 +29,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +44,12 @@ SHARD_BYTES = 8 << 20
 HOT, MOST_HOT = 1 << 20, 200_000
 
 
-def words_of(bodies: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Numbers of the words of all texts one after another, the distinct words that they number, and how many words each
-    text has. Arrow lower-cases A-Z and parts at ASCII white space."""
-    held = bodies.combine_chunks().fill_null(b"")
-    held = pa.Array.from_buffers(pa.string(), len(held), held.buffers(), offset=held.offset)  # bytes as they are
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(held))
-    owner = np.repeat(np.arange(len(held)), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64))
-    flat = parts.flatten()
-    real = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty part
-    encoded = flat.filter(real).dictionary_encode()
-    names = encoded.dictionary
-    names = pa.Array.from_buffers(pa.binary(), len(names), names.buffers(), offset=names.offset).to_pylist()
-    counts = np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(held))
-    return encoded.indices.to_numpy(zero_copy_only=False), names, counts
+class Local(dict):
+    """Numbers for the words of a block, in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
 def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -67,13 +58,14 @@ def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFram
 
     def start():
         def work(rows: pa.Table):
-            found, names, counts = words_of(rows.column("__text"))
-            lengths = counts.astype(np.int64) + 1  # an end after each text
-            end = np.zeros(len(found) + len(counts), bool)
-            end[np.cumsum(lengths) - 1] = True
-            numbers = np.full(len(end), len(names), np.uint32)
-            numbers[~end] = found
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in (*names, END)], np.uint64)
+            local, parts, lengths = Local(), [], []  # text by text: one text's words are held as objects at a time
+            end = np.array([local[END]], np.uint32)
+            for body in rows.column("__text"):
+                words = (body.as_py() or b"").replace(END, b"\xef\xbf\xbd").lower().split()
+                parts += [np.fromiter(map(local.__getitem__, words), np.uint32, len(words)), end]
+                lengths.append(len(words) + 1)
+            numbers, lengths = np.concatenate(parts), np.array(lengths, np.int64)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in local], np.uint64)
             order = np.argsort(hashes)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)

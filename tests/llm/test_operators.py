@@ -463,16 +463,6 @@ def test_lm_tree_is_whole(spark):
         assert got[1000]["score"] - got[1000]["base_score"] > 8  # the passage is known
 
 
-def test_words_are_those_of_the_plain_way():
-    import pyarrow as pa
-
-    texts = [b" A b\x0bC\x0c ", None, b"", b"\t\r\n", "É é\u00a0x \x1cY A".encode(), b"\xff\xfe z", b"a"]
-    for column in (pa.chunked_array([pa.array(texts, pa.binary())]), pa.chunked_array([pa.array([b"q", *texts], pa.binary()).slice(1)])):
-        found, names, counts = lmscore.words_of(column)
-        plain = [(t or b"").lower().split() for t in texts]
-        assert [names[k] for k in found] == [w for t in plain for w in t] and list(counts) == [len(t) for t in plain]
-
-
 def test_pairs_are_coded_alike():
     rng = np.random.RandomState(1)
     c, s = rng.randint(0, 50, 3000), rng.randint(0, 40, 3000)
