@@ -45,8 +45,8 @@ def test_entry(spark, small):
     assert registry.entry(spark, small).count() == 11
 
 
-#: Queries that ask for a pairing of dimensions, a list of phrases, rules, or a few rows of totals.
-PAIRED = ("J12", "K05", "K02", "J13", "D11", "X15", "M07", "R04", "A08")
+#: Queries that ask for a pairing of dimensions, a list of phrases or rules, or a few rows of totals.
+PAIRED = ("J12", "K05", "K02", "J13", "D05", "D10", "D11", "X15", "M07", "R04", "A08")
 
 
 def test_no_query_pairs_all_rows(spark, small):
