@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, pack, saved, texts, unpack
 
-#: Raw text bytes of one bucket of blocks, and Spark's bound on buckets.
-BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 100_000
+#: Raw text bytes of one bucket of blocks (a task's rows wait in memory together), and Spark's bound on buckets.
+BUCKET_BYTES, MOST_BUCKETS = 6 << 20, 100_000
 #: Raw text bytes for one shard. A text of this size asks for about two million hashes at the very most.
 SHARD_BYTES = 16 << 20
 

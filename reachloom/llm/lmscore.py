@@ -262,6 +262,7 @@ def _ask(blocks: DataFrame, shards: int, question) -> DataFrame:
                     [pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array(data, pa.binary())],
                     names=["shard", "block", "data"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return blocks.mapInArrow(run, "shard int, block bigint, data binary")
 
