@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lmscore, mixing, neardup, quality, substring, tokens, toxicity
+from . import chat, decontaminate, langid, lmscore, mixing, neardup, packing, quality, substring, tokens, toxicity
 from .common import crc_mod
 from .oracles import ORACLES
 
@@ -88,6 +88,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, "word_bpe_49k.json", 2048, keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_lm_score": op9_lm_score,
         "op10_quality": op10_quality,
+        "op11_packing": op11_packing,
     }
 
 
