@@ -1,5 +1,6 @@
 """Packing against the library's own encoding and against the bound on sequences."""
 
+import functools
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,8 +12,14 @@ from reachloom.llm import packing, queries
 WORDS = ["Étion,", "don't", "I'LL", "<|endoftext|>x", "<|ENDOFTEXT|>B.", "a\x0bb", "x\x00y", "ΣΑΣ.", "J̌.", "é́", "İstanbul,", "A..", '"Qu?".', "12,", "½.", "…", "ab!", "漢字。", "w" * 200]
 
 
+@functools.cache
 def library(text):
-    return packing.WordIds("word_bpe_49k.json").encode([text or ""])[0]
+    return encoder().encode([text or ""])[0]
+
+
+@functools.cache
+def encoder():
+    return packing.WordIds("word_bpe_49k.json")
 
 
 def ids_of(data):
