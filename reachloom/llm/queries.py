@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lmscore, mixing, neardup, packing, quality, substring, tokens, toxicity
+from . import centroids, chat, decontaminate, langid, lmscore, mixing, neardup, packing, quality, substring, tokens, toxicity
 from .common import crc_mod
 from .oracles import ORACLES
 
@@ -93,6 +93,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, "word_bpe_49k.json", 2048, keep=["doc_id"])
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster_vectors(vectors, k=8, rounds=10, dims=64, scale=1024, seed="3", keep=["vec_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -106,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_score": op9_lm_score,
         "op10_quality": op10_quality,
         "op11_packing": op11_packing,
+        "op12_centroids": op12_centroids,
     }
 
 
