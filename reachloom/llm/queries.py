@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontaminate, langid, lmscore, mixing, neardup, packing, quality, substring, tokens, toxicity
+from . import centroids, chat, decontaminate, langid, lmscore, mixing, neardup, packing, quality, repair, substring, tokens, toxicity
 from .common import crc_mod
 from .oracles import ORACLES
 
@@ -98,6 +98,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(vectors, k=8, rounds=10, dims=64, scale=1024, seed="3", keep=["vec_id"])
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_packing": op11_packing,
         "op12_centroids": op12_centroids,
+        "op13_repair": op13_repair,
     }
 
 
