@@ -35,14 +35,32 @@ from .common import extended, pa_type, saved, texts
 
 SLICE_BYTES = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
-#: Entries that a worker's word table holds before it starts anew, and the longest word that it remembers.
-WORDS_HELD, LONGEST_WORD = 400_000, 64
+#: Words and cores that a generation of a worker's tables holds, and the longest word that it remembers.
+WORDS_HELD, CORES_HELD, LONGEST_WORD = 500_000, 250_000, 64
 #: Sentence marks that stand alone after a letter or digit.
 MARKS = b".,;:!?"
 #: Up to here letters keep their place in words under the tokenizer's rules (composition, lower case).
 LATIN = 0x250
 
 
+class Remembered(dict):
+    """A table of two generations: when the young one is full it becomes the old one, whose entries that are asked for again
+    come back. What is used often stays; what is held is bounded."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        keys = keys.difference(self)
+        back = keys.intersection(self.old) if self.old else ()
+        for k in back:
+            self[k] = self.old[k]
+        return keys.difference(back)
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit numbers, for tokenizers that never join across white space.
 
@@ -63,8 +81,7 @@ class WordIds:
         self.ends = np.zeros(made.get_vocab_size(), bool)
         for word, k in made.get_vocab().items():
             self.ends[k] = word.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.words, self.cores = Remembered(WORDS_HELD), Remembered(CORES_HELD)
 
     @staticmethod
     def parted(word: bytes) -> tuple[bytes, bytes]:
@@ -100,16 +117,12 @@ class WordIds:
             found = SPACE.search(text, at + SLICE_BYTES)
             end = found.start() if found else len(text)
             words = text[at:end].split()
-            if len(self.words) > WORDS_HELD:
-                self.words.clear()
-            if len(self.cores) > WORDS_HELD:
-                self.cores.clear()
-            new = {w: self.parted(w) for w in set(words).difference(self.words)}
-            wanted = {c for pair in new.values() for c in pair if c}.difference(self.cores)
-            self.learn(sorted(wanted))
+            new = {w: self.parted(w) for w in self.words.missing(set(words))}
+            self.learn(sorted(self.cores.missing({c for pair in new.values() for c in pair if c})))
             for w, (core, mark) in new.items():
                 self.words[w] = self.cores[core] + (self.cores[mark] if mark else b"")
-            out.append(b"".join([self.words[w] for w in words]))
+            of = self.words
+            out.append(b"".join([of[w] for w in words]))
             for w in new:
                 if len(w) > LONGEST_WORD:
                     del self.words[w]

@@ -39,6 +39,7 @@ def test_words_are_encoded_as_the_library_does(spark, small):
 def test_slices_and_small_word_tables(monkeypatch):
     monkeypatch.setattr(packing, "SLICE_BYTES", 40)
     monkeypatch.setattr(packing, "WORDS_HELD", 5)
+    monkeypatch.setattr(packing, "CORES_HELD", 4)
     made = packing.WordIds("word_bpe_49k.json")
     text = " ".join(WORDS * 7)
     assert ids_of(made(text.encode())) == made.encode([text])[0]
