@@ -113,7 +113,65 @@ SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) O
   CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON k = m.k"""
 
 
+def _op13() -> str:
+    """Row by row over four states, whole audits kept; then the edits one by one."""
+    crc = (
+        "xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length({s}) + 1), lambda i: CAST(ord({s}[i]) AS UBIGINT))), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(0 AS UBIGINT))), "
+        "lambda x, y: xor(x >> 1, CAST(3988292384 AS UBIGINT) * (x & 1)))), CAST(4294967295 AS UBIGINT))"
+    )
+    more = lambda state, cost, edit: f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}}"
+    none = "{'c': 1000000, 'a': ''}"
+    least = lambda *x: f"list_min([{', '.join(x)}])"
+    before = [f"acc.s[{i + 1}]" for i in range(4)]
+    ready = [
+        before[0], before[1], least(before[2], *(more(before[i], 3, "I") for i in (0, 1, 3))),
+        least(before[3], more(before[2], 3, "I"), more(before[0], 6, "II"), more(before[1], 6, "II")),
+    ]
+    late = "(CASE WHEN x.cut THEN 3 ELSE 0 END)"
+    gone = lambda i: more(f"p[{i + 1}]", 4, "D")
+    when = lambda test, value: f"CASE WHEN {test} THEN {value} ELSE {none} END"
+    rows = [
+        gone(0),
+        least(gone(1), when("x.i = 's'", more("p[1]", late, "K"))),
+        least(gone(2), *(when("NOT x.must", more(f"p[{i}]", f"3 + {late}", "R")) for i in (1, 2, 4)), *(when("x.i = 'u'", more(f"p[{i}]", late, "K")) for i in (1, 2, 4))),
+        least(gone(3), when("NOT x.must", more("p[3]", f"3 + {late}", "R")), when("x.i = 'a'", more("p[3]", late, "K"))),
+    ]
+    step = f"list_transform([[{', '.join(ready)}]], lambda p: [{', '.join(rows)}])[1]"
+    part = "coalesce(CAST({c} AS VARCHAR), ' ')"
+    key = f"{part.format(c='conv_id')} || ':' || {part.format(c='turn')}"
+    order = "turn NULLS FIRST, sha256(role), md5(coalesce('=' || conv_id, '-') || ':' || length(role) || ':' || role || text)"
+    same = "IS NOT DISTINCT FROM"
+    return f"""
+WITH keyed AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc.format(s=f'({key})')} % 20 AS k FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS again
+  FROM keyed WHERE k <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS n, left(role, 1) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS mark FROM damaged),
+faults AS MATERIALIZED (SELECT *, mark = '' AS blank, mark <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS dup,
+  lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM numbered),
+marked AS (SELECT *, blank OR dup AS must, NOT blank AND NOT dup AND mark NOT IN ('.', '!', '?') AS cut FROM faults),
+folded AS (SELECT conv_id, CASE WHEN count(DISTINCT turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+    count(*) FILTER (WHERE before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+    list_reduce(list_prepend({{'i': '', 'must': false, 'cut': false, 's': [{{'c': 0, 'a': ''}}, {none}, {none}, {none}]}},
+      list({{'i': CASE WHEN must THEN '' ELSE i END, 'must': must, 'cut': cut, 's': [{none}, {none}, {none}, {none}]}} ORDER BY n)),
+      lambda acc, x: {{'i': '', 'must': false, 'cut': false, 's': {step}}}) AS acc FROM marked GROUP BY conv_id),
+best AS MATERIALIZED (SELECT * EXCLUDE (acc), {least(before[0], ready[3])} AS b FROM folded),
+edits AS (SELECT conv_id, k, substr(b.a, k, 1) AS e FROM (SELECT conv_id, b, unnest(range(1, length(b.a) + 1)) AS k FROM best)),
+placed AS (SELECT *, sum(CASE WHEN e = 'I' THEN 0 ELSE 1 END) OVER w AS n, sum(CASE WHEN e = 'D' THEN 0 ELSE 1 END) OVER w AS turn_no FROM edits
+  WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+turns AS (SELECT p.conv_id, k, e, turn_no, m.role, CASE WHEN e = 'I' THEN '' ELSE m.text END AS text FROM placed p LEFT JOIN marked m
+  ON p.conv_id {same} m.conv_id AND p.n = m.n WHERE e <> 'D'),
+led AS (SELECT *, max(CASE WHEN turn_no = 1 AND e = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS lead FROM turns),
+texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (turn_no - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS t
+  FROM led GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id {same} c.conv_id LEFT JOIN texts ON texts.conv_id {same} c.conv_id"""
+
+
 ORACLES = {
     "op1_decontamination": OP1, "op3_chat": OP3, "op5_near_dedup": OP5, "op6_substring_dedup": OP6, "op10_quality": OP10,
-    "op12_centroids": _op12(),
+    "op12_centroids": _op12(), "op13_repair": _op13(),
 }
