@@ -43,22 +43,23 @@ MARKS = b".,;:!?"
 LATIN = 0x250
 
 
-class Remembered(dict):
+class Remembered:
     """A table of two generations: when the young one is full it becomes the old one, whose entries that are asked for again
     come back. What is used often stays; what is held is bounded."""
 
     def __init__(self, most: int):
-        self.most, self.old = most, {}
+        self.most, self.now, self.old = most, {}, {}
 
     def missing(self, keys: set[bytes]) -> set[bytes]:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        keys = keys.difference(self)
-        back = keys.intersection(self.old) if self.old else ()
-        for k in back:
-            self[k] = self.old[k]
-        return keys.difference(back)
+        """Those of the keys that aren't held; the others are in `now` after it."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        keys = keys.difference(self.now)  # plain dictionaries, which sets ask key by key
+        if self.old:
+            back = [k for k in keys if k in self.old]
+            self.now.update(zip(back, map(self.old.__getitem__, back), strict=True))
+            keys.difference_update(back)
+        return keys
 
 
 class WordIds:
@@ -107,9 +108,9 @@ class WordIds:
                 continue
             data = ids.tobytes()
             for t, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.cores[t.encode()] = data[4 * a : 4 * b]
+                self.cores.now[t.encode()] = data[4 * a : 4 * b]
         for t, ids in zip(rest, self.encode(rest) if rest else [], strict=True):
-            self.cores[t.encode()] = np.array(ids, "<u4").tobytes()
+            self.cores.now[t.encode()] = np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         out, at = [], 0
@@ -119,14 +120,14 @@ class WordIds:
             words = text[at:end].split()
             new = {w: self.parted(w) for w in self.words.missing(set(words))}
             self.learn(sorted(self.cores.missing({c for pair in new.values() for c in pair if c})))
+            of, cores = self.words.now, self.cores.now
             for w, (core, mark) in new.items():
-                self.words[w] = self.cores[core] + (self.cores[mark] if mark else b"")
-            of = self.words
+                of[w] = cores[core] + (cores[mark] if mark else b"")
             out.append(b"".join([of[w] for w in words]))
             for w in new:
                 if len(w) > LONGEST_WORD:
-                    del self.words[w]
-                    self.cores.pop(self.parted(w)[0], None)
+                    del of[w]
+                    cores.pop(self.parted(w)[0], None)
             at = end
         return b"".join(out)
 
