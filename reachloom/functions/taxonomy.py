@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .predicates import _has, any_of, any_term
 from .text import bound, clean_spaces, normalize_text, plain_text
 
@@ -183,21 +184,46 @@ def industry_match(evidence: Column, industries: list[str]) -> Column:
     return any_term(evidence, terms)
 
 
-def term_hits(rows: DataFrame, key: str, text: str, terms: DataFrame, most_phrases: int = 10_000) -> DataFrame:
-    """Key and term of every row whose text has the term (P01), for term tables of any size.
+#: Lengths of the pieces by which phrases are found; a phrase has the greatest that fits it.
+GRAMS = (2, 4, 8)
 
-    Terms of one word meet the rows' distinct words by an equi-join. Phrases are substrings, which no equi-join finds:
-    they are broadcast, up to most_phrases of them in one pass and in as many passes as they need.
+
+def _grams(squeezed: Column, q: Column) -> Column:
+    """The different pieces of q characters of a text."""
+    n = F.length(squeezed) - q + 1
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(squeezed, i, q))
+    return F.when(n > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def phrase_hits(normal: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
+    """key and term of the rows (key, __text) that hold a phrase (term, __t). Blanks don't count on either side, so a phrase
+    is a piece of the text without blanks. Of a phrase's pieces of q characters the one in the fewest rows is its key; rows
+    that have it are compared with the phrase, and no others."""
+    squeezed = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    asked = phrases.select("term", squeezed("__t").alias("__p"))
+    size = F.length("__p")
+    asked = asked.withColumn("__q", F.greatest(*[F.when(size >= q, q).otherwise(0) for q in GRAMS])).where("__q > 0")
+    used = [r["__q"] for r in asked.select("__q").distinct().collect()]  # three at most
+    pieces = asked.select("term", "__p", F.explode(_grams(F.col("__p"), F.col("__q"))).alias("__g"))
+    texts = normal.select(key, squeezed("__text").alias("__s"))
+    lists = F.array_distinct(F.concat(*[_grams(F.col("__s"), F.lit(q)) for q in used])) if used else F.array().cast("array<string>")
+    there = texts.select(key, F.explode(lists).alias("__g")).join(pieces.select("__g").distinct(), "__g")
+    there = saved(there, "grams")  # what rows have of all phrases' pieces
+    counts = there.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    # a piece that no row has makes a phrase's count 0: it is nowhere
+    best = pieces.join(counts, "__g", "left").groupBy("term", "__p").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__b"))
+    best = best.where("__b.n > 0").select("term", "__p", F.col("__b.__g").alias("__g"))
+    candidates = there.join(best, "__g").select(key, "term", "__p")
+    return candidates.join(texts, key).where(F.contains("__s", F.col("__p"))).select(key, "term").distinct()
+
+
+def term_hits(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """Key and term of every row whose text has the term (P01), for rows and term tables of any size. Keys are different.
+
+    Terms of one word meet the rows' distinct words by an equi-join, phrases by their rarest piece (phrase_hits).
     """
     asked = terms.select("term", normalize_text(F.col("term")).alias("__t")).where("__t != ''").distinct()
-    normal = rows.select(key, normalize_text(F.col(text)).alias("__text"))
+    normal = saved(rows.select(key, normalize_text(F.col(text)).alias("__text")), "texts")
     words = normal.select(key, F.explode(F.array_distinct(F.split("__text", " "))).alias("__t"))
     found = words.join(asked.where("NOT contains(__t, ' ')"), "__t").select(key, "term")
-    phrases = asked.where("contains(__t, ' ')")
-    passes = -(-phrases.count() // most_phrases)
-    for k in range(passes):
-        some = phrases.where(F.pmod(F.xxhash64("__t"), F.lit(passes)) == k)
-        squeezed = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-        there = F.contains(F.col("__text"), F.col("__t")) | F.contains(squeezed("__text"), squeezed("__t"))
-        found = found.unionByName(normal.join(F.broadcast(some), there).select(key, "term"))
-    return found
+    return found.unionByName(phrase_hits(normal, key, asked.where("contains(__t, ' ')")))

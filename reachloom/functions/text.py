@@ -184,7 +184,7 @@ def unique_terms(terms: Column) -> Column:
 def unwrap_redirect(c: Column) -> Column:
     """The target of a search redirect; anything else unchanged."""
     raw = text_of(c)
-    path = F.regexp_extract(raw, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(raw, r"^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1)
     param = lambda k: F.try_url_decode(F.regexp_extract(raw, rf"[?&]{k}=([^&#]*)", 1))
     full = lambda v: F.when(v != "", v)
     coded = F.regexp_extract(raw, r"[?&]u=a1([^&#]*)", 1)

@@ -44,3 +44,36 @@ def interleaved(df: DataFrame, stage: Column, weights: dict[int, int], order: li
         size = F.when(F.col("__stage") == s, F.lit(w)).otherwise(size)
     turn = within.withColumn("__round", F.floor(F.col("__k") / size))
     return numbered(turn, [F.col("__round"), F.col("__stage"), F.col("__k")], name).drop("__stage", "__n", "__s", "__first", "__k", "__round")
+
+
+def combinations(dimensions: list[DataFrame], name: str = "place") -> DataFrame:
+    """All combinations of the rows of k tables, numbered from 1 so that the first ones touch every row: the diagonals
+    through the longest table, then by the sum of the places, the greatest place and the places in order.
+
+    A combination is a number: its digits, one for each table with the table's size as base, are the places. So the
+    combinations come from a range, meet their rows by equi-joins, and are numbered by ranges of the order. Columns are the
+    tables' own (their names have to differ); the tables' order is that of all their columns.
+    """
+    spark = dimensions[0].sparkSession
+    placed = [saved(numbered(d, [F.col(c) for c in d.columns], f"__p{k}").withColumn(f"__p{k}", F.col(f"__p{k}") - 1), "dimension") for k, d in enumerate(dimensions)]
+    sizes = [p.count() for p in placed]
+    total = 1
+    for n in sizes:
+        total *= n
+    places, base = [], total
+    for n in sizes:
+        base //= max(n, 1)
+        places.append(F.pmod(F.floor(F.col("id") / F.lit(base)) if base > 1 else F.col("id"), F.lit(n)).cast("bigint"))
+    rows = spark.range(total).select(*[p.alias(f"__p{k}") for k, p in enumerate(places)])
+    own = [F.col(f"__p{k}") for k in range(len(sizes))]
+    longest = own[sizes.index(max(sizes))]
+    diagonal = F.lit(True)
+    for p, n in zip(own, sizes, strict=True):
+        diagonal = diagonal & (p == longest % n)
+    first = F.when(diagonal, 0).otherwise(1)
+    some = F.when(diagonal, longest).otherwise(sum(own[1:], own[0]))
+    top = F.when(diagonal, 0).otherwise(F.greatest(*own) if len(own) > 1 else own[0])
+    out = numbered(rows.select("*", first.alias("__d"), some.alias("__s"), top.alias("__m")), [F.col(c) for c in ("__d", "__s", "__m")] + own, name)
+    for k, p in enumerate(placed):
+        out = out.join(p, f"__p{k}")
+    return out.select(*[c for d in dimensions for c in d.columns], name)

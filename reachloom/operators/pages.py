@@ -28,6 +28,8 @@ from ..functions.text import (
     text_of,
     url_host,
 )
+from ..storage import saved
+from .intervals import text_within, within
 from .signals import around, positions
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,81 +39,104 @@ PHONE_SHAPE = r"(?<![\w])(?:\+?\d{1,3}[\s()./-]*)?(?:\(?\d{2,5}\)?[\s()./-]*){1,
 CONTAINERS = ("li", "p", "address", "div", "section")
 
 
-class _Elements(html.parser.HTMLParser):
-    """Elements in document order with parent, tag, class, own text, href and script type."""
+class Elements(html.parser.HTMLParser):
+    """A page's elements and text pieces in document order, under a root of number 0. A row: parent, tag, class, own text,
+    href, type, testid, inside (a piece's element), led (something stands before it in its parent), after (the element
+    that it directly follows, else -1), last (its last descendant)."""
 
-    def __init__(self) -> None:
+    def __init__(self, body: str) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
-        self.pieces: list[tuple[int, str]] = []
+        self.latest: list[int] = []  # of each open element, its latest child: -2 none yet, -1 text
+        self._add("#root", {})
+        self.open.append(0)
+        self.latest.append(-2)
+        self.feed(body)
+        self.close()
+        while self.open:
+            self.rows[self.open.pop()]["last"] = len(self.rows) - 1
+
+    def _add(self, tag: str, got: dict[str, str | None], text: str = "", inside: str = "") -> None:
+        before = self.latest[-1] if self.latest else -2
+        node = len(self.rows)
+        self.rows.append({
+            "node": node, "parent": self.open[-1] if self.open else -1, "last": node, "tag": tag, "class": got.get("class") or "", "text": text,
+            "href": got.get("href") or "", "type": got.get("type") or "", "testid": got.get("data-testid") or "", "inside": inside,
+            "led": before > -2, "after": max(before, -1),
+        })
+        if self.latest:
+            self.latest[-1] = -1 if tag == "#text" else node
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        got = dict(attrs)
-        self.rows.append({"node": len(self.rows), "parent": self.open[-1] if self.open else -1, "tag": tag, "text": "",
-                          "class": got.get("class") or "", "href": got.get("href") or "", "type": got.get("type") or ""})
+        self._add(tag, dict(attrs))
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
+            self.latest.append(-2)
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self._add(tag, dict(attrs))
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
+        for k in range(len(self.open) - 1, 0, -1):
             if self.rows[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+                for node in self.open[k:]:
+                    self.rows[node]["last"] = len(self.rows) - 1
+                del self.open[k:], self.latest[k:]
                 return
 
     def handle_data(self, data: str) -> None:
-        if data.strip():
-            self.pieces.append((self.open[-1] if self.open else -1, data.strip()))
-        if self.open and data.strip():
-            row = self.rows[self.open[-1]]
-            row["text"] = f"{row['text']} {data.strip()}".strip()
-
-
-    def ancestors(self, node: int) -> Iterator[int]:
-        while node >= 0:
-            yield node
-            node = self.rows[node]["parent"]
-
-    def text_in(self, node: int) -> str:
-        return " ".join(t for at, t in self.pieces if node in self.ancestors(at))
-
-
-def tel_links(pages: DataFrame) -> DataFrame:
-    """page_id, pos, candidate, evidence: numbers in tel: links with the text of the nearest list item, paragraph,
-    address, division or section around them (else the link's own)."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, body in zip(batch["page_id"], batch["html"], strict=True):
-                if not body or "tel:" not in body:
-                    continue
-                reader = _Elements()
-                reader.feed(body)
-                for k, row in enumerate(reader.rows):
-                    if row["tag"] == "a" and row["href"].startswith("tel:"):
-                        around = next((n for n in reader.ancestors(row["parent"]) if reader.rows[n]["tag"] in CONTAINERS), k)
-                        rows.append((page, k, row["href"][4:].split("?", 1)[0], reader.text_in(around)))
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "candidate", "evidence"])
-
-    return pages.select("page_id", "html").mapInPandas(parse, "page_id bigint, pos int, candidate string, evidence string")
+        owner = self.rows[self.open[-1]]
+        if not data.strip():
+            self.latest[-1] = -1
+            return
+        self._add("#text", {}, data.strip(), owner["tag"])
+        if owner["tag"] != "#root":
+            owner["text"] = f"{owner['text']} {data.strip()}".strip()
+
+
+NODES = (
+    "page_id bigint, url string, node bigint, parent bigint, last bigint, levels int, tag string, class string, text string, href string, "
+    "type string, testid string, inside string, led boolean, after bigint"
+)
+#: Rows of element tables that a task holds before it passes them on.
+HELD_ROWS = 20_000
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """page_id, url, node, parent, tag, class, text, href, type."""
+    """The elements of pages (page_id, url, html) and their text pieces (tag #text), in document order: an element holds
+    the numbers from node to last. levels: bits of the page's largest number. Each page is parsed once, in linear time; a
+    null page has its root only. Write the result out where several steps read it."""
+    columns = [f.split()[0] for f in NODES.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["page_id", "url", "node", "parent", "tag", "class", "text", "href", "type"]
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for page, url, body in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
-                reader = _Elements()
-                reader.feed(body or "")
-                rows += [{"page_id": page, "url": url, **r} for r in reader.rows]
-            yield pd.DataFrame(rows, columns=columns)
+                found = Elements(body or "").rows
+                levels = (len(found) - 1).bit_length()
+                rows += [{"page_id": page, "url": url, "levels": levels, **r} for r in found]
+                if len(rows) >= HELD_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+    return pages.select("page_id", "url", "html").mapInPandas(parse, NODES)
 
-    schema = "page_id bigint, url string, node int, parent int, tag string, class string, text string, href string, type string"
-    return pages.select("page_id", "url", "html").mapInPandas(parse, schema)
+
+def tel_links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, candidate, evidence: numbers in tel: links with the text of the nearest list item, paragraph,
+    address, division or section around them (else the link's own)."""
+    some = pages.where(F.col("html").contains("tel:")).select("page_id", F.lit("").alias("url"), "html")
+    nodes = saved(html_nodes(some), "nodes")
+    links = nodes.where((F.col("tag") == "a") & F.col("href").startswith("tel:")).select("page_id", "node", "last", "href")
+    boxes = within(nodes.where(F.col("tag").isin(*CONTAINERS)).select("page_id", "node", "last", "levels"), links)
+    boxes = boxes.groupBy("page_id", "node").agg(F.max("outer").alias("box"))  # the innermost begins last
+    links = links.join(boxes, ["page_id", "node"], "left").withColumn("box", F.coalesce("box", "node"))
+    texts = text_within(nodes, links.select("page_id", F.col("box").alias("node")).distinct())
+    links = links.join(texts.select("page_id", F.col("node").alias("box"), "text"), ["page_id", "box"], "left")
+    number = F.regexp_extract(F.substring("href", 5, 1_000_000), r"^([^?]*)", 1)
+    return links.select("page_id", F.col("node").alias("pos"), number.alias("candidate"), F.coalesce("text", F.lit("")).alias("evidence"))
 
 
 def absolute(href: Column, base: Column) -> Column:

@@ -1,7 +1,7 @@
 """People on stored pages: embedded data sets, JSON-LD, cards and profile links give raw records; records become people.
 
-Only reading HTML and JSON is Python, page by page, and it gives raw records as JSON text; all rules on records are
-Column expressions, and duplicates are settled by joins.
+Only reading HTML and JSON is Python, page by page, and gives element rows and raw records as JSON text. Rules on cards and
+links are joins of element intervals and windows over an element's children, rules on records Column expressions.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.predicates import is_active
 from ..functions.text import bound, clean_spaces, find_profile_urls, key_id, normalize_profile_url, normalize_text, profile_id, text_of, words
 from ..storage import saved
-from .graph import components
-from .pages import _Elements
+from .intervals import text_within, within
+from .pages import Elements, html_nodes
+from .results import parse_profile_fields
 
 # Fixed values of the data rules.
 MARKERS = ("allSpeakersData", "speakersData", "speakerData", "allSpeakers", "speakers", "people", "persons", "participants", "attendees", "teamMembers", "members")
@@ -33,7 +34,15 @@ NESTED = ("speaker", "person", "profile", "user", "member", "author")
 TEXTS = ("name", "fullName", "companyName", "title", "label", "country", "countryName", "addressCountry", "addressLocality")
 NO_PERSON = ("", "linkedin", "speaker", "profile", "team", "person")
 CARDS = ("speaker", "panelist", "presenter", "person", "profile", "team-member", "member", "lineup")
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "strong")
+OVERLAYS = ("speaker-overlay", "speaker-box", "speaker-card", "speaker-item", "speaker-profile", "panelist-card", "panelist-overlay", "presenter-card")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5")
+NEAR_CARDS = ("speaker", "person", "profile", "card", "team", "member")
+TITLE_WORDS = (
+    "ceo", "cto", "cmo", "cfo", "coo", "cpo", "cio", "cdo", "cro", "chro", "head", "director", "manager", "founder", "co-founder",
+    "cofounder", "president", "vice", "senior", "chief", "group", "global", "regional", "partner", "lead", "officer", "executive",
+)
+#: Order of the strategies after the data sets, whose ranks begin at 0.
+OVERLAY_RANK, CARD_RANK, LINK_RANK = 1_000_000, 1_000_001, 1_000_002
 RAW = "page_id bigint, url string, dataset string, rank int, pos int, raw string"
 
 
@@ -97,46 +106,8 @@ def _persons(scripts: list[str]) -> list[dict]:
     return found
 
 
-def _cards(page: _Elements) -> list[dict]:
-    """Elements whose class names a person: the first heading is the name, then role and company."""
-    found = []
-    for k, row in enumerate(page.rows):
-        if row["tag"] not in ("article", "li", "div", "section") or not any(t in row["class"].lower() for t in CARDS):
-            continue
-        if len(page.text_in(k)) > 1200:  # a container of cards
-            continue
-        inside = [n for n in range(k + 1, len(page.rows)) if k in page.ancestors(n)]
-        heads = [t for n in inside if page.rows[n]["tag"] in HEADINGS and (t := page.text_in(n))]
-        links = [page.rows[n]["href"] for n in inside if page.rows[n]["tag"] == "a" and page.rows[n]["href"]]
-        if heads:
-            role, _, company = (heads[1:2] or [""])[0].rpartition(" at ") if len(heads) == 2 and " at " in heads[1] else ((heads[1:2] or [""])[0], "", (heads[2:3] or [""])[0])
-            found.append({"name": heads[0], "designation": role, "company": company, "linkedinProfile": links})
-    return found
-
-
-def _links(page: _Elements) -> list[dict]:
-    """Visible profile links: "Name, role at company" in the link itself, else the nearest heading before it in the
-    same element, with the text between as role and company."""
-    found = []
-    for k, row in enumerate(page.rows):
-        if row["tag"] != "a" or "linkedin.com/in/" not in row["href"].lower():
-            continue
-        text = " ".join(page.text_in(k).split())
-        rest, _, company = text.rpartition(" at ") if " at " in text else (text, "", "")
-        name, _, role = rest.partition("·") if "·" in rest else (" ".join(rest.split()[:2]), "", " ".join(rest.split()[2:]))
-        if not name or not role and not company:
-            before = [n for n in range(k) if page.rows[n]["parent"] == row["parent"] and page.rows[n]["tag"] in HEADINGS and page.text_in(n)]
-            if before:
-                name = page.text_in(before[-1])
-                between = [page.text_in(n) for n in range(before[-1] + 1, k) if page.rows[n]["parent"] == row["parent"]]
-                role, _, company = " ".join(between).rpartition(" at ") if " at " in " ".join(between) else (" ".join(between), "", "")
-        found.append({"name": name.strip(), "designation": role.strip(), "company": company.strip(), "linkedinProfile": row["href"]})
-    return found
-
-
-def raw_people(pages: DataFrame) -> DataFrame:
-    """page_id, url, dataset, rank (the order of the strategies), pos, raw (JSON): what a page says of people.
-    Cards count only where no data set does."""
+def data_sets(pages: DataFrame) -> DataFrame:
+    """page_id, url, dataset, rank (the order of the data sets), pos, raw (JSON): records in scripts and text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,22 +115,176 @@ def raw_people(pages: DataFrame) -> DataFrame:
             for page, url, body in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 if not body:
                     continue
-                seen = _Elements()
-                seen.feed(body)
-                scripts = [(r["type"], r["text"].strip()) for r in seen.rows if r["tag"] == "script"]
+                scripts = [(r["type"], r["text"].strip()) for r in Elements(body).rows if r["tag"] == "script"]
                 sets = [*_marked(_streamed([t for _, t in scripts])), *_marked(body)]
                 if linked := _persons([t for kind, t in scripts if kind == "application/ld+json"]):
                     sets.append(("json_ld_person", linked))
-                if not sets and (cards := _cards(seen)):
-                    sets.append(("html_speaker_cards", cards))
-                if links := _links(seen):
-                    sets.append(("visible_profile_links", links))
                 out += [(page, url, name, rank, pos, json.dumps(raw, ensure_ascii=False)) for rank, (name, rows) in enumerate(sets) for pos, raw in enumerate(rows)]
             yield pd.DataFrame(out, columns=["page_id", "url", "dataset", "rank", "pos", "raw"])
 
     return pages.select("page_id", "url", "html").mapInPandas(read, RAW)
 
 
+def valid_name(c: Column) -> Column:
+    """One to eight words, no digit, and not what such places say instead of a name."""
+    return bound(normalize_text(c), lambda k: ~k.isin(*NO_PERSON) & F.size(words(k)).between(1, 8) & ~c.rlike(r"\d"))
+
+
+def _children_text(nodes: DataFrame, tags: tuple[str, ...], cards: DataFrame) -> DataFrame:
+    """page_id, outer, heads: the texts of a card's elements of some tags, in order, empty ones left out."""
+    inner = within(cards, nodes.where(F.col("tag").isin(*tags)).select("page_id", "node"))
+    texts = text_within(nodes, inner.select("page_id", "node").distinct())
+    found = inner.select("page_id", "outer", "node").join(texts, ["page_id", "node"])
+    return found.groupBy("page_id", "outer").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x.text).alias("heads"))
+
+
+def _first_profile(nodes: DataFrame, cards: DataFrame) -> DataFrame:
+    """page_id, outer, link: the first profile link in a card."""
+    links = nodes.where((F.col("tag") == "a") & (F.col("href") != "")).withColumn("link", normalize_profile_url(F.col("href"))).where("link != ''")
+    return within(cards, links.select("page_id", "node", "link")).groupBy("page_id", "outer").agg(F.min_by("link", "node").alias("link"))
+
+
+def _has_class(tokens: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(F.col("class"), t))
+
+
+def overlay_cards(nodes: DataFrame) -> DataFrame:
+    """X09, the first kind: page_id, node, name, designation, company, link: cards whose headings are name, role and company
+    (or "role at company")."""
+    cards = nodes.where(~F.col("tag").startswith("#") & _has_class(OVERLAYS)).select("page_id", "node", "last", "levels")
+    found = _children_text(nodes, (*HEADINGS, "strong"), cards).join(_first_profile(nodes, cards), ["page_id", "outer"], "left")
+    head = lambda k: F.coalesce(F.get("heads", F.lit(k)), F.lit(""))
+    at = (head(2) == "") & head(1).contains(" at ")
+    return found.where(valid_name(head(0))).select(
+        "page_id", F.col("outer").alias("node"), head(0).alias("name"),
+        F.when(at, F.trim(F.regexp_extract(head(1), "(?s)^(.*) at .*$", 1))).otherwise(head(1)).alias("designation"),
+        F.when(at, F.trim(F.regexp_extract(head(1), "(?s)^.* at (.*)$", 1))).otherwise(head(2)).alias("company"),
+        F.coalesce("link", F.lit("")).alias("link"),
+    )
+
+
+def person_cards(nodes: DataFrame, most: int = 1200) -> DataFrame:
+    """X09, the second kind: elements whose class names a person, of `most` characters at most: the first heading is the
+    name (the first card of a name on a page), the second heading's fields, else the whole text's, role and company."""
+    cards = nodes.where(F.col("tag").isin("article", "li", "div") & _has_class(CARDS)).select("page_id", "node", "last", "levels")
+    texts = text_within(nodes, cards.select("page_id", "node")).withColumnRenamed("node", "outer").where(F.length("text") <= most)
+    found = _children_text(nodes, HEADINGS, cards).join(texts, ["page_id", "outer"]).join(_first_profile(nodes, cards), ["page_id", "outer"], "left")
+    found = found.withColumn("name", F.get("heads", F.lit(0))).where(valid_name(F.col("name")))
+    first = F.row_number().over(Window.partitionBy("page_id", "name").orderBy("outer"))
+    found = found.withColumn("n", first).where("n = 1")
+    second = F.when(F.size("heads") > 1, parse_profile_fields(F.col("name"), F.get("heads", F.lit(1))))
+    fields = bound(second, lambda s: F.when(F.coalesce(s.designation, F.lit("")) != "", s).otherwise(parse_profile_fields(F.col("name"), F.col("text"))))
+    return found.withColumn("f", fields).select(
+        "page_id", F.col("outer").alias("node"), "name", "f.designation", "f.company", F.coalesce("link", F.lit("")).alias("link"))
+
+
+def anchor_fields(text: Column) -> Column:
+    """What a link's text says by itself: "name role at company" or "name · role at company"; all empty if it begins with no
+    name. Two capitalised words are a name; a third one too, if it is short, no title and the next word is in lower case."""
+    none = F.struct(F.lit("").alias("name"), F.lit("").alias("designation"), F.lit("").alias("company"))
+    capital = lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}")
+
+    def parted(rest: Column) -> Column:
+        w = F.split(rest, " ")
+        word = lambda k: F.coalesce(F.get(w, F.lit(k)), F.lit(""))
+        third = F.lower(F.btrim(word(2), F.lit(".,")))
+        long = (F.size(w) >= 4) & capital(word(2)) & ~third.isin(*TITLE_WORDS) & ~word(2).contains(",") & (F.length(word(2)) <= 14) & ~capital(word(3))
+        n = F.when(F.size(w) <= 2, F.size(w)).when(capital(word(0)) & capital(word(1)), F.when(long, 3).otherwise(2)).otherwise(1)
+        dotted = F.instr(rest, "·")
+        return F.when(dotted > 0, F.struct(F.trim(F.substring_index(rest, "·", 1)).alias("name"), F.trim(F.substring(rest, dotted + 1, F.length(rest))).alias("designation"))).otherwise(
+            F.struct(F.array_join(F.slice(w, 1, n), " ").alias("name"), F.array_join(F.slice(w, n + 1, F.size(w)), " ").alias("designation")))
+
+    def fields(t: Column) -> Column:
+        at = t.contains(" at ")
+        rest = F.when(at, F.trim(F.regexp_extract(t, "^(.*) at .*$", 1))).otherwise(t)
+        company = F.when(at, F.trim(F.regexp_extract(t, "^.* at (.*)$", 1))).otherwise(F.lit(""))
+        return bound(parted(rest), lambda p: F.when(valid_name(p["name"]) & (t != ""), F.struct(
+            p["name"].alias("name"), clean_spaces(p.designation).alias("designation"), company.alias("company"))).otherwise(none))
+
+    return bound(clean_spaces(text), fields)
+
+
+def profile_links(nodes: DataFrame) -> DataFrame:
+    """page_id, node, name, designation, company, link: each profile that a page links to, once. The link's own text
+    counts if it begins with a name; else the nearest heading before it in its parent that is a name (or the link's text,
+    if it is one and no heading stands directly before it), with the text up to the link or the next heading; else the
+    nearest card around it."""
+    links = nodes.where((F.col("tag") == "a") & F.col("href").contains("linkedin.com/in/")).withColumn("link", normalize_profile_url(F.col("href")))
+    once = F.row_number().over(Window.partitionBy("page_id", "link").orderBy("node"))
+    links = links.where("link != ''").withColumn("n", once).where("n = 1").select("page_id", "node", "last", "parent", "levels", "led", "after", "link")
+    kids = nodes.join(links.select("page_id", "parent").distinct(), ["page_id", "parent"], "left_semi")
+    boxes = nodes.where(F.col("tag").isin("article", "li", "section") | (~F.col("tag").startswith("#") & F.exists(
+        F.array(*[F.lit(t) for t in NEAR_CARDS]), lambda t: F.contains(normalize_text(F.col("class")), t))))
+    near = within(boxes.select("page_id", "node", "last", "levels"), links.select("page_id", "node", "link"))
+    near = near.groupBy("page_id", "node").agg(F.max("outer").alias("box"))
+    links = links.join(near, ["page_id", "node"], "left").withColumn("box", F.coalesce("box", "parent"))
+    heads = _in_cards(nodes, links.select("page_id", F.col("box").alias("node")).distinct())
+    shown = nodes.where(~F.col("tag").startswith("#"))
+    wanted = links.select("page_id", "node").unionByName(links.select("page_id", F.col("box").alias("node"))).unionByName(
+        shown.join(kids.select("page_id", "node"), ["page_id", "node"], "left_semi").select("page_id", "node")).unionByName(heads.select("page_id", F.col("title").alias("node")))
+    texts = saved(text_within(nodes, wanted.distinct()), "texts")
+    named = lambda node, text: texts.select("page_id", F.col("node").alias(node), F.col("text").alias(text))
+
+    kids = kids.select("page_id", "parent", "node", "tag", F.when(F.col("tag") == "#text", F.col("text")).alias("piece")).join(texts, ["page_id", "node"], "left")
+    kids = kids.withColumn("t", F.coalesce("piece", "text", F.lit(""))).withColumn("head", F.col("tag").isin(*HEADINGS, "strong"))
+    order = Window.partitionBy("page_id", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kids = kids.withColumn("good", F.col("head") & valid_name(F.col("t"))).withColumn("part", F.sum(F.col("head").cast("int")).over(order))
+    kids = kids.withColumn("heading", F.last(F.when(F.col("good"), F.struct("node", "t", "part")), ignorenulls=True).over(order))
+    between = kids.where("NOT head AND t != ''").groupBy("page_id", "parent", "part").agg(F.array_sort(F.collect_list(F.struct("node", "t"))).alias("said"))
+
+    links = links.join(named("node", "own"), ["page_id", "node"], "left").withColumn("own", F.coalesce("own", F.lit("")))
+    links = links.join(kids.select("page_id", "node", "heading", F.col("part").alias("at")), ["page_id", "node"], "left")
+    direct = kids.where("good").select("page_id", F.col("node").alias("after"), F.lit(True).alias("follows"))
+    links = links.join(direct, ["page_id", "after"], "left")
+    # the nearest sibling decides: a heading directly before, else the link's own text where it is a name
+    by_own = F.col("led") & F.col("follows").isNull() & valid_name(F.col("own"))
+    links = links.withColumn("lead", F.when(by_own, F.col("own")).when(F.col("heading").isNotNull(), F.col("heading.t")))
+    links = links.withColumn("part", F.when(by_own, 0).otherwise(F.col("heading.part")))
+    links = links.join(between, ["page_id", "parent", "part"], "left")
+    said = F.array_join(F.transform(F.filter(F.coalesce("said", F.array().cast("array<struct<node:bigint,t:string>>")), lambda x: x.node < F.col("node")), lambda x: x.t), " ")
+    links = links.join(heads.withColumnRenamed("node", "box"), ["page_id", "box"], "left")
+    links = links.join(named("title", "headline"), ["page_id", "title"], "left").join(named("box", "body"), ["page_id", "box"], "left")
+    title = F.coalesce(F.nullif("headline", F.lit("")), F.col("own"))
+
+    own = anchor_fields(F.col("own"))
+    beside = parse_profile_fields(F.col("lead"), said)
+    beside = F.struct(F.col("lead").alias("name"), beside.designation.alias("designation"), beside.company.alias("company"))
+    fields = bound(own, lambda o: F.when(o["name"] != "", o).when(F.col("lead").isNotNull(), beside).otherwise(parse_profile_fields(title, F.col("body"))))
+    return links.withColumn("f", fields).select("page_id", "node", "f.name", "f.designation", "f.company", "link")
+
+
+def _in_cards(nodes: DataFrame, cards: DataFrame) -> DataFrame:
+    """page_id, node, title: the element that names a card: the first h1 with text, else h2, h3, h4, else one whose class says
+    name, else title. Of each kind only the first element counts."""
+    cards = nodes.join(cards, ["page_id", "node"], "left_semi").select("page_id", "node", "last", "levels")
+    kind = F.coalesce(*[F.when(F.col("tag") == h, F.lit(k)) for k, h in enumerate(("h1", "h2", "h3", "h4"))])
+    named = F.filter(F.array(kind, F.when(F.col("class").contains("name"), 4), F.when(F.col("class").contains("title"), 5)), lambda x: x.isNotNull())
+    some = nodes.where(~F.col("tag").startswith("#")).select("page_id", "node", F.explode(named).alias("kind"))
+    firsts = within(cards, some).groupBy("page_id", "outer", "kind").agg(F.min("node").alias("node"))
+    texts = text_within(nodes, firsts.select("page_id", "node").distinct())
+    full = firsts.join(texts, ["page_id", "node"])  # without text it has no row
+    return full.groupBy("page_id", "outer").agg(F.min_by("node", "kind").alias("title")).withColumnRenamed("outer", "node")
+
+
+def raw_people(pages: DataFrame) -> DataFrame:
+    """page_id, url, dataset, rank (the order of the strategies), pos, raw (JSON): what a page says of people.
+    Cards of the second kind count only where neither data sets nor cards of the first kind are."""
+    nodes = saved(html_nodes(pages), "nodes")
+    sets = data_sets(pages)
+    urls = nodes.where("node = 0").select("page_id", "url")
+
+    def records(found: DataFrame, dataset: str, rank: int) -> DataFrame:
+        raw = F.to_json(F.struct("name", "designation", "company", F.col("link").alias("linkedinProfile")))
+        n = F.row_number().over(Window.partitionBy("page_id").orderBy("node")) - 1
+        found = found.join(urls, "page_id")
+        return found.select("page_id", "url", F.lit(dataset).alias("dataset"), F.lit(rank).alias("rank"), n.alias("pos"), raw.alias("raw"))
+
+    first = sets.unionByName(records(overlay_cards(nodes), "overlay_cards", OVERLAY_RANK))
+    first = saved(first, "sets")
+    cards = records(person_cards(nodes), "person_cards", CARD_RANK).join(first.select("page_id").distinct(), "page_id", "left_anti")
+    return first.unionByName(cards.select(*first.columns)).unionByName(records(profile_links(nodes), "visible_profile_links", LINK_RANK))
+
+
 def _entries(raw: Column) -> Column:
     """Keys (N13) and values of a record, then those of one nested person."""
     read = lambda c: F.transform(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.struct(key_id(e.key).alias("k"), e.value.alias("v")))
@@ -198,8 +323,15 @@ def person_records(raws: DataFrame) -> DataFrame:
         F.forall(F.array(*[F.struct(_value(e, (k,)).alias("v")) for k in ("isActive", "active", "enabled", "published")]), lambda x: is_active(x.v, F.lit("")))
         .alias("on"), is_active(F.lit("true"), normalize_text(_text(_value(e, ("status",))))).alias("open"),
     )
+    df = df.where(F.col("on") & F.col("open") & valid_name(F.col("name")))
+    df = df.withColumn("f", parse_profile_fields(F.col("name"), F.concat_ws(" ", F.nullif("designation", F.lit("")), F.nullif("company", F.lit("")))))
+    known = ~normalize_text(F.col("f.name")).isin("unknown", "linkedin member")
+    df = df.withColumns({
+        "name": F.when(known, F.col("f.name")).otherwise(F.col("name")),
+        "designation": F.when(F.col("designation") != "", F.col("designation")).otherwise(F.col("f.designation")),
+        "company": F.when(F.col("company") != "", F.col("company")).otherwise(F.col("f.company")),
+    })
     key = normalize_text(F.col("name"))
-    df = df.where(F.col("on") & F.col("open") & ~key.isin(*NO_PERSON) & F.size(words(key)).between(1, 8) & ~F.col("name").rlike(r"\d"))
     made = F.concat_ws(":", "dataset", F.coalesce(F.nullif("own_id", F.lit("")), F.nullif(profile_id(F.col("profile_url")), F.lit("")),
                                                   F.concat_ws(":", F.col("pos").cast("string"), key)))
     given = F.col("profile_url") != ""
@@ -209,16 +341,34 @@ def person_records(raws: DataFrame) -> DataFrame:
 
 
 def extract_people(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """X11: (people, pages without any). Records of a page are one person if they share the id, the name and company, or
-    the profile; of those the fullest stays, then the shortest name, then the first."""
-    rows = saved(person_records(raw_people(pages)).withColumn("n", F.monotonically_increasing_id()), "people")
-    keys = rows.select("page_id", "n", F.explode(F.array(
-        F.concat(F.lit("i:"), F.col("person_id")), F.concat(F.lit("p:"), normalize_text(F.col("name")), F.lit("|"), normalize_text(F.col("company"))),
-        F.when(F.col("profile_url") != "", F.concat(F.lit("u:"), F.col("profile_url"))))).alias("key")).where("key IS NOT NULL")
-    firsts = keys.groupBy("page_id", "key").agg(F.min("n").alias("first"))
-    links = keys.join(firsts, ["page_id", "key"]).where("n != first").select(F.col("n").alias("a"), F.col("first").alias("b"))
-    groups = rows.join(components(links).select(F.col("id").alias("n"), "component"), "n", "left").withColumn("group", F.coalesce("component", "n"))
+    """X11: (people, pages without any). In the strategies' order a page's record is a person if it shares neither id, nor
+    name and company, nor profile with a person before it; one with a person's profile takes that person's place if more of
+    role, company and country are filled, or as many and the name has fewer words. A page's records are one group."""
+    rows = person_records(raw_people(pages))
     full = sum((F.when(F.col(c) != "", 1).otherwise(0) for c in ("designation", "company", "country")), F.lit(0))
-    best = Window.partitionBy("group").orderBy(F.desc(full), F.size(words(normalize_text(F.col("name")))), "rank", "pos")
-    people = groups.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k", "n", "component", "group")
-    return people, pages.select("page_id").join(rows.select("page_id").distinct(), "page_id", "left_anti")
+    same = F.concat(normalize_text(F.col("name")), F.lit("|"), normalize_text(F.col("company")))
+    keyed = rows.select("*", full.alias("__full"), same.alias("__same"), F.size(words(normalize_text(F.col("name")))).alias("__words"))
+    keyed = saved(keyed, "people")
+    schema = rows.schema
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["rank", "pos"], kind="stable").reset_index(drop=True)
+        kept: list[int] = []
+        seen: set[tuple[str, str]] = set()
+        place: dict[str, int] = {}
+        for k, (own, same, url) in enumerate(zip(group["person_id"], group["__same"], group["profile_url"], strict=True)):
+            keys = {("id", own), ("same", same)} | ({("url", url)} if url else set())
+            if not keys & seen:
+                seen |= keys
+                if url:
+                    place[url] = len(kept)
+                kept.append(k)
+            elif url in place:
+                now = group.iloc[kept[place[url]]]
+                this = group.iloc[k]
+                if (-this["__full"], this["__words"]) < (-now["__full"], now["__words"]):
+                    kept[place[url]] = k
+        return group.iloc[kept][schema.names]
+
+    people = keyed.groupBy("page_id").applyInPandas(settle, schema)
+    return people, pages.select("page_id").join(keyed.select("page_id").distinct(), "page_id", "left_anti")

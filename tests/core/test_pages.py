@@ -76,8 +76,8 @@ def test_people_on_pages(spark):
     got = sorted((r["page_id"], r["name"], r["designation"], r["company"], r["country"], r["profile_url"], r["match_status"]) for r in people.collect())
     url = lambda x: f"https://www.linkedin.com/in/{x}/"
     assert got == [
-        (1, "Ann Lee", "CTO", "Acme", "", url("ann-lee"), "provided"), (1, "Kim Poe", "", "", "India", "", "not_found"),
+        (1, "Ann Lee", "CTO", "Acme", "", url("ann-lee"), "provided"), (1, "Kim Poe", "", "Unknown", "India", "", "not_found"),
         (2, "Eve Moe", "", "Beta", "", url("eve"), "provided"), (3, "Max Dow", "Head of Data", "Gamma", "", url("max"), "provided"),
-        (6, "Tom Ash", "", "", "", "", "not_found"),
+        (6, "Tom Ash", "", "Unknown", "", "", "not_found"),
     ]
     assert sorted(r["page_id"] for r in none.collect()) == [4, 5]
