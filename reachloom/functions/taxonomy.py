@@ -131,6 +131,21 @@ def expand_role_terms(roles: list[str]) -> list[str]:
     return list(out)
 
 
+def expanded_roles(roles: Column) -> Column:
+    """N22 for a column of role arrays: expand_role_terms() of each row."""
+
+    def forms(role: Column) -> Column:
+        def of(norm: Column) -> Column:
+            whole = [F.when(norm.isin(short, full), F.array(F.lit(short), F.lit(full))) for short, full in ABBREVIATIONS.items()]
+            swap = lambda short, to: F.array_join(F.transform(F.split(norm, " "), lambda w: F.when(w == short, F.lit(to)).otherwise(w)), " ")
+            inside = [F.when(_has(norm, short), F.array(swap(short, short), swap(short, full))) for short, full in ABBREVIATIONS.items()]
+            return F.coalesce(*whole, F.concat(F.array(role), F.flatten(F.filter(F.array(*inside), lambda x: x.isNotNull()))))
+
+        return bound(normalize_text(role), of)
+
+    return F.array_distinct(F.flatten(F.transform(roles, forms)))
+
+
 def role_in_title(title: Column, body: Column, roles: list[str]) -> Column:
     """An expanded role in the title or the first 120 characters of the body, or all of its telling words there
     in any order."""

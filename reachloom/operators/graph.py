@@ -34,5 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"links still change after {most_rounds} rounds")
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

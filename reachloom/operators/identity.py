@@ -5,6 +5,8 @@ Strings that are unknown are empty; join keys are never empty. Order-dependent r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,32 +204,81 @@ def _letters_in_common(a: Column, b: Column) -> Column:
     return total + F.least(others(a), others(b))
 
 
+#: Names longer than this are cut into pieces like names of this length.
+LONGEST_NAME = 256
+
+
+def _piece_sizes(share: float) -> tuple[float, list[list[int]]]:
+    """The greatest number of single-character edits for each character of a name, and for each length the sizes of the
+    pieces that it has to give. Names are alike if the common subsequence has `share` of both lengths.
+
+    An edit spoils at most q of a name's pieces of q characters. A size fits a length if an alike name shares a piece for
+    certain; a pair goes by the largest size that fits its shorter name, so a name also gives those of shorter partners.
+    """
+    if not 2 / 3 < share <= 1:
+        raise ValueError("names that share two thirds or less can't be found by pieces")
+    rate = 2 * (1 - share) / share
+    sure = lambda n, q: n - q + 1 - q * math.floor(rate * n + 1e-9) >= 1
+    fits = [next((q for q in (3, 2, 1) if all(sure(m, q) for m in range(n, LONGEST_NAME + 1))), 1) for n in range(LONGEST_NAME + 1)]
+    return rate, [sorted(set(fits[max(1, math.ceil(n * share / (2 - share) - 1e-9)) : n + 1] or [1])) for n in range(LONGEST_NAME + 1)]
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: int = 90) -> DataFrame:
+    """a, b, score: all pairs of different names of two tables (columns a and b, normalised) whose rounded token-sort ratio
+    is `least` or more.
+
+    Pieces of the sorted names are ordered by how rare they are in both tables; alike names share one among their rarest,
+    as many as edits can spoil and one more. So an equi-join on (size, piece) of these finds every pair; those whose
+    lengths, pieces' places or letters exclude the ratio are dropped before it is computed.
+    """
+    share = (least - 0.5) / 100
+    rate, sizes = _piece_sizes(share)
+    by_length = F.array(*[F.array(*map(F.lit, qs)) for qs in sizes])
+
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(name).where(F.col(name) != "").distinct().withColumn("x", F.array_join(F.array_sort(words(F.col(name))), " "))
+        rows = rows.withColumn("n", F.length("x"))
+        rows = rows.select(name, "x", "n", F.explode(F.get(by_length, F.least("n", F.lit(LONGEST_NAME)))).alias("q")).where("n >= q")
+        cut = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.struct(i.alias("i"), F.substring("x", i, F.col("q")).alias("g")))
+        # equal pieces of a name are told apart by their number
+        told = F.transform(cut, lambda p, k: F.struct(p.i.alias("i"), F.concat(p.g, F.lit("#"), F.size(F.filter(F.slice(cut, 1, k), lambda o: o.g == p.g)).cast("string")).alias("g")))
+        return saved(rows.select(name, "n", "q", told.alias("p")), "pieces")
+
+    mine, theirs = pieces(left, "a"), pieces(right, "b")
+    each = lambda df: df.select("q", F.explode("p.g").alias("g"))
+    rarity = each(mine).unionByName(each(theirs)).groupBy("q", "g").agg(F.count(F.lit(1)).alias("times"))
+
+    def rarest(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(name, "n", "q", F.explode("p").alias("e")).select(name, "n", "q", "e.i", "e.g").join(rarity, ["q", "g"])
+        kept = rows.groupBy(name, "n", "q").agg(F.collect_list(F.struct("times", "g", "i")).alias("__e")).withColumn("__e", F.array_sort("__e"))
+        kept = kept.select(name, "n", "q", F.explode(F.slice("__e", F.lit(1), (F.col("q") * F.floor(F.col("n") * rate + 1e-9) + 1).cast("int"))).alias("e"))
+        return kept.select(name, F.col("n").alias(f"n_{name}"), "q", "e.g", F.col("e.i").alias(f"i_{name}"))
+
+    total, apart = F.col("n_a") + F.col("n_b"), F.abs(F.col("i_a") - F.col("i_b"))
+    near = (2 * F.least("n_a", "n_b") / total >= share) & (apart <= F.floor(total * (1 - share) + 1e-9))
+    pairs = rarest(mine, "a").join(rarest(theirs, "b"), ["q", "g"]).where(near).select("a", "b").distinct()
+    lengths = F.length("a") + F.length("b")
+    pairs = pairs.where(2 * _letters_in_common(F.col("a"), F.col("b")) / lengths >= share)
+    return pairs.withColumn("score", F.bround(token_sort_ratio(F.col("a"), F.col("b")))).where(F.col("score") >= least)
+
+
 def match_fuzzy(primary: DataFrame, history: DataFrame, name_least: int = 90, company_least: int = 80, alone_least: int = 95) -> DataFrame:
     """Seq, cluster, score and both similarities of alike names at alike companies; all within two points of the best.
 
     A name looks at the clusters in which any record shares its last word or first letter. The best name and the best
-    company are taken over all records of a cluster, each by itself. A rounded score of 90 bounds the length ratio, so a
-    first letter meets a record's name in its own length class and the next ones only. Bounds on length and letters
-    drop names before the exact score and can't drop a match.
+    company are taken over all records of a cluster, each by itself. Alike names come from similar_names().
     """
     mine = primary.where("name_key != ''").select("name_key", "company_key").distinct()
     names = history.where("name_key != ''").select(F.col("name_key").alias("n"), "cluster").distinct()
-    size = lambda c: F.floor(F.log(1.25, F.greatest(F.length(c), F.lit(1)).cast("double")))
     last = lambda c: F.concat(F.lit("s:"), F.element_at(words(c), -1))
     head = lambda c: F.concat(F.lit("i:"), F.substring(c, 1, 1))
-    sized = lambda h, c, k: F.concat(h, F.lit(":"), (size(c) + k).cast("string"))
-    wanted = mine.select("name_key").distinct()
-    wanted = wanted.withColumn("block", F.explode(F.array(last(F.col("name_key")), sized(head(F.col("name_key")), F.col("name_key"), 0))))
-    keys = names.select("cluster", F.explode(F.array(last(F.col("n")), head(F.col("n")))).alias("k")).distinct()
-    near = F.when(F.col("k").startswith("s:"), F.array("k")).otherwise(F.array(*[sized(F.col("k"), F.col("n"), k) for k in (-1, 0, 1)]))
-    theirs = names.join(keys, "cluster").select("n", "cluster", F.explode(near).alias("block"))
-    a, b = F.col("name_key"), F.col("n")
-    total = F.length(a) + F.length(b)
-    need = 0.895
-    pairs = wanted.join(theirs, "block").where(2 * F.least(F.length(a), F.length(b)) / total >= need).drop("block").distinct()
-    pairs = pairs.where(2 * _letters_in_common(a, b) / total >= need)
-    scored = pairs.withColumn("name_score", F.bround(token_sort_ratio(a, b))).where(F.col("name_score") >= name_least)
-    alike = scored.groupBy("name_key", "cluster").agg(F.max("name_score").alias("name_score"))
+    both = lambda c: F.explode(F.array(last(F.col(c)), head(F.col(c)))).alias("k")
+    keys = names.select("cluster", both("n")).distinct()
+    alike = similar_names(mine.select(F.col("name_key").alias("a")), names.select(F.col("n").alias("b")), name_least)
+    alike = alike.select(F.col("a").alias("name_key"), F.col("b").alias("n"), F.col("score").alias("name_score")).join(names, "n")
+    alike = alike.groupBy("name_key", "cluster").agg(F.max("name_score").alias("name_score"))
+    seen = alike.select("name_key", "cluster", both("name_key")).join(keys, ["cluster", "k"], "left_semi").select("name_key", "cluster").distinct()
+    alike = alike.join(seen, ["name_key", "cluster"])
     companies = history.where("company_key != ''").select(F.col("company_key").alias("c"), "cluster").distinct()
     company_score = F.when(
         (F.col("company_key") != "") & F.col("c").isNotNull(), F.bround(token_set_ratio(F.col("company_key"), F.col("c")))).otherwise(0.0)

@@ -87,6 +87,10 @@ FACTS = {
 SUMMARY_PROFIT = r"(?i)(?:net profit|net income|profit after tax)[^₹$\d]*[₹$]?\s*([\d,]+(?:\.\d+)?\s*(?:crore|million|billion|lakh|Cr|Mn|Bn|cr)?)"
 
 
+#: A word's ends in any script.
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
 def positions(text: Column, pattern: Column) -> Column:
     """array<struct<start, match>>: where (from 0) and what a pattern matches."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
@@ -187,8 +191,8 @@ def person_names(text: Column) -> Column:
 
         return F.filter(c, good)
 
-    full = clean(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{1,15}(?:\s+[A-Z][a-z]{1,15}){1,2})\b"), F.lit(1)), False)
-    short = clean(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{1,15}\s+[A-Z]\.)"), F.lit(1)), True)
+    full = clean(F.regexp_extract_all(text, F.lit(rf"{BEGIN}([A-Z][a-z]{{1,15}}(?:\s+[A-Z][a-z]{{1,15}}){{1,2}}){END}"), F.lit(1)), False)
+    short = clean(F.regexp_extract_all(text, F.lit(rf"{BEGIN}([A-Z][a-z]{{1,15}}\s+[A-Z]\.)"), F.lit(1)), True)
     every = F.filter(F.concat(full, short), lambda n: F.length(n) > 3)
     return bound(every, lambda names: F.filter(names, lambda n, i: ~F.exists(F.slice(names, 1, i), lambda m: F.lower(m) == F.lower(n))))
 
@@ -199,9 +203,9 @@ DESCRIBED = (r"(?i)^[^.;]{0,35}\b(?:is|was|will be|joined|attended|spoke|partici
 
 
 def event_participants(rows: DataFrame, key: str, text: str, asked: list[str] | None = None) -> DataFrame:
-    """Key, name and signal of people whom a text lists or describes as taking part, with a signal within 170
-    characters of the name's first place."""
-    df = rows.select(key, F.col(text).alias("text"), F.explode(person_names(F.col(text))).alias("name"))
+    """Key, pos (the name's number in the text), name, signal and score of people whom a text lists or describes as taking
+    part, with a signal within 170 characters of the name's first place."""
+    df = rows.select(key, F.col(text).alias("text"), F.posexplode(person_names(F.col(text))).alias("pos", "name"))
     df = df.withColumn("start", F.expr("locate(lower(name), lower(text))") - 1).withColumn("size", F.length("name"))
     before = F.expr("substring(text, greatest(0, start - 110) + 1, least(start, 110))")
     after = F.expr("substring(text, start + size + 1, 80)")
@@ -209,7 +213,8 @@ def event_participants(rows: DataFrame, key: str, text: str, asked: list[str] |
     df = df.withColumn("__id", F.concat_ws("|", F.col(key).cast("string"), "name"))
     near = df.select("__id", F.lit("").alias("title"), around(F.col("text"), F.col("start"), F.col("size"), 170, 170).alias("body"), F.col("name").alias("person"))
     signals = assess_signal(near, "__id", asked).where("name != 'No Verified Signal' AND selected_match")
-    return df.select(key, "__id", F.col("name").alias("person")).join(signals, "__id").select(key, F.col("person").alias("name"), F.col("name").alias("signal"), "evidence")
+    return df.select(key, "pos", "__id", F.col("name").alias("person")).join(signals.drop(key), "__id").select(
+        key, "pos", F.col("person").alias("name"), F.col("name").alias("signal"), "score", "evidence")
 
 
 def company_facts(rows: DataFrame, company: str, order: str) -> DataFrame:

@@ -94,9 +94,7 @@ def p05(spark, sf_dir):
     ELSE designation END AS terms FROM primary_contacts""")
 def n22(spark, sf_dir):
     rows = frame(spark, sf_dir, "primary_contacts")
-    values = [r["designation"] for r in rows.select("designation").distinct().limit(1000).collect()]  # a request's roles
-    known = F.create_map(*[F.lit(x) for v in values for x in (v, ";".join(X.expand_role_terms([v])))]) if values else F.create_map()
-    return rows.select("seq", known[F.col("designation")].alias("terms"))
+    return rows.select("seq", F.array_join(X.expanded_roles(F.array("designation")), ";").alias("terms"))
 
 
 _PLACE = f"CASE WHEN {one_of('{x}', 'North', 'thre', 'and the')} THEN 'North' WHEN {one_of('{x}', 'South', 'los', 'le')} THEN 'South' ELSE '' END"
@@ -594,8 +592,8 @@ def d13(spark, sf_dir):
 
 
 @query("X14_person_names", f"""WITH {_TOLD}, n AS (SELECT doc_id, list_concat(
-    list_filter(regexp_extract_all(body, '\\b([A-Z][a-z]{{1,15}}(?:\\s+[A-Z][a-z]{{1,15}}){{1,2}})\\b', 1), lambda x: len(list_intersect(regexp_split_to_array(lower(x), '\\s+'), [{T.quoted(G.NOT_NAMES)}])) = 0),
-    list_filter(regexp_extract_all(body, '\\b([A-Z][a-z]{{1,15}}\\s+[A-Z]\\.)', 1), lambda x: NOT list_contains([{T.quoted(G.NOT_NAMES)}], regexp_split_to_array(lower(x), '\\s+')[1]))) AS c FROM told)
+    list_filter(regexp_extract_all(regexp_replace(body, '[^\\P{{L}}A-Za-z]', '_', 'g'), '\\b([A-Z][a-z]{{1,15}}(?:\\s+[A-Z][a-z]{{1,15}}){{1,2}})\\b', 1), lambda x: len(list_intersect(regexp_split_to_array(lower(x), '\\s+'), [{T.quoted(G.NOT_NAMES)}])) = 0),
+    list_filter(regexp_extract_all(regexp_replace(body, '[^\\P{{L}}A-Za-z]', '_', 'g'), '\\b([A-Z][a-z]{{1,15}}\\s+[A-Z]\\.)', 1), lambda x: NOT list_contains([{T.quoted(G.NOT_NAMES)}], regexp_split_to_array(lower(x), '\\s+')[1]))) AS c FROM told)
   SELECT doc_id, array_to_string(list_filter(c, lambda x, i: length(x) > 3 AND NOT list_contains(list_transform(c[1 : i - 1], lambda y: lower(y)), lower(x))), ';') AS names FROM n""")
 def x14(spark, sf_dir):
     return _told(spark, sf_dir).select("doc_id", F.array_join(G.person_names(F.col("body")), ";").alias("names"))

@@ -12,7 +12,7 @@ from .adapters import cte, frame
 
 
 def x00(spark, sf_dir):
-    return X.html_nodes(table(spark, sf_dir, "pages")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
+    return X.html_nodes(table(spark, sf_dir, "pages")).where("tag NOT LIKE '#%'").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
 def _with_contacts(spark, sf_dir):
@@ -49,13 +49,9 @@ def d20(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.align_to_window(F.col("ts"), "Asia/Kolkata", (0, 1, 2, 3, 4), 9, 18).alias("at"))
 
 
-def d21(spark, sf_dir):
-    return S.daily_slots(frame(spark, sf_dir, "recipients"), "2024-03-01", 9, 5, 9, 40)
-
-
 QUERIES = {
     "X00_html_nodes": x00, "X12_phones_from_pages": x12, "X13_page_links": x13_links, "X13_relevant_links": x13, "X18_message_links": x18,
-    "X19_plain_text": x19, "D20_align_to_window": d20, "D21_send_slots": d21,
+    "X19_plain_text": x19, "D20_align_to_window": d20,
 }
 
 _LOCAL = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Kolkata'"
@@ -74,12 +70,6 @@ ORACLES = {
       SELECT event_id, (CASE WHEN w < 5 AND h >= 9 AND h < 18 THEN t WHEN w < 5 AND h < 9 THEN date_trunc('day', t) + INTERVAL 9 HOUR
         ELSE date_trunc('day', t) + INTERVAL 9 HOUR + CASE WHEN w < 4 OR w = 6 THEN INTERVAL 1 DAY WHEN w = 4 THEN INTERVAL 3 DAY
         ELSE INTERVAL 2 DAY END END) AT TIME ZONE 'Asia/Kolkata' AT TIME ZONE 'UTC' AS at FROM l""",
-    "D21_send_slots": cte("recipients") + """,
-      r AS (SELECT id, campaign_id, row_number() OVER (PARTITION BY campaign_id ORDER BY id) - 1 AS n FROM recipients),
-      g AS (SELECT *, n // 40 AS day, CASE WHEN n % 40 = 0 THEN 0 ELSE 5 + CAST('0x' || substr(md5(CAST(campaign_id AS VARCHAR) || '|' ||
-        CAST(n AS VARCHAR)), 1, 8) AS BIGINT) % 5 END AS gap FROM r)
-      SELECT id, campaign_id, TIMESTAMP '2024-03-01 09:00:00' + to_days(CAST(day AS INT)) + to_minutes(CAST(sum(gap) OVER
-        (PARTITION BY campaign_id, day ORDER BY n) AS BIGINT)) AS send_at FROM g""",
 }
 
 
@@ -113,9 +103,9 @@ ORACLES |= {
     "X06_raw_people": """SELECT d AS dataset, CAST(count(*) * k AS BIGINT) AS n, count(*) AS pages FROM pages CROSS JOIN (VALUES ('speakers', 2), ('json_ld_person', 1), ('visible_profile_links', 1)) t(d, k) GROUP BY d, k""",
     "X10_person_records": f"""WITH {_PEOPLE}
       SELECT page_id, 'speakers' AS dataset, {_NAME} AS name, 'CTO' AS designation, 'Acme' AS company, 'https://www.linkedin.com/in/ann-' || n || '/' AS profile_url, 'provided' AS match_status FROM p
-      UNION ALL SELECT page_id, 'json_ld_person', 'Kim Poe', '', '', 'https://www.linkedin.com/in/kim-' || n || '/', 'provided' FROM p
+      UNION ALL SELECT page_id, 'json_ld_person', 'Kim Poe', '', 'Unknown', 'https://www.linkedin.com/in/kim-' || n || '/', 'provided' FROM p
       UNION ALL SELECT page_id, 'visible_profile_links', 'Ann X', 'VP', 'Beta', 'https://www.linkedin.com/in/ann-' || n || '/', 'provided' FROM p""",
     "X11_extract_people": f"""WITH {_PEOPLE}
       SELECT page_id, {_NAME} AS name, 'CTO' AS designation, 'Acme' AS company, 'https://www.linkedin.com/in/ann-' || n || '/' AS profile_url FROM p
-      UNION ALL SELECT page_id, 'Kim Poe', '', '', 'https://www.linkedin.com/in/kim-' || n || '/' FROM p""",
+      UNION ALL SELECT page_id, 'Kim Poe', '', 'Unknown', 'https://www.linkedin.com/in/kim-' || n || '/' FROM p""",
 }

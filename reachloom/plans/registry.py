@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import identity_queries, operator_queries, page_queries, scalar_queries, table_queries
+from . import identity_queries, operator_queries, page_queries, result_queries, scalar_queries, table_queries
 
-MODULES = (identity_queries, scalar_queries, table_queries, page_queries, operator_queries)
+MODULES = (identity_queries, scalar_queries, table_queries, page_queries, operator_queries, result_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

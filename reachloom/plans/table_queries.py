@@ -45,7 +45,6 @@ def add(name: str, sources: str, query: str, twin: str | None = None) -> None:
     ENTRIES[name] = (tuple(sources.split()), query, twin)
 
 
-add("X01_parse_profile_fields", "candidates", "SELECT seq, name, designation, company FROM {candidates}")
 add("X05_results_from_records", "search_rows", """
   SELECT query, href, seq FROM (SELECT *, row_number() OVER (PARTITION BY query, href ORDER BY seq) AS n FROM {search_rows}) r WHERE n = 1""")
 add("A02_merge_partial_profiles", "candidates", """
@@ -65,10 +64,6 @@ add("A06_campaign_funnel", "recipients", """
 add("A07_provider_outcomes", "events", """
   SELECT event_type AS source, count(*) AS attempts, count(*) FILTER (WHERE value > 20) AS successful,
     count(*) FILTER (WHERE value <= 1) AS empty, sum(CAST(floor(value) AS BIGINT)) AS results FROM {events} GROUP BY event_type""")
-add("A10_metric_sum", "message_events", "SELECT campaign_id, event_type AS name, count(*) AS value FROM {message_events} GROUP BY campaign_id, event_type")
-add("A11_lead_upsert", "candidates", """
-  SELECT url, min(seq) AS first_seen, max(seq) AS last_seen, max_by(name, seq) AS name, max_by(company, seq) AS company
-  FROM {candidates} WHERE url <> '' GROUP BY url""")
 add("A12_value_statistics", "lead_rows", """
   SELECT industry, count(*) AS n, count(DISTINCT country) AS countries, avg(seq) AS mean_seq,
     count(*) FILTER (WHERE seniority IN ('CEO', 'CTO')) AS high_intent FROM {lead_rows} GROUP BY industry""")
@@ -112,8 +107,6 @@ add("J14_awaiting_review", "candidates", """
   SELECT seq FROM {candidates} c WHERE url <> '' AND NOT EXISTS (SELECT 1 FROM {candidates} l WHERE l.url = c.url AND l.designation <> 'Unknown')""")
 add("J16_flag_strict", "candidates", """
   SELECT c.seq, s.url IS NOT NULL AS strict FROM {candidates} c LEFT JOIN (SELECT DISTINCT url FROM {candidates} WHERE designation <> 'Unknown' AND url <> '') s ON s.url = c.url""")
-add("J17_evidence_lookup", "candidates", """
-  SELECT url, max_by(body, seq) AS evidence, max(seq) AS created FROM {candidates} WHERE url <> '' GROUP BY url HAVING max(seq) > 100""")
 _SENIOR = "CASE seniority WHEN 'CEO' THEN 100 WHEN 'CTO' THEN 95 WHEN 'VP' THEN 75 WHEN 'Director' THEN 65 WHEN 'Managing Director' THEN 98 ELSE 60 END"
 _INDUSTRY = "CASE industry WHEN 'FinTech' THEN 95 WHEN 'SaaS' THEN 92 WHEN 'Retail' THEN 70 WHEN 'Energy' THEN 68 ELSE 65 END"
 _STAGE = "CASE company_stage WHEN 'Unicorn (>$1B)' THEN 100 WHEN 'Mid-Market (500-5K)' THEN 75 WHEN 'Early Stage (<100)' THEN 40 ELSE 60 END"
@@ -139,15 +132,10 @@ add("P18_grid_filter", "history_contacts", """
   SELECT seq FROM {history_contacts} WHERE status IN ('Contacted', 'Interested') AND contains(lower(full_name || chr(1) || company || chr(1) || owner), 'ring')""")
 add("R01_ingest_events", "distinct_events", "SELECT id, provider_event_id FROM {distinct_events}")
 add("R03_suppression_batch", "distinct_events", "SELECT recipient_id, min(occurred_at) AS since FROM {distinct_events} WHERE event_type = 'BOUNCED' GROUP BY recipient_id")
-add("R05_live_funnel", "distinct_events", "SELECT campaign_id, event_type AS status, count(*) AS n FROM {distinct_events} GROUP BY campaign_id, event_type")
 add("K01_chunked_terms", "part", """
   SELECT p_brand, chunk, count(*) AS terms, min(p_name) AS first_term FROM (SELECT p_brand, p_name,
     CAST(floor((row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1) / CAST(4 AS DOUBLE)) AS BIGINT) AS chunk
     FROM (SELECT DISTINCT p_brand, p_name FROM {part}) d) c GROUP BY p_brand, chunk""")
-add("K02_coverage_combinations", "region lead_rows", """
-  SELECT r_name, seniority, row_number() OVER (ORDER BY CASE WHEN i % 6 = j % 6 THEN 0 ELSE 1 END, i + j, greatest(i, j), i, j) AS place FROM (
-    SELECT r_name, r_regionkey AS i FROM {region}) a CROSS JOIN (SELECT seniority, row_number() OVER (ORDER BY seniority) - 1 AS j
-    FROM (SELECT DISTINCT seniority FROM {lead_rows}) s) b""")
 
 
 add("K05_task_table", "lead_rows region", """

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reachloom.functions import predicates as P
+from reachloom.functions import taxonomy as X
 from reachloom.functions import text as N
 
 col = F.col
@@ -79,3 +80,9 @@ def test_term_rules(spark):
     has = lambda t, w: one(spark, t, lambda c: P.term_in_text(c, w))
     assert has("Head of Data-Science", "data science") and has("datascience lead", "data science")
     assert not has("authority", "author") and not has("x", "")
+
+
+def test_roles_expand_alike_in_columns_and_lists(spark):
+    rows = [["CMO", "VP Sales"], ["Chief Marketing Officer", "svp vp x"], ["Painter", "Painter"], [], ["CEO & MD"]]
+    got = spark.createDataFrame([(r,) for r in rows], "r array<string>").select(X.expanded_roles(F.col("r")).alias("x")).collect()
+    assert [r["x"] for r in got] == [X.expand_role_terms(r) for r in rows]
