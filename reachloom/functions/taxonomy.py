@@ -203,11 +203,9 @@ def industry_match(evidence: Column, industries: list[str]) -> Column:
 GRAMS = (2, 4, 8)
 
 
-def _grams(squeezed: Column, q: Column) -> Column:
-    """The different pieces of q characters of a text."""
-    n = F.length(squeezed) - q + 1
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(squeezed, i, q))
-    return F.when(n > 0, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+def _grams(squeezed: Column, q: int) -> Column:
+    """The different pieces of q characters of a text of letters and digits, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(squeezed, F.lit(f"(?=(.{{{q}}}))")))
 
 
 def phrase_hits(normal: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
@@ -219,9 +217,10 @@ def phrase_hits(normal: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     size = F.length("__p")
     asked = asked.withColumn("__q", F.greatest(*[F.when(size >= q, q).otherwise(0) for q in GRAMS])).where("__q > 0")
     used = [r["__q"] for r in asked.select("__q").distinct().collect()]  # three at most
-    pieces = asked.select("term", "__p", F.explode(_grams(F.col("__p"), F.col("__q"))).alias("__g"))
+    own = F.coalesce(*[F.when(F.col("__q") == q, _grams(F.col("__p"), q)) for q in GRAMS])
+    pieces = asked.select("term", "__p", F.explode(own).alias("__g"))
     texts = normal.select(key, squeezed("__text").alias("__s"))
-    lists = F.array_distinct(F.concat(*[_grams(F.col("__s"), F.lit(q)) for q in used])) if used else F.array().cast("array<string>")
+    lists = F.concat(*[_grams(F.col("__s"), q) for q in used]) if used else F.array().cast("array<string>")
     there = texts.select(key, F.explode(lists).alias("__g")).join(pieces.select("__g").distinct(), "__g")
     there = saved(there, "grams")  # what rows have of all phrases' pieces
     counts = there.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))

@@ -229,7 +229,7 @@ def similar_names(left: DataFrame, right: DataFrame, least: int = 90) -> DataFra
 
     Pieces of the sorted names are ordered by how rare they are in both tables; alike names share one among their rarest,
     as many as edits can spoil and one more. So an equi-join on (size, piece) of these finds every pair; those whose
-    lengths, pieces' places or letters exclude the ratio are dropped before it is computed.
+    lengths or letters exclude the ratio are dropped before it is computed.
     """
     share = (least - 0.5) / 100
     rate, sizes = _piece_sizes(share)
@@ -239,23 +239,23 @@ def similar_names(left: DataFrame, right: DataFrame, least: int = 90) -> DataFra
         rows = df.select(name).where(F.col(name) != "").distinct().withColumn("x", F.array_join(F.array_sort(words(F.col(name))), " "))
         rows = rows.withColumn("n", F.length("x"))
         rows = rows.select(name, "x", "n", F.explode(F.get(by_length, F.least("n", F.lit(LONGEST_NAME)))).alias("q")).where("n >= q")
-        cut = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.struct(i.alias("i"), F.substring("x", i, F.col("q")).alias("g")))
+        cut = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring("x", i, F.col("q")))
         # equal pieces of a name are told apart by their number
-        told = F.transform(cut, lambda p, k: F.struct(p.i.alias("i"), F.concat(p.g, F.lit("#"), F.size(F.filter(F.slice(cut, 1, k), lambda o: o.g == p.g)).cast("string")).alias("g")))
+        number = lambda c, p, k: F.size(F.filter(F.slice(c, F.lit(1), k), lambda o: o == p)).cast("string")
+        told = bound(cut, lambda c: F.transform(c, lambda p, k: F.concat(p, F.lit("#"), number(c, p, k))))
         return saved(rows.select(name, "n", "q", told.alias("p")), "pieces")
 
     mine, theirs = pieces(left, "a"), pieces(right, "b")
-    each = lambda df: df.select("q", F.explode("p.g").alias("g"))
+    each = lambda df: df.select("q", F.explode("p").alias("g"))
     rarity = each(mine).unionByName(each(theirs)).groupBy("q", "g").agg(F.count(F.lit(1)).alias("times"))
 
     def rarest(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(name, "n", "q", F.explode("p").alias("e")).select(name, "n", "q", "e.i", "e.g").join(rarity, ["q", "g"])
-        kept = rows.groupBy(name, "n", "q").agg(F.collect_list(F.struct("times", "g", "i")).alias("__e")).withColumn("__e", F.array_sort("__e"))
+        rows = df.select(name, "n", "q", F.explode("p").alias("g")).join(rarity, ["q", "g"])
+        kept = rows.groupBy(name, "n", "q").agg(F.collect_list(F.struct("times", "g")).alias("__e")).withColumn("__e", F.array_sort("__e"))
         kept = kept.select(name, "n", "q", F.explode(F.slice("__e", F.lit(1), (F.col("q") * F.floor(F.col("n") * rate + 1e-9) + 1).cast("int"))).alias("e"))
-        return kept.select(name, F.col("n").alias(f"n_{name}"), "q", "e.g", F.col("e.i").alias(f"i_{name}"))
+        return kept.select(name, F.col("n").alias(f"n_{name}"), "q", "e.g")
 
-    total, apart = F.col("n_a") + F.col("n_b"), F.abs(F.col("i_a") - F.col("i_b"))
-    near = (2 * F.least("n_a", "n_b") / total >= share) & (apart <= F.floor(total * (1 - share) + 1e-9))
+    near = 2 * F.least("n_a", "n_b") / (F.col("n_a") + F.col("n_b")) >= share
     pairs = rarest(mine, "a").join(rarest(theirs, "b"), ["q", "g"]).where(near).select("a", "b").distinct()
     lengths = F.length("a") + F.length("b")
     pairs = pairs.where(2 * _letters_in_common(F.col("a"), F.col("b")) / lengths >= share)

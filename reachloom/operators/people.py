@@ -323,7 +323,7 @@ def person_records(raws: DataFrame) -> DataFrame:
         F.forall(F.array(*[F.struct(_value(e, (k,)).alias("v")) for k in ("isActive", "active", "enabled", "published")]), lambda x: is_active(x.v, F.lit("")))
         .alias("on"), is_active(F.lit("true"), normalize_text(_text(_value(e, ("status",))))).alias("open"),
     )
-    df = df.where(F.col("on") & F.col("open") & valid_name(F.col("name")))
+    df = saved(df.where(F.col("on") & F.col("open") & valid_name(F.col("name"))), "records")  # what follows names each field often
     df = df.withColumn("f", parse_profile_fields(F.col("name"), F.concat_ws(" ", F.nullif("designation", F.lit("")), F.nullif("company", F.lit("")))))
     known = ~normalize_text(F.col("f.name")).isin("unknown", "linkedin member")
     df = df.withColumns({

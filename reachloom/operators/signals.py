@@ -124,15 +124,15 @@ def assess_signal(rows: DataFrame, key: str, asked: list[str] | None = None) ->
     rules = [(n * 100 + k, name, kind, score, p, 55, 65) for n, (name, kind, score, _, ps) in enumerate(SIGNALS) for k, p in enumerate(ps)]
     rules.append((9900, "Past Speaker", "Person", 90, r"\bspeaker\b", 70, 80))
     text = F.col("text")
-    places = [
-        F.when(text.rlike(p), F.transform(positions(text, F.lit(p)), lambda at, r=r, n=n, kind=kind, score=score, left=left, right=right: F.struct(
-            F.lit(r).alias("rule"), F.lit(n).alias("name"), F.lit(kind).alias("kind"), F.lit(score).alias("score"), F.lit(left).alias("left"), F.lit(right).alias("right"),
-            at.start.alias("start"), F.length(at.match).alias("size"))))
-        for r, n, kind, score, p, left, right in rules
-    ]
+
+    def places(rule: int, name: str, kind: str, score: int, pattern: str, left: int, right: int) -> Column:
+        told = [F.lit(v).alias(n) for n, v in (("rule", rule), ("name", name), ("kind", kind), ("score", score), ("left", left), ("right", right))]
+        hit = lambda at: F.struct(*told, at.start.alias("start"), F.length(at.match).alias("size"))
+        return F.when(text.rlike(pattern), F.transform(positions(text, F.lit(pattern)), hit))
+
     texts = rows.select(key, normalize_text(F.col("person")).alias("person"), F.posexplode(F.array(normalize_text(F.col("title")), normalize_text(F.col("body")))).alias("source", "text"))
     some = texts.where(text.rlike("|".join(f"(?:{p})" for _, _, _, _, p, _, _ in rules)))
-    hits = some.withColumn("hit", F.explode(F.flatten(F.filter(F.array(*places), lambda x: x.isNotNull())))).select(key, "person", "source", "text", "hit.*")
+    hits = some.withColumn("hit", F.explode(F.flatten(F.filter(F.array(*[places(*r) for r in rules]), lambda x: x.isNotNull())))).select(key, "person", "source", "text", "hit.*")
     context = F.substring(F.col("text"), F.greatest(F.lit(0), F.col("start") - F.col("left")) + 1,
                           F.col("start") + F.col("size") + F.col("right") - F.greatest(F.lit(0), F.col("start") - F.col("left")))
     hits = hits.withColumn("context", context).where(~any_of([F.col("context").rlike(p) for p in NEGATIVE]))

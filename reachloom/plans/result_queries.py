@@ -42,16 +42,16 @@ def query(name: str, sql: str | None = None):
 
 
 _LETTERS = "translate(CAST({0} AS STRING), '0123456789', 'abcdefghij')"
-_NAME = f"'Ann X' || {_LETTERS.format('doc_id')}"
+_NAME = f"'Ann X' || {_LETTERS.format('doc_id')} || 'z'"
 _ROLE = "CASE doc_id % 4 WHEN 0 THEN 'Chief Data Officer' WHEN 1 THEN 'Head of Sales' WHEN 2 THEN 'VP Engineering' ELSE 'Director of Ops' END"
 _COMPANY = f"'Acme ' || {_LETTERS.format('(doc_id % 97)')}"
 #: Fields of each document, in SQL that reads alike in both engines.
-_FIELDS = f"SELECT doc_id, coalesce(text, '') AS text, source, lang, (doc_id * 7) % 200 AS at, {_NAME} AS n, {_ROLE} AS r, {_COMPANY} AS c FROM documents"
+_FIELDS = f"SELECT doc_id, coalesce(text, '') AS text, source, lang, (doc_id * 7) % 200 AS cut, {_NAME} AS n, {_ROLE} AS r, {_COMPANY} AS c FROM documents"
 _HEADLINES = f"""SELECT doc_id AS seq, n, r, c, source, lang AS query, text,
   CASE doc_id % 9 WHEN 0 THEN n || ' - ' || r || ' at ' || c WHEN 1 THEN n || ' — ' || r || ' @' || c || ', Ex ...' WHEN 2 THEN n || ' - ' || r || ' - ' || c || ' | LinkedIn'
     WHEN 3 THEN n || ' | LinkedIn' WHEN 4 THEN n || ' | ' || r || ' | ' || c WHEN 5 THEN n || ' - ' || r WHEN 6 THEN n WHEN 7 THEN n || ' – Intern – Beta' ELSE '' END AS title,
-  substr(text, 1, at) || CASE doc_id % 9 WHEN 3 THEN ' · Current: ' || r || ' at ' || c || ' · ' WHEN 5 THEN ' · Experience: ' || c || ' · ' WHEN 6 THEN ' · Title: ' || r || ' · Company: ' || c || ' · '
-    WHEN 7 THEN ' · Currently working as ' || r || ' at ' || c || ' | ' ELSE ' · ' END || substr(text, at + 1) AS body FROM ({_FIELDS}) f"""
+  substr(text, 1, cut) || CASE doc_id % 9 WHEN 3 THEN ' · Current: ' || r || ' at ' || c || ' · ' WHEN 5 THEN ' · Experience: ' || c || ' · ' WHEN 6 THEN ' · Title: ' || r || ' · Company: ' || c || ' · '
+    WHEN 7 THEN ' · Currently working as ' || r || ' at ' || c || ' | ' ELSE ' · ' END || substr(text, cut + 1) AS body FROM ({_FIELDS}) f"""
 
 
 def _headlines(spark, sf_dir):
@@ -81,8 +81,8 @@ def x03(spark, sf_dir):
 _STRICT = f"""SELECT doc_id AS seq, n, r, c, doc_id % 8 AS k, text,
   CASE doc_id % 8 WHEN 0 THEN n || ' - ' || r || ' at ' || c || ' | LinkedIn' WHEN 1 THEN n || ' - ' || r || ' - ' || c || ' | LinkedIn' WHEN 2 THEN n || ' - Oslo, Viken, India | Professional Profile'
     WHEN 3 THEN n || ' | LinkedIn' WHEN 4 THEN n || ' - Data Leader | ' || r || ' at ' || c WHEN 5 THEN n || ' - ' || r || ' - Looking for ... | LinkedIn' WHEN 6 THEN n || ' | LinkedIn' ELSE n || ' - Beta' END AS title,
-  CASE doc_id % 8 WHEN 3 THEN 'x Current: ' || r || ' at ' || c || ' · Location: Oslo · ' WHEN 5 THEN 'Experience: ' || c || ' · Location: Oslo · 500+ connections on LinkedIn. · '
-    WHEN 6 THEN 'Hiring a Director of Data at Gamma · ' WHEN 7 THEN 'Oslo, Viken · ' || r || ' · ' || c || ' Experience · ' ELSE '· ' END || text AS body FROM ({_FIELDS}) f"""
+  CASE doc_id % 8 WHEN 3 THEN 'Current: ' || r || ' at ' || c || ' · Location: Oslo · ' WHEN 5 THEN 'Experience: ' || c || ' · Location: Oslo · 500+ connections on LinkedIn. · '
+    WHEN 6 THEN 'Hiring a Director of Data at Gamma · ' WHEN 7 THEN 'Oslo, Viken · ' || r || ' · ' || c || ' Experience · ' ELSE 'x | ' END || text AS body FROM ({_FIELDS}) f"""
 
 
 def _strict(spark, sf_dir):
@@ -166,11 +166,11 @@ def x11(spark, sf_dir):
 @query("D21_send_slots", cte("recipients") + """,
   g AS (SELECT id, campaign_id, row_number() OVER (PARTITION BY campaign_id ORDER BY id) - 1 AS n FROM recipients),
   d AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE 10 + CAST('0x' || substr(md5(CAST(campaign_id AS VARCHAR) || '|' || CAST(n AS VARCHAR)), 1, 8) AS BIGINT) % 21 END AS gap FROM g),
-  s AS (SELECT campaign_id, n, id, TIMESTAMP '2024-03-01 10:30:00' AS at, 1 AS sent FROM d WHERE n = 0
-    UNION ALL SELECT campaign_id, n, id, CASE WHEN fits THEN t ELSE date_trunc('day', at) + to_hours(9) + to_days(CASE WHEN isodow(at) >= 5 THEN 8 - isodow(at) ELSE 1 END) END,
-      CASE WHEN fits THEN sent + 1 ELSE 1 END FROM (SELECT d.campaign_id, d.n, d.id, s.at, s.sent, s.at + to_minutes(d.gap) AS t,
-        s.sent < 27 AND s.at + to_minutes(d.gap) < date_trunc('day', s.at) + to_hours(18) AS fits FROM s JOIN d ON d.campaign_id = s.campaign_id AND d.n = s.n + 1) x)
-  SELECT id, campaign_id, at AS send_at FROM s""")
+  s AS (SELECT campaign_id, n, id, TIMESTAMP '2024-03-01 10:30:00' AS wh, 1 AS sent FROM d WHERE n = 0
+    UNION ALL SELECT campaign_id, n, id, CASE WHEN fits THEN t ELSE date_trunc('day', wh) + to_hours(9) + to_days(CASE WHEN isodow(wh) >= 5 THEN 8 - isodow(wh) ELSE 1 END) END,
+      CASE WHEN fits THEN sent + 1 ELSE 1 END FROM (SELECT d.campaign_id, d.n, d.id, s.wh, s.sent, s.wh + to_minutes(d.gap) AS t,
+        s.sent < 27 AND s.wh + to_minutes(d.gap) < date_trunc('day', s.wh) + to_hours(18) AS fits FROM s JOIN d ON d.campaign_id = s.campaign_id AND d.n = s.n + 1) x)
+  SELECT id, campaign_id, wh AS send_at FROM s""")
 def d21(spark, sf_dir):
     return S.send_slots(frame(spark, sf_dir, "recipients"), datetime.datetime(2024, 3, 1, 10, 30), "UTC", (0, 1, 2, 3, 4), 9, 18, 10, 30, 27)
 
@@ -200,7 +200,7 @@ def a11(spark, sf_dir):
     return store.read().select("url", "first_seen", "last_seen", "name", "company")
 
 
-@query("A10_metric_upsert", cte("message_events") + "SELECT CAST(campaign_id AS VARCHAR) AS job, event_type AS name, count(*) AS added, arg_max(id, epoch_us(occurred_at) * 10000000 + id) AS value FROM message_events GROUP BY ALL")
+@query("A10_metric_upsert", cte("message_events") + "SELECT CAST(campaign_id AS VARCHAR) AS job, event_type AS name, count(*) AS added, max({'t': occurred_at, 'i': id}).i AS value FROM message_events GROUP BY ALL")
 def a10(spark, sf_dir):
     rows = frame(spark, sf_dir, "message_events").select(
         F.col("campaign_id").cast("string").alias("job"), F.col("event_type").alias("name"), F.lit(1).cast("bigint").alias("added"), F.col("id").alias("value"),
@@ -239,7 +239,7 @@ def r05(spark, sf_dir):
     return live.read()
 
 
-_POSTS = f"""SELECT doc_id AS post, doc_id % 5 AS source_no, source, substr(text, 1, at) || '. Speakers include ' || n || ' at the summit. ' || substr(text, at + 1) AS text FROM ({_FIELDS}) f"""
+_POSTS = f"""SELECT doc_id AS post, doc_id % 5 AS source_no, source, substr(text, 1, cut) || '. Speakers include ' || n || ' at the summit. ' || substr(text, cut + 1) AS text FROM ({_FIELDS}) f"""
 
 
 @query("D16_event_attendees", f"""WITH f AS ({_FIELDS.replace('AS STRING', 'AS VARCHAR')})
