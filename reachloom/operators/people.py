@@ -245,11 +245,13 @@ def profile_links(nodes: DataFrame) -> DataFrame:
     links = links.join(heads.withColumnRenamed("node", "box"), ["page_id", "box"], "left")
     links = links.join(named("title", "headline"), ["page_id", "title"], "left").join(named("box", "body"), ["page_id", "box"], "left")
     title = F.coalesce(F.nullif("headline", F.lit("")), F.col("own"))
+    # the rules on texts are long: they get a plan of their own
+    links = saved(links.select("page_id", "node", "link", "own", "lead", "body", title.alias("title"), said.alias("said")), "links")
 
     own = anchor_fields(F.col("own"))
-    beside = parse_profile_fields(F.col("lead"), said)
+    beside = parse_profile_fields(F.col("lead"), F.col("said"))
     beside = F.struct(F.col("lead").alias("name"), beside.designation.alias("designation"), beside.company.alias("company"))
-    fields = bound(own, lambda o: F.when(o["name"] != "", o).when(F.col("lead").isNotNull(), beside).otherwise(parse_profile_fields(title, F.col("body"))))
+    fields = bound(own, lambda o: F.when(o["name"] != "", o).when(F.col("lead").isNotNull(), beside).otherwise(parse_profile_fields(F.col("title"), F.col("body"))))
     return links.withColumn("f", fields).select("page_id", "node", "f.name", "f.designation", "f.company", "link")
 
 
@@ -276,7 +278,7 @@ def raw_people(pages: DataFrame) -> DataFrame:
     def records(found: DataFrame, dataset: str, rank: int) -> DataFrame:
         raw = F.to_json(F.struct("name", "designation", "company", F.col("link").alias("linkedinProfile")))
         n = F.row_number().over(Window.partitionBy("page_id").orderBy("node")) - 1
-        found = found.join(urls, "page_id")
+        found = saved(found, "raw").join(urls, "page_id")
         return found.select("page_id", "url", F.lit(dataset).alias("dataset"), F.lit(rank).alias("rank"), n.alias("pos"), raw.alias("raw"))
 
     first = sets.unionByName(records(overlay_cards(nodes), "overlay_cards", OVERLAY_RANK))

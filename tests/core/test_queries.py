@@ -46,7 +46,7 @@ def test_entry(spark, small):
 
 
 #: Queries that ask for a pairing of dimensions, a list of phrases or rules, or a few rows of totals.
-PAIRED = ("J12", "K05", "D05", "D10", "X15", "M07", "R04", "A08")
+PAIRED = ("J12", "K05", "D05", "D10", "M07", "R04", "A08")
 
 
 def test_no_query_pairs_all_rows(spark, small):
