@@ -231,8 +231,9 @@ def phrase_hits(normal: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     return candidates.join(texts, key).where(F.contains("__s", F.col("__p"))).select(key, "term").distinct()
 
 
-def term_hits(rows: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+def term_hits(rows: DataFrame, key: str, text: str, terms: DataFrame, most_phrases: int | None = None) -> DataFrame:
     """Key and term of every row whose text has the term (P01), for rows and term tables of any size. Keys are different.
+    most_phrases was the size of a pass; there is one pass now, and callers may still name it.
 
     Terms of one word meet the rows' distinct words by an equi-join, phrases by their rarest piece (phrase_hits).
     """
