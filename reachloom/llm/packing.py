@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,9 +66,10 @@ class Remembered:
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit numbers, for tokenizers that never join across white space.
 
-    Words that were seen are looked up. New ones are encoded together: words of Latin letters are one unit of the
-    tokenizer each and end in a token that ends words, which is how the joined ids are parted again; if the ends don't
-    add up, and for all other words, each word is encoded by itself.
+    Words that were seen are looked up. New ones of lower-case ASCII letters reach the library's model as they are (the
+    rules before it neither change nor part them), so it is asked directly. Other new ones are encoded together: words of
+    Latin letters are one unit of the tokenizer each and end in a token that ends words, which is how the joined ids are
+    parted again; if the ends don't add up, and for all other words, each word is encoded by itself.
     """
 
     def __init__(self, name: str):
@@ -78,6 +80,7 @@ class WordIds:
         made = Tokenizer.from_file(public_tokenizers.path(name))
         made.no_truncation()
         made.no_padding()
+        self.model = made.model
         self.encode = lambda t: [e.ids for e in made.encode_batch_fast(t, add_special_tokens=False)]
         self.ends = np.zeros(made.get_vocab_size(), bool)
         for word, k in made.get_vocab().items():
@@ -88,6 +91,8 @@ class WordIds:
     def parted(word: bytes) -> tuple[bytes, bytes]:
         """A word's core, lower-cased if it is ASCII letters only, and the sentence mark after it."""
         mark = b""
+        if word.isalpha():
+            return word.lower(), mark
         if len(word) > 1 and word[-1] in MARKS:
             last = word[:-1].decode("utf-8", "replace")[-1]
             if last.isalnum() and ord(last) < LATIN:
@@ -95,8 +100,11 @@ class WordIds:
         return (word.lower() if word.isalpha() else word), mark
 
     def learn(self, cores: list[bytes]) -> None:
-        plain, rest = [], []
+        plain, rest, tokens = [], [], self.model.tokenize
         for c in cores:
+            if c.isalpha() and c.islower():  # of ASCII
+                self.cores.now[c] = array("I", [x.id for x in tokens(c.decode())]).tobytes()
+                continue
             t = c.decode("utf-8", "replace")
             (plain if t.isalpha() and max(t) < chr(LATIN) else rest).append(t)
         for at in range(0, len(plain), 2000):
