@@ -23,6 +23,8 @@ from .common import annotate
 
 BATCH_BYTES = 256 << 10
 LONG_BYTES = 64 << 10
+#: Words whose tokens the library remembers in a worker (its own default: 10,000, and no other word after them).
+WORDS_HELD = 500_000
 SAFE = re.compile(r"[ \t\n\r]+")
 
 
@@ -41,6 +43,8 @@ class Counting:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
+            if hasattr(tokenizer.model, "_resize_cache"):
+                tokenizer.model._resize_cache(WORDS_HELD)
             self.encode = lambda t: [len(e) for e in tokenizer.encode_batch_fast(t, add_special_tokens=False)]
         else:
             import sentencepiece

@@ -138,6 +138,18 @@ def test_token_counts_equal_whole_texts(edge, docs):
     assert tokens.Counting("word_bpe_49k.json", cut=True).lengths(odd) == whole.lengths(odd)
 
 
+def test_token_counts_with_more_words_than_the_library_remembers(monkeypatch):
+    """The library's table of words is asked to hold WORDS_HELD; counts don't depend on what it holds."""
+    monkeypatch.setattr(tokens, "WORDS_HELD", 40)
+    made = tokens.Counting("word_bpe_49k.json", cut=True)
+    text = " ".join(f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600))
+    few = made.lengths([text, text])
+    monkeypatch.undo()
+    large = tokens.Counting("word_bpe_49k.json", cut=True)
+    assert few == large.lengths([text, text]) == large.lengths([text, text])
+    assert tokens.WORDS_HELD >= 500_000
+
+
 def test_chat_reads_back(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [
