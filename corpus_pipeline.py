@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reachloom.llm import decontaminate, mixing, neardup, substring, toxicity
 from reachloom.llm.queries import SOURCE_WEIGHTS
-from reachloom.storage import Scratch, saved
+from reachloom.storage import Scratch, saved, trim_driver
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Scratch tables of the stage that ran last.
@@ -26,6 +26,7 @@ def stage(made):
             for scratch in _last:
                 scratch.delete()
         _last[:] = [Scratch(spark)]
+        trim_driver(spark)  # the plans of one stage leave the driver's process larger for all that follow
         with _last[0]:
             return made(spark, docs.select(*COLUMNS), sf_dir)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +22,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """Has the driver's JVM give memory that its native allocator holds but doesn't use back to the system: what the C++
+    side (compilers, many short-lived threads of broadcasts) has freed stays with the process otherwise. What the JVM says
+    of it; None where it can't (the command is HotSpot's on Linux)."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = jvm.java.lang.Class.forName(kind)
+    given[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given[1] = "systemTrimNativeHeap"
+    call = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    try:
+        return str(call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given))
+    except Py4JJavaError:
+        return None
+
+
 class Scratch:
     """The tables that saved() writes while it is entered. delete() is for callers that have written out all that was
     made from them; tables of others stay."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from reachloom.llm import decontaminate, toxicity
 from reachloom.llm.common import saved
+from reachloom.storage import trim_driver
 
 from test_operators import pairs, water_levels
 
@@ -28,6 +29,15 @@ def runs(spark):
     return out
 
 
+def test_stages_give_the_drivers_unused_memory_back(spark, monkeypatch):
+    """Each stage asks for it before it plans anything."""
+    said = []
+    monkeypatch.setattr(corpus_pipeline, "trim_driver", lambda s: said.append(trim_driver(s)))
+    made = corpus_pipeline.stage(lambda s, docs, sf_dir: docs)
+    made(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert len(said) == 1 and "heap" in said[0].lower()
+
+
 def rows(df):
     return Counter(pairs(df))
 
