@@ -19,6 +19,8 @@ SPACE_SPLIT = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 4 << 20
 #: Rows of a batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
+#: Rows of a batch whose columns are worked on at a time.
+COLUMN_ROWS = 4096
 
 
 def crc_mod(column: str, n: int):
@@ -34,6 +36,13 @@ def texts(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[t
             yield part, part.column(part.schema.get_field_index(column)).to_pylist()
 
 
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches for work on whole columns: more rows than texts() takes, few enough for what they become."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, COLUMN_ROWS):
+            yield batch.slice(at, COLUMN_ROWS)
+
+
 def extended(fields: list[tuple[str, str]]) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in fields)
 
@@ -98,11 +107,12 @@ def annotate(
     fields: list[tuple[str, str]],
     column: str = "text",
     keep: list[str] | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """df with new columns that start()(texts) gives for slices of one text column.
 
-    start() runs once in each task; the function it returns gets the slice's texts (UTF-8 bytes or None) and returns
-    a list for each new column. keep names the input columns to return (default: all). An input column with the name of a new
+    start() runs once in each task; the function it returns gets the slice's texts (UTF-8 bytes or None; with whole, one
+    Arrow array of more rows) and returns a list or array for each new column. keep names the input columns to return (default: all). An input column with the name of a new
     one is replaced by it.
     """
     new = {n for n, _ in fields}
@@ -118,7 +128,8 @@ def annotate(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for part, values in texts(batches, "__text"):
+        sliced = ((p, p.column(len(kept))) for p in parts(batches)) if whole else texts(batches, "__text")
+        for part, values in sliced:
             made = work(values)
             columns = [part.column(i) for i in range(len(kept))]
             columns += [pa.array(made[n], type=arrow[n]) for n, _ in fields]

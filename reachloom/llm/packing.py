@@ -15,7 +15,7 @@ depends on the capacity alone.
 
 Cases: a null text has only the end token. Repeated rows are pieces of their own; pieces of equal id, number and ids are
 alike and may stand for each other. Null ids are carried. An empty table gives an empty result. A text of any length is
-encoded in slices that end at white space, where the tokenizer never joins words. Columns named like those of the
+encoded in slices that end at white space, where the tokenizer never joins words; short texts share a slice. Columns named like those of the
 result are replaced by them.
 """
 
@@ -24,24 +24,26 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import extended, pa_type, saved, texts
 
-SLICE_BYTES = 1 << 20
+#: Bytes of texts whose words are numbered together, and of words that the library encodes at a time.
+SLICE_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words and cores that a generation of a worker's tables holds, and the longest word that it remembers.
 WORDS_HELD, CORES_HELD, LONGEST_WORD = 500_000, 250_000, 64
-#: Sentence marks that stand alone after a letter or digit.
-MARKS = b".,;:!?"
-#: Up to here letters keep their place in words under the tokenizer's rules (composition, lower case).
-LATIN = 0x250
+#: A letter up to U+024F in UTF-8: composition leaves it alone, and lower case makes one letter of it (but of U+0130).
+LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])"
+LETTERS = re.compile(LETTER + rb"+")
+#: What the tokenizer's rules make of a word: runs of letters, single digits, runs of marks.
+UNITS = re.compile(LETTER + rb"+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 
 class Remembered:
@@ -63,81 +65,164 @@ class Remembered:
         return keys
 
 
+def batches(sizes: list[int], most: int) -> list[list[int]]:
+    """Numbers of texts in batches: the largest text left opens one, and the next ones fill it up to `most` bytes."""
+    out: list[list[int]] = []
+    held = 0
+    for k in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
+        if not out or held + sizes[k] > most:
+            out.append([])
+            held = 0
+        out[-1].append(k)
+        held += sizes[k] + 16
+    return out
+
+
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts (binary), the number of each word of the texts among them, and where each text's words
+    begin; one more at the end. A text that begins or ends with white space has an empty word there."""
+    kind = pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(kind))
+    found = lists.values.dictionary_encode()
+    distinct = found.dictionary.view(texts.type).to_numpy(zero_copy_only=False).tolist()
+    return distinct, found.indices.to_numpy(), lists.offsets.to_numpy()
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit numbers, for tokenizers that never join across white space.
 
-    Words that were seen are looked up. New ones of lower-case ASCII letters reach the library's model as they are (the
-    rules before it neither change nor part them), so it is asked directly. Other new ones are encoded together: words of
-    Latin letters are one unit of the tokenizer each and end in a token that ends words, which is how the joined ids are
-    parted again; if the ends don't add up, and for all other words, each word is encoded by itself.
+    Arrow parts a slice of texts into words and numbers the distinct ones, so that Python meets each word once a slice.
+    Words that were seen are looked up. New ones of Latin letters, ASCII digits and ASCII marks (no apostrophe) are parted
+    into the units that the tokenizer's rules make of them: runs of letters, single digits, runs of marks. Letters are
+    lower-cased, which is all that the rules do to them, and encoded together by the library's model under a tokenizer
+    without those rules; each unit ends in a token that ends words, which is how the joined ids are parted again. All
+    other units and words are encoded by the whole tokenizer, each by itself, in batches balanced by bytes.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, words_held: int | None = None):
         import public_tokenizers
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         made = Tokenizer.from_file(public_tokenizers.path(name))
         made.no_truncation()
         made.no_padding()
-        self.model = made.model
+        plain = Tokenizer(made.model)
+        plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.encode = lambda t: [e.ids for e in made.encode_batch_fast(t, add_special_tokens=False)]
+        self.letters = lambda t: plain.encode_batch_fast([t], add_special_tokens=False)[0].ids
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in made.get_added_tokens_decoder().values()) or b"$^")
         self.ends = np.zeros(made.get_vocab_size(), bool)
         for word, k in made.get_vocab().items():
             self.ends[k] = word.endswith("</w>")
-        self.words, self.cores = Remembered(WORDS_HELD), Remembered(CORES_HELD)
-
-    @staticmethod
-    def parted(word: bytes) -> tuple[bytes, bytes]:
-        """A word's core, lower-cased if it is ASCII letters only, and the sentence mark after it."""
-        mark = b""
-        if word.isalpha():
-            return word.lower(), mark
-        if len(word) > 1 and word[-1] in MARKS:
-            last = word[:-1].decode("utf-8", "replace")[-1]
-            if last.isalnum() and ord(last) < LATIN:
-                word, mark = word[:-1], word[-1:]
-        return (word.lower() if word.isalpha() else word), mark
+        self.words, self.cores = Remembered(words_held or WORDS_HELD), Remembered(CORES_HELD)
+
+    #: What is remembered of a unit's ids, and of a word's units.
+    value = staticmethod(bytes)
+    joined = staticmethod(b"".join)
+
+    def parted(self, word: bytes) -> tuple[bytes, ...]:
+        """The units of a word, letters in lower case; the word itself if the rules may do more to it."""
+        if word.isalpha():  # ASCII
+            return (word.lower(),)
+        units = UNITS.findall(word)
+        if len(units) == 1 and len(units[0]) == len(word):
+            return (word.decode().lower().encode(),)
+        if len(b"".join(units)) != len(word) or self.special.search(word):
+            return (word,) if word else ()
+        return tuple([u.lower() if u.isascii() else u.decode().lower().encode() for u in units])
 
     def learn(self, cores: list[bytes]) -> None:
-        plain, rest, tokens = [], [], self.model.tokenize
+        of, plain, rest = self.cores.now, [], []
         for c in cores:
-            if c.isalpha() and c.islower():  # of ASCII
-                self.cores.now[c] = array("I", [x.id for x in tokens(c.decode())]).tobytes()
-                continue
-            t = c.decode("utf-8", "replace")
-            (plain if t.isalpha() and max(t) < chr(LATIN) else rest).append(t)
+            (plain if c.isalpha() or LETTERS.fullmatch(c) else rest).append(c)
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = np.array(self.encode([" ".join(some)])[0], "<u4")
+            ids = np.array(self.letters(b" ".join(some).decode()), "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
                 rest += some
                 continue
-            data = ids.tobytes()
-            for t, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.cores.now[t.encode()] = data[4 * a : 4 * b]
-        for t, ids in zip(rest, self.encode(rest) if rest else [], strict=True):
-            self.cores.now[t.encode()] = np.array(ids, "<u4").tobytes()
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            of.update(zip(some, [self.value(data[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        for batch in batches([len(c) for c in rest], BATCH_BYTES):
+            for k, ids in zip(batch, self.encode([rest[k].decode("utf-8", "replace") for k in batch]), strict=True):
+                of[rest[k]] = self.value(np.array(ids, "<u4").tobytes())
+
+    def values(self, words: list[bytes]) -> list:
+        """What is remembered of each of some distinct words, learnt where it is new."""
+        new = {w: self.parted(w) for w in self.words.missing(set(words))}
+        self.learn(sorted(self.cores.missing({u for units in new.values() for u in units})))
+        of, cores = self.words.now, self.cores.now
+        for w, units in new.items():
+            of[w] = cores[units[0]] if len(units) == 1 else self.joined([cores[u] for u in units])
+        found = list(map(of.__getitem__, words))
+        for w, units in new.items():
+            if len(w) > LONGEST_WORD:
+                del of[w]
+                for u in units:
+                    cores.pop(u, None)
+        return found
+
+    @staticmethod
+    def slices(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """Texts of SLICE_BYTES together, and each one's row. A longer text is cut at white space into several of its row."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < len(texts):
+            before = ends[row - 1] if row else 0
+            stop = int(np.searchsorted(ends, before + SLICE_BYTES, "right"))
+            if stop > row:
+                yield texts.slice(row, stop - row), np.arange(row, stop)
+                row = stop
+                continue
+            text, at = texts[row].as_py(), 0
+            while at < len(text):
+                found = SPACE.search(text, at + SLICE_BYTES)
+                end = found.start() if found else len(text)
+                yield pa.array([text[at:end]], texts.type), np.array([row])
+                at = end
+            row += 1
+
+    def every(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (binary; null: empty), in order."""
+        held, row = [], 0
+        for some, rows in self.slices(texts):
+            distinct, of, begin = words_of(some)
+            parts = self.values(distinct)
+            ids = np.frombuffer(b"".join(parts), "<u4")
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
+            n = sizes[of]
+            stop = np.append(0, np.cumsum(n))
+            data = ids[np.repeat((np.cumsum(sizes) - sizes)[of] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+            ends = (4 * stop[begin]).tolist()
+            for r, a, b in zip(rows.tolist(), ends[:-1], ends[1:], strict=True):
+                if r != row:
+                    yield b"".join(held)
+                    held, row = [], r
+                held.append(data[a:b])
+        if len(texts):
+            yield b"".join(held)
 
     def __call__(self, text: bytes) -> bytes:
-        out, at = [], 0
-        while at < len(text):
-            found = SPACE.search(text, at + SLICE_BYTES)
-            end = found.start() if found else len(text)
-            words = text[at:end].split()
-            new = {w: self.parted(w) for w in self.words.missing(set(words))}
-            self.learn(sorted(self.cores.missing({c for pair in new.values() for c in pair if c})))
-            of, cores = self.words.now, self.cores.now
-            for w, (core, mark) in new.items():
-                of[w] = cores[core] + (cores[mark] if mark else b"")
-            out.append(b"".join([of[w] for w in words]))
-            for w in new:
-                if len(w) > LONGEST_WORD:
-                    del of[w]
-                    cores.pop(self.parted(w)[0], None)
-            at = end
-        return b"".join(out)
+        return next(self.every(pa.array([text], pa.binary())))
+
+
+class WordCounts(WordIds):
+    """Token counts of texts by the same tables, which hold numbers instead of ids."""
+
+    value = staticmethod(lambda data: len(data) >> 2)
+    joined = staticmethod(sum)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of tokens of each text (binary; null: empty)."""
+        out = np.zeros(len(texts), np.int64)
+        for some, rows in self.slices(texts):
+            distinct, of, begin = words_of(some)
+            stop = np.append(0, np.cumsum(np.array(self.values(distinct), np.int64)[of]))
+            np.add.at(out, rows, np.diff(stop[begin]))
+        return out
 
 
 #: One for each tokenizer in a Python worker, kept between its tasks.

@@ -1,11 +1,15 @@
 """Token counts with a public tokenizer, returning lengths only.
 
-The library encodes batches of texts; only the lengths of the encodings are kept. Batches are balanced by bytes: pieces
-are packed, the largest first, into as few batches of about BATCH_BYTES as hold them. A text longer than LONG_BYTES is
-split into pieces of about that size at safe boundaries, runs of ASCII spaces, tabs and line ends. They are safe when
-the tokenizer's rules never join text across white space (word_bpe_49k.json: white space is dropped between words,
-composition and lower-casing stop at it, and the special strings have none): a text's count is then the sum over its
-pieces. Tokenizers without this property are given whole texts (cut=False).
+The library encodes batches of texts, balanced by bytes: the largest first, into as few batches of about BATCH_BYTES as
+hold them. Only the lengths of the encodings are kept. What it encodes depends on the tokenizer:
+
+* word_bpe_49k.json never joins text across ASCII white space (white space is dropped between words, composition and
+  lower-casing stop at it, and the special strings have none): a text's count is the sum over its words. The distinct
+  words of a slice of texts that weren't seen before are encoded, and a worker remembers the counts of WORDS_HELD words
+  in each of two generations (packing.WordCounts).
+* Others whose rules are alike (cut=True) get whole texts, those longer than LONG_BYTES in pieces of about that size,
+  split at safe boundaries, runs of ASCII spaces, tabs and line ends.
+* Tokenizers without this property are given whole texts (cut=False).
 
 Cases: null counts as empty, and empty texts have no tokens. A stretch without white space is never cut, however long.
 Repeated rows each get their row; an empty table gives an empty result.
@@ -16,15 +20,21 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import annotate
+from . import packing
+from .common import SLICE_ROWS, annotate
 
 BATCH_BYTES = 256 << 10
 LONG_BYTES = 64 << 10
-#: Words whose tokens the library remembers in a worker (its own default: 10,000, and no other word after them).
+#: Words whose counts a generation of a worker's table holds.
 WORDS_HELD = 500_000
+#: Tokenizers whose rules packing.WordIds knows.
+BY_WORD = {"word_bpe_49k.json"}
 SAFE = re.compile(r"[ \t\n\r]+")
 
 
@@ -37,14 +47,13 @@ class Counting:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         path = public_tokenizers.path(name)
         self.cut = cut
+        self.words = packing.WordCounts(name, WORDS_HELD) if cut and name in BY_WORD else None
         if name.endswith(".json"):
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
             tokenizer.no_truncation()
             tokenizer.no_padding()
-            if hasattr(tokenizer.model, "_resize_cache"):
-                tokenizer.model._resize_cache(WORDS_HELD)
             self.encode = lambda t: [len(e) for e in tokenizer.encode_batch_fast(t, add_special_tokens=False)]
         else:
             import sentencepiece
@@ -64,28 +73,25 @@ class Counting:
             at = found.end() if found else end
         return out
 
-    @staticmethod
-    def batches(sizes: list[int]) -> list[list[int]]:
-        """Numbers of pieces in batches: the largest piece left opens one, and the next ones fill it up to
-        BATCH_BYTES."""
-        out: list[list[int]] = []
-        held = 0
-        for k in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
-            if not out or held + sizes[k] > BATCH_BYTES:
-                out.append([])
-                held = 0
-            out[-1].append(k)
-            held += sizes[k] + 16
-        return out
-
     def lengths(self, texts: list[str]) -> list[int]:
+        if self.words:
+            return self.words.counts(pa.array([t.encode() for t in texts], pa.binary())).tolist()
         counts = [0] * len(texts)
         pieces = [(k, p) for k, t in enumerate(texts) if t for p in self.pieces(t)]
-        for batch in self.batches([len(p) for _, p in pieces]):
+        for batch in packing.batches([len(p) for _, p in pieces], BATCH_BYTES):
             for j, n in zip(batch, self.encode([pieces[j][1] for j in batch]), strict=True):
                 counts[pieces[j][0]] += n
         return counts
 
+    def counts(self, texts: pa.Array) -> np.ndarray | list[int]:
+        """The number of tokens of each text (binary; null: empty)."""
+        if self.words:
+            return self.words.counts(texts)
+        out: list[int] = []
+        for at in range(0, len(texts), SLICE_ROWS):  # few texts are held as objects at once
+            out += self.lengths([(v or b"").decode("utf-8", "replace") for v in texts.slice(at, SLICE_ROWS).to_pylist()])
+        return out
+
 
 #: One for each tokenizer in a Python worker, kept between its tasks.
 _loaded: dict[tuple[str, bool], Counting] = {}
@@ -105,14 +111,11 @@ def token_counts(
         count = _loaded.setdefault((tokenizer, cut), None) or Counting(tokenizer, cut)
         _loaded[(tokenizer, cut)] = count
 
-        def work(values: list) -> dict[str, list]:
-            return {
-                "n_bytes": [len(v or b"") for v in values],
-                "n_tokens": count.lengths([(v or b"").decode("utf-8", "replace") for v in values]),
-            }
+        def work(texts: pa.Array) -> dict:
+            return {"n_bytes": pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), "n_tokens": count.counts(texts)}
 
         return work
 
     kept = [c for c in (docs.columns if keep is None else keep) if c != "over_limit"]
-    counted = annotate(docs, start, [("n_bytes", "bigint"), ("n_tokens", "bigint")], text, kept)
+    counted = annotate(docs, start, [("n_bytes", "bigint"), ("n_tokens", "bigint")], text, kept, whole=True)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -150,6 +150,25 @@ def test_token_counts_with_more_words_than_the_library_remembers(monkeypatch):
     assert tokens.WORDS_HELD >= 500_000
 
 
+def test_token_counts_hold_no_words_in_the_library(monkeypatch):
+    """The library's own table, whose entries take far more memory than a number, isn't enlarged; each new word goes to the
+    library once, seen ones not at all."""
+    import tokenizers
+
+    def refused(*_):
+        raise AssertionError("the library's table is asked to hold more")
+
+    monkeypatch.setattr(tokenizers.models.BPE, "_resize_cache", refused, raising=False)
+    made, asked = tokens.Counting("word_bpe_49k.json", cut=True), []
+    letters, encode = made.words.letters, made.words.encode
+    made.words.letters = lambda t: asked.extend(t.split()) or letters(t)
+    made.words.encode = lambda t: asked.extend(t) or encode(t)
+    texts = ["Ein Wort, ein Wort.", "kein wort's wort", "Wort " * 50]
+    want = tokens.Counting("word_bpe_49k.json", cut=False).lengths(texts)
+    assert made.lengths(texts) == made.lengths(texts) == want
+    assert sorted(asked) == [",", ".", "ein", "kein", "wort", "wort's"]
+
+
 def test_chat_reads_back(spark):
     said = "\\### Assistant: </turn> ok"
     rows = [
