@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import extended, pa_type, saved, texts
+from .common import extended, pa_type, parts, saved
 
 #: Bytes of texts whose words are numbered together, and of words that the library encodes at a time.
 SLICE_BYTES, BATCH_BYTES = 4 << 20, 256 << 10
@@ -252,10 +252,10 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
-        for part, values in texts(batches, "__text"):
+        for part in parts(batches):
             row, made = [], {n: [] for n, _ in fields}
-            for k, value in enumerate(values):
-                data = ids_of(value or b"") + end
+            for k, data in enumerate(ids_of.every(part.column(len(kept)))):
+                data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     some = data[at : at + 4 * capacity]
                     row.append(k)

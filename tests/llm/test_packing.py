@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reachloom.llm import packing, queries
@@ -132,3 +133,48 @@ def test_places_cover_each_number_once():
     length, first, sequence, offset = packing.places(rounded)
     assert [(a, b) for a, b in zip(length, first)] == [(3, 0), (3, 4), (3, 6), (3, 8), (5, 0), (5, 4), (5, 8)]
     assert sequence.tolist() == [0, 4, 4, 4, 0, 0, 6] and offset.tolist() == [10, 0, 3, 6, 0, 5, 0]
+
+
+def odd_words():
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    rng = np.random.RandomState(11)
+    pool = [*letters, *"etaoin" * 40, *marks, *"0123456789", "'s", "<|endoftext|>", "́", "漢", "×", "…", "\x00", "\x1c", " "]
+    return ["".join(rng.choice(pool, rng.randint(1, 9))) for _ in range(4000)] + ["x" + c for c in letters] + [c + "E!1" for c in letters]
+
+
+def test_units_of_words_are_what_the_rules_make():
+    """Every letter up to U+024F, marks, digits and what the rules do more to: alone and together, as the library has it."""
+    made = packing.WordIds("word_bpe_49k.json")
+    words = odd_words()
+    assert made.parted("Étoile,***12".encode()) == ("étoile".encode(), b",***", b"1", b"2")
+    for w, ids in zip(words, made.encode(words), strict=True):
+        assert ids_of(made(w.encode())) == ids, w
+
+
+def test_slices_share_texts_and_nulls(monkeypatch):
+    """Rows in one slice, cut texts between them, nulls and a sliced column: each row gets its own ids and its own count."""
+    rng = np.random.RandomState(13)
+    texts = [" ".join(rng.choice(WORDS, rng.randint(0, 40))) for _ in range(60)]
+    texts[7:9], texts[0], texts[-1] = [None, ""], None, "  a  "
+    for size in (4 << 20, 100, 1):
+        monkeypatch.setattr(packing, "SLICE_BYTES", size)
+        for kind in (pa.binary(), pa.large_binary()):
+            column = pa.array([None if t is None else t.encode() for t in ["before", *texts]], kind).slice(1)
+            want = [library(t) for t in texts]
+            assert [ids_of(x) for x in packing.WordIds("word_bpe_49k.json").every(column)] == want
+            assert packing.WordCounts("word_bpe_49k.json").counts(column).tolist() == [len(x) for x in want]
+
+
+def test_words_that_are_not_utf8():
+    made = packing.WordIds("word_bpe_49k.json")
+    assert ids_of(made(b"a\xff b\xc3, ok")) == made.encode(["a� b�, ok"])[0]
+
+
+def test_a_word_is_looked_up_once_a_slice():
+    """Before, each text's words were looked up one by one: most of the time went into that."""
+    made, asked = packing.WordIds("word_bpe_49k.json"), []
+    values = made.values
+    made.values = lambda words: asked.append(len(words)) or values(words)
+    assert len(list(made.every(pa.array([b"one two one", b"two one"] * 500, pa.binary())))) == 1000
+    assert asked == [2]
