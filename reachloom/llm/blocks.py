@@ -102,32 +102,63 @@ def bucketed_answers(answers: DataFrame, name: str, fields: tuple[str, ...], buc
     return saved(per, f"answers-{name}", "block", buckets)
 
 
+def _planes(values: np.ndarray, width: int) -> list[bytes]:
+    """The lowest bytes of all values, then the next ones, up to `width` of them."""
+    raw, step = np.ascontiguousarray(values).view(np.uint8), values.dtype.itemsize
+    return [raw[k::step].tobytes() for k in range(width)]
+
+
+def _from_planes(planes: np.ndarray, kind) -> np.ndarray:
+    """The values of these planes (a row for each); bytes above them are zero."""
+    width, n = planes.shape
+    step = np.dtype(kind).itemsize
+    out = np.empty((n, step), np.uint8) if width == step else np.zeros((n, step), np.uint8)
+    for k in range(width):
+        out[:, k] = planes[k]
+    return out.ravel().view(kind)
+
+
 def put(values: np.ndarray) -> bytes:
     """An array, its bytes transposed (equal high bytes meet) and packed."""
-    return pack(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()) if len(values) else b""
+    return pack(b"".join(_planes(values, values.dtype.itemsize))) if len(values) else b""
 
 
 def get(data: bytes, kind) -> np.ndarray:
     if not data:
         return np.empty(0, kind)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
-def bundle(arrays: list[np.ndarray]) -> bytes:
-    """Several arrays packed together: their lengths, then each one's bytes transposed."""
-    sizes = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return pack(sizes + b"".join(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays if len(a)))
-
-
-def unbundle(data: bytes, kinds: tuple) -> list[np.ndarray]:
-    raw, at, out = unpack(data), 8 * len(kinds), []
-    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
-        width = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if n else np.empty(0, kind))
-        at += n * width
-    return out
+    return _from_planes(np.frombuffer(unpack(data), np.uint8).reshape(np.dtype(kind).itemsize, -1), kind)
+
+
+def _width(values: np.ndarray) -> int:
+    """Bytes up to the highest that isn't zero in all values; every byte of floats and negative numbers."""
+    if values.dtype.kind == "f" or not len(values) or values.min() < 0:
+        return values.dtype.itemsize
+    return -(-int(values.max()).bit_length() // 8)
+
+
+def bundles(arrays: list[np.ndarray], cuts: list[np.ndarray]) -> list[bytes]:
+    """Messages of several arrays packed together: the k-th has each array's stretch from its k-th cut to the next. It holds
+    their lengths and widths, then each one's bytes transposed, without high bytes that are zero in all of an array."""
+    widths = [_width(a) for a in arrays]
+    lengths = np.stack([np.diff(c) for c in cuts], 1)
+    heads = np.stack([lengths, np.broadcast_to(widths, lengths.shape)], 2).astype(np.int64)
+    planes = [(memoryview(p), np.asarray(c).tolist()) for a, w, c in zip(arrays, widths, cuts, strict=True) for p in _planes(a, w)]
+    return [pack(b"".join([heads[k].tobytes(), *(p[c[k] : c[k + 1]] for p, c in planes)])) for k in range(len(heads))]
+
+
+def unbundled(data: list[bytes], kinds: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The arrays of messages, each joined over the messages; and their lengths in each one (a row for a message)."""
+    raws = [memoryview(unpack(d)) for d in data]
+    heads = [np.frombuffer(r, np.int64, 2 * len(kinds)).reshape(-1, 2).tolist() for r in raws]
+    at, out = [16 * len(kinds)] * len(raws), []
+    for j, kind in enumerate(kinds):
+        parts = list(zip(raws, at, *zip(*(h[j] for h in heads), strict=True), strict=True)) if raws else []
+        width = max((w for _, _, _, w in parts), default=0)
+        planes = [b"".join([r[b + k * n : b + k * n + n] if k < w else bytes(n) for r, b, n, w in parts]) for k in range(width)]
+        total = sum(n for _, _, n, _ in parts)
+        out.append(_from_planes(np.frombuffer(b"".join(planes), np.uint8).reshape(width, total), kind))
+        at = [b + n * w for _, b, n, w in parts]
+    return out, np.array(heads, np.int64).reshape(-1, len(kinds), 2)[:, :, 0]
 
 
 def put_sorted(values: np.ndarray) -> bytes:

@@ -70,9 +70,12 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix finaliser)."""
     x = x + MIX
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def window_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -93,12 +96,16 @@ def window_hashes_at(h: np.ndarray, at: np.ndarray, n: int, seed: int = 0) -> np
     return out
 
 
+#: One of each for a process: a task's messages are many and small, and setting these up costs more than packing one.
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return _PACKER.compress(data)
 
 
 def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _UNPACKER.decompress(data)
 
 
 def annotate(

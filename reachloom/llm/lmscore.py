@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +45,23 @@ SHARD_BYTES = 8 << 20
 HOT, MOST_HOT = 1 << 20, 200_000
 
 
-class Local(dict):
-    """Numbers for the words of a block, in the order of their first occurrence."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def symbols_of(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Texts (binary) as symbols: lengths of the texts, each symbol's number, and what the numbers stand for."""
+    text = pc.replace_substring(pc.fill_null(text, b""), END, b"\xef\xbf\xbd").cast(pa.string(), safe=False)
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(text))
+    split = pc.ascii_split_whitespace(text)  # an empty text is one empty word here
+    full = pc.binary_length(text).to_numpy() > 0
+    lengths = np.where(full, pc.list_value_length(split).to_numpy(), 0).astype(np.int64) + 1
+    words = pc.list_flatten(split)
+    if not full.all():
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    words = words.dictionary_encode().combine_chunks()
+    known = [*words.dictionary.cast(pa.binary()).to_pylist(), END]
+    ends = np.zeros(lengths.sum(), bool)
+    ends[np.cumsum(lengths) - 1] = True
+    numbers = np.full(len(ends), len(known) - 1, np.int64)
+    numbers[~ends] = words.indices.to_numpy()
+    return lengths, numbers, known
 
 
 def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -58,14 +70,8 @@ def symbol_blocks(docs: DataFrame, columns: list[str], buckets: int) -> DataFram
 
     def start():
         def work(rows: pa.Table):
-            local, parts, lengths = Local(), [], []  # text by text: one text's words are held as objects at a time
-            end = np.array([local[END]], np.uint32)
-            for body in rows.column("__text"):
-                words = (body.as_py() or b"").replace(END, b"\xef\xbf\xbd").lower().split()
-                parts += [np.fromiter(map(local.__getitem__, words), np.uint32, len(words)), end]
-                lengths.append(len(words) + 1)
-            numbers, lengths = np.concatenate(parts), np.array(lengths, np.int64)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in local], np.uint64)
+            lengths, numbers, local = symbols_of(rows.column("__text"))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
             order = np.argsort(hashes)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
@@ -94,18 +100,25 @@ class Totals:
 
 def coded(contexts: np.ndarray, symbols: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (context, symbol) pairs in order: contexts, symbols; and each position's pair."""
-    key = contexts.astype(np.uint64) * np.uint64(width) + symbols.astype(np.uint64)
+    low = np.uint64(max(0, width - 1).bit_length())
+    key = contexts.astype(np.uint64)
+    key <<= low
+    key |= symbols.astype(np.uint64, copy=False) if symbols.dtype.kind == "u" else symbols.view(np.uint64)
     bits = max(1, (len(key) - 1).bit_length())
     if len(key) and int(key.max()).bit_length() + bits <= 64:  # sorts key and position as one number
-        both = np.sort((key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64))
-        at, key = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
-        starts, run = B.runs(key)
-        inverse = np.empty(len(key), np.int64)
-        inverse[at] = run
-        found = key[starts]
+        key <<= np.uint64(bits)
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        at = (key & np.uint64((1 << bits) - 1)).view(np.int64)
+        key >>= np.uint64(bits)
     else:
-        found, inverse = np.unique(key, return_inverse=True)
-    return (found // np.uint64(width)).astype(np.int64), (found % np.uint64(width)).astype(np.int64), inverse
+        at = np.argsort(key)
+        key = key[at]
+    starts, run = B.runs(key)
+    inverse = np.empty(len(key), np.int64)
+    inverse[at] = run
+    found = key[starts]
+    return (found >> low).view(np.int64), (found & np.uint64((1 << int(low)) - 1)).view(np.int64), inverse
 
 
 def joined_runs(contexts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
@@ -123,7 +136,8 @@ class Level:
     of: np.ndarray  # each position's context
     pair_context: np.ndarray
     pair_symbol: np.ndarray
-    pair: np.ndarray  # each position's pair; -1 where the suffix's pair is too rare for this one to be kept
+    asked: np.ndarray  # the places in at of positions with a pair: elsewhere the suffix's is too rare for one to be kept
+    pair: np.ndarray  # their pairs
 
 
 class Walk:
@@ -139,93 +153,93 @@ class Walk:
         self.first = np.zeros(len(codes) + 1, bool)  # of a text; and what lies behind the last
         self.first[starts], self.first[-1] = True, True
         counts = B.joined(row["words_answer"], np.int64, "counts")
-        self.numbers = np.concatenate([B.get(a["numbers"], np.int64) * known.shards + a["shard"] for a in row["words_answer"]])
-        self.seen = counts[codes] > 0
-        self.base = known.base(counts)[codes]
-        self.p = self.base.copy()
+        self.counts, self.told = counts, row["words_answer"]
+        self.p = known.base(counts)[codes]
         before = np.empty_like(codes)
         before[1:] = codes[:-1]
         before[starts] = np.searchsorted(self.words, xxhash.xxh3_64_intdigest(END))
-        self.frequent = counts[codes] >= known.least  # the pair with the suffix occurs often enough
-        deep = counts[before] >= known.least
-        self.level = self._level(self.words, counts, np.flatnonzero(deep), before[deep])
+        often = counts >= known.least
+        self.frequent = often[codes]  # the pair with the suffix occurs often enough
+        deep = np.flatnonzero(often[before])
+        self.level = self._level(self.words, counts, deep, before[deep])
         for d in range(1, row["depths"] + 1):
             self._step(row[f"depth_{d}"], hot[d - 1], row["depths"] == d and row["last"])
 
     def _level(self, contexts, counts, at, of) -> Level:
         asked = np.flatnonzero(self.frequent[at])
-        pair_context, pair_symbol, inverse = coded(of[asked], self.codes[at[asked]], len(self.words))
-        pair = np.full(len(at), -1)
-        pair[asked] = inverse
-        return Level(contexts, counts, at, of, pair_context, pair_symbol, pair)
+        pair_context, pair_symbol, pair = coded(of[asked], self.codes[at[asked]], len(self.words))
+        return Level(contexts, counts, at, of, pair_context, pair_symbol, asked, pair)
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pieces(self) -> tuple[np.ndarray | slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The pairs in the order in which they are asked, and the pieces that they are asked in: how many pairs each
         has, its hash, its context, and whether it is a part of a split context. A context without pairs is asked for
-        its rest alone."""
+        its rest alone. Contexts are in the order of their hashes, so that only parts of split ones have to be sorted in."""
         x = self.level
-        parts = -(-x.counts // self.known.hot)
-        split = parts[x.pair_context] > 1
-        part = np.zeros(len(x.pair_context), np.int64)
-        if split.any():  # symbols are in the order of their hashes: parts are runs
-            high = (self.words[x.pair_symbol[split]] >> np.uint64(32)).astype(np.int64)
-            part[split] = (high * parts[x.pair_context[split]]) >> 32
-        new = np.ones(len(part), bool)
-        new[1:] = (x.pair_context[1:] != x.pair_context[:-1]) | (part[1:] != part[:-1])
-        begin = np.flatnonzero(new)
-        context = x.pair_context[begin]
-        size = np.diff(begin, append=len(part))
-        route = x.contexts[context].copy()
-        partial = parts[context] > 1
-        route[partial] = mixed(route[partial] + np.uint64(1) + part[begin][partial].astype(np.uint64))
-        alone = np.zeros(len(x.contexts), bool)
-        alone[x.of] = True
-        alone[x.pair_context] = False
-        alone = np.flatnonzero(alone & (parts <= 1))
-        begin, size = np.concatenate([begin, np.zeros_like(alone)]), np.concatenate([size, np.zeros_like(alone)])
-        route, context = np.concatenate([route, x.contexts[alone]]), np.concatenate([context, alone])
-        partial = np.concatenate([partial, np.zeros(len(alone), bool)])
-        order = np.argsort(route)
-        pairs = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(part))
-        return pairs, size[order], route[order], context[order], partial[order]
+        split = x.counts > self.known.hot
+        met = np.zeros(len(x.contexts), bool)
+        met[x.of] = True
+        context = np.flatnonzero(met & ~split)
+        sizes = np.bincount(x.pair_context, minlength=len(x.contexts))
+        size, route = sizes[context], x.contexts[context]
+        cut = np.flatnonzero(split[x.pair_context]) if split.any() else []
+        if not len(cut):
+            return slice(None), size, route, context, np.zeros(len(context), bool)
+        of, high = x.pair_context[cut], (self.words[x.pair_symbol[cut]] >> np.uint64(32)).astype(np.int64)
+        part = (high * -(-x.counts[of] // self.known.hot)) >> 32  # symbols are in the order of their hashes: parts are runs
+        new = np.ones(len(cut), bool)
+        new[1:] = (of[1:] != of[:-1]) | (part[1:] != part[:-1])
+        new = np.flatnonzero(new)
+        begin = np.concatenate([(np.cumsum(sizes) - sizes)[context], cut[new]])
+        size = np.concatenate([size, np.diff(new, append=len(cut))])
+        route = np.concatenate([route, mixed(x.contexts[of[new]] + np.uint64(1) + part[new].astype(np.uint64))])
+        partial = np.arange(len(route)) >= len(context)
+        context = np.concatenate([context, of[new]])
+        order = np.argsort(route, kind="stable")  # the first are in order
+        begin, size = begin[order], size[order]
+        pairs = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(x.pair_context))
+        return pairs, size, route[order], context[order], partial[order]
 
     def ask(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
         x = self.level
         pairs, size, route, context, partial = self.pieces()
-        asked = np.flatnonzero(x.pair >= 0)
-        pair, at = x.pair[asked], x.at[asked]
-        n = np.bincount(pair, self.learnt[at], len(x.pair_context)).astype(np.uint32)
+        at = x.at[x.asked]
+        n = np.bincount(x.pair[self.learnt[at]], minlength=len(x.pair_context)).astype(np.uint32)
         some = np.empty(len(x.pair_context), np.int64)  # a position of each pair
-        some[pair] = at
+        some[x.pair] = at
         p = np.log10(self.p[some]).astype(np.float16)
         origin = np.where(partial, x.contexts[context], np.uint64(0))
-        return route, [x.counts[context], origin], size, [self.numbers[x.pair_symbol[pairs]], n[pairs], p[pairs]]
+        numbers = np.concatenate([B.get(a["numbers"], np.int64) * self.known.shards + a["shard"] for a in self.told])
+        return route, [x.counts[context], origin], size, [numbers[x.pair_symbol[pairs]], n[pairs], p[pairs]]
 
     def _step(self, answers: list[dict] | None, hot: tuple[np.ndarray, np.ndarray], last: bool) -> None:
         x, known = self.level, self.known
-        pairs, _, _, context, partial = self.pieces()
-        told = [B.unbundle(a["data"], ANSWERED) for a in answers or []]
-        counts, rests = np.zeros(len(pairs), np.int64), np.empty(0, np.float32)
-        if told:
-            counts[pairs] = np.concatenate([t[0] for t in told])
-            rests = np.concatenate([t[1] for t in told])
+        pairs, _, _, context, _ = self.pieces()
+        (told, rests), _ = B.unbundled([a["data"] for a in answers or []], ANSWERED)
+        counts = np.empty(len(x.pair_context), np.int64)
+        counts[pairs] = told
         rest = np.full(len(x.contexts), -1.0)  # negative: the context doesn't stay
         rest[context] = rests
-        if partial.any():
-            some = context[partial]
-            rest[some] = hot[1][np.searchsorted(hot[0], x.contexts[some])]
+        split = np.flatnonzero(x.counts > known.hot)  # also those that this block asked nothing of
+        if len(split) and len(hot[0]):
+            place = np.minimum(np.searchsorted(hot[0], x.contexts[split]), len(hot[0]) - 1)
+            rest[split] = np.where(hot[0][place] == x.contexts[split], hot[1][place], -1.0)
         kept = counts >= known.least
-        own = np.append(np.where(kept, counts - known.discount, 0) / x.counts[x.pair_context], 0.0)  # the last: no pair
-        stays = rest[x.of] >= 0
-        at, of = x.at[stays], x.of[stays]
-        self.p[at] = own[x.pair[stays]] + rest[of] * self.p[at]
+        left = rest[x.of]
+        stays = left >= 0
+        left[~stays] = 1
+        self.p[x.at] *= left
+        there = np.flatnonzero(kept[x.pair])
+        pair, asked = x.pair[there], x.asked[there]
+        at, added = x.at[asked], np.flatnonzero(stays[asked])
+        own = (counts - known.discount) / x.counts[x.pair_context]
+        self.p[at[added]] += own[pair[added]]
         if last:
             return
-        there = np.append(kept, False)[x.pair]
         self.frequent = np.zeros(len(self.codes), bool)
-        self.frequent[x.at[there]] = True
-        on = there & ~self.first[x.at + 1]
-        pair, at = x.pair[on], x.at[on] + 1
+        self.frequent[at] = True
+        at = at + 1
+        on = np.flatnonzero(~self.first[at])
+        pair, at = pair[on], at[on]
         named = np.zeros(len(kept), bool)
         named[pair] = True
         named = np.flatnonzero(named)
@@ -252,12 +266,11 @@ def _ask(blocks: DataFrame, shards: int, question) -> DataFrame:
                 row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
                 pieces, values, sizes, entries = question(row)
                 full, at = B.shard_runs(pieces, shards)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                data = []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    steps = np.diff(pieces[a:b], prepend=np.uint64(0))
-                    own = slice(ends[a], ends[b])
-                    data.append(B.bundle([steps, *(v[a:b] for v in values), sizes[a:b].astype(np.uint32), *(e[own] for e in entries)]))
+                deep = np.concatenate([[0], np.cumsum(sizes)])[at]
+                steps = np.diff(pieces, prepend=np.uint64(0))
+                steps[at[:-1]] = pieces[at[:-1]]
+                sent = [steps, *values, sizes.astype(np.uint32), *entries]
+                data = B.bundles(sent, [at] * (2 + len(values)) + [deep] * len(entries))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full.astype(np.int32)), pa.array([row["block"]] * len(full), pa.int64()), pa.array(data, pa.binary())],
                     names=["shard", "block", "data"],
@@ -276,12 +289,11 @@ def _answer(asked: DataFrame, known: Totals) -> DataFrame:
         ids = table.column("block").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
         sent = table.column("data")
-        parts = [B.unbundle(sent[k].as_py(), ASKED) for k in order]
-        pieces = [np.cumsum(p[0], dtype=np.uint64) for p in parts]
-        cc, origin, sizes, symbol, n, p = (np.concatenate([x[j] for x in parts]) for j in range(1, len(ASKED)))
-        del parts
+        (steps, cc, origin, sizes, symbol, n, p), lengths = B.unbundled([sent[k].as_py() for k in order], ASKED)
+        cuts = np.concatenate([[0], np.cumsum(lengths[:, 0])])
         sizes = sizes.astype(np.int64)
-        hashes = np.concatenate(pieces)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(steps, dtype=np.uint64)])
+        hashes = sums[1:] - np.repeat(sums[cuts[:-1]], lengths[:, 0])  # sums of each message's own steps
         by = np.argsort(hashes)
         starts, run = B.runs(hashes[by])
         found, first, of = hashes[by][starts], by[starts], np.empty(len(by), np.int64)  # the contexts, and each piece's
@@ -303,13 +315,9 @@ def _answer(asked: DataFrame, known: Totals) -> DataFrame:
         head = np.concatenate([[np.float64(kept.sum())], np.column_stack([origin[split].view(np.float64), sums[split]]).ravel()])
         totals[~kept] = 0
         counts, rests = totals[pair], rest.astype(np.float32)[of]
-        ends = np.cumsum([len(x) for x in pieces])
-        deep = np.concatenate([[0], np.cumsum(sizes)])[ends]
-        out = [(-1 - shard, head.tobytes())]
-        a = b = 0
-        for k, i, j in zip(order, ends, deep, strict=True):
-            out.append((ids[k], B.bundle([counts[b:j], rests[a:i]])))
-            a, b = i, j
+        deep = np.concatenate([[0], np.cumsum(sizes)])[cuts]
+        data = B.bundles([counts, rests], [deep, cuts])
+        out = [(-1 - shard, head.tobytes()), *((ids[k], d) for k, d in zip(order, data, strict=True))]
         return pa.table(
             {
                 "shard": pa.array([shard] * len(out), pa.int32()),
@@ -420,9 +428,9 @@ def train_and_score(
                         w.rows.column(id_column).combine_chunks(),
                         w.rows.column("held_out").combine_chunks(),
                         pa.array(w.lengths, pa.int64()),
-                        pa.array(add(w.seen).astype(np.int64)),
+                        pa.array(add((w.counts > 0)[w.codes]).astype(np.int64)),
                         pa.array(np.full(len(w.lengths), total), pa.int64()),
-                        pa.array(add(np.log10(w.base))),
+                        pa.array(add(np.log10(known.base(w.counts))[w.codes])),
                         pa.array(add(np.log10(w.p))),
                     ],
                     names=[n for n, _ in fields],

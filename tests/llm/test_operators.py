@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reachloom.llm import (
-    chat, decontaminate, langid, lmscore, mixing, neardup, quality, queries, substring, tokens, toxicity,
+    blocks, chat, decontaminate, langid, lmscore, mixing, neardup, quality, queries, substring, tokens, toxicity,
 )
 from reachloom.llm.common import crc_mod
 
@@ -494,6 +495,44 @@ def test_lm_tree_is_whole(spark):
         assert got[1000]["score"] - got[1000]["base_score"] > 8  # the passage is known
 
 
+def test_lm_split_contexts_that_a_block_asks_nothing_of(spark):
+    """A frequent context is split; a block that meets it only before new words gets its rest all the same."""
+    rows = lambda r: spark.createDataFrame(r, "doc_id bigint, text string")
+    many, one = rows([(i, f"f{i % 30} h a f{i % 7}") for i in range(60)]), rows([(100, "h z")])
+    apart, together = many.union(one), many.union(one).coalesce(1)
+    assert apart.rdd.getNumPartitions() > 1  # the last row is a block of its own
+    got = [{r["doc_id"]: r["score"] for r in lmscore.train_and_score(t, F.lit(False), hot=20).collect()} for t in (apart, together)]
+    assert got[0] == pytest.approx(got[1], rel=1e-9)
+
+
+def test_lm_symbols_by_plain_splitting():
+    odd = [b"The  cat\x0b\x0c THE\n", b"", None, b" \t\r\n", b"\x1c\x1f a\x1db", "\x85a \xa0 É é\u2003x".encode(), b"\xff a\xffB \xfe\xc3", b"\xff"]
+    rng = np.random.RandomState(4)
+    odd += [bytes(rng.choice(list(b" \n\x0b\x00\x1eaB\xff\xc3\xa9"), rng.randint(0, 30)).astype(np.uint8)) for _ in range(300)]
+    for kept in (odd, [None], [b" "]):
+        want = [[*(t or b"").replace(b"\xff", b"\xef\xbf\xbd").lower().split(), b"\xff"] for t in kept]
+        lengths, numbers, known = lmscore.symbols_of(pa.chunked_array([pa.array(kept[:2], pa.binary()), pa.array(kept[2:], pa.binary())]))
+        assert lengths.tolist() == [len(w) for w in want] and len(set(known)) == len(known)
+        assert [known[k] for k in numbers] == [x for w in want for x in w]
+
+
+def test_messages_hold_no_zero_planes():
+    kinds = (np.uint64, np.int64, np.uint32, np.float32, np.float16, np.int64, np.uint64)
+    sent = [[3, 2**64 - 1], [0, 300, 70_000], [0, 0], [-1.0, 0.5], [0.0, -7.25], [-5, 2], []]
+    sent = [np.array(v, k) for v, k in zip(sent, kinds, strict=True)]
+    ends = [np.array([0, 1, len(a)]) if len(a) else np.zeros(3, int) for a in sent]
+    messages = blocks.bundles(sent, ends)
+    more = blocks.bundles([a[:1] for a in sent], [np.minimum(e[:2], 1) for e in ends])  # narrower ones among them
+    back, lengths = blocks.unbundled([*messages, *more], kinds)
+    assert lengths.tolist() == [[int(e[k + 1] - e[k]) for e in ends] for k in (0, 1, 0)]
+    assert all(b.dtype == a.dtype and b.tolist() == [*a.tolist(), *a[:1].tolist()] for a, b in zip(sent, back, strict=True))
+    assert [a.tolist() for a in blocks.unbundled([], kinds)[0]] == [[]] * len(kinds)
+    small = np.arange(10_000, dtype=np.int64) % 200
+    (message,) = blocks.bundles([small, np.zeros(10_000, np.uint64)], [np.array([0, 10_000])] * 2)
+    assert len(blocks.unpack(message)) < 11_000
+    assert (blocks.get(blocks.put(small), np.int64) == small).all()
+
+
 def test_pairs_are_coded_alike():
     rng = np.random.RandomState(1)
     c, s = rng.randint(0, 50, 3000), rng.randint(0, 40, 3000)
