@@ -194,71 +194,96 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).when(whole, 100.0).otherwise(F.greatest(indel_ratio(with_left, with_right), part))
 
 
-def _letters_in_common(a: Column, b: Column) -> Column:
-    """Upper bound of the longest common subsequence: each letter as often as the rarer side has it."""
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
-    total = F.lit(0)
-    for x in "abcdefghijklmnopqrstuvwxyz0123456789 ":
-        total = total + F.least(count(a, x), count(b, x))
-    others = lambda c: F.length(F.regexp_replace(c, "[a-z0-9 ]", ""))
-    return total + F.least(others(a), others(b))
-
-
-#: Names longer than this are cut into pieces like names of this length.
+#: Names longer than this are alike in length for the keys by which pairs are found.
 LONGEST_NAME = 256
 
 
-def _piece_sizes(share: float) -> tuple[float, list[list[int]]]:
-    """The greatest number of single-character edits for each character of a name, and for each length the sizes of the
-    pieces that it has to give. Names are alike if the common subsequence has `share` of both lengths.
+def _piece_sizes(share: float) -> tuple[float, list[int], list[list[int]]]:
+    """The greatest number of single-character edits for each character of a name; for each length of a name the size of
+    its pieces, and the sizes that its partners' pieces have. Names are alike if the common subsequence has `share` of
+    both lengths.
 
-    An edit spoils at most q of a name's pieces of q characters. A size fits a length if an alike name shares a piece for
-    certain; a pair goes by the largest size that fits its shorter name, so a name also gives those of shorter partners.
+    An edit spoils one of a name's pieces at most, as they don't overlap; so a size fits if there are more pieces than edits.
     """
     if not 2 / 3 < share <= 1:
         raise ValueError("names that share two thirds or less can't be found by pieces")
-    rate = 2 * (1 - share) / share
-    sure = lambda n, q: n - q + 1 - q * math.floor(rate * n + 1e-9) >= 1
-    fits = [next((q for q in (3, 2, 1) if all(sure(m, q) for m in range(n, LONGEST_NAME + 1))), 1) for n in range(LONGEST_NAME + 1)]
-    return rate, [sorted(set(fits[max(1, math.ceil(n * share / (2 - share) - 1e-9)) : n + 1] or [1])) for n in range(LONGEST_NAME + 1)]
+    rate, lengths = 2 * (1 - share) / share, range(LONGEST_NAME + 2)
+    own = [next((q for q in (3, 2) if n // q > math.floor(rate * n + 1e-9)), 1) for n in lengths]
+    own[-1] = next((q for q in (3, 2) if LONGEST_NAME * (1 / q - rate) >= 2), 1)  # for all longer names
+    least = lambda n: max(1, math.ceil(n * share / (2 - share) - 1e-9))
+    most = lambda n: min(LONGEST_NAME + 1, math.floor(n * (2 - share) / share + 1e-9))
+    return rate, own, [sorted(set(own[least(n) : most(n) + 1])) for n in lengths[:-1]] + [sorted(set(own[least(LONGEST_NAME + 1) :]))]
+
+
+#: Characters that are counted for _letters(), and how many of each.
+COUNTED, COUNTED_TIMES = "abcdefghijklmnopqrstuvwxyz0123456789 ", 3
+
+
+def _letters(x: Column) -> Column:
+    """How often a name has each character: a bit for each of the first three times, and the number of all others."""
+    count = lambda c: F.least(F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))), F.lit(COUNTED_TIMES))
+    bits, each = [], 63 // COUNTED_TIMES
+    for k in range(0, len(COUNTED), each):
+        said = F.lit(0).cast("bigint")
+        for n, c in enumerate(COUNTED[k : k + each]):
+            said = said + F.element_at(F.array(*[F.lit(((1 << t) - 1) << (COUNTED_TIMES * n)).cast("bigint") for t in range(COUNTED_TIMES + 1)]), count(c) + 1)
+        bits.append(said)
+    rest = F.length(x) - sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0]))
+    return F.struct(*[b.alias(f"b{k}") for k, b in enumerate(bits)], rest.alias("rest"))
+
+
+def _letters_in_common(a: str, b: str) -> Column:
+    """Upper bound of the longest common subsequence of two names by their _letters()."""
+    both = [F.bit_count(F.col(f"{a}.b{k}").bitwiseAND(F.col(f"{b}.b{k}"))) for k in range(-(-len(COUNTED) // (63 // COUNTED_TIMES)))]
+    return sum(both[1:], both[0]) + F.least(f"{a}.rest", f"{b}.rest")
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: int = 90) -> DataFrame:
     """a, b, score: all pairs of different names of two tables (columns a and b, normalised) whose rounded token-sort ratio
     is `least` or more.
 
-    Pieces of the sorted names are ordered by how rare they are in both tables; alike names share one among their rarest,
-    as many as edits can spoil and one more. So an equi-join on (size, piece) of these finds every pair; those whose
-    lengths or letters exclude the ratio are dropped before it is computed.
+    The table with fewer names cuts each of them (its words sorted) into pieces that don't overlap. For each length that
+    an alike name can have, it looks for its rarest pieces in the other table's names, one more than edits can spoil. So an
+    equi-join on (length, piece) finds every pair; those whose letters or edit distance exclude the ratio are dropped
+    before it is computed. The other table's names are cut once and never sorted or grouped.
     """
     share = (least - 0.5) / 100
-    rate, sizes = _piece_sizes(share)
-    by_length = F.array(*[F.array(*map(F.lit, qs)) for qs in sizes])
+    rate, own, partners = _piece_sizes(share)
+    longest = F.lit(LONGEST_NAME + 1)
 
-    def pieces(df: DataFrame, name: str) -> DataFrame:
+    def names(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(name).where(F.col(name) != "").distinct().withColumn("x", F.array_join(F.array_sort(words(F.col(name))), " "))
-        rows = rows.withColumn("n", F.length("x"))
-        rows = rows.select(name, "x", "n", F.explode(F.get(by_length, F.least("n", F.lit(LONGEST_NAME)))).alias("q")).where("n >= q")
-        cut = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substring("x", i, F.col("q")))
-        # equal pieces of a name are told apart by their number
-        number = lambda c, p, k: F.size(F.filter(F.slice(c, F.lit(1), k), lambda o: o == p)).cast("string")
-        told = bound(cut, lambda c: F.transform(c, lambda p, k: F.concat(p, F.lit("#"), number(c, p, k))))
-        return saved(rows.select(name, "n", "q", told.alias("p")), "pieces")
-
-    mine, theirs = pieces(left, "a"), pieces(right, "b")
-    each = lambda df: df.select("q", F.explode("p").alias("g"))
-    rarity = each(mine).unionByName(each(theirs)).groupBy("q", "g").agg(F.count(F.lit(1)).alias("times"))
-
-    def rarest(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(name, "n", "q", F.explode("p").alias("g")).join(rarity, ["q", "g"])
-        kept = rows.groupBy(name, "n", "q").agg(F.collect_list(F.struct("times", "g")).alias("__e")).withColumn("__e", F.array_sort("__e"))
-        kept = kept.select(name, "n", "q", F.explode(F.slice("__e", F.lit(1), (F.col("q") * F.floor(F.col("n") * rate + 1e-9) + 1).cast("int"))).alias("e"))
-        return kept.select(name, F.col("n").alias(f"n_{name}"), "q", "e.g")
-
-    near = 2 * F.least("n_a", "n_b") / (F.col("n_a") + F.col("n_b")) >= share
-    pairs = rarest(mine, "a").join(rarest(theirs, "b"), ["q", "g"]).where(near).select("a", "b").distinct()
-    lengths = F.length("a") + F.length("b")
-    pairs = pairs.where(2 * _letters_in_common(F.col("a"), F.col("b")) / lengths >= share)
+        return saved(rows.withColumn("n", F.length("x")), "names")
+
+    mine, theirs = names(left, "a"), names(right, "b")
+    few, many = ("a", "b") if mine.count() <= theirs.count() else ("b", "a")
+    asked, others = (mine, theirs) if few == "a" else (theirs, mine)
+    asked = asked.select(few, "x", "n", F.get(F.array(*map(F.lit, own)), F.least("n", longest)).alias("q"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / F.col("q")) - 1), lambda i: F.substring("x", (i * F.col("q") + 1).cast("int"), F.col("q")))
+    asked = saved(asked.withColumn("p", cut).withColumn("l", _letters(F.col("x"))), "pieces")
+    used = [r["q"] for r in asked.select("q").distinct().collect()]  # three at most
+    # a name of the other table gives its pieces of the sizes that partners of its length have
+    grams = lambda q: F.when(
+        F.get(F.array(*[F.lit(q in qs) for qs in partners]), F.least("n", longest)) & (F.col("n") >= q),
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("n") - q + 1), lambda i: F.substring("x", i, F.lit(q)))))
+    given = F.array_compact(F.array(*[grams(q) for q in used])) if used else F.array().cast("array<array<string>>")
+    others = others.select(F.col(many), F.col("x").alias("y"), F.col("n").alias("m"), F.flatten(given).alias("p")).where(F.size("p") > 0)
+    others = saved(others.withColumn("k", _letters(F.col("y"))), "pieces")
+    rarity = others.select(F.explode("p").alias("g")).join(asked.select(F.explode("p").alias("g")).distinct(), "g").groupBy("g").agg(F.count(F.lit(1)).alias("times"))
+    told = asked.select(few, F.posexplode("p").alias("at", "g")).join(rarity, "g", "left").groupBy(few).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "g", "at"))).alias("p"))
+    told = asked.drop("p").join(told, few)
+    lengths = F.sequence(F.greatest(F.lit(1), F.least(longest, F.ceil(F.col("n") * (share / (2 - share)) - 1e-9))).cast("int"), F.least(longest, F.floor(F.col("n") * ((2 - share) / share) + 1e-9)).cast("int"))
+    told = told.withColumn("length", F.explode(lengths))
+    edits = F.floor((1 - share) * (F.col("n") + F.col("length")) + 1e-9)  # as many as the lengths differ by, or two, four ... more
+    edits = F.when(F.col("length") < longest, edits - F.pmod(edits - F.col("n") + F.col("length"), F.lit(2))).otherwise(F.floor(F.col("n") * rate + 1e-9))
+    told = told.withColumn("edits", edits.cast("int")).where((F.col("length") == longest) | (F.col("edits") >= F.abs(F.col("n") - F.col("length"))))
+    told = told.withColumn("g", F.explode(F.array_distinct(F.transform(F.slice("p", F.lit(1), F.col("edits") + 1), lambda e: e.g))))
+    told = saved(told.select(few, "x", "n", "l", "length", "edits", "g"), "asked")
+    found = others.select(many, "y", "m", "k", F.least("m", longest).alias("length"), F.explode("p").alias("g")).join(told, ["length", "g"])
+    total = F.col("n") + F.col("m")
+    found = found.where((2 * F.least("n", "m") / total >= share) & (2 * _letters_in_common("l", "k") / total >= share))
+    pairs = found.select("a", "b", "x", "y", "edits").distinct().where(F.expr("levenshtein(x, y, edits)") >= 0).select("a", "b")
     return pairs.withColumn("score", F.bround(token_sort_ratio(F.col("a"), F.col("b")))).where(F.col("score") >= least)
 
 
@@ -268,18 +293,20 @@ def match_fuzzy(primary: DataFrame, history: DataFrame, name_least: int = 90, co
     A name looks at the clusters in which any record shares its last word or first letter. The best name and the best
     company are taken over all records of a cluster, each by itself. Alike names come from similar_names().
     """
+    primary = saved(primary.select("seq", "name_key", "company_key"), "rest")
     mine = primary.where("name_key != ''").select("name_key", "company_key").distinct()
-    names = history.where("name_key != ''").select(F.col("name_key").alias("n"), "cluster").distinct()
     last = lambda c: F.concat(F.lit("s:"), F.element_at(words(c), -1))
     head = lambda c: F.concat(F.lit("i:"), F.substring(c, 1, 1))
     both = lambda c: F.explode(F.array(last(F.col(c)), head(F.col(c)))).alias("k")
-    keys = names.select("cluster", both("n")).distinct()
-    alike = similar_names(mine.select(F.col("name_key").alias("a")), names.select(F.col("n").alias("b")), name_least)
-    alike = alike.select(F.col("a").alias("name_key"), F.col("b").alias("n"), F.col("score").alias("name_score")).join(names, "n")
-    alike = alike.groupBy("name_key", "cluster").agg(F.max("name_score").alias("name_score"))
+    alike = saved(similar_names(mine.select(F.col("name_key").alias("a")), history.select(F.col("name_key").alias("b")), name_least), "alike")
+    alike = alike.select(F.col("a").alias("name_key"), F.col("b").alias("n"), F.col("score").alias("name_score"))
+    alike = history.select(F.col("name_key").alias("n"), "cluster").join(alike, "n")
+    alike = saved(alike.groupBy("name_key", "cluster").agg(F.max("name_score").alias("name_score")), "alike")
+    near = saved(history.select("name_key", "company_key", "cluster").join(alike.select("cluster").distinct(), "cluster", "left_semi"), "near")  # all records of these clusters
+    keys = near.where("name_key != ''").select("cluster", both("name_key")).distinct()
     seen = alike.select("name_key", "cluster", both("name_key")).join(keys, ["cluster", "k"], "left_semi").select("name_key", "cluster").distinct()
     alike = alike.join(seen, ["name_key", "cluster"])
-    companies = history.where("company_key != ''").select(F.col("company_key").alias("c"), "cluster").distinct()
+    companies = near.where("company_key != ''").select(F.col("company_key").alias("c"), "cluster").distinct()
     company_score = F.when(
         (F.col("company_key") != "") & F.col("c").isNotNull(), F.bround(token_set_ratio(F.col("company_key"), F.col("c")))).otherwise(0.0)
     best = mine.join(alike, "name_key").join(companies, "cluster", "left").groupBy("name_key", "company_key", "cluster").agg(

@@ -48,3 +48,26 @@ def test_similar_names_are_those_of_all_pairs(spark, least):
     got = I.similar_names(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"), least)
     want = {(a, b, s) for a in set(left) for b in set(right) if (s := ratio(a, b)) >= least}
     assert {(r["a"], r["b"], int(r["score"])) for r in got.collect()} == want and len(want) > 60
+
+
+def join_rows(plan):
+    """Rows that the joins of an executed plan have given."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return join_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return join_rows(plan.plan())
+    rows = plan.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") else 0
+    return rows + sum(join_rows(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_names_with_common_words_meet_few_others(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    right = sorted({f"{rng.choice(['large', 'small', 'blue', 'hot'])} {rng.choice(['ring', 'bolt', 'gear', 'widget'])} {word()}" for _ in range(4000)})
+    left = [f"{n[:-1]}{'b' if n[-1] == 'a' else 'a'}" for n in right[::100]] + ["large ring abcdefj", "hot bolt abcdj"]
+    got = I.similar_names(spark.createDataFrame([(x,) for x in left], "a string"), spark.createDataFrame([(x,) for x in right], "b string"))
+    found = {(r["a"], r["b"], int(r["score"])) for r in got.collect()}
+    assert found == {(a, b, s) for a in left for b in right if (s := ratio(a, b)) >= 90} and len(found) >= 40
+    # a share of all pairs, not most of them
+    assert join_rows(got._jdf.queryExecution().executedPlan()) < len(left) * len(right) / 10
