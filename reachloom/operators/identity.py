@@ -328,7 +328,7 @@ def match_decisions(primary: DataFrame, history: DataFrame, fuzzy: bool = True)
     history is clustered. Precedence: identifiers, name and company, alike names, no match.
     """
     summary = cluster_summary(history)
-    exact = match_exact(primary, history).withColumn("__one", F.size("clusters") == 1)
+    exact = saved(match_exact(primary, history), "exact").withColumn("__one", F.size("clusters") == 1)
     agree = exact.where("__one").select("seq", *[f"by_{k}" for k in IDENTIFIERS], "clusters", F.col("clusters")[0].alias("cluster"))
     agree = agree.join(primary.select("seq", "name_key"), "seq").join(summary, "cluster")
     best_name = F.array_max(F.transform("names", lambda n: token_sort_ratio(F.col("name_key"), n)))
@@ -342,7 +342,7 @@ def match_decisions(primary: DataFrame, history: DataFrame, fuzzy: bool = True)
         "seq", kind.alias("match_type"), F.lit(70).alias("confidence"), "clusters",
         F.lit("REVIEW_REQUIRED").alias("decision"), F.lit(False).alias("confirmed"))
     rest = primary.join(exact.select("seq"), "seq", "left_anti")
-    by_name = match_name_company(rest, history)
+    by_name = saved(match_name_company(rest, history), "by-name")
     single = by_name.where(F.size("clusters") == 1).withColumn("cluster", F.col("clusters")[0]).join(summary, "cluster").select(
         "seq", F.lit("NAME_COMPANY_MATCH").alias("match_type"), F.lit(90).alias("confidence"), "clusters",
         F.col("history_decision").alias("decision"), F.lit(True).alias("confirmed"))
