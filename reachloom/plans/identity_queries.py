@@ -98,7 +98,7 @@ def _overrides(primary: DataFrame) -> DataFrame:
 
 def d09(spark, sf_dir):
     primary, history, _, _ = _prepared(spark, sf_dir)
-    matches = I.match_decisions(primary, history)
+    matches = saved(I.match_decisions(primary, history), "matches")
     return _flat(I.apply_review(matches, _overrides(primary), I.cluster_summary(history)))
 
 
