@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import saved
+from ..storage import by_size, saved
 from .predicates import _has, any_of, any_term
 from .text import bound, clean_spaces, normalize_text, plain_text
 
@@ -221,14 +221,14 @@ def phrase_hits(normal: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     pieces = asked.select("term", "__p", F.explode(own).alias("__g"))
     texts = normal.select(key, squeezed("__text").alias("__s"))
     lists = F.concat(*[_grams(F.col("__s"), q) for q in used]) if used else F.array().cast("array<string>")
-    there = texts.select(key, F.explode(lists).alias("__g")).join(pieces.select("__g").distinct(), "__g")
+    there = texts.select(key, F.explode(lists).alias("__g")).join(by_size(saved(pieces.select("__g").distinct(), "pieces")), "__g")
     there = saved(there, "grams")  # what rows have of all phrases' pieces
     counts = there.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
     # a piece that no row has makes a phrase's count 0: it is nowhere
-    best = pieces.join(counts, "__g", "left").groupBy("term", "__p").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__b"))
-    best = best.where("__b.n > 0").select("term", "__p", F.col("__b.__g").alias("__g"))
-    candidates = there.join(best, "__g").select(key, "term", "__p")
-    return candidates.join(texts, key).where(F.contains("__s", F.col("__p"))).select(key, "term").distinct()
+    best = pieces.join(counts.hint("merge"), "__g", "left").groupBy("term", "__p").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__g")).alias("__b"))
+    best = saved(best.where("__b.n > 0").select("term", "__p", F.col("__b.__g").alias("__g")), "best")
+    candidates = there.join(by_size(best), "__g").select(key, "term", "__p")
+    return candidates.hint("merge").join(texts, key).where(F.contains("__s", F.col("__p"))).select(key, "term").distinct()
 
 
 def term_hits(rows: DataFrame, key: str, text: str, terms: DataFrame, most_phrases: int | None = None) -> DataFrame:
@@ -237,8 +237,8 @@ def term_hits(rows: DataFrame, key: str, text: str, terms: DataFrame, most_phras
 
     Terms of one word meet the rows' distinct words by an equi-join, phrases by their rarest piece (phrase_hits).
     """
-    asked = terms.select("term", normalize_text(F.col("term")).alias("__t")).where("__t != ''").distinct()
+    asked = saved(terms.select("term", normalize_text(F.col("term")).alias("__t")).where("__t != ''").distinct(), "terms")
     normal = saved(rows.select(key, normalize_text(F.col(text)).alias("__text")), "texts")
     words = normal.select(key, F.explode(F.array_distinct(F.split("__text", " "))).alias("__t"))
-    found = words.join(asked.where("NOT contains(__t, ' ')"), "__t").select(key, "term")
+    found = words.join(by_size(asked.where("NOT contains(__t, ' ')")), "__t").select(key, "term")
     return found.unionByName(phrase_hits(normal, key, asked.where("contains(__t, ' ')")))

@@ -88,3 +88,13 @@ def saved(df: DataFrame, name: str, by: str | None = None, buckets: int = 1) ->
     if Scratch._open:
         Scratch._open[-1].paths.append(path)
     return spark.table(key) if by else spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of as many rows at most are sent whole to each executor for a join.
+FEW_ROWS = 100_000
+
+
+def by_size(df: DataFrame) -> DataFrame:
+    """A saved table, for a join with rows that come from exploding: sent whole if it has few rows, else shuffled. Spark
+    takes exploded rows for as small as the file that they come from, and would send those whole by way of the driver."""
+    return df.hint("broadcast" if df.count() <= FEW_ROWS else "merge")

@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from reachloom import storage
+from reachloom.functions import taxonomy
 from reachloom.operators import attendees as A
 from reachloom.streaming.events import LiveFunnel
 
@@ -50,6 +52,25 @@ def test_event_attendees(spark):
     assert run(known=known, most=2) == [("ann2", "acme", "named", "Yes"), ("bob1", "acme", "named", "Check")]
 
 
+def test_nothing_that_grows_with_the_input_is_sent_whole(spark, monkeypatch):
+    plans = {}
+
+    def spied(df, name, *more, real=taxonomy.saved):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, *more)
+
+    for module in (taxonomy, A):
+        monkeypatch.setattr(module, "saved", spied)
+    monkeypatch.setattr(storage, "FEW_ROWS", -1, raising=False)  # no table has few
+    posts = spark.createDataFrame([(1, 1, "acme", "Speakers include Ann Lee, Bob Ray at the annual summit.")], "post bigint, source_no bigint, source string, text string")
+    profiles = spark.createDataFrame([(2, "Ann Lee - Head of Data at Acme | LinkedIn", "linkedin.com/in/ann1", "x")], "profile bigint, title string, href string, body string")
+    direct = spark.createDataFrame([], "source string, source_no bigint, row bigint, title string, href string, body string")
+    out = A.event_attendees(posts, profiles, direct, ["head of data"], [])
+    plans["out"] = out._jdf.queryExecution().executedPlan().toString()
+    assert [r["name"] for r in out.collect()] == ["Ann Lee"]
+    assert [n for n, p in plans.items() if "BroadcastHashJoin" in p] == []
+
+
 def test_the_funnel_after_batches_in_any_order(spark, tmp_path):
     rng = random.Random(5)
     kinds = ["SENT", "OPENED", "CLICKED", "REPLIED", "BOUNCED", "UNSUBSCRIBED"]
