@@ -48,7 +48,11 @@ def company_fragment(c: Column) -> Column:
 
 
 def is_role(c: Column) -> Column:
-    return any_term(c, list(ROLE_TERMS))
+    """A role's term as a word of its own (P01). Accents split words there, so what is left of an accented word ("Ción") may
+    look like a short term; a term of one word has to stand in the text itself too, between ends of words in any script."""
+    one, several = ([t for t in ROLE_TERMS if (" " in t) == long] for long in (False, True))
+    whole = rf"(?i)(?<![\p{{L}}\p{{N}}\p{{M}}])(?:{'|'.join(one)})(?![\p{{L}}\p{{N}}\p{{M}}])"
+    return bound(c, lambda x: (x.rlike(whole) & any_term(x, one)) | any_term(x, several))
 
 
 def is_place(c: Column) -> Column:

@@ -25,6 +25,8 @@ CASES = [
     ("Ira Voss - CTO | LinkedIn", "View Bo Ray's profile on LinkedIn. Experience: Other Firm · Location: Oslo", ("Ira Voss", "CTO", "Unknown")),
     ("Ira Voss - CTO | LinkedIn", "View Ira Voss' s profile. Experience: Own Firm · Location: Oslo", ("Ira Voss", "CTO", "Own Firm")),
     ("Ira Voss | LinkedIn", "Head of Data - 12 years of work. Company: Acme", ("Ira Voss", "Head of Data", "Acme")),
+    ("Ira Voss - CTO at Acme | LinkedIn", "x | Ción osta. Edor estior at itertion", ("Ira Voss", "CTO", "Acme")),  # no CIO
+    ("Ira Voss - CTO at Acme | LinkedIn", "The_Head_of Data, estratégica at Beta", ("Ira Voss", "The_Head_of Data, estratégica", "Beta")),
     (None, None, ("Unknown", "", "Unknown")),
 ]
 
